@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, fingerprints, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        near_dedup.op1_near_dedup,
         exact_dedup.op2_exact_dedup,
+        fingerprints.op3_fingerprints,
         packing.op4_best_fit_packing,
         bpe.op8_byte_bpe,
     )
