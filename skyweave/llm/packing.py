@@ -12,6 +12,7 @@ packed as often as they occur; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -44,6 +45,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and its batches are of short words
         self.tokenizer = Tokenizer.from_file(path)
         kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(256))}
         letter, digit = ("".join(re.escape(c) for c, k in kinds.items() if k == x) for x in "LN")
