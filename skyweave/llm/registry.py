@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, near_dedup, packing
+from . import bpe, exact_dedup, fingerprints, html_text, language, near_dedup, packing, secrets, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -15,8 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         exact_dedup.op2_exact_dedup,
         fingerprints.op3_fingerprints,
         packing.op4_best_fit_packing,
+        secrets.op5_secret_scan,
+        surrogates.op7_pii_surrogates,
         bpe.op8_byte_bpe,
+        language.op9_language_id,
+        html_text.op10_html_text,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op5_secret_scan": secrets.OP5_SQL}
