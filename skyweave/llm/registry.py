@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, html_text, language, near_dedup, packing, secrets, surrogates
+from . import bpe, exact_dedup, fingerprints, html_text, language, licences, near_dedup, packing, secrets, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fingerprints.op3_fingerprints,
         packing.op4_best_fit_packing,
         secrets.op5_secret_scan,
+        licences.op6_licence_scan,
         surrogates.op7_pii_surrogates,
         bpe.op8_byte_bpe,
         language.op9_language_id,
