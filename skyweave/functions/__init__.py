@@ -1 +1 @@
-
+"""Column expressions and numeric kernels."""
