@@ -9,8 +9,8 @@ phones, and for names syllables of the same script with an ending of the same ge
 Collision checks keep distinct values distinct: a value whose surrogate another value has,
 or which is a value of the corpus itself, takes the next stream until none collides. The
 surrogates are a table keyed by value, so all mentions of a value in all documents, however
-they are formatted, get the same one. Documents are joined to it by their content's digest,
-only where they have entities; others pass through unchanged.
+they are formatted, get the same one. Documents with entities are joined to it by their
+content's digest; all others pass through and are not moved.
 
 Defined results: a null text stays null and has no entities; ids are not used, so null and
 repeated ids do not matter; rows of equal text get equal results.
@@ -52,8 +52,8 @@ GIVEN = {
     "m": "John James Robert Michael William David Richard Thomas Peter Paul Hans Jürgen Klaus Wolfgang Pierre Jean Michel François Juan Carlos José Antonio Miguel Andrew George Charles Иван Пётр Сергей Алексей Γιώργος".split(),
 }
 _CAPITAL = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
-_TITLED = rf"(?<![\p{{L}}])(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {_CAPITAL}(?: {_CAPITAL})?(?![\p{{L}}])"
-_GIVEN = rf"(?<![\p{{L}}])(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {_CAPITAL}(?![\p{{L}}])"
+_TITLED = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {_CAPITAL}(?: {_CAPITAL})?(?![\p{{L}}])"
+_GIVEN = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {_CAPITAL}(?![\p{{L}}])"
 PATTERNS["name"] = rf"{_TITLED}|{_GIVEN}"
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -65,11 +65,14 @@ SCRIPTS = {
 }
 
 
+def has_entities(text: Column) -> Column:
+    hint = text.contains("@") | text.rlike(r"[0-9]{2}") | text.rlike(PATTERNS["name"])
+    return F.coalesce(hint & text.rlike(ANY), F.lit(False))
+
+
 def entities(text: Column) -> Column:
     """Array of (start, end, value, kind) of the entities of a text."""
-    hint = text.contains("@") | text.rlike(r"[0-9]{2}") | text.rlike(PATTERNS["name"])
-    found = F.when(hint, matches(F.coalesce(text, F.lit("")), ANY)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), _kind(m["value"]).alias("kind")))
+    return F.transform(matches(text, ANY), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), _kind(m["value"]).alias("kind")))
 
 
 def _kind(value: Column) -> Column:
@@ -184,22 +187,25 @@ def replacement(kind: Column, value: Column, got: Column) -> Column:
 def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """All columns of ``docs``, with ``__text`` (entities replaced) and ``__entities``."""
     text = F.col(text_col).cast("string")
-    found = docs.withColumn("__entities", entities(text))
-    marked = found.withColumn("__key", F.when(F.size("__entities") > 0, F.sha2(text.cast("binary"), 256)))
-    some = marked.where("__key is not null").select(F.col("__key").alias("k"), F.col("__entities").alias("e"))
+    clean = docs.where(~has_entities(text)).withColumns({"__entities": F.array().cast(_ENTITIES), "__text": text})
+    marked = written(docs.where(has_entities(text)).withColumns({"__entities": entities(text), "__key": F.sha2(text.cast("binary"), 256)}), "marked")
+    some = marked.select(F.col("__key").alias("k"), F.col("__entities").alias("e"))
     some = some.groupBy("k").agg(F.first("e").alias("e"))  # once for each text, however often it is copied
     each = some.select("k", F.posexplode("e").alias("i", "m")).select("k", "i", F.posexplode(parts(F.col("m.kind"), F.col("m.value"))).alias("j", "p"))
     each = written(each.select("k", "i", "j", F.col("p.kind").alias("kind"), F.col("p.value").alias("value")), "mentions")
     stand_ins = written(surrogate_table(written(each.select("kind", "value").distinct(), "values"), key), "stand-ins")
     got = each.join(stand_ins, ["kind", "value"]).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "j", "surrogate"))).alias("got"))  # a document's own
-    joined = marked.join(got, F.col("__key") == F.col("k"), "left")
+    joined = marked.join(written(got, "got"), F.col("__key") == F.col("k"))
     texts = F.transform(F.col("__entities"), lambda m, i: replacement(m["kind"], m["value"], F.transform(F.filter(F.col("got"), lambda g: g["i"] == i), lambda g: g["surrogate"])))
     whole = joined.withColumn("__new", texts)
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__entities", lambda m: m["end"]))
     between = F.transform(F.col("__entities"), lambda m, i: F.concat(text.substr((begins[i] + 1).cast("int"), (m["start"] - begins[i]).cast("int")), F.col("__new")[i]))
     rest = text.substr((F.element_at(begins, -1) + 1).cast("int"), F.char_length(text))
-    new = F.when(F.col("__key").isNull(), text).otherwise(F.concat(F.array_join(between, ""), rest))
-    return whole.withColumn("__text", new).drop("k", "got", "__new", "__key")
+    changed = whole.withColumn("__text", F.concat(F.array_join(between, ""), rest)).drop("k", "got", "__new", "__key")
+    return clean.unionByName(changed)
+
+
+_ENTITIES = "array<struct<start:bigint,end:bigint,value:string,kind:string>>"
 
 
 def replaced(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", key: str = KEY) -> DataFrame:
