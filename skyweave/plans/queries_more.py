@@ -55,7 +55,7 @@ def brightest_mag(spark, sf_dir):
     return phot.brightest(cat_a(spark, sf_dir), "mag1", pairs_of(spark, sf_dir), cat_b(spark, sf_dir), "mag1", 0.9)
 
 
-@query(with_sql("SELECT p, round(quantile_cont(sep, p / 100.0::DOUBLE), 6) AS sep FROM edge, (SELECT unnest(range(5, 100, 10)) AS p) GROUP BY p".replace("SELECT p, round(quantile_cont(sep, p / 100.0::DOUBLE), 6) AS sep FROM edge, (SELECT unnest(range(5, 100, 10)) AS p) GROUP BY p", " UNION ALL ".join(f"SELECT {p} AS p, round(quantile_cont(area, {p / 100}), 6) AS area FROM areas" for p in range(5, 100, 10))), EDGE_SQL, "areas AS (SELECT a, pi() * power(avg(sep), 2) AS area FROM edge GROUP BY a)"))
+@query(with_sql("SELECT p, round(quantile_cont(sep, p / 100.0::DOUBLE), 6) AS sep FROM edge, (SELECT unnest(range(5, 100, 10)) AS p) GROUP BY p".replace("SELECT p, round(quantile_cont(sep, p / 100.0::DOUBLE), 6) AS sep FROM edge, (SELECT unnest(range(5, 100, 10)) AS p) GROUP BY p", " UNION ALL ".join(f"SELECT {p} AS p, round(quantile_cont(area, {p / 100}), 6) AS area FROM areas WHERE area > 0" for p in range(5, 100, 10))), EDGE_SQL, "areas AS (SELECT a, pi() * power(avg(sep), 2) AS area FROM edge GROUP BY a)"))
 def area_percentiles(spark, sf_dir):
     areas = pairs_of(spark, sf_dir).groupBy("a").agg((F.pi() * F.avg("sep") * F.avg("sep")).alias("area"))
     out = phot.area_percentiles(areas).select(F.posexplode("p").alias("i", "area"))
