@@ -8,10 +8,11 @@ sets. A pair at the threshold shares no band with probability (1 - 0.75 ** 4) **
 and falls below SURE by more than five standard deviations.
 
 Documents with equal sets are one class, so copies are never paired. Within a bucket of a
-band only links to one hub are tried first; then classes that are not yet in one component
-with the bucket's main one are compared to all the others of the bucket, block by block, so
-no bucket is capped and no link between different texts is lost, while a bucket of near
-copies costs what it has members.
+band only links to one hub are tried first. Then the members that are not yet in one
+component with the bucket's main one are compared to all others of the bucket, block by
+block: first by their signatures, which gives the members with a likely partner, then these
+by their full sets. So no bucket is capped and no component stays apart, while pairs are
+never listed and a bucket of near copies moves what it has members.
 
 Defined results: a text without words has an empty set and is linked with nothing; a row
 without id belongs to its group but never names it, and is kept only where no member has an
@@ -106,6 +107,11 @@ _CHANCE = 2.0**-BITS
 _MOST_DIFFERENT = int(PERMS * (1 - SURE) * (1 - _CHANCE))
 
 
+def alike(s: np.ndarray, t: np.ndarray) -> bool:
+    inter = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * inter >= PERCENT * (len(s) + len(t) - inter)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) of which the full sets are alike."""
     both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
@@ -115,79 +121,159 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         for i, (x, y) in enumerate(zip(a_texts, b_texts, strict=True)):
             if y != last[0]:
                 last = (y, shingle_hashes(words(y), size))
-            s = shingle_hashes(words(x), size)
-            inter = len(np.intersect1d(s, last[1], assume_unique=True))
-            if 100 * inter >= PERCENT * (len(s) + len(last[1]) - inter):
+            if alike(shingle_hashes(words(x), size), last[1]):
                 keep.append(i)
         yield {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
 
-    return map_rows(both, ["a", "b", "a_text", "b_text"], step, "a binary, b binary")
+    return map_rows(both, ["a", "b", "a_text", "b_text"], step, "a bigint, b bigint")
+
 
+def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
+    """Runs of rows whose first ``key`` columns agree."""
+    group, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:key] != group:
+                if rows:
+                    yield rows
+                group, rows = row[:key], []
+            rows.append(row)
+    if rows:
+        yield rows
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of members of one bucket in different components, from (key, node, root, n, sig).
 
-    The members outside a bucket's largest component are compared to all its members. Both
-    sides are dealt into blocks; each pair of blocks is one group of bounded size.
+class Block:
+    """The members of one block of a bucket: left ones are compared to right ones.
+
+    A pair is looked at in the bucket of the first band that it shares, and nowhere else.
+    """
+
+    def __init__(self, key: int, rows: list[dict]):
+        self.key, self.left, self.right = key, [r for r in rows if r["left"]], [r for r in rows if not r["left"]]
+        if self.left and self.right:
+            self.sig = np.array([r["sig"] for r in self.right], dtype=np.int64).view(np.uint64)
+            self.n = np.array([r["n"] for r in self.right])
+            self.bands = np.array([r["bands"] for r in self.right], dtype=np.int64)
+
+    def near(self, one: dict) -> list[int]:
+        """Places of the right members that are likely near a left one."""
+        x = self.sig ^ np.array(one["sig"], dtype=np.int64).view(np.uint64)
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        differ = np.bitwise_count(x & _ONES).sum(axis=1, dtype=np.int64)
+        at = np.flatnonzero((differ <= _MOST_DIFFERENT) & (np.minimum(self.n, one["n"]) * 100 >= np.maximum(self.n, one["n"]) * PERCENT))
+        band = one["bands"].index(self.key)
+        if band and len(at):
+            at = at[~(self.bands[at, :band] == np.array(one["bands"][:band])).any(axis=1)]
+        return at.tolist()
+
+
+_ONES = np.uint64(sum(1 << (BITS * k) for k in range(PER_LONG)))
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members (key, node, root) of buckets with several components, in blocks: key, lb, rb, left, node, root.
+
+    The members outside a bucket's largest component are the left side, all its members the
+    right one; each pair of a left and a right block meets once. A block has about LEFT and
+    RIGHT members, however large the bucket is.
     """
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
     buckets = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    buckets = written(buckets.select("key", "all", F.col("main.root").alias("main"), (F.col("all") - F.col("main.c")).alias("rest")), "buckets")
-    there = members.join(buckets, "key").withColumn("nl", F.ceil(F.col("rest") / LEFT)).withColumn("nr", F.ceil(F.col("all") / RIGHT))
+    buckets = buckets.select("key", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / LEFT).alias("nl"), F.ceil(F.col("all") / RIGHT).alias("nr"))
+    there = written(members.join(written(buckets, "buckets"), "key"), "there")
     place = F.xxhash64("node", "key")
-    columns = ["key", "lb", "rb", "left", "node", "root", "n", "sig"]
-    left = there.where("root <> main").withColumn("lb", F.pmod(place, "nl")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nr") - 1))).withColumn("left", F.lit(True))
-    right = there.withColumn("rb", F.pmod(place, "nr")).withColumn("lb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nl") - 1))).withColumn("left", F.lit(False))
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.select(columns).unionByName(right.select(columns)).repartition(parts, "key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", F.col("left").desc())
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = there.where("root <> main").withColumn("lb", F.pmod(place, "nl")).withColumn("rb", upto("nr")).withColumn("left", F.lit(True))
+    right = there.withColumn("rb", F.pmod(place, "nr")).withColumn("lb", upto("nl")).withColumn("left", F.lit(False))
+    columns = ["key", "lb", "rb", "left", "node", "root"]
+    return left.select(columns).unionByName(right.select(columns))
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", F.col("left").desc(), "node")
+
+
+def suspects(blocks: DataFrame, parts: int) -> DataFrame:
+    """The rows of ``blocks`` (with n, sig and bands) that have a likely partner in another component in their block: never more rows than there were."""
+    names = blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != group:
-                    yield from found(rows)
-                    group, rows = row[:3], []
-                rows.append(row[3:])
-        yield from found(rows)
-
-    def found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        left, right = ([r for r in rows if r[0] is side] for side in (True, False))
-        if not left or not right:
-            return
-        sig = np.array([r[4] for r in right], dtype=np.int64).view(np.uint64)
-        n = np.array([r[3] for r in right])
-        one = np.uint64(sum(1 << (BITS * k) for k in range(PER_LONG)))
-        a, b = [], []
-        for _, node, root, size, own in left:
-            x = sig ^ np.array(own, dtype=np.int64).view(np.uint64)
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            near = (np.bitwise_count(x & one).sum(axis=1, dtype=np.int64) <= _MOST_DIFFERENT) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * PERCENT)
-            for i in np.flatnonzero(near).tolist():
-                if right[i][2] != root:
-                    a.append(max(node, right[i][1]))
-                    b.append(min(node, right[i][1]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+        for rows in grouped(batches, 3):
+            block = Block(rows[0][0], [dict(zip(names, r, strict=True)) for r in rows])
+            if not block.left or not block.right:
+                continue
+            l_found, r_found = [], set()
+            for one in block.left:
+                if mine := [i for i in block.near(one) if block.right[i]["root"] != one["root"]]:
+                    l_found.append(one)
+                    r_found.update(mine)
+            if l_found:
+                found = [*l_found, *(block.right[i] for i in sorted(r_found))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found]) for c in _PLACE], names=_PLACE)
+
+    return dealt(blocks, parts).mapInArrow(run, "key bigint, lb bigint, rb bigint, left boolean, node bigint")
+
+
+_PLACE = ["key", "lb", "rb", "left", "node"]
+
+
+def block_links(blocks: DataFrame, size: int, parts: int) -> DataFrame:
+    """Links (a, b) confirmed on full sets between members of blocks (with root, n, sig, bands and text).
+
+    Components that a block has linked are one component to it from then on, so it gives
+    fewer links than it has members.
+    """
+    names = blocks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, 3):
+            block = Block(rows[0][0], [dict(zip(names, r, strict=True)) for r in rows])
+            if block.left and block.right and (found := links(block)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    def links(block: Block) -> list[tuple[int, int]]:
+        above: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+        out = []
+
+        def top(root: int) -> int:
+            while above.get(root, root) != root:
+                above[root] = root = above.get(above[root], above[root])
+            return root
+
+        def full(member: dict) -> np.ndarray:
+            if member["node"] not in sets:
+                sets[member["node"]] = shingle_hashes(words(member["text"]), size)
+            return sets[member["node"]]
+
+        for one in block.left:
+            for i in block.near(one):
+                other = block.right[i]
+                if top(one["root"]) != top(other["root"]) and alike(full(one), full(other)):
+                    out.append((one["node"], other["node"]))
+                    above[top(one["root"])] = top(other["root"])
+        return out
+
+    return dealt(blocks, parts).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(features(docs, id_col, text_col, size), "features")
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    banded = classes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "key").alias("x"), "node")).alias("hub")).where("c > 1")
-    members = written(banded.join(written(buckets.select("key", F.col("hub.node").alias("hub")), "buckets"), "key"), "members")
-
+    classes = rows.where("node is not null").groupBy(F.col("node").alias("set")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     light = classes.select("node", "n", "sig")
-    there = written(members.select("node").distinct().join(classes.select("node", "doc_id"), "node"), "there")
-    texts = written(texts_of(docs, there, id_col, text_col, size), "texts")
 
-    stars = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    banded = classes.select("node", F.explode("bands").alias("key"))
+    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    members = written(banded.join(full.hint("merge"), "key", "left_semi"), "members")
+    hubs = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"))
+    there = members.select("node").distinct().join(classes.select("node", "doc_id", "set"), "node")
+    texts = written(texts_of(docs, written(there, "there"), id_col, text_col, size), "texts")
+
+    stars = members.join(written(hubs, "hubs"), "key").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     stars = stars.join(light.toDF("a", "a_n", "a_sig"), "a").join(light.toDF("b", "b_n", "b_sig"), "b").where(likely("a_", "b_")).select("a", "b")
     stars = written(stars, "stars")
     first = stars.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b"))
@@ -196,30 +282,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = written(confirmed(apart(stars.join(first, ["a", "b"], "left_anti"), roots), texts, size), "near")
     links = links.unionByName(more)
     roots = written(components(links), "roots")
-    rooted = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(light, "node")
-    rest = written(block_pairs(rooted).join(stars, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(written(confirmed(rest, texts, size), "near"))
-    roots = components(links)
-
-    roots = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = written(roots, "roots")
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = written(in_blocks(rooted), "blocks")
+    light = classes.select("node", "n", "sig", "bands")
+    asked = written(suspects(blocks.join(light, "node").select(*blocks.columns, "n", "sig", "bands"), parts), "asked")
+    asked = asked.join(rooted.select("node", "root").distinct(), "node").join(light, "node").join(texts, "node")
+    last = written(block_links(asked.select(*_PLACE, "root", "n", "sig", "bands", "text"), size, parts), "near")
+    if not last.isEmpty():
+        roots = written(components(links.unionByName(last)), "roots")
+
+    roots = classes.select("set", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = written(roots.select("set", "doc_id", "root"), "roots")
     groups = written(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "groups")
-    named = written(roots.join(groups, "root").select("node", "component_id"), "named")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
-    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    named = written(roots.join(groups, "root").select("set", "component_id"), "named")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("set")).join(named, "set", "left")
+    out = out.withColumn("component_id", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", same("doc_id", "component_id").alias("kept"))
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, text) for the classes (node, doc_id); of rows that share an id, those whose set is the class's."""
-    wanted = classes.toDF("node", "__id")
+    """(node, text) for the classes (node, doc_id, set); of rows that share an id, those whose set is the class's.
+
+    Joined by sorting on both sides at every size: the classes are as many as the near copies.
+    """
+    wanted = classes.toDF("node", "__id", "set").hint("merge")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def step(nodes, texts):
-        keep = [i for i, t in enumerate(texts) if set_key(shingle_hashes(words(t), size)) == nodes[i]]
+    def step(nodes, sets, texts):
+        keep = [i for i, t in enumerate(texts) if set_key(shingle_hashes(words(t), size)) == sets[i]]
         yield {"node": [nodes[i] for i in keep], "text": [texts[i] for i in keep]}
 
-    return map_rows(rows.join(wanted, same("doc_id", "__id")), ["node", "text"], step, "node binary, text string").dropDuplicates(["node"])
+    return map_rows(rows.join(wanted, same("doc_id", "__id")), ["node", "set", "text"], step, "node bigint, text string").dropDuplicates(["node"])
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
