@@ -52,6 +52,7 @@ LIKELY = frozenset("article content entry post story main body text page".split(
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_CUT = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _STOP = re.compile(r"[.!?。！？…:;\"”»](?:\s|$)")
 _COMMA = re.compile("[,،、，]")
@@ -244,7 +245,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(html)
+    tree.feed(_CUT.sub("", html))
     tree.close()
     pruned(tree.root)
     out = []

@@ -81,7 +81,7 @@ def _literals(tree) -> list[tuple[str, ...]]:
             continue
         elif name == "MAX_REPEAT" and value[0] >= 1:
             inside = _literals(value[2])
-            parts = inside if value[:2] == (1, 1) else [("", *x, "") for x in inside]
+            parts = inside if value[:2] == (1, 1) else [(*x, x[-1]) for x in inside]  # the first copy follows what is before, the last is before what follows
         elif name == "MAX_REPEAT" and value[1] == 1:
             parts = [*_literals(value[2]), ("",)]
         else:

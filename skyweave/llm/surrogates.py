@@ -195,13 +195,13 @@ def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     each = written(each.select("k", "i", "j", F.col("p.kind").alias("kind"), F.col("p.value").alias("value")), "mentions")
     stand_ins = written(surrogate_table(written(each.select("kind", "value").distinct(), "values"), key), "stand-ins")
     got = each.join(stand_ins, ["kind", "value"]).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "j", "surrogate"))).alias("got"))  # a document's own
-    joined = marked.join(written(got, "got"), F.col("__key") == F.col("k"))
-    texts = F.transform(F.col("__entities"), lambda m, i: replacement(m["kind"], m["value"], F.transform(F.filter(F.col("got"), lambda g: g["i"] == i), lambda g: g["surrogate"])))
+    joined = marked.join(written(got, "got").toDF("__k", "__got"), F.col("__key") == F.col("__k"))
+    texts = F.transform(F.col("__entities"), lambda m, i: replacement(m["kind"], m["value"], F.transform(F.filter(F.col("__got"), lambda g: g["i"] == i), lambda g: g["surrogate"])))
     whole = joined.withColumn("__new", texts)
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__entities", lambda m: m["end"]))
     between = F.transform(F.col("__entities"), lambda m, i: F.concat(text.substr((begins[i] + 1).cast("int"), (m["start"] - begins[i]).cast("int")), F.col("__new")[i]))
     rest = text.substr((F.element_at(begins, -1) + 1).cast("int"), F.char_length(text))
-    changed = whole.withColumn("__text", F.concat(F.array_join(between, ""), rest)).drop("k", "got", "__new", "__key")
+    changed = whole.withColumn("__text", F.concat(F.array_join(between, ""), rest)).drop("__k", "__got", "__new", "__key")
     return clean.unionByName(changed)
 
 
