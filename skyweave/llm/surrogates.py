@@ -51,7 +51,7 @@ GIVEN = {
     "f": "Maria Anna Emma Sophie Laura Julia Elena Carmen Lucia Isabel Alice Charlotte Camille Claire Helen Susan Linda Mary Patricia Jennifer Elizabeth Sarah Katharina Monika Ursula Анна Мария Елена Ольга Ελένη".split(),
     "m": "John James Robert Michael William David Richard Thomas Peter Paul Hans Jürgen Klaus Wolfgang Pierre Jean Michel François Juan Carlos José Antonio Miguel Andrew George Charles Иван Пётр Сергей Алексей Γιώργος".split(),
 }
-_CAPITAL = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
+_CAPITAL = r"(?:\p{Lu}\p{Ll}+|\p{Lu}{2,})(?:[-'’](?:\p{Lu}\p{Ll}+|\p{Lu}{2,}))?"
 _TITLED = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {_CAPITAL}(?: {_CAPITAL})?(?![\p{{L}}])"
 _GIVEN = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {_CAPITAL}(?![\p{{L}}])"
 PATTERNS["name"] = rf"{_TITLED}|{_GIVEN}"
