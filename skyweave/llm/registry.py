@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op5_secret_scan": secrets.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": near_dedup.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op5_secret_scan": secrets.OP5_SQL}
