@@ -255,3 +255,77 @@ def density_fit(spark, sf_dir):
     return spark.createDataFrame([tuple(float(found[k]) for k in ("nc", "nfa", "nfb"))], "nc double, nfa double, nfb double")
 
 
+
+
+# Simulations ------------------------------------------------------------------------------
+
+
+@query()
+def bessel(spark, sf_dir):
+    """J0 and J1 on a grid."""
+    import numpy as np
+
+    from ..functions.bessel import j0, j1
+
+    x = np.linspace(0, 100, 1001)
+    return spark.createDataFrame(list(zip(x.tolist(), j0(x).tolist(), j1(x).tolist(), strict=True)), "x double, j0 double, j1 double")
+
+
+@query()
+def hankel(spark, sf_dir):
+    """CDF of a normal distribution by its transform, beside the closed form."""
+    import numpy as np
+
+    from ..functions.bessel import cdf, gaussian
+
+    rho = (np.arange(4000) + 0.5) * 0.0025
+    r = np.linspace(0.05, 2, 40)
+    got = cdf(gaussian(rho, 0.583), rho, np.full(4000, 0.0025), r)
+    return spark.createDataFrame(list(zip(r.tolist(), got.tolist(), (1 - np.exp(-(r**2) / (2 * 0.583**2))).tolist(), strict=True)), "r double, cdf double, closed double")
+
+
+@query()
+def perturb_auf(spark, sf_dir):
+    """Offsets by blends for the cells of density and magnitude that the catalogue occupies."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators.auf import Blends, perturbation_aufs
+
+    mags = np.arange(10, 20, 0.1)
+    model = pd.DataFrame({"mag": mags, "density": 10 ** (0.3 * mags - 1), "width": 0.1})
+    found = stats.cells(cat_a(spark, sf_dir), F.log(100 + F.col("id") % 900), F.col("mag2"))
+    cells_ = found.select((F.col("x") * 1000 + F.col("y")).alias("nm"), (F.exp(F.col("x") * 0.2) / 300).alias("scale"), (F.col("y") * 0.25).alias("mag"))
+    return perturbation_aufs(cells_, model, Blends(fwhm=6.1))
+
+
+@query()
+def astro_fit(spark, sf_dir):
+    """Corrections of the quoted uncertainty from the separations of mutual neighbours."""
+    from ..operators.astrometry import corrections
+    from ..operators.spatial import mutual_nn
+
+    a, b = cat_a(spark, sf_dir), cat_b(spark, sf_dir)
+    near = mutual_nn(a, b, 3.0 / 3600).join(b.select(F.col("id").alias("b"), F.floor("mag2").alias("slice"), "sig"), "b").withColumn("pt", F.lit(0))
+    return corrections(near, 1e-3, ["pt"])
+
+
+@query()
+def sim_pm(spark, sf_dir):
+    """Simulated proper motions of each source in each component of the Galaxy."""
+    from ..operators.population import simulated_motions
+
+    return simulated_motions(cat_a(spark, sf_dir).select("id", F.col("lon").alias("l"), (F.col("lat") * 100).alias("b"), (1.0 + F.col("id") % 9).alias("dist")))
+
+
+@query()
+def galaxy_counts(spark, sf_dir):
+    """Counts of two kinds of galaxies by magnitude, with given k-corrections."""
+    import numpy as np
+
+    from ..operators import population
+
+    mags, edges = np.arange(14, 24, 0.25), np.linspace(0.001, 2, 41)
+    k = {"blue": 0.5 * edges[1:], "red": 1.5 * edges[1:]}
+    got = population.galaxy_counts(mags, edges, k, {"blue": (0.0094, -20.7, -0.7, 0.5, 0.9), "red": (0.0110, -20.3, -0.5, -1.6, 1.8)})
+    return spark.createDataFrame(list(zip(mags.tolist(), got.tolist(), strict=True)), "mag double, density double")
