@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import islands as isl
 from ..operators import pairing
+from ..operators import photometry as phot
 from .storage import written
 
 #: Keeps priors and likelihoods from vanishing.
@@ -30,7 +31,7 @@ class CrossMatch:
     most: float = 0.999
     area: float | None = None
     bands: tuple[str, ...] = ("mag1", "mag2")
-    keys: tuple[str, ...] = field(default=())
+    keys: tuple[str, ...] = ()
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -57,29 +58,35 @@ class CrossMatch:
     def too_large(self) -> DataFrame:
         return self.all_members.join(self.sizes.where("not keep").select(*self.keys, "island"), [*self.keys, "island"], "left_semi")
 
+    @cached_property
+    def field(self) -> DataFrame:
+        """(keys, area, na, nb): the field's area, and detected sources a square degree in each band of either side; a row for each chunk."""
+        box = lambda cat, which: cat.groupBy(*self.keys).agg(*(f(c).alias(f"{which}_{n}_{c}") for c in ("lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))), F.array(*(F.count(m).cast("double") for m in self.bands)).alias(f"{which}_n"))
+        both = box(self.a, "a").join(box(self.b, "b"), list(self.keys)) if self.keys else box(self.a, "a").crossJoin(box(self.b, "b"))  # one row each
+        span = lambda c: F.greatest(f"a_hi_{c}", f"b_hi_{c}") - F.least(f"a_lo_{c}", f"b_lo_{c}")
+        both = both.withColumn("area", F.lit(float(self.area)) if self.area else span("lon") * span("lat"))
+        return both.select(*self.keys, "area", *(F.transform(f"{w}_n", lambda n: n / F.col("area")).alias(f"n{w}") for w in ("a", "b")))
+
     @cached_property
     def field_area(self) -> float:
-        if self.area:
-            return self.area
-        both = self.a.select("lon", "lat").unionByName(self.b.select("lon", "lat"))
-        r = both.agg(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).head()
-        return r[0] * r[1]
+        return self.field.agg(F.sum("area")).head()[0]
 
     @cached_property
     def densities(self) -> tuple[list[float], list[float]]:
-        """Detected sources a square degree in each band of either side: a few numbers."""
-        return tuple([n / self.field_area for n in cat.agg(*(F.count(m) for m in self.bands)).head()] for cat in (self.a, self.b))
+        r = self.field.head()
+        return r.na, r.nb
 
     def sources(self) -> tuple[DataFrame, DataFrame]:
         """Both sides with their priors and likelihoods where photometry is not used."""
-        na, nb = self.densities
-        c = lambda i, j: min(na[i], nb[j]) / 2
-        by = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("best") + 1)
+        field = F.broadcast(written(self.field, "field"))  # a row for each chunk
+        with_field = lambda cat: cat.join(field, list(self.keys)) if self.keys else cat.crossJoin(field)
+        counterpart = lambda x, y: F.least(x, y) / 2
+        own = lambda n: F.element_at(n, F.col("best") + 1)
         like = F.lit(1 - 1e-10 + TINY_F)
-        a = self.a.withColumn("n", by([na[i] - c(i, 0) + TINY_F for i in range(len(na))])).withColumn("f", like).withColumn("slot", F.col("best"))
-        b = self.b.withColumn("n", by([nb[j] - c(0, j) + TINY_F for j in range(len(nb))])).withColumn("f", like)
-        nc = F.array(*(by([c(i, j) + TINY_C for j in range(len(nb))]) for i in range(len(na))))
-        return a, b.withColumn("nc", nc).withColumn("c", F.array_repeat(F.lit((1 - 1e-10) ** 2 + TINY_C), len(na)))
+        a = with_field(self.a).withColumn("n", own(F.col("na")) - counterpart(own(F.col("na")), F.col("nb")[0]) + TINY_F).withColumn("f", like).withColumn("slot", F.col("best"))
+        b = with_field(self.b).withColumn("n", own(F.col("nb")) - counterpart(own(F.col("nb")), F.col("na")[0]) + TINY_F).withColumn("f", like)
+        b = b.withColumn("nc", F.transform("na", lambda n: counterpart(n, own(F.col("nb"))) + TINY_C))
+        return a, b.withColumn("c", F.array_repeat(F.lit((1 - 1e-10) ** 2 + TINY_C), len(self.bands)))
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -100,6 +107,40 @@ class CrossMatch:
         return pairing.nonmatch_table(self.members, self.grid, *self.decided, self.keys)
 
 
+@dataclass
+class PhotometricMatch(CrossMatch):
+    """The match with magnitudes: densities, field and counterpart likelihoods by bin, from the catalogues themselves.
+
+    Sources without a magnitude in their best band have no bin; they are ``unbinned``.
+    """
+
+    def __post_init__(self):
+        mag = F.element_at(F.array(*self.bands), F.col("best") + 1)
+        self.unbinned = self.a.where(mag.isNull()).select(F.lit("a").alias("side"), "id").unionByName(self.b.where(mag.isNull()).select(F.lit("b").alias("side"), "id")).withColumn("reason", F.lit("no bin"))
+        self.a, self.b = self.a.where(mag.isNotNull()), self.b.where(mag.isNotNull())
+
+    @cached_property
+    def likelihoods(self) -> dict[tuple[int, int], tuple]:
+        areas = {f"{side}{round(f * 100)}": written(isl.integral_area(cat, self.pairs, side, f, self.keys), "areas") for side, cat in (("a", self.a), ("b", self.b)) for f in (0.63, 0.9)}
+        return {(i, j): phot.likelihoods(self.a, self.b, x, y, self.pairs, areas, self.field_area) for i, x in enumerate(self.bands) for j, y in enumerate(self.bands)}
+
+    def sources(self) -> tuple[DataFrame, DataFrame]:
+        spark, found, n = self.a.sparkSession, self.likelihoods, len(self.bands)
+        bins_a, bins_b = [found[i, 0][1]["bins_a"] for i in range(n)], [found[0, j][1]["bins_b"] for j in range(n)]
+        slots = [(i, k) for i in range(n) for k in range(len(bins_a[i]))]
+        tables = {ij: t[0].set_index(["abin", "bbin"])["c"] for ij, t in found.items()}
+        a_rows = [(i, float(r.lo), float(r.hi), found[i, 0][1]["nfa"] + TINY_F, float(found[i, 0][1]["fa"][k]) + TINY_F, slots.index((i, k))) for i in range(n) for k, r in enumerate(bins_a[i].itertuples())]
+        b_rows = [
+            (j, float(r.lo), float(r.hi), found[0, j][1]["nfb"] + TINY_F, float(found[0, j][1]["fb"][k]) + TINY_F, [found[i, j][1]["nc"] + TINY_C for i, _ in slots], [float(tables[i, j][m, k]) + TINY_C for i, m in slots])
+            for j in range(n) for k, r in enumerate(bins_b[j].itertuples())
+        ]
+        mag = F.element_at(F.array(*self.bands), F.col("best") + 1)
+        inside = lambda t: (F.col("best") == t["band"]) & (mag >= t["lo"]) & (mag < t["hi"])
+        ta = spark.createDataFrame(a_rows, "band int, lo double, hi double, n double, f double, slot int")  # a row for each bin
+        tb = spark.createDataFrame(b_rows, "band int, lo double, hi double, n double, f double, nc array<double>, c array<double>")
+        return self.a.join(F.broadcast(ta), inside(ta)).drop("band", "lo", "hi"), self.b.join(F.broadcast(tb), inside(tb)).drop("band", "lo", "hi")
+
+
 def core_matches(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """Matches of which at least one side is in the core of its chunk."""
     both = matches.join(a.select(F.col("id").alias("a"), F.col("halo").alias("a_halo")), "a").join(b.select(F.col("id").alias("b"), F.col("halo").alias("b_halo")), "b")

@@ -257,6 +257,16 @@ def density_fit(spark, sf_dir):
 
 
 
+@query()
+def phot_match(spark, sf_dir):
+    """Matches with magnitudes as well as positions."""
+    from .match import PhotometricMatch
+    from .queries import MOST, RADIUS
+
+    m = PhotometricMatch(cat_a(spark, sf_dir), cat_b(spark, sf_dir), RADIUS, MOST)
+    return m.matches.select("a", "b", r6("match_p", "match_p"), r6("sep", "separation"), r6("eta", "eta"), r6("xi", "xi"))
+
+
 # Simulations ------------------------------------------------------------------------------
 
 
