@@ -94,3 +94,11 @@ def corrections(matches: DataFrame, density: float, by: list[str], r_max: float
         return pd.DataFrame([{**{b: part[b].iloc[0] for b in by}, "m": m, "n": n, "slices": len(used)}])
 
     return counts.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {types[b]}" for b in by) + ", m double, n double, slices int")
+
+
+def fit_table(counts: np.ndarray, edges: np.ndarray, sigma: float, density: float) -> pd.DataFrame:
+    """(r, data, model): cumulative shares of separations and of the best mixture, to judge a fit by."""
+    chance, match = separation_models(edges, sigma, density)
+    share = slice_likelihood(counts, edges, sigma, density)[1]
+    model = (share * chance + (1 - share) * match) * np.diff(edges)
+    return pd.DataFrame({"r": edges[1:], "data": np.cumsum(counts) / max(1, counts.sum()), "model": np.cumsum(model)})

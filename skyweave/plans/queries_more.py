@@ -339,3 +339,13 @@ def galaxy_counts(spark, sf_dir):
     k = {"blue": 0.5 * edges[1:], "red": 1.5 * edges[1:]}
     got = population.galaxy_counts(mags, edges, k, {"blue": (0.0094, -20.7, -0.7, 0.5, 0.9), "red": (0.0110, -20.3, -0.5, -1.6, 1.8)})
     return spark.createDataFrame(list(zip(mags.tolist(), got.tolist(), strict=True)), "mag double, density double")
+
+
+@query()
+def psf_shifts(spark, sf_dir):
+    """Polynomials of the shift of fitted centres by blends, for a range of fluxes."""
+    import numpy as np
+
+    from ..operators.psf import shift_grid, shift_polynomials
+
+    return shift_polynomials(shift_grid(spark, np.linspace(0.02, 0.95, 48), np.linspace(0, 6, 241)))

@@ -28,3 +28,9 @@ def merged_counts(bright: DataFrame, bright_area: float, faint: DataFrame, faint
     weight = 1 / (F.col("error") * F.col("error"))
     out = both.groupBy("bin").agg(F.sum(F.col("density") * weight).alias("top"), F.sum(weight).alias("weight"))
     return out.select("bin", (F.col("top") / F.col("weight")).alias("density"), F.sqrt(1 / F.col("weight")).alias("error"))
+
+
+def count_cube(sims: DataFrame, areas: DataFrame, step: float) -> DataFrame:
+    """(pt, filt, bin, density, mag_left, width) from simulated sources (pt, filt, mag) and the areas (pt, area) of their fields."""
+    counts = sims.groupBy("pt", "filt", F.floor(F.col("mag") / step + 1e-9).alias("bin")).agg(F.count("*").alias("n"))
+    return counts.join(areas, "pt").select("pt", "filt", "bin", (F.col("n") / (F.col("area") * step)).alias("density"), (F.col("bin") * step).alias("mag_left"), F.lit(step).alias("width"))

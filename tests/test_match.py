@@ -180,3 +180,33 @@ def test_planted_uncertainty_correction(spark):
     df = spark.createDataFrame(rows, "pt int, slice int, sig double, sep double")
     got = corrections(df, 1e-4, ["pt"], r_max=2.0, bins=80).head()
     assert got.m == pytest.approx(2, rel=0.08) and got.n < 0.05 and got.slices == 4
+
+
+def test_generated_catalogues_match(spark):
+    from skyweave.sources.generated import catalogues
+
+    for shape in ("rectangle", "circle"):
+        a, b = (c.withColumns({f"mag{i + 1}": F.get("mags", F.lit(i)) for i in range(4)}) for c in catalogues(spark, 40, 50, 35, (130.5, 131.5, -0.5, 0.5), 0.1, 0.1, shape=shape, seed=9999))
+        m = CrossMatch(a, b, 2.0, 0.999, area=1.0, bands=("mag1", "mag2", "mag3", "mag4"))
+        assert {(r.a, r.b) for r in m.matches.collect()} >= {(i, i) for i in range(34)}
+
+
+def test_shift_of_blended_profiles():
+    from skyweave.operators.psf import fitted_polynomial, shift
+
+    r = np.linspace(0.01, 6, 200)
+    assert np.allclose(shift(0.001, r), 0.001 * r * np.exp(-(r**2) / 4), atol=2e-5)
+    assert np.allclose(shift(0.5, 0.01), 0.5 * 0.01 / 1.5, rtol=1e-3) and shift(0.5, 6.0) < 0.01
+    assert len(fitted_polynomial(r, 1 + 2 * r**3, 1e-3)) == 5
+
+
+def test_interior_points_and_fit_table():
+    from skyweave.operators.astrometry import fit_table
+    from skyweave.operators.regions import interior_points
+
+    points = interior_points([(0, 0), (2, 0), (1, 3)])
+    assert len(points) >= 30 and all(0 < y < 3 * min(x, 2 - x) for x, y in points)
+    edges = np.linspace(0, 2, 61)
+    counts = np.histogram(np.random.default_rng(1).rayleigh(0.3, 5000), edges)[0]
+    table = fit_table(counts, edges, 0.3, 1e-4)
+    assert (table["data"] - table["model"]).abs().max() < 0.03
