@@ -14,21 +14,34 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return inside.groupBy(F.floor((F.col(value) - low) / ((high - low) / bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def weighted_quantiles(df: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+def weighted_quantiles(df: DataFrame, shares: tuple[float, ...], ranges: int = 256) -> DataFrame:
     """(q, v) from (v, w, id), interpolated between the middles of the weights.
 
-    Equal values are added up before they are put in order, so the ordered part has a row
-    for each distinct value.
+    Rows are added up by value first, keeping the weights of each value's first and last row,
+    so a value that many rows share is one row. Values are then cut into ranges of about
+    equal size, whose sums are a few rows; only within a range are values put in order.
     """
-    each = df.groupBy("v", "id").agg(F.sum("w").alias("w"))
-    total = each.agg(F.sum("w").alias("total"))
-    ordered = Window.partitionBy(F.lit(0)).orderBy("v", "id")
-    placed = each.join(F.broadcast(total)).withColumn("p", (F.sum("w").over(ordered) - F.col("w") / 2) / F.col("total"))
-    by_p = Window.partitionBy(F.lit(0)).orderBy("p")
-    placed = placed.select("v", "p", F.lead("v").over(by_p).alias("nv"), F.lead("p").over(by_p).alias("np"), F.lag("p").over(by_p).isNull().alias("first"))
-    asked = placed.withColumn("q", F.explode(F.array(*map(F.lit, shares))))
-    hit = asked.where(((F.col("p") <= F.col("q")) & (F.col("np").isNull() | (F.col("np") > F.col("q")))) | (F.col("first") & (F.col("q") <= F.col("p"))))
-    value = F.when((F.col("q") <= F.col("p")) | F.col("nv").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("q") - F.col("p")) / (F.col("np") - F.col("p")) * (F.col("nv") - F.col("v")))
+    each = df.groupBy("v").agg(F.sum("w").alias("w"), F.min_by("w", "id").alias("first"), F.max_by("w", "id").alias("last"))
+    cuts = each.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10_000)).head()[0]
+    if not cuts:
+        return df.sparkSession.createDataFrame([], "q double, v double")
+    edges = F.array(*map(F.lit, sorted(set(cuts))))
+    placed = each.withColumn("range", F.size(F.filter(edges, lambda e: e < F.col("v"))))
+    sums = placed.groupBy("range").agg(F.sum("w").alias("w"), F.min(F.struct("v", "first")).alias("head")).orderBy("range").collect()  # a row for each range
+    total, before, rows = sum(r.w for r in sums), 0.0, []
+    for r, nxt in zip(sums, [*sums[1:], None], strict=True):
+        after = before + r.w
+        rows.append((r["range"], before, *((nxt["head"].v, (after + nxt["head"].first / 2) / total) if nxt else (None, None))))
+        before = after
+    offsets = df.sparkSession.createDataFrame(rows, "range int, before double, next_v double, next_p double")
+    ordered = Window.partitionBy("range").orderBy("v")
+    inside = placed.join(F.broadcast(offsets), "range").withColumn("done", F.col("before") + F.sum("w").over(ordered) - F.col("w"))
+    inside = inside.withColumn("p", (F.col("done") + F.col("first") / 2) / total).withColumn("p_end", (F.col("done") + F.col("w") - F.col("last") / 2) / total)
+    inside = inside.withColumn("nv", F.coalesce(F.lead("v").over(ordered), "next_v")).withColumn("np", F.coalesce(F.lead("p").over(ordered), "next_p"))
+    asked = inside.withColumn("q", F.explode(F.array(*map(F.lit, shares))))
+    here = (F.col("p") <= F.col("q")) & (F.col("np").isNull() | (F.col("np") > F.col("q")))
+    hit = asked.where(here | ((F.col("done") == 0) & (F.col("q") < F.col("p"))))
+    value = F.when((F.col("q") <= F.col("p_end")) | F.col("nv").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("q") - F.col("p_end")) / (F.col("np") - F.col("p_end")) * (F.col("nv") - F.col("v")))
     return hit.groupBy("q").agg(F.min(value).alias("v"))
 
 
