@@ -129,7 +129,10 @@ def is_apart(e: Element, in_article: bool) -> bool:
         return e.tag == "article" and bool(words & NOT_ARTICLE) and not words & {"post", "entry", "story"}
     if e.tag in HEADINGS or e.tag not in BLOCKS and e.tag not in ("span", "a", "ins", "td", "th"):
         return bool(words & {"ad", "ads", "hidden", "comments", "share"})
-    return bool(words & APART) and not words & {"article", "story"}
+    marked = words & APART
+    if in_article and marked == {"header"}:
+        return False  # a title's own box
+    return bool(marked) and not words & {"article", "story"}
 
 
 def pruned(e: Element, in_article: bool = False) -> None:
@@ -251,8 +254,8 @@ def main_text(html: str | None) -> str:
     out = []
     for part in chosen(tree.root):
         for owner, text in blocks(part):
-            if owner.tag in ("ul", "ol", "li", "div", "section") and owner.chars and density(owner) > 0.6:
-                continue  # lists of links
+            if part.tag not in ("article", "main") and owner.tag in ("ul", "ol", "li", "div", "section") and density(owner) > 0.6:
+                continue  # lists of links, where nothing says that they belong to the article
             out.append(text)
     return "\n".join(out)
 

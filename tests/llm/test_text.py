@@ -23,7 +23,7 @@ def test_main_text():
         (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<article><p>x</article><article class='comment'><p>y, z, w, and, so, on</article>", "x"),
         ("<div><section><p>One, two, three, four, five and more text.</p></section><section><p>Ok.</p></section></div>", "One, two, three, four, five and more text.\nOk."),
         ("<main><h1>H</h1><p>t</main><footer>f", "H\nt"), ("<p>&lt;b&gt; &#233; &eacute;", "<b> é é"), ("<!-- <p>x</p> --><p>y", "y"), ("<p>cut <b", "cut"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\nc"),
-        ("</p></div>x", "x"), ("<div hidden>no</div><p>yes", "yes"), ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<article><div class='post-header'><h1>H</h1></div><p>t<ul><li><a href=x>see</a></ul></article>", "H\nt\nsee"), ("</p></div>x", "x"), ("<div hidden>no</div><p>yes", "yes"), ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],
 )
 def test_shapes(page, text):
