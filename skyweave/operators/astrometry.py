@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bessel import gaussian, hankel
 from ..functions.optimise import minimised
+from ..functions.sky import rescaled_sigma
+from .spatial import nearest_point
 
 SHARES = np.linspace(0, 1, 101)
 
@@ -102,3 +104,10 @@ def fit_table(counts: np.ndarray, edges: np.ndarray, sigma: float, density: floa
     share = slice_likelihood(counts, edges, sigma, density)[1]
     model = (share * chance + (1 - share) * match) * np.diff(edges)
     return pd.DataFrame({"r": edges[1:], "data": np.cumsum(counts) / max(1, counts.sum()), "model": np.cumsum(model)})
+
+
+def corrected(cat: DataFrame, table: list[tuple[float, float, float, float]]) -> DataFrame:
+    """``cat`` with uncertainties corrected by the terms (lon, lat, m, n) of the nearest of a few sightlines."""
+    near = nearest_point(cat, [(i, lon, lat) for i, (lon, lat, _, _) in enumerate(table)])
+    term = lambda k: F.element_at(F.array(*(F.lit(float(row[k])) for row in table)), F.col("pt") + 1)
+    return near.withColumn("sig", rescaled_sigma("sig", term(2), term(3))).select(*cat.columns)

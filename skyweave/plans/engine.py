@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sky import apply_pm
+from ..operators.astrometry import corrected
 from ..sources.catalog import read_csv, write_output
 from ..sources.config import Settings, SideSettings
-from .match import CrossMatch
+from .match import CrossMatch, PhotometricMatch
 
 
 def done_chunks(spark: SparkSession, folder: str) -> set:
@@ -35,33 +36,53 @@ def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
 
 
 class Engine:
-    """All chunks of a match in one plan."""
+    """All chunks of a match in one plan; with photometry, whose fits are a chunk's own, a plan for each chunk.
 
-    def __init__(self, spark: SparkSession, settings: Settings):
-        self.spark, self.settings = spark, settings
+    ``corrections`` are terms (lon, lat, m, n) by side, "a" or "b", for sides whose settings ask for them.
+    """
 
-    def match(self, chunks: tuple) -> CrossMatch:
+    def __init__(self, spark: SparkSession, settings: Settings, corrections: dict[str, list[tuple[float, float, float, float]]] | None = None):
+        self.spark, self.settings, self.corrections = spark, settings, corrections or {}
+
+    def catalogue(self, which: str, chunks: tuple, bands: tuple[str, ...]) -> DataFrame:
+        side = getattr(self.settings, which)
+        cat = scan(self.spark, side, chunks)
+        if side.correct:
+            if which not in self.corrections:
+                raise ValueError(f"the settings of side {which} ask for corrections, and none are given")
+            cat = corrected(cat, self.corrections[which])
+        return cat.withColumns({m: F.lit(None).cast("double") for m in bands if m not in cat.columns})
+
+    def match(self, chunks: tuple, kind: type[CrossMatch] = CrossMatch, **more) -> CrossMatch:
         s = self.settings
-        a, b = scan(self.spark, s.a, chunks), scan(self.spark, s.b, chunks)
         bands = tuple(f"mag{i + 1}" for i in range(max(len(s.a.filters), len(s.b.filters))))
-        fill = lambda cat: cat.withColumns({m: F.lit(None).cast("double") for m in bands if m not in cat.columns})
-        return CrossMatch(fill(a), fill(b), s.radius, s.fractions[2], bands=bands, keys=("chunk_id",))
+        return kind(self.catalogue("a", chunks, bands), self.catalogue("b", chunks, bands), s.radius, s.fractions[2], bands=bands, keys=("chunk_id",), edge_keys=("chunk_id",) if s.edges else (), **more)
 
     def run(self) -> dict[str, str]:
-        """Writes matches, nonmatches and rejects by chunk; gives their folders."""
+        """Writes matches, nonmatches and rejects by chunk; gives their folders. With photometry, matches by position alone too."""
         s = self.settings
         todo = tuple(c for c in s.chunks if str(c) not in done_chunks(self.spark, s.output))
         out = {name: f"{s.output}/{name}" for name in ("matches", "nonmatches", "rejects")}
-        if not todo:
-            return out
-        m = self.match(todo)
+        if s.photometry or s.priors:
+            out |= {f"{name}_without_photometry": f"{s.output}/{name}_without_photometry" for name in ("matches", "nonmatches")}
+            for chunk in todo:
+                self._write(self.match((chunk,)), out, "_without_photometry")
+                self._write(self.match((chunk,), PhotometricMatch, use_likelihood=s.photometry), out, "")
+        elif todo:
+            self._write(self.match(todo), out, "")
+        return out
+
+    def _write(self, m: CrossMatch, out: dict[str, str], kind: str) -> None:
         tag = lambda cat, which: cat.select("chunk_id", F.col("id").alias(which), F.col("halo").alias(f"{which}_halo"))
         matches = m.matches.join(tag(m.a, "a"), ["chunk_id", "a"]).join(tag(m.b, "b"), ["chunk_id", "b"]).where(~F.col("a_halo") | ~F.col("b_halo")).drop("a_halo", "b_halo")
         halo = m.a.select("chunk_id", F.lit("a").alias("side"), "id", "halo").unionByName(m.b.select("chunk_id", F.lit("b").alias("side"), "id", "halo"))
         rest = m.nonmatches.join(halo, ["chunk_id", "side", "id"])
-        rejects = rest.where("halo").select("chunk_id", "side", "id", F.lit("halo").alias("reason")).unionByName(m.too_large.select("chunk_id", "side", "id", F.lit("island size").alias("reason")))
-        form = "csv" if s.csv else "parquet"
-        write_output(rejects, out["rejects"], form, ("chunk_id",))
-        write_output(rest.where("not halo").drop("halo"), out["nonmatches"], form, ("chunk_id",))
-        write_output(matches, out["matches"], form, ("chunk_id",))  # last: a chunk counts as done by it
-        return out
+        form = "csv" if self.settings.csv else "parquet"
+        if not kind:
+            why = [(rest.where("halo"), "halo"), (m.too_large, "island size")] + ([(m.at_edge, "edge")] if m.edge_keys else [])
+            rejects = reduce(DataFrame.unionByName, [df.select("chunk_id", "side", "id", F.lit(reason).alias("reason")) for df, reason in why])
+            if isinstance(m, PhotometricMatch):
+                rejects = rejects.unionByName(m.unbinned.select("chunk_id", "side", "id", "reason"))
+            write_output(rejects, out["rejects"], form, ("chunk_id",))
+        write_output(rest.where("not halo").drop("halo"), out[f"nonmatches{kind}"], form, ("chunk_id",))
+        write_output(matches, out[f"matches{kind}"], form, ("chunk_id",))  # last: a chunk counts as done by it

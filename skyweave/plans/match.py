@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import islands as isl
 from ..operators import pairing
 from ..operators import photometry as phot
+from ..operators import regions
 from .storage import written
 
 #: Keeps priors and likelihoods from vanishing.
@@ -32,6 +33,8 @@ class CrossMatch:
     area: float | None = None
     bands: tuple[str, ...] = ("mag1", "mag2")
     keys: tuple[str, ...] = ()
+    #: Columns of chunks at whose edges islands are rejected; none are where it is empty.
+    edge_keys: tuple[str, ...] = ()
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -51,8 +54,15 @@ class CrossMatch:
 
     @cached_property
     def members(self) -> DataFrame:
-        """Members of islands that are small enough."""
-        return self.all_members.join(self.sizes.where("not keep").select(*self.keys, "island"), [*self.keys, "island"], "left_anti")
+        """Members of islands that are small enough and, if asked for, away from the edges."""
+        small = self.all_members.join(self.sizes.where("not keep").select(*self.keys, "island"), [*self.keys, "island"], "left_anti")
+        return small.join(self.at_edge.select(*self.keys, "island").distinct(), [*self.keys, "island"], "left_anti") if self.edge_keys else small
+
+    @cached_property
+    def at_edge(self) -> DataFrame:
+        """Members of islands with a source whose circle leaves its catalogue's region."""
+        near = [regions.near_edge(cat, self.radius, self.edge_keys).select(*self.keys, F.lit(side).alias("side"), "id") for side, cat in (("a", self.a), ("b", self.b))]
+        return written(isl.edge_reject(self.all_members, near[0].unionByName(near[1]), self.keys)[1], "edge")
 
     @cached_property
     def too_large(self) -> DataFrame:
@@ -111,12 +121,15 @@ class CrossMatch:
 class PhotometricMatch(CrossMatch):
     """The match with magnitudes: densities, field and counterpart likelihoods by bin, from the catalogues themselves.
 
-    Sources without a magnitude in their best band have no bin; they are ``unbinned``.
+    Sources without a magnitude in their best band have no bin; they are ``unbinned``. Without
+    ``use_likelihood`` only the densities come from photometry.
     """
 
+    use_likelihood: bool = True
+
     def __post_init__(self):
         mag = F.element_at(F.array(*self.bands), F.col("best") + 1)
-        self.unbinned = self.a.where(mag.isNull()).select(F.lit("a").alias("side"), "id").unionByName(self.b.where(mag.isNull()).select(F.lit("b").alias("side"), "id")).withColumn("reason", F.lit("no bin"))
+        self.unbinned = self.a.where(mag.isNull()).select(*self.keys, F.lit("a").alias("side"), "id").unionByName(self.b.where(mag.isNull()).select(*self.keys, F.lit("b").alias("side"), "id")).withColumn("reason", F.lit("no bin"))
         self.a, self.b = self.a.where(mag.isNotNull()), self.b.where(mag.isNotNull())
 
     @cached_property
@@ -129,9 +142,11 @@ class PhotometricMatch(CrossMatch):
         bins_a, bins_b = [found[i, 0][1]["bins_a"] for i in range(n)], [found[0, j][1]["bins_b"] for j in range(n)]
         slots = [(i, k) for i in range(n) for k in range(len(bins_a[i]))]
         tables = {ij: t[0].set_index(["abin", "bbin"])["c"] for ij, t in found.items()}
-        a_rows = [(i, float(r.lo), float(r.hi), found[i, 0][1]["nfa"] + TINY_F, float(found[i, 0][1]["fa"][k]) + TINY_F, slots.index((i, k))) for i in range(n) for k, r in enumerate(bins_a[i].itertuples())]
+        like = lambda x: (float(x) if self.use_likelihood else 1 - 1e-10) + TINY_F
+        pair = lambda x: (float(x) if self.use_likelihood else (1 - 1e-10) ** 2) + TINY_C
+        a_rows = [(i, float(r.lo), float(r.hi), found[i, 0][1]["nfa"] + TINY_F, like(found[i, 0][1]["fa"][k]), slots.index((i, k))) for i in range(n) for k, r in enumerate(bins_a[i].itertuples())]
         b_rows = [
-            (j, float(r.lo), float(r.hi), found[0, j][1]["nfb"] + TINY_F, float(found[0, j][1]["fb"][k]) + TINY_F, [found[i, j][1]["nc"] + TINY_C for i, _ in slots], [float(tables[i, j][m, k]) + TINY_C for i, m in slots])
+            (j, float(r.lo), float(r.hi), found[0, j][1]["nfb"] + TINY_F, like(found[0, j][1]["fb"][k]), [found[i, j][1]["nc"] + TINY_C for i, _ in slots], [pair(tables[i, j][m, k]) for i, m in slots])
             for j in range(n) for k, r in enumerate(bins_b[j].itertuples())
         ]
         mag = F.element_at(F.array(*self.bands), F.col("best") + 1)

@@ -47,6 +47,7 @@ class Settings:
     photometry: bool
     priors: bool
     regions: dict
+    edges: bool
     a: SideSettings
     b: SideSettings
 
@@ -131,4 +132,4 @@ def settings(joint: dict, a: dict, b: dict) -> Settings:
     if joint["include_perturb_auf"] not in (True, False):
         raise ValueError("include_perturb_auf should be true or false")
     regions = dict(zip(joint["chunk_id_list"], joint["cf_region_points_per_chunk"], strict=True))
-    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, *sides)
+    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides)

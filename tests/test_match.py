@@ -115,6 +115,24 @@ def test_engine_writes_resumes_and_drops_halo(spark, tmp_path):
     assert stamp == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
 
 
+def test_engine_with_corrections_edges_and_photometry(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    for name, rows in zip("ab", planted(131, 700, 800, 600), strict=True):
+        (tmp_path / f"{name}_1.csv").write_text("".join(f"{i},{float(x)!r},{float(y)!r},0.15,{10 + i % 50 / 10 + rng.normal(0, 0.05)},,{0 if i else 1},0\n" for i, x, y in rows))
+    joint, a, b = settings_of(tmp_path, (1,))
+    joint |= {"include_phot_like": True, "use_phot_priors": True, "reject_edges": True}
+    a["correct_astrometry"] = True
+    with pytest.raises(ValueError, match="corrections"):
+        Engine(spark, config.settings(joint, a, b)).run()
+    out = Engine(spark, config.settings(joint, a, b), {"a": [(131.0, 0.0, 2.0, 0.0), (10.0, 0.0, 9.0, 0.0)]}).run()
+    got = spark.read.parquet(out["matches"])
+    pairs = {(r.a, r.b) for r in got.collect()}
+    assert len(pairs & {(i, i) for i in range(600)}) > 560 and len(pairs) < 620
+    reasons = {r.reason: r.n for r in spark.read.parquet(out["rejects"]).groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    assert reasons["no bin"] == 2 and reasons["edge"] > 5
+    assert spark.read.parquet(out["matches_without_photometry"]).count() > 560
+
+
 @pytest.mark.parametrize(
     ("where", "key", "value", "message"),
     [(0, "pos_corr_dist", "x", "number"), (0, "pos_corr_dist", -1, "above zero"), (0, "int_fracs", [0.5], "three shares"), (0, "cf_region_frame", "galactic", "same"), (1, "mag_indices", [4], "length"), (1, "mag_indices", ["a", 1], "integers"), (1, "pos_and_err_indices", [1], "three places"), (2, "chunk_id_list", [1], "chunk_id_list"), (2, "cat_name", None, "missing"), (2, "apply_proper_motion", True, "pm_indices")],
