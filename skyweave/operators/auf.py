@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.bessel import hankel
+from ..functions.bessel import hankel, j0, j1
 
 
 @dataclass(frozen=True)
@@ -107,3 +109,49 @@ def perturbation_aufs(cells: DataFrame, model: pd.DataFrame, how: Blends, by: tu
         return pd.DataFrame(out)
 
     return cells.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in by) + ", " + AUF_SCHEMA)
+
+
+PAIR_SCHEMA = "cdf double, g double, contam_a array<double>, contam_b array<double>, flux_a double, flux_b double"
+
+
+def pair_terms(sep: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray, blends_a: np.ndarray, blends_b: np.ndarray, rho: np.ndarray, width: float) -> tuple[np.ndarray, ...]:
+    """CDF and densities of separations (arcseconds) with blends on both sides, the first, the second and neither.
+
+    Rows are pairs; the blends' transforms have a column for each rho.
+    """
+    both = np.exp(-2 * np.pi**2 * (sig_a**2 + sig_b**2)[:, None] * rho**2)
+    turn = 2 * np.pi * sep[:, None] * rho
+    bessel0 = 2 * np.pi * rho * width * j0(turn)
+    cdf = 2 * np.pi * sep * (j1(turn) * both * blends_a * blends_b * width).sum(axis=1)
+    return cdf, *((bessel0 * both * x).sum(axis=1) for x in (blends_a * blends_b, blends_a, blends_b, 1.0))
+
+
+def with_blends(pairs: DataFrame, aufs_a: DataFrame, aufs_b: DataFrame, how: Blends) -> DataFrame:
+    """``pairs`` (sep, sig_a, sig_b, nm_a, nm_b and others) with the columns of PAIR_SCHEMA.
+
+    ``aufs`` are what ``perturbation_aufs`` gives; they are joined by cell, and the integrals
+    are sums over a batch of pairs. A density below zero is numeric noise and becomes 1e-30.
+    """
+    named = lambda aufs, side: aufs.select(F.col("nm").alias(f"nm_{side}"), F.col("fourier").alias(f"__f{side}"), F.col("frac").alias(f"__p{side}"), F.col("flux").alias(f"flux_{side}"))
+    joined = pairs.join(named(aufs_a, "a"), "nm_a").join(named(aufs_b, "b"), "nm_b")
+    keep = [c for c in pairs.columns]
+    types = dict(pairs.dtypes)
+    rho = (np.arange(how.rho_bins) + 0.5) * how.rho_max / how.rho_bins
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in parts:
+            for at in range(0, len(whole), 2000):
+                part = whole.iloc[at : at + 2000].reset_index(drop=True)
+                fa, fb, pa, pb = (np.stack(part[c]) for c in ("__fa", "__fb", "__pa", "__pb"))
+                cdf, cc, cn, nc, nn = pair_terms(part["sep"].to_numpy(), part["sig_a"].to_numpy(), part["sig_b"].to_numpy(), fa, fb, rho, how.rho_max / how.rho_bins)
+                bad = cc < 0
+                cc, cn, nc, nn = (np.where(bad, 1e-30, x)[:, None] for x in (cc, cn, nc, nn))
+                total = pa * pb * cc + pa * (1 - pb) * cn + (1 - pa) * pb * nc + (1 - pa) * (1 - pb) * nn
+                share = lambda top, total=total: np.clip(top / total, 0, 1)
+                out = part[keep].copy()
+                out["cdf"], out["g"] = cdf, cc[:, 0] * 3600.0**2
+                out["contam_a"], out["contam_b"] = list(share(pa * pb * cc + pa * (1 - pb) * cn)), list(share(pa * pb * cc + (1 - pa) * pb * nc))
+                out["flux_a"], out["flux_b"] = part["flux_a"], part["flux_b"]
+                yield out
+
+    return joined.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", " + PAIR_SCHEMA)

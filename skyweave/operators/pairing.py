@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,20 +20,27 @@ from ..functions.sky import eta, haversine, pair_density, xi
 NULL_FLOOR = 1e-10
 
 
-def pair_grid(members: DataFrame, a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def pair_grid(members: DataFrame, a: DataFrame, b: DataFrame, keys: tuple[str, ...] = (), extra: tuple[str, ...] = (), density: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All pairs within each island: positions' separation and density, and the hypotheses' factors.
 
     Sources have id, lon, lat, sig, prior ``n`` and likelihood ``f``. The counterpart prior
     ``nc`` and likelihood ``c`` depend on both sources: they are arrays of the second side,
-    which the ``slot`` of the first side's source indexes from 0.
+    which the ``slot`` of the first side's source indexes from 0. ``density`` adds ``g`` to
+    pairs with sep, sig_a, sig_b and the columns ``extra`` of both sides, and may add others;
+    the closed form without blends is the default.
     """
     k = list(keys)
     side = lambda which, cat, extra: members.where(F.col("side") == which).join(cat, [*k, "id"]).select(*k, "island", *(F.col(c).alias(f"{which}_{c}") for c in ("id", "lon", "lat", "sig", "n", "f", *extra)))
-    grid = side("a", a, ("slot",)).join(side("b", b, ("nc", "c")), [*k, "island"])
+    grid = side("a", a, ("slot", *extra)).join(side("b", b, ("nc", "c", *extra)), [*k, "island"])
     grid = grid.withColumn("nc", F.element_at("b_nc", F.col("a_slot") + 1)).withColumn("c", F.element_at("b_c", F.col("a_slot") + 1)).drop("b_nc", "b_c")
-    grid = grid.withColumn("sep", haversine("a_lon", "b_lon", "a_lat", "b_lat") * 3600).withColumn("g", pair_density("sep", "a_sig", "b_sig"))
+    grid = grid.withColumn("sep", haversine("a_lon", "b_lon", "a_lat", "b_lat") * 3600)
+    both = [f"{w}_{c}" for c in ("sig", *extra) for w in ("a", "b")]
+    grid = grid.withColumnsRenamed({f"{w}_{c}": f"{c}_{w}" for w, c in (x.split("_", 1) for x in both)})
+    before = grid.columns
+    grid = density(grid) if density else grid.withColumn("g", pair_density("sep", "sig_a", "sig_b"))
+    more = [c for c in grid.columns if c not in before and c not in ("g", "cdf")]
     return grid.select(
-        *k, "island", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "sep", "g",
+        *k, *more, "island", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "sep", "g",
         (F.col("nc") * F.col("g") * F.col("c")).alias("cw"), (F.col("a_n") * F.col("a_f")).alias("fa"), (F.col("b_n") * F.col("b_f")).alias("fb"),
         eta("c", "a_f", "b_f").alias("eta"), xi("nc", "g", "a_n", "b_n").alias("xi"),
     )
@@ -97,7 +104,7 @@ def island_matches(grid: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ()
 def match_table(grid: DataFrame, matches: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, island, a, b, match_p, sep, eta, xi)."""
     k = [*keys, "island"]
-    return matches.join(grid.select(*k, "a", "b", "sep", "eta", "xi"), [*k, "a", "b"]).join(evidence, k).withColumnRenamed("p", "match_p")
+    return matches.join(grid.drop("g", "cw", "fa", "fb"), [*k, "a", "b"]).join(evidence, k).withColumnRenamed("p", "match_p")
 
 
 def nonmatch_table(members: DataFrame, grid: DataFrame, matches: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -12,6 +12,8 @@ from ..operators import islands as isl
 from ..operators import pairing
 from ..operators import photometry as phot
 from ..operators import regions
+from ..operators.auf import Blends, with_blends
+from ..operators.spatial import radius_join
 from .storage import written
 
 #: Keeps priors and likelihoods from vanishing.
@@ -101,7 +103,10 @@ class CrossMatch:
     @cached_property
     def grid(self) -> DataFrame:
         a, b = self.sources()
-        return written(pairing.pair_grid(self.members, a, b, self.keys), "grid")
+        return written(self.gridded(a, b), "grid")
+
+    def gridded(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return pairing.pair_grid(self.members, a, b, self.keys)
 
     @cached_property
     def decided(self) -> tuple[DataFrame, DataFrame]:
@@ -117,6 +122,28 @@ class CrossMatch:
         return pairing.nonmatch_table(self.members, self.grid, *self.decided, self.keys)
 
 
+@dataclass
+class BlendedMatch(CrossMatch):
+    """The match with simulated blends: catalogues have ``nm``, the cell of each source, and ``aufs`` the cells of each side."""
+
+    aufs_a: DataFrame | None = None
+    aufs_b: DataFrame | None = None
+    how: Blends | None = None
+
+    def blended(self, pairs: DataFrame) -> DataFrame:
+        return with_blends(pairs, self.aufs_a, self.aufs_b, self.how)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        cols = [*self.keys, "id", "lon", "lat", "sig", "nm"]
+        near = radius_join(self.a.select(cols), self.b.select(cols), self.radius / 3600, self.keys)
+        near = near.select(*self.keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), "sep", *(F.col(f"{w}_{c}").alias(f"{c}_{w}") for c in ("sig", "nm") for w in ("a", "b")))
+        return written(self.blended(near).where(F.col("cdf") < self.most), "pairs")
+
+    def gridded(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return pairing.pair_grid(self.members, a, b, self.keys, ("nm",), self.blended)
+
+
 @dataclass
 class PhotometricMatch(CrossMatch):
     """The match with magnitudes: densities, field and counterpart likelihoods by bin, from the catalogues themselves.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sky
@@ -11,6 +11,7 @@ from ..operators import islands as isl
 from ..operators import photometry as phot
 from ..operators import regions
 from ..operators import statistics as stats
+from ..operators.auf import Blends
 from ..sources import catalog
 from ..sources.fixtures import EDGE_SQL, cat_a, cat_b, with_sql
 from .queries import HULL, POINTS, pairs_of, query, r6
@@ -297,16 +298,40 @@ def hankel(spark, sf_dir):
 @query()
 def perturb_auf(spark, sf_dir):
     """Offsets by blends for the cells of density and magnitude that the catalogue occupies."""
+    return _aufs(cat_a(spark, sf_dir))[1]
+
+
+def _cell(n_key: Column, mag: Column) -> Column:
+    return F.floor(F.log(100 + n_key % 900) / 0.2) * 1000 + F.floor(mag / 0.25)
+
+
+def _aufs(cat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A catalogue with the cell of each source, and the simulated cells."""
     import numpy as np
     import pandas as pd
 
-    from ..operators.auf import Blends, perturbation_aufs
+    from ..operators.auf import perturbation_aufs
 
     mags = np.arange(10, 20, 0.1)
     model = pd.DataFrame({"mag": mags, "density": 10 ** (0.3 * mags - 1), "width": 0.1})
-    found = stats.cells(cat_a(spark, sf_dir), F.log(100 + F.col("id") % 900), F.col("mag2"))
-    cells_ = found.select((F.col("x") * 1000 + F.col("y")).alias("nm"), (F.exp(F.col("x") * 0.2) / 300).alias("scale"), (F.col("y") * 0.25).alias("mag"))
-    return perturbation_aufs(cells_, model, Blends(fwhm=6.1))
+    marked = cat.withColumn("nm", _cell(F.col("id"), F.col("mag2")))
+    cells_ = marked.select("nm").distinct().select("nm", (F.exp(F.floor(F.col("nm") / 1000) * 0.2) / 300).alias("scale"), (F.col("nm") % 1000 * 0.25).alias("mag"))
+    return marked, perturbation_aufs(cells_, model, _BLENDS)
+
+
+_BLENDS = Blends(fwhm=6.1)
+
+
+@query()
+def blended_match(spark, sf_dir):
+    """Matches with blends on both sides: posterior, and the chance that either source is contaminated by a tenth of its flux."""
+    from .match import BlendedMatch
+    from .queries import MOST, RADIUS
+    from .storage import written
+
+    (a, aufs_a), (b, aufs_b) = _aufs(cat_a(spark, sf_dir)), _aufs(cat_b(spark, sf_dir))
+    m = BlendedMatch(a, b, RADIUS, MOST, aufs_a=written(aufs_a, "aufs"), aufs_b=written(aufs_b, "aufs"), how=_BLENDS)
+    return m.matches.select("a", "b", "match_p", "sep", "xi", "flux_a", "flux_b", F.col("contam_a")[0].alias("p_contam_a"), F.col("contam_b")[0].alias("p_contam_b"))
 
 
 @query()

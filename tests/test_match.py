@@ -228,3 +228,16 @@ def test_interior_points_and_fit_table():
     counts = np.histogram(np.random.default_rng(1).rayleigh(0.3, 5000), edges)[0]
     table = fit_table(counts, edges, 0.3, 1e-4)
     assert (table["data"] - table["model"]).abs().max() < 0.03
+
+
+def test_pairs_with_blends_agree_with_the_closed_form(spark):
+    """Where no source is blended, transforms are one everywhere."""
+    from skyweave.operators.auf import with_blends
+
+    how = Blends(fwhm=1.0, rho_max=6.0, rho_bins=1200)
+    aufs = spark.createDataFrame([(1, [1.0] * 1200, [0.0, 0.0], 0.0), (2, [1.0] * 1200, [0.5, 0.9], 0.1)], "nm int, fourier array<double>, frac array<double>, flux double")
+    rows = spark.createDataFrame([(s / 10, 0.3, 0.5, 1, 1 + s % 2) for s in range(1, 15)], "sep double, sig_a double, sig_b double, nm_a int, nm_b int")
+    for r in with_blends(rows, aufs, aufs, how).collect():
+        assert r.cdf == pytest.approx(1 - math.exp(-(r.sep**2) / 0.68), abs=1e-3)
+        assert r.g == pytest.approx(math.exp(-(r.sep**2) / 0.68) / (math.pi * 0.68) * 3600**2, rel=1e-2)
+        assert r.contam_a == [0, 0] and r.contam_b == pytest.approx([0.5, 0.9] if r.nm_b == 2 else [0, 0])
