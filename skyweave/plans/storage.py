@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='skyweave-')}")
+    if "dir" not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="skyweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL["dir"] = f"file://{folder}"
+    return _LOCAL["dir"]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
