@@ -42,7 +42,7 @@ LONGS = PERMS // PER_LONG
 #: Estimates of this similarity or more are confirmed.
 SURE = 0.55
 #: Sizes of the blocks in which a bucket's members are compared.
-LEFT, RIGHT = 512, 2048
+LEFT, RIGHT = 256, 1024
 
 _SEEDS = mixed(np.arange(1, 2 * PERMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MULTIPLY = _SEEDS[:PERMS, None], _SEEDS[PERMS:, None] | np.uint64(1)
