@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
-        _LOCAL["dir"] = f"file://{tempfile.mkdtemp(prefix='skyweave-')}"
+        local = tempfile.mkdtemp(prefix="skyweave-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        _LOCAL["dir"] = f"file://{local}"
     return _LOCAL["dir"]
 
 
