@@ -45,6 +45,8 @@ APART = frozenset(
     "related recommended recommendations trending popular more teaser teasers breadcrumb breadcrumbs pagination pager pages toolbar tools comment comments commentlist respond reply replies discussion disqus feedback reviews "
     "copyright legal disclaimer skip hidden outbrain taboola byline-social jump tags taglist".split()
 )
+#: Beginnings of such words.
+APART_PREFIXES = ("share", "social", "sponsor", "advert", "cookie", "newsletter", "sidebar", "breadcrumb", "pagin", "navig", "footer", "subscri", "recommend")
 #: Of those, the words that also take out an article or main element.
 NOT_ARTICLE = frozenset("comment comments reply replies related recommended teaser teasers promo sponsored ad ads advert advertisement sidebar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
@@ -129,7 +131,7 @@ def is_apart(e: Element, in_article: bool) -> bool:
         return e.tag == "article" and bool(words & NOT_ARTICLE) and not words & {"post", "entry", "story"}
     if e.tag in HEADINGS or e.tag not in BLOCKS and e.tag not in ("span", "a", "ins", "td", "th"):
         return bool(words & {"ad", "ads", "hidden", "comments", "share"})
-    marked = words & APART
+    marked = words & APART | {w for w in words if w.startswith(APART_PREFIXES)}
     if in_article and marked == {"header"}:
         return False  # a title's own box
     return bool(marked) and not words & {"article", "story"}
