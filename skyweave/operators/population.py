@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from ..functions.optimise import minimised
 
 #: Dispersions (km/s) in radius, rotation and height, and lag behind the rotation, of the thin and thick discs and the halo; fixed values.
+#: Dispersions of the discs fall with the square root of their density, so with twice their scale length (kpc), and rise with height.
+FALL, RISE = {"thin": 2 * 2.6, "thick": 2 * 3.6}, 0.15
 COMPONENTS = {"thin": ((35.0, 25.0, 20.0), 0.0), "thick": ((65.0, 54.0, 38.0), 39.0), "halo": ((140.0, 105.0, 95.0), 230.0)}
 #: Rotation curve: speed at the Sun and its slope, and the Sun's own motion (km/s); fixed values.
 ROTATION, SLOPE, SUN_MOTION = 233.6, -1.34, (11.1, 12.24, 7.25)
@@ -26,6 +28,8 @@ def proper_motions(l_deg: float, b_deg: float, dist: float, component: str, n: i
     x, y = R_SUN - dist * math.cos(b) * math.cos(l), dist * math.cos(b) * math.sin(l)
     r, phi = math.hypot(x, y), math.atan2(y, x)
     sigma, lag = COMPONENTS[component]
+    if component in FALL:
+        sigma = np.array(sigma) * math.exp((R_SUN - r) / FALL[component]) * (1 + RISE * abs(dist * math.sin(b)))
     spin = ROTATION + SLOPE * (r - R_SUN) - lag
     v = rng.normal(size=(n, 3)) * sigma + (0.0, spin, 0.0)
     toward = -v[:, 0] * math.cos(phi) + v[:, 1] * math.sin(phi)  # to the Galactic centre, with rotation, and up

@@ -95,3 +95,19 @@ def test_hull_and_circle(spark):
     square = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
     share = lambda x, y: one(spark, regions.circle_share(F.lit(x), F.lit(y), 0.1, square).alias("s")).s
     assert share(0.0, 0.0) == 1 and share(1.0, 0.0) == pytest.approx(0.5, abs=0.03) and share(1.0, 1.0) == pytest.approx(0.25, abs=0.04) and share(3.0, 0.0) == 0
+
+
+def test_refined_cell_areas(spark):
+    square = [(-0.337, -0.251), (0.411, -0.251), (0.411, 0.333), (-0.337, 0.333)]
+    got = {r.pt: r.area for r in regions.cell_areas(spark, (-1, 1), (-1, 1), 0.1, square, [(0, -0.5, 0.0), (1, 0.5, 0.0)], refine=2).collect()}
+    assert got[0] == pytest.approx(0.337 * 0.584, rel=2e-3) and got[1] == pytest.approx(0.411 * 0.584, rel=2e-3)
+
+
+def test_simulated_motions():
+    from skyweave.operators.population import proper_motions
+
+    rng = np.random.default_rng(1)
+    near = proper_motions(90, 0, 0.5, "thin", 4000, rng).mean(axis=0)
+    assert near[1] == pytest.approx(-7.25 * 0.2108e-3 / 0.5, abs=6e-4)
+    thin, halo = (proper_motions(0, 30, 2.0, c, 4000, rng) for c in ("thin", "halo"))
+    assert halo.std() > 2 * thin.std() and halo[:, 0].mean() < thin[:, 0].mean() - 0.01
