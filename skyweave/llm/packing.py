@@ -31,7 +31,7 @@ from .common import map_rows, slices, table, written
 CAPACITY = 4096
 END = 1
 GROUP = 20_000
-WORDS = 800_000
+WORDS = 500_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
