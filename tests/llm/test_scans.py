@@ -72,6 +72,14 @@ def test_surrogates(spark):
     assert surrogates.replaced(table(spark, [])).collect() == []
 
 
+def test_numbers_without_adjacent_digits_are_found(spark):
+    texts = ["our resolver is 8.8.8.8 and the backup is 1.1.1.1.", "in 2024 it was 8.8.8.8", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    got = {r.doc_id: r.text for r in surrogates.replaced(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    ip = re.fullmatch(r"our resolver is ([0-9.]+) and the backup is ([0-9.]+)\.", got[0])
+    assert ip and {ip[1], ip[2]}.isdisjoint({"8.8.8.8", "1.1.1.1"}) and got[1].endswith(ip[1])
+    assert got[2] != texts[2] and got[2].replace("-", " ") == got[3]
+
+
 def test_card_surrogates_keep_the_check_digit(spark):
     def luhn(n):
         return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(n))) % 10
