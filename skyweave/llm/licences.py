@@ -1,7 +1,8 @@
 """Licence scans by a trained paragraph classifier (operator 6).
 
-Paragraphs (lines; sentences of long lines) are told apart by logistic regression on hashed
-word n-grams, with a class for each licence family and one for all else. It is trained here:
+Units (lines; sentences of long lines) are told apart by logistic regression on hashed word
+n-grams, with a class for each licence family and one for all else. Neighbouring units that
+are no notice by themselves are judged together too, so wrapped notices are found whole. It is trained here:
 on the templates below and variants of them (words left out, put in front or behind, joined),
 against a bounded sample of NEGATIVES paragraphs of the corpus and some near misses. A
 temperature fitted on variants that training did not see calibrates the probabilities; the
@@ -74,7 +75,7 @@ def features(words: list[str]) -> np.ndarray:
 
 
 def units(text: str) -> list[tuple[int, str]]:
-    """Paragraphs with their places: lines, and sentences of lines of more than LONG words."""
+    """Units with their places: lines, and sentences of lines of more than LONG words."""
     out = []
     for m in _UNIT.finditer(text):
         if len(m[0].split()) <= LONG:
@@ -89,6 +90,7 @@ def pairs(words: list[str]) -> set[tuple[str, str]]:
 
 
 _PAIRS = {family: [pairs(tokens(t)) for t in texts] for family, texts in TEMPLATES.items()}
+_EVERY = set().union(*(p for texts in _PAIRS.values() for p in texts))
 
 
 def likeness(words: list[str], family: str) -> float:
@@ -97,6 +99,12 @@ def likeness(words: list[str], family: str) -> float:
     return max(len(own & p) / len(p) for p in _PAIRS[family])
 
 
+def confirmable(words: list[str]) -> bool:
+    """Whether the words have enough of some template, of whatever family."""
+    own = pairs(words) & _EVERY
+    return bool(own) and any(len(own & p) / len(p) >= CONFIRM for texts in _PAIRS.values() for p in texts)
+
+
 @dataclass
 class Classifier:
     weights: np.ndarray  # a row for each feature, the last one for the bias
@@ -111,7 +119,9 @@ class Classifier:
         """The family of a paragraph and its probability."""
         if not CUE.search(text):
             return None
-        words = tokens(text)
+        return self.judged(tokens(text))
+
+    def judged(self, words: list[str]) -> tuple[str, float] | None:
         p = self.probabilities(words)
         best = int(p[1:].argmax()) + 1
         if p[best] < CERTAIN or likeness(words, CLASSES[best]) < CONFIRM:
@@ -119,6 +129,63 @@ class Classifier:
         return CLASSES[best], float(p[best])
 
 
+def notices(model: Classifier, text: str, known: dict[str, tuple[str, float] | None]) -> list[tuple[int, int, str, float]]:
+    """(start, end, family, probability) of the notices of a text; ``known`` remembers units."""
+    out: list[tuple[int, int, str, float]] = []
+    run: list[tuple[int, int, list[str]]] = []  # neighbouring units with words, none a notice
+    for start, unit in units(text):
+        if unit not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[unit] = model.family(unit)
+        words, end = tokens(unit), start + len(unit)
+        if run and (known[unit] or not words or text.count("\n", run[-1][1], start) > 1):
+            out.extend(wrapped(model, run))
+            run = []
+        if known[unit]:
+            out.append((start, end, *known[unit]))
+        elif words:
+            run.append((start, end, words))
+    return [*out, *wrapped(model, run)]
+
+
+def wrapped(model: Classifier, run: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, str, float]]:
+    """The notices that go over several units of ``run``: each the shortest that is one, then as long as it gets more of the template.
+
+    The units between the first and the last one have LONG words at most.
+    """
+    out = []
+    every = [w for _, _, words in run for w in words]
+    if len(run) < 2 or not confirmable(every):
+        return out
+    first = 0
+    while first < len(run) - 1:
+        words, between, best = list(run[first][2]), 0, None
+        for last in range(first + 1, len(run)):
+            words += run[last][2]
+            got = model.judged(words) if confirmable(words) else None
+            share = likeness(words, got[0]) if got else 0.0
+            if best and (not got or got[0] != best[2][0] or share <= best[1]):
+                break
+            best = (last, share, got) if got else None
+            between += len(run[last][2])
+            if between > LONG:
+                break
+        if best is None:
+            first += 1
+            continue
+        last, share, got = best
+        while last - first > 1:  # units in front that add nothing
+            words = [w for _, _, x in run[first + 1 : last + 1] for w in x]
+            less = model.judged(words)
+            if not less or less[0] != got[0] or likeness(words, got[0]) < share:
+                break
+            first, got = first + 1, less
+        out.append((run[first][0], run[last][1], *got))
+        first = last + 1
+    return out
+
+
 def _score(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     return weights[at].sum(axis=0) / np.sqrt(max(1, len(at))) + weights[-1]
 
@@ -187,14 +254,7 @@ def licences(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
         for a, b in slices(len(ids), [len(t or "") for t in texts], 8 << 20):
             out = []
             for doc_id, text in zip(ids[a:b], texts[a:b], strict=True):
-                found = []
-                for start, unit in units(text) if text and CUE.search(text) else ():
-                    if unit not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[unit] = model.family(unit)
-                    if known[unit]:
-                        found.append((start, start + len(unit), *known[unit]))
+                found = notices(model, text, known) if text and CUE.search(text) else []
                 names = sorted({f[2] for f in found})
                 out.append((doc_id, len(found), ",".join(names), ",".join(f"{f[2]}:{f[0]}:{f[1]}" for f in found), min((f[3] for f in found), default=None)))
             yield dict(zip(("doc_id", "n_licences", "families", "spans", "least_certain"), map(list, zip(*out, strict=True)), strict=True))

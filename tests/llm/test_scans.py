@@ -114,6 +114,20 @@ def test_licences_on_unseen_wordings(classifier):
     assert classifier.family(prose(900, 30)) is None
 
 
+def test_wrapped_notices(classifier):
+    gpl = ["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation; either version 2 of the License, or", "(at your option) any later version."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are", "met:"]
+    narrow = "Permission is hereby|granted, free of charge,|to any person obtaining|a copy of this software|and associated|documentation files".split("|")
+    for mark in ("", "# ", " * "):
+        for family, lines, ends in (("gpl", gpl, "version 2 of the License, or"), ("bsd", bsd, "met:"), ("mit", narrow, "documentation files")):
+            head, tail = "é😀 " + prose(8, 5) + "\n\n" + mark + "Copyright (c) 2020 Someone\n", "\n\n" + prose(9, 90)
+            text = head + "\n".join(mark + x for x in lines) + tail
+            ((start, end, got, _),) = licences.notices(classifier, text, {})
+            assert got == family and start == len(head) and text[start:end].endswith(ends)
+    apart = "\n\n".join(gpl)
+    assert licences.notices(classifier, apart, {}) == [] and licences.notices(classifier, "\n".join(licences.NEAR_MISSES), {}) == []
+
+
 def test_probabilities_are_calibrated(classifier):
     import numpy as np
 
