@@ -7,7 +7,8 @@ on the templates below and variants of them (words left out, put in front or beh
 against a bounded sample of NEGATIVES paragraphs of the corpus and some near misses. A
 temperature fitted on variants that training did not see calibrates the probabilities; the
 class of all else is chosen unless a family reaches CERTAIN. A prediction counts only if the
-paragraph also has enough of the word pairs of one of the family's templates.
+unit also has enough of the word pairs of one of the family's templates; units without
+enough of any template are not classified, whatever their words, as none could count.
 
 Defined results: a null text counts as empty and has no licences; repeated rows are judged
 alike; on an empty table the classifier is trained on the near misses alone.
@@ -50,6 +51,7 @@ NEAR_MISSES = [
 ]
 ALL_ELSE = "unknown"
 CLASSES = (ALL_ELSE, *sorted(TEMPLATES))
+#: Lines of the corpus with such a word are no examples of all else.
 CUE = re.compile(r"licen[sc]|copyright|public domain|redistribut|permission", re.IGNORECASE)
 WIDTH = 1 << 14
 GRAMS = (1, 2, 3)
@@ -117,9 +119,8 @@ class Classifier:
 
     def family(self, text: str) -> tuple[str, float] | None:
         """The family of a paragraph and its probability."""
-        if not CUE.search(text):
-            return None
-        return self.judged(tokens(text))
+        words = tokens(text)
+        return self.judged(words) if confirmable(words) else None
 
     def judged(self, words: list[str]) -> tuple[str, float] | None:
         p = self.probabilities(words)
@@ -130,20 +131,22 @@ class Classifier:
 
 
 def notices(model: Classifier, text: str, known: dict[str, tuple[str, float] | None]) -> list[tuple[int, int, str, float]]:
-    """(start, end, family, probability) of the notices of a text; ``known`` remembers units."""
+    """(start, end, family, probability) of the notices of a text; ``known`` remembers those that were classified."""
     out: list[tuple[int, int, str, float]] = []
     run: list[tuple[int, int, list[str]]] = []  # neighbouring units with words, none a notice
     for start, unit in units(text):
-        if unit not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[unit] = model.family(unit)
-        words, end = tokens(unit), start + len(unit)
-        if run and (known[unit] or not words or text.count("\n", run[-1][1], start) > 1):
+        words, end, got = tokens(unit), start + len(unit), None
+        if confirmable(words):
+            if unit not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[unit] = model.judged(words)
+            got = known[unit]
+        if run and (got or not words or text.count("\n", run[-1][1], start) > 1):
             out.extend(wrapped(model, run))
             run = []
-        if known[unit]:
-            out.append((start, end, *known[unit]))
+        if got:
+            out.append((start, end, *got))
         elif words:
             run.append((start, end, words))
     return [*out, *wrapped(model, run)]
@@ -207,7 +210,7 @@ def _variants(rng: np.random.Generator, around: list[str]) -> list[tuple[list[st
 def trained(negatives: list[str], seed: int = 7) -> Classifier:
     """Logistic regression by AdaGrad over variants of the templates and the negatives; temperature on every fifth."""
     rng = np.random.default_rng(seed)
-    negatives = [t for t in negatives if not CUE.search(t)]
+    negatives = [t for t in negatives if not CUE.search(t) and not confirmable(tokens(t))]
     data = _variants(rng, negatives) + [(tokens(t), 0) for t in negatives] + [(tokens(t), 0) for t in NEAR_MISSES for _ in range(20)]
     rows = [(features(w), y) for w, y in data if w]
     held, rows = rows[::5], [r for i, r in enumerate(rows) if i % 5]
@@ -254,7 +257,7 @@ def licences(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", te
         for a, b in slices(len(ids), [len(t or "") for t in texts], 8 << 20):
             out = []
             for doc_id, text in zip(ids[a:b], texts[a:b], strict=True):
-                found = notices(model, text, known) if text and CUE.search(text) else []
+                found = notices(model, text, known) if text else []
                 names = sorted({f[2] for f in found})
                 out.append((doc_id, len(found), ",".join(names), ",".join(f"{f[2]}:{f[0]}:{f[1]}" for f in found), min((f[3] for f in found), default=None)))
             yield dict(zip(("doc_id", "n_licences", "families", "spans", "least_certain"), map(list, zip(*out, strict=True)), strict=True))

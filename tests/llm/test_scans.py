@@ -128,6 +128,13 @@ def test_wrapped_notices(classifier):
     assert licences.notices(classifier, apart, {}) == [] and licences.notices(classifier, "\n".join(licences.NEAR_MISSES), {}) == []
 
 
+def test_notices_without_the_word_license(spark, classifier):
+    cases = {"Available under CC BY 4.0.": "cc-by", "Creative Commons Attribution 4.0 International": "cc-by", "It may be used under the GNU GPL version 2 or later.": "gpl"}
+    assert {t: (classifier.family(t) or [None])[0] for t in cases} == cases
+    out = licences.licences(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(cases)]), classifier).collect()
+    assert {r.doc_id: r.families for r in out} == dict(enumerate(cases.values()))
+
+
 def test_probabilities_are_calibrated(classifier):
     import numpy as np
 
