@@ -73,20 +73,20 @@ def set_key(hashes: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, n, node, sig, bands); node stands for the set, null for the empty one."""
+def features(docs: DataFrame, id_col: str, text_col: str, size: int, mark: Column) -> DataFrame:
+    """(doc_id, n, node, sig, bands, mark); node stands for the set, null for the empty one."""
 
-    def step(ids, texts):
+    def step(ids, texts, marks):
         for a, b in slices(len(ids), [len(t or "") for t in texts], 4 << 20):
             sets = [shingle_hashes(words(t), size) for t in texts[a:b]]
             least = [minima(s) if len(s) else None for s in sets]
             yield {
                 "doc_id": ids[a:b], "n": [len(s) for s in sets], "node": [set_key(s) for s in sets],
-                "sig": [None if m is None else signature(m) for m in least], "bands": [None if m is None else band_keys(m) for m in least],
+                "sig": [None if m is None else signature(m) for m in least], "bands": [None if m is None else band_keys(m) for m in least], "mark": marks[a:b],
             }
 
-    schema = "doc_id bigint, n bigint, node binary, sig array<bigint>, bands array<bigint>"
-    return map_rows(docs, [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")], step, schema)
+    schema = "doc_id bigint, n bigint, node binary, sig array<bigint>, bands array<bigint>, mark binary"
+    return map_rows(docs, [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark")], step, schema)
 
 
 def likely(a: str, b: str) -> Column:
@@ -260,8 +260,13 @@ def block_links(blocks: DataFrame, size: int, parts: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    return marked_groups(docs, id_col, text_col, size, F.lit(None).cast("binary")).drop("mark")
+
+
+def marked_groups(docs: DataFrame, id_col: str, text_col: str, size: int, mark: Column) -> DataFrame:
+    """``near_groups`` with a column ``mark`` of each row of ``docs``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(features(docs, id_col, text_col, size), "features")
+    rows = written(features(docs, id_col, text_col, size, mark), "features")
     classes = rows.where("node is not null").groupBy(F.col("node").alias("set")).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     light = classes.select("node", "n", "sig")
@@ -295,9 +300,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = written(roots.select("set", "doc_id", "root"), "roots")
     groups = written(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "groups")
     named = written(roots.join(groups, "root").select("set", "component_id"), "named")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("set")).join(named, "set", "left")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("set"), "mark").join(named, "set", "left")
     out = out.withColumn("component_id", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", same("doc_id", "component_id").alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", same("doc_id", "component_id").alias("kept"), "mark")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -322,12 +327,10 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller id; all columns as they were."""
-    groups = near_groups(docs, id_col, text_col, size)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = docs.join(gone, F.col(id_col).cast("bigint") == F.col("__gone"), "left_anti")
-    has = groups.where("doc_id is null").groupBy().agg(F.bool_or("kept")).head()[0]
-    return stay if has is None or has else stay.where(F.col(id_col).isNotNull())
+    """``docs`` without the rows that ``near_groups`` does not keep, told by id and text; all columns as they were."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    gone = marked_groups(docs, id_col, text_col, size, digest).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("__gone")) & digest.eqNullSafe(F.col("__mark")), "left_anti")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from skyweave.llm import registry
+from skyweave.llm import near_dedup, registry
 
 from .fixtures import edited, prose, rows, table
 from .test_dedup import brute_components
@@ -46,6 +46,14 @@ def test_pipeline_bears_odd_rows(spark, tmp_path):
         assert bool(out) == bool(data)
 
 
+def test_near_copies_go_by_id_and_text(spark):
+    base, other = prose(70, 120), prose(71, 50)
+    near = [edited(base, s, 2) for s in range(3)]
+    data = [(1, base), (2, near[0]), (2, other), (2, None), (None, near[1]), (None, prose(72, 50)), (3, near[2]), (3, near[2])]
+    out = near_dedup.drop_near_copies(table(spark, [(i, t, "en", "s", 1) for i, t in data])).collect()
+    assert {(r.doc_id, r.text) for r in out} == {data[i] for i in (0, 2, 3, 5)} and len(out) == 4
+
+
 def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
