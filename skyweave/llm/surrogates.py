@@ -4,7 +4,8 @@ Entities are found by one regular expression and reduced to a canonical value (a
 in lower case, the digits of a number, one word of a name). Each distinct value gets a
 surrogate from a keyed SHA-512 stream: digits for digits and letters for letters where they
 stood, a valid address, the same check digit offset for cards, the same country code for
-phones, and for names syllables of the same script with an ending of the same gender.
+phones, and for each word of a name syllables of the same script, given names with an
+ending of the same gender; initials and particles (F., von) stay.
 
 Collision checks keep distinct values distinct: a value whose surrogate another value has,
 or which is a value of the corpus itself, takes the next stream until none collides. The
@@ -52,8 +53,14 @@ GIVEN = {
     "m": "John James Robert Michael William David Richard Thomas Peter Paul Hans Jürgen Klaus Wolfgang Pierre Jean Michel François Juan Carlos José Antonio Miguel Andrew George Charles Иван Пётр Сергей Алексей Γιώργος".split(),
 }
 _CAPITAL = r"(?:\p{Lu}\p{Ll}+|\p{Lu}{2,})(?:[-'’](?:\p{Lu}\p{Ll}+|\p{Lu}{2,}))?"
-_TITLED = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {_CAPITAL}(?: {_CAPITAL})?(?![\p{{L}}])"
-_GIVEN = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {_CAPITAL}(?![\p{{L}}])"
+#: Words of a name that stay as they are.
+_KEPT = r"(?:\p{Lu}\.|von|van|de|der|den|del|della|di|da|dos|du|la|le|zu|ten|ter|bin|al)"
+_TITLE = "|".join(t for g in TITLES.values() for t in g)
+#: A word with the initials and particles before it, and one that begins no other name and is no suffix; a name has up to 20 of these after its second.
+_WORD = rf"(?:(?: {_KEPT}){{0,4}} {_CAPITAL}(?![\p{{L}}]))"
+_MORE = rf"(?:(?: {_KEPT}){{0,4}} (?!(?:{_TITLE})\.? \p{{Lu}}|(?:Jr|II|III)(?![\p{{L}}])){_CAPITAL}(?![\p{{L}}]))"
+_TITLED = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(t for g in TITLES.values() for t in g)})\.?{_WORD}(?:{_WORD}{_MORE}{{0,20}})?"
+_GIVEN = rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:{'|'.join(n for g in GIVEN.values() for n in g)}){_WORD}{_MORE}{{0,20}}"
 PATTERNS["name"] = rf"{_TITLED}|{_GIVEN}"
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -84,13 +91,17 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def _stays(word: Column) -> Column:
+    return word.rlike(f"^{_KEPT}$")
+
+
 def parts(kind: Column, value: Column) -> Column:
     """Array of (kind, value): what of an entity has surrogates of its own, in canonical form.
 
     A name's words are apart, so that a family name after a title and the same in a full
     name agree; kinds of words tell family from given names, with gender, and the script.
     """
-    words = F.split(F.regexp_replace(value, rf"^(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? ", ""), " ")
+    words = F.filter(F.split(F.regexp_replace(value, rf"^(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? ", ""), " "), lambda w: ~_stays(w))
     title = F.regexp_extract(value, rf"^({'|'.join(t for g in TITLES.values() for t in g)})\.? ", 1)
     first = F.element_at(words, 1)
     gender = F.lit("u")
@@ -98,9 +109,11 @@ def parts(kind: Column, value: Column) -> Column:
         gender = F.when(title.isin(TITLES[g]) | first.isin(GIVEN.get(g, [])), g).otherwise(gender)
     name = lambda w, what: F.struct(F.concat_ws(":", what, _script(w)).alias("kind"), F.lower(w).alias("value"))
     given, family = name(first, F.concat(F.lit("given-"), gender)), name(F.element_at(words, -1), F.lit("family"))
+    own = lambda w: F.when(w.isin(GIVEN["f"]), "given-f").when(w.isin(GIVEN["m"]), "given-m").otherwise("given-u")
+    middle = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: name(w, own(w)))
     one = lambda v: F.array(F.struct(kind.alias("kind"), v.alias("value")))
     return (
-        F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family)))
+        F.when(kind == "name", F.when(F.size(words) > 1, F.concat(F.array(given), middle, F.array(family))).otherwise(F.array(family)))
         .when(kind.isin("phone", "ssn", "card"), one(F.regexp_replace(value, "[^0-9]", "")))
         .otherwise(one(F.lower(value)))
     )
@@ -180,8 +193,10 @@ def _cased(word: Column, stand_in: Column) -> Column:
 def replacement(kind: Column, value: Column, got: Column) -> Column:
     """An entity's text with the surrogates of its parts, in its own format."""
     title = F.regexp_extract(value, rf"^((?:{'|'.join(t for g in TITLES.values() for t in g)})\.? )", 1)
-    last, family = F.element_at(F.split(value, " "), -1), F.element_at(got, -1)
-    name = F.when(F.size(got) > 1, F.concat(_cased(last, F.element_at(got, 1)), F.lit(" "), _cased(last, family))).otherwise(_cased(last, family))
+    words = F.split(value.substr(F.char_length(title) + 1, F.char_length(value)), " ")
+    last = F.element_at(words, -1)
+    at = lambda i: F.size(F.filter(F.slice(words, F.lit(1), i + 1), lambda w: ~_stays(w))) - 1
+    name = F.array_join(F.transform(words, lambda w, i: F.when(_stays(w), w).otherwise(_cased(last, F.get(got, at(i))))), " ")
     return F.when(kind == "name", F.concat(title, name)).when(kind.isin("phone", "ssn", "card"), filled(value, F.element_at(got, 1))).otherwise(F.element_at(got, 1))
 
 

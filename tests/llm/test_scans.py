@@ -72,6 +72,16 @@ def test_surrogates(spark):
     assert surrogates.replaced(table(spark, [])).collect() == []
 
 
+def test_long_names_are_replaced_whole(spark):
+    texts = ["Mr John Paul Smith came", "Maria Anna Schmidt came", "John F. Kennedy came", "Dr. J. van der Berg came", "Anna Schmidt came", "John Kennedy Dr. Smith came", "Mr Jon Lord came"]
+    got = {r.doc_id: r.text for r in surrogates.replaced(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    words = [got[i].split() for i in range(7)]
+    assert not re.search("John|Lord|Paul|Smith|Maria|Anna|Schmidt|Kennedy|Berg", " ".join(got.values()))
+    assert [len(w) for w in words] == [len(t.split()) for t in texts] and all(w[-1] == "came" for w in words)
+    assert words[0][3] == words[5][3] and words[1][1:3] == words[4][:2] and words[2][1] == "F."
+    assert words[2][2] == words[5][1] and words[3][:4] == ["Dr.", "J.", "van", "der"] and words[5][2] == "Dr."
+
+
 def test_numbers_without_adjacent_digits_are_found(spark):
     texts = ["our resolver is 8.8.8.8 and the backup is 1.1.1.1.", "in 2024 it was 8.8.8.8", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
     got = {r.doc_id: r.text for r in surrogates.replaced(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
