@@ -1,49 +1,19 @@
-"""What the operators share: the shared folder, written tables and Arrow helpers."""
+"""What the operators share: written tables, Arrow helpers and sieves."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..plans.storage import dropped, mark, release, written
 
+__all__ = ["dropped", "let", "map_rows", "mark", "release", "same", "sieve", "slices", "table", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; on a local master without one, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _LOCAL:
-        local = tempfile.mkdtemp(prefix="skyweave-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        _LOCAL["dir"] = f"file://{local}"
-    return _LOCAL["dir"]
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete what ``written`` made for ``df``; nothing may read it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+#: Bits of a sieve, 8 MB as a bitmap; a bucket of Spark's bitmap functions has 32,768.
+SIEVE = 1 << 26
 
 
 def map_rows(df: DataFrame, columns: list, step: Callable[..., Iterator], schema: str) -> DataFrame:
@@ -86,3 +56,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def same(a: str, b: str):
     """Null-safe equality of two columns by name."""
     return F.col(a).eqNullSafe(F.col(b))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sieve(rows: DataFrame, key: Column, keys: DataFrame, bits: int = SIEVE) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``key`` may be in the only column of ``keys``, and those whose key is not.
+
+    The keys' hashes are a bitmap of ``bits`` bits, the only thing that is broadcast: its size
+    does not follow the data. So what a join needs not move stays where it is; where keys are
+    many more than bits, nearly all rows are in the first part, and the join is as without.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("bigint")), F.lit(bits)) + 1
+    at = keys.select(place(F.col(keys.columns[0])).alias("x")).select(F.bitmap_bucket_number("x").alias("__bucket"), F.bitmap_bit_position("x").alias("__at"))
+    maps = written(at.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__map")), "sieve")
+    marked = rows.withColumn("__x", place(key)).withColumn("__bucket", F.bitmap_bucket_number("__x")).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substr("__map", F.expr("cast(bitmap_bit_position(__x) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__x) % 8 as int))")) != 0, F.lit(False))
+    marked = marked.withColumn("__there", there)
+    gone = ("__x", "__bucket", "__map", "__there")
+    return marked.where("__there").drop(*gone), marked.where("not __there").drop(*gone)

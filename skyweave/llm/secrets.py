@@ -7,7 +7,12 @@ by counting, per document, how many trigrams of an alternative it has. Only cand
 matched against a rule; rules without mandatory trigrams scan every text.
 
 The index holds lower-cased trigrams, so it may give more candidates than a rule needs,
-never fewer.
+never fewer. Rows that cannot be candidates, by a sieve of the candidates' ids, are not
+moved to be joined to them.
+
+Groups in rules are repeated a bounded number of times, so texts of any length and make-up
+can be matched: a key's label has up to four words of 20 letters before PRIVATE, a web
+token's header up to 1000 characters.
 
 Defined results: a null text counts as empty; texts without secrets have empty span lists;
 rows without id are not looked up in the index but scanned by all rules; rows that share an
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sieve, table, written
 from .spans import matches
 
 _sre = re._parser  # the parse tree that the standard library matches by
@@ -42,12 +47,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Base rules come first; a run of enough characters is the same match as a run that is measured afterwards.
 BASE = (Rule("assign", ASSIGN, 2, 12), Rule("access", r"AKIA[A-Z0-9]{14,}"), Rule("hex", r"[0-9a-f]{16,}"))
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----"),
     Rule("code_host", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
 ALTERNATIVES = 64
@@ -104,7 +109,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
     queries = [(r, tuple(sorted(q))) for r, rule in enumerate(rules) for q in sorted(map(sorted, trigram_query(rule.pattern)))]
     trigrams = sorted({t for _, q in queries for t in q})
     index = postings(docs, trigrams, id_col, text_col)
-    have = index.distinct().groupBy("doc_id").agg(F.collect_list("trigram").alias("have"))  # no more than there are trigrams
+    have = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("have"))  # no more than there are trigrams
     mask = F.lit(0).cast("bigint")
     for r, q in queries:
         mask = mask.bitwiseOR(F.when(_all_in(F.col("have"), [trigrams.index(t) for t in q]), F.lit(1 << r)).otherwise(F.lit(0)).cast("bigint"))
@@ -117,9 +122,10 @@ def _all_in(have: Column, wanted: list[int]) -> Column:
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, one array of (start, end, value) for each kind), a row for each row of ``docs``."""
-    found = candidates(docs, rules, id_col, text_col).withColumnRenamed("doc_id", "__id")
+    found = written(candidates(docs, rules, id_col, text_col).toDF("__id", "rules"), "candidates")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(found, F.col("doc_id") == F.col("__id"), "left")
+    some, others = sieve(rows, F.col("doc_id"), found.select("__id"))
+    rows = some.join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id").unionByName(others.withColumn("rules", F.lit(0).cast("bigint")))
     ask = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.coalesce("rules", F.lit(0)))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
     columns = []
