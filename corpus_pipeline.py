@@ -9,12 +9,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm.common import table, written
+from skyweave.llm.common import mark, release, table, written
 from skyweave.llm.exact_dedup import drop_copies
 from skyweave.llm.language import keep_identified
 from skyweave.llm.near_dedup import drop_near_copies
 from skyweave.llm.packing import pack_documents
-from skyweave.llm.surrogates import replaced
+from skyweave.llm.surrogates import replaced, session_key
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become surrogates; all documents stay."""
-    return replaced(docs)
+    return replaced(docs, session_key(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    begin = mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, begin, keep=1)  # what the stage wrote on its way, and the one before
     return docs
