@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     aggregated before they are joined. Each round is written, which cuts the lineage.
     """
     edges = written(_directed(links.where("a <> b").select("a", "b").distinct()), "links")
-    while True:
+    before = _sums(edges)
+    while before[0]:
         both = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -25,15 +26,21 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = _directed(small.unionByName(down.withColumnRenamed("m", "b")).where("a <> b"))
         after = written(small.distinct(), "links")
-        sums = [x.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).head() for x in (edges, after)]
+        now = _sums(after)
         dropped(large)
         dropped(edges)
         edges = after
-        if sums[0] == sums[1]:
+        if now == before:
             break
+        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _directed(links: DataFrame) -> DataFrame:
     """Links from the greater to the lesser node."""
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _sums(links: DataFrame) -> tuple:
+    """Number and checksum of links, to tell whether a round changed them."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head())

@@ -14,6 +14,8 @@ block: first by their signatures, which gives the members with a likely partner,
 by their full sets. So no bucket is capped and no component stays apart, while pairs are
 never listed and a bucket of near copies moves what it has members.
 
+Long texts are read in whole; a block with one very long text holds few others.
+
 Defined results: a text without words has an empty set and is linked with nothing; a row
 without id belongs to its group but never names it, and is kept only where no member has an
 id; rows of equal ids and texts are one class and share their result.
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, same, slices, table, written
+from .common import map_rows, same, sieve, slices, table, written
 from .components import components
 from .shingles import WORDS, mixed, shingle_hashes, words
 
@@ -41,8 +43,9 @@ PER_LONG = 64 // BITS
 LONGS = PERMS // PER_LONG
 #: Estimates of this similarity or more are confirmed.
 SURE = 0.55
-#: Sizes of the blocks in which a bucket's members are compared.
-LEFT, RIGHT = 256, 1024
+#: The least and largest sizes of the blocks in which a bucket's members are compared, and the shingles that one holds.
+LEFT, RIGHT = (128, 4096), (512, 8192)
+SHINGLES = 2_000_000
 
 _SEEDS = mixed(np.arange(1, 2 * PERMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MULTIPLY = _SEEDS[:PERMS, None], _SEEDS[PERMS:, None] | np.uint64(1)
@@ -113,7 +116,11 @@ def alike(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of which the full sets are alike."""
+    """The pairs (a, b) of which the full sets are alike.
+
+    A hub's text moves once for each of its pairs: as much as the other members' texts, as
+    ``likely`` asks for sets of similar sizes.
+    """
     both = pairs.join(texts.toDF("a", "a_text"), "a").join(texts.toDF("b", "b_text"), "b")
 
     def step(a, b, a_texts, b_texts):
@@ -172,15 +179,19 @@ _ONES = np.uint64(sum(1 << (BITS * k) for k in range(PER_LONG)))
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """Members (key, node, root) of buckets with several components, in blocks: key, lb, rb, left, node, root.
+    """Members (key, node, n, root) of buckets with several components, in blocks: key, lb, rb, left, node, root.
 
     The members outside a bucket's largest component are the left side, all its members the
-    right one; each pair of a left and a right block meets once. A block has about LEFT and
-    RIGHT members, however large the bucket is.
+    right one; each pair of a left and a right block meets once. A side of a block has a
+    sixteenth of its members within the limits of LEFT or RIGHT, and about SHINGLES shingles
+    at most, so a member is repeated sixteen times in a bucket of up to 16 * 4096 members, and
+    in a larger one once for each 4096; only signatures are repeated so, not texts.
     """
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"))
-    buckets = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    buckets = buckets.select("key", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / LEFT).alias("nl"), F.ceil(F.col("all") / RIGHT).alias("nr"))
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    buckets = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "root", "w")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    several = lambda c, w, limits: F.greatest(F.ceil(c / F.least(F.greatest(c / 16, F.lit(limits[0])), F.lit(limits[1]))), F.ceil(w / SHINGLES))
+    nl, nr = several(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w"), LEFT), several(F.col("c"), F.col("w"), RIGHT)
+    buckets = buckets.select("key", F.col("main.root").alias("main"), nl.alias("nl"), nr.alias("nr"))
     there = written(members.join(written(buckets, "buckets"), "key"), "there")
     place = F.xxhash64("node", "key")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -271,7 +282,7 @@ def marked_groups(docs: DataFrame, id_col: str, text_col: str, size: int, mark:
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     light = classes.select("node", "n", "sig")
 
-    banded = classes.select("node", F.explode("bands").alias("key"))
+    banded = classes.select("node", "n", F.explode("bands").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = written(banded.join(full.hint("merge"), "key", "left_semi"), "members")
     hubs = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"))
@@ -285,8 +296,9 @@ def marked_groups(docs: DataFrame, id_col: str, text_col: str, size: int, mark:
     links = written(confirmed(first, texts, size), "near")
     roots = written(components(links), "roots")
     more = written(confirmed(apart(stars.join(first, ["a", "b"], "left_anti"), roots), texts, size), "near")
-    links = links.unionByName(more)
-    roots = written(components(links), "roots")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = written(components(links), "roots")
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = written(in_blocks(rooted), "blocks")
     light = classes.select("node", "n", "sig", "bands")
@@ -330,7 +342,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` without the rows that ``near_groups`` does not keep, told by id and text; all columns as they were."""
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
     gone = marked_groups(docs, id_col, text_col, size, digest).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("__gone")) & digest.eqNullSafe(F.col("__mark")), "left_anti")
+    gone = written(gone, "gone")
+    some, others = sieve(docs, F.col(id_col), gone.select("__gone"))
+    return some.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("__gone")) & digest.eqNullSafe(F.col("__mark")), "left_anti").unionByName(others)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
