@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, same, slices, table, written
+from .common import map_rows, same, sieve, slices, table, written
 
 BLOCK = 4096
 
@@ -127,13 +127,16 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns as they were.
 
-    Rows are found again by id, length and digest of their texts; of rows that agree in all
-    three, one is taken.
+    Rows with ids that lose a row are found again by id, length and digest of their texts; of
+    rows that agree in all three, one is taken. All others, by a sieve, stay where they are.
     """
-    keep = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select("doc_id", "n_chars", "text_sha256")
-    keep = keep.toDF("__id", "__chars", "__sha").withColumn("__there", F.lit(True))
+    rows = written(exact_groups(docs, id_col=id_col, text_col=text_col).select("doc_id", "n_chars", "text_sha256", "kept"), "told")
+    touched = rows.where("not kept").select("doc_id").distinct()
+    docs_, whole = sieve(docs, F.col(id_col).cast("bigint"), touched)
+    keep = rows.where("kept").select(F.col("doc_id").alias("__id"), F.col("n_chars").alias("__chars"), F.col("text_sha256").alias("__sha"))
+    keep = sieve(keep, F.col("__id"), touched)[0]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = F.translate(text, " \t\n\x0b\x0c\r", "")
-    marked = docs.withColumns({"__id0": F.col(id_col).cast("bigint"), "__chars0": F.char_length(text).cast("bigint"), "__sha0": F.sha2(bare, 256)})
+    marked = docs_.withColumns({"__id0": F.col(id_col).cast("bigint"), "__chars0": F.char_length(text).cast("bigint"), "__sha0": F.sha2(bare, 256)})
     on = same("__id0", "__id") & (F.col("__chars0") == F.col("__chars")) & (F.col("__sha0") == F.col("__sha"))
-    return marked.join(keep, on).dropDuplicates(["__id0", "__chars0", "__sha0"]).select(*docs.columns)
+    return marked.join(keep, on).dropDuplicates(["__id0", "__chars0", "__sha0"]).select(*docs.columns).unionByName(whole)
