@@ -7,7 +7,8 @@ Two sketches give resemblance, containment and the number of distinct shingles.
 
 Defined results: a null text counts as empty; an empty text has the empty fingerprint,
 which is like another empty one (1) and unlike all others (0). Rows of the same id follow
-each other by the hash of their texts, rows without id come first.
+each other by the hash of their texts, rows without id come first; equal rows lie in one
+range however many they are. Long texts are read in whole.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .shingles import shingle_hashes, words
 K = 128
 #: Long texts are sketched in parts of so many words.
 PART = 100_000
+#: Bytes of text in a range of ids, and the most ranges.
+RANGE, RANGES = 4 << 20, 20_000
 
 
 def sketch(text: str | None, k: int = K) -> np.ndarray:
@@ -112,34 +115,40 @@ def edited(text: str, following: str) -> str:
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows dealt into ranges of ids: (part, own, doc_id, tie, text), sorted within each partition.
+    """Rows dealt into ranges of ids, each a partition: (part, own, doc_id, tie, text), sorted.
 
-    Each range also gets the first row of the next range, marked as not its own, so that
-    every row's successor is in its own range; the last range gets the first of all. Only
-    the ranges' bounds and first keys, as many as partitions, are held by the driver.
+    There is a range for each RANGE bytes of text, up to RANGES. Rows of one id, or without
+    id, that fill several ranges are dealt to them by the hash of their texts, by which they
+    are ordered. Each range also gets the first row of the next range, marked as not its own,
+    so that every row's successor is in its own range; the last range gets the first of all.
+    Only the ranges' bounds and first keys are held by the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(rows.where("doc_id is not null").agg(F.expr(f"percentile_approx(doc_id, {_shares(n)}, 10000)")).head()[0] or [], dtype=np.int64)
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).head()[0] or 0
+    n = min(RANGES, max(1, -(-size // RANGE)))
+    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    bounds = np.array(rows.agg(F.expr(f"percentile_approx(coalesce(doc_id, {-(1 << 63) + 1}L - 1L), {_shares(n)}, {max(10_000, 10 * n)})")).head()[0] or [], dtype=np.int64) if n > 1 else np.empty(0, np.int64)
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype("int32"))
+    def part_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(bounds, ids.to_numpy(), side=s) for s in ("left", "right"))
+        share = ((ties.to_numpy() >> 32) + (1 << 31)) / (1 << 32)
+        return pd.Series(np.where(high - low > 1, low + 1 + (share * (high - low)).astype(np.int64), high).astype("int32"))
 
     order = F.struct(F.col("doc_id").isNotNull().alias("with_id"), F.col("doc_id"), F.col("tie"))
     tied = rows.withColumn("tie", F.xxhash64("text"))
-    keyed = tied.withColumn("part", part_of(F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    keyed = tied.withColumn("part", part_of(place, F.col("tie")))
     firsts = sorted(keyed.groupBy("part").agg(F.min(order).alias("first")).collect(), key=lambda r: r.part)
     before = [(r.first.doc_id, r.first.tie, firsts[i - 1].part) for i, r in enumerate(firsts)]
     also = spark.createDataFrame(before, "f_id bigint, f_tie bigint, part int")
     heads = tied.join(F.broadcast(also), tied.doc_id.eqNullSafe(also.f_id) & (tied.tie == also.f_tie))  # a row for each range
     both = keyed.withColumn("own", F.lit(True)).unionByName(heads.drop("f_id", "f_tie").withColumn("own", F.lit(False)))
-    return both.select("part", "own", "doc_id", "tie", "text").repartition(n, "part").sortWithinPartitions("part", F.col("own").desc(), "doc_id", "tie")
+    return both.select("part", "own", "doc_id", "tie", "text").repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("own").desc(), "doc_id", "tie")
 
 
 def _shares(n: int) -> str:
-    return f"array({', '.join(f'{k / n:.6f}D' for k in range(1, n))})" if n > 1 else "array(0.5D)"
+    return f"array({', '.join(f'{k / n:.8f}D' for k in range(1, n))})"
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
