@@ -4,7 +4,9 @@ Documents become ids, then pieces of at most ``capacity`` tokens. Pieces are dea
 groups of bounded size; within a group they are placed, longest first, into the open bin
 or a new one such that the sum over gaps g of (number of open bins with gap g) squared is
 smallest. Full bins are done; the pieces in bins that stayed open are dealt into fewer
-groups and packed again, until one group is left, so only that last group has open bins.
+groups and packed again, until one group is left. Where a turn leaves nearly all pieces in
+open bins, as their lengths seldom add up, the open bins themselves are packed as items
+instead, in fewer groups turn by turn, until few go together any more.
 
 Defined results: a null text counts as empty and is the end mark alone; repeated rows are
 packed as often as they occur; an empty table gives no rows.
@@ -32,6 +34,10 @@ CAPACITY = 4096
 END = 1
 GROUP = 20_000
 WORDS = 500_000
+#: Longer words are not remembered.
+LONG = 64
+#: A turn goes on with the same kind of items while it leaves no more than this share of them.
+SHRINKS = 0.9
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -73,7 +79,11 @@ class WordIds:
             known.clear()
             new = list(every)
         known.update(zip(new, self.whole(new), strict=True))
-        return [self.whole([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+        out = [self.whole([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+        for word in new:
+            if len(word) > LONG:
+                del known[word]
+        return out
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -153,25 +163,48 @@ def packed_group(pieces: pa.Table, capacity: int, base: int) -> pa.Table:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` (columns of PIECES) with sequence_id and offset; each group is packed in one task."""
-    columns = [c.strip() for c in PIECES.split(",")]
-    names = [c.split()[0] for c in columns]
+    names = [c.split()[0] for c in PIECES.split(", ")]
     done: list[DataFrame] = []
-    todo, left, turn = pieces.select(*names), pieces.count(), 0
+    todo, left, turn = pieces.select(*names, F.monotonically_increasing_id().alias("row")), pieces.count(), 0
     while True:
         groups = -(-left // group) or 1
-        dealt = todo.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)))
-
-        def run(key, part):
-            return packed_group(part.drop_columns("grp"), capacity, turn << 54 | key[0].as_py() << 21)  # noqa: B023  runs in this turn
-
-        out = written(dealt.groupBy("grp").applyInArrow(run, PIECES + ", sequence_id bigint, offset bigint, full boolean"), "packed")
+        out = packed_groups(todo, groups, capacity, turn)
         before, turn = left, turn + 1
-        todo = out.where("not full").select(*names)
-        if groups == 1 or (left := todo.count()) > 0.9 * before:  # what hardly shrinks any more is kept as it is
-            return _all([*done, out]).drop("full")
+        todo = out.where("not full").select(*names, "row")
+        if groups == 1:
+            return _all([*done, out]).select(*names, "sequence_id", "offset")
+        if (left := todo.count()) > SHRINKS * before:
+            return _all([*done, joined(out, capacity, group, turn)]).select(*names, "sequence_id", "offset")
         done.append(out.where("full"))
 
 
+def packed_groups(todo: DataFrame, groups: int, capacity: int, turn: int) -> DataFrame:
+    """Rows dealt by ``row``, so repeated ones spread too, with sequence_id, offset and full."""
+    dealt = todo.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
+
+    def run(key, part):
+        return packed_group(part.drop_columns("grp"), capacity, turn << 54 | key[0].as_py() << 21)
+
+    return written(dealt.groupBy("grp").applyInArrow(run, PIECES + ", row bigint, sequence_id bigint, offset bigint, full boolean"), "packed")
+
+
+def joined(out: DataFrame, capacity: int, group: int, turn: int) -> DataFrame:
+    """``out`` with bins put together by the same rule, where pieces seldom fill one: open bins are the items, until one group is left or few go together."""
+    while True:
+        bins = out.groupBy("sequence_id").agg(F.sum("length").alias("length")).where(F.col("length") < capacity)
+        zero = F.lit(0).cast("bigint")
+        items = written(bins.select(F.col("sequence_id").alias("doc_id"), F.lit(0).alias("piece"), zero.alias("start"), "length", zero.alias("ids_crc32"), F.col("sequence_id").alias("row")), "bins")
+        before = items.count()
+        groups = -(-before // group) or 1
+        placed = packed_groups(items, groups, capacity, turn)
+        after, turn = placed.select("sequence_id").distinct().count(), turn + 1
+        to = placed.select(F.col("doc_id").alias("__bin"), F.col("sequence_id").alias("__to"), F.col("offset").alias("__shift"))
+        moved = out.join(to, F.col("sequence_id") == F.col("__bin"), "left").withColumns({"sequence_id": F.coalesce("__to", "sequence_id"), "offset": F.col("offset") + F.coalesce("__shift", zero)})
+        out = written(moved.drop("__bin", "__to", "__shift"), "packed")
+        if groups == 1 or after > SHRINKS * before:
+            return out
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
