@@ -171,11 +171,12 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def step(keys, texts):
         bpe = loaded(path)
-        ids = [bpe.encode(t or "") for t in texts]
-        yield {
-            "doc_id": keys, "n_tokens": [len(x) // 4 for x in ids],
-            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids],
-        }
+        for a, b in slices(len(keys), [len(t or "") for t in texts], 8 << 20):
+            ids = [bpe.encode(t or "") for t in texts[a:b]]
+            yield {
+                "doc_id": keys[a:b], "n_tokens": [len(x) // 4 for x in ids],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids],
+            }
 
     return map_rows(docs, [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")], step, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
