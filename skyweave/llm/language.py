@@ -6,11 +6,11 @@ mask with one bit a language, and the AND of an n-gram's positions is the set of
 languages that contain it. Per language the hits of a text are counted (popcounts of the
 masks) and corrected for the filter's share of false positives; the highest coverage decides.
 
-The filters are fitted on a bounded sample: for each language about PER_LANGUAGE documents,
+The filters are fitted on a bounded sample: for each of the LANGUAGES commonest languages about PER_LANGUAGE documents,
 chosen by the hash of their id, and the GRAMS n-grams that most of them contain; everything
 else reads all rows and whole texts. Ties go to the language with most documents to learn from.
 
-Defined results: a text that is null or has no letter is ``und`` with score 0, as is every
+Long texts are read in whole. Defined results: a text that is null or has no letter is ``und`` with score 0, as is every
 text where nothing could be learned; a row without id is never learned from and not held out.
 """
 
@@ -31,6 +31,8 @@ from .shingles import mixed
 
 SIZES = (2, 3, 4)
 PER_LANGUAGE = 4000
+#: The values of ``lang`` that are learned, those of most documents, however many a table holds.
+LANGUAGES = 1000
 GRAMS = 8000
 POSITIONS = 1 << 17
 HASHES = 3
@@ -123,13 +125,12 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """Filters from rows with an id, a text and a language that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in most}
     if not counts:
         return LanguageFilters.of({})
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1, per_language / n) * 1_000_000)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+    shares = docs.sparkSession.createDataFrame([(lang, int(min(1, per_language / n) * 1_000_000)) for lang, n in counts.items()], "lang string, share int")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))  # LANGUAGES rows at most
 
     def step(langs, texts):
         seen: dict[str, Counter] = {}
