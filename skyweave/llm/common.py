@@ -64,7 +64,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def sieve(rows: DataFrame, key: Column, keys: DataFrame, bits: int = SIEVE) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two: those whose ``key`` may be in the only column of ``keys``, and those whose key is not.
+    """``rows`` in two: those whose integer ``key`` may be in the only column of ``keys``, and those whose key is not; null is a key too.
 
     The keys' hashes are a bitmap of ``bits`` bits, the only thing that is broadcast: its size
     does not follow the data. So what a join needs not move stays where it is; where keys are

@@ -64,8 +64,8 @@ def test_near_groups_match_brute_force(spark):
 
 
 def test_blocks_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LEFT", 3)
-    monkeypatch.setattr(near_dedup, "RIGHT", 5)
+    monkeypatch.setattr(near_dedup, "LEFT", (1, 3))
+    monkeypatch.setattr(near_dedup, "RIGHT", (1, 5))
     data = [(s, edited(prose(60, 80), s, s % 15), "en", "s", 1) for s in range(80)]
     out = {r.doc_id: r.component_id for r in near_dedup.near_groups(table(spark, data)).collect()}
     tops = brute_components([r[1] for r in data])
@@ -169,3 +169,74 @@ def test_edit_likeness(spark):
         assert got.near_next == fingerprints.resemblance(fingerprints.sketch(text), fingerprints.sketch(following))
     assert len(fingerprints.edit_likeness(table(spark)).collect()) == len(rows())
     assert fingerprints.edit_likeness(table(spark, [])).collect() == []
+
+
+def naive_edit(text: str, following: str) -> str:
+    """The contract's words, one code point after the other."""
+    n = len(text)
+    out = [text[i] for i in range(n - n // 2)]
+    for i in range(min(n // 2, len(following))):
+        out.append(following[i])
+    return "".join(out)
+
+
+def naive_bottom(text: str, k: int) -> set[int]:
+    """The k smallest hashes of a text's shingles, each hashed by itself."""
+    return set(sorted({int(shingle_hashes(list(s), 5)[0]) for s in shingle_set(words(text))})[:k])
+
+
+def naive_likeness(a: set[int], b: set[int], k: int) -> float:
+    both = set(sorted(a | b)[:k])
+    return len(a & b & both) / len(both) if both else 1.0
+
+
+@pytest.mark.parametrize("size", [1 << 22, 200])
+def test_fingerprints_by_brute_force(spark, monkeypatch, size):
+    """In one range, and in many, of which rows without id and rows of one id fill several."""
+    monkeypatch.setattr(fingerprints, "RANGE", size)
+    data = [(i, prose(i % 23, 3 + 7 * (i % 40)) + " é😀" * (i % 3), "en", "s", 1) for i in range(60)]
+    data += [(None, prose(200 + i, 20), None, None, None) for i in range(20)] + [(30, prose(300 + i, 20), "en", "s", 1) for i in range(20)] + [(61, None, None, None, None), (62, "", "en", "s", 0)]
+    out = fingerprints.edit_likeness(table(spark, data), k=16).collect()
+    assert len(out) == len(data)
+    # rows without id and of one id follow each other by a hash that is not known here: any text of theirs may follow
+    last = max(r[0] for r in data if r[0] is not None)
+    ids = sorted({r[0] for r in data if r[0] is not None})
+    texts = {}
+    for r in data:
+        texts.setdefault(r[0], []).append(r[1] or "")
+    seen = []
+    for r in out:
+        after = texts[None] if r.doc_id == last else texts[ids[0]] if r.doc_id is None else texts[ids[ids.index(r.doc_id) + 1]]
+        options = [(t, f) for t in texts[r.doc_id] for f in [*after, *(texts[r.doc_id] if len(texts[r.doc_id]) > 1 else [])]]
+        fits = [(t, f) for t, f in options if hashlib.sha256(naive_edit(t, f).encode()).hexdigest() == r.edited_sha256 and len(t) == r.n_chars]
+        assert fits
+        t, f = fits[0]
+        own, other, follows = (naive_bottom(x, 16) for x in (t, naive_edit(t, f), f))
+        assert set(fingerprints.unpacked(r.fingerprint).tolist()) == own and set(fingerprints.unpacked(r.edited_fingerprint).tolist()) == other
+        assert r.near_edited == naive_likeness(own, other, 16)
+        assert any(r.near_next == naive_likeness(own, naive_bottom(f, 16), 16) for _, f in fits)
+        seen.append(r.fingerprint)
+    assert len(set(seen)) == len({frozenset(naive_bottom(r[1] or "", 16)) for r in data})
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity is just above the threshold, without a third text that links them."""
+    data, linked = [], 0
+    for s in range(150):
+        base = prose(1000 + s, 150)
+        other = edited(base, s, 4)
+        a, b = shingle_set(words(base)), shingle_set(words(other))
+        linked += 100 * len(a & b) >= 75 * len(a | b)
+        data += [(2 * s, base, "en", "s", 1), (2 * s + 1, other, "en", "s", 1)]
+    out = near_dedup.near_groups(table(spark, data)).collect()
+    assert 100 < linked and sum(not r.kept for r in out) == linked
+
+
+def test_a_sieve_keeps_what_it_is_asked_for(spark):
+    from skyweave.llm.common import sieve
+
+    rows_ = spark.range(3000).selectExpr("id", "if(id = 5, null, id) AS k")
+    keys = spark.createDataFrame([(None,), (7,), (2999,), (-4,)], "k bigint")
+    some, others = sieve(rows_, rows_.k, keys, 1 << 17)
+    there = {r.id for r in some.collect()}
+    assert {5, 7, 2999} <= there and len(there) < 50 and there.isdisjoint(r.id for r in others.collect()) and others.count() == 3000 - len(there)

@@ -106,3 +106,28 @@ def test_groups_of_pieces_cost_no_more_sequences(spark):
     one, many = packing.pack(pieces, 256), packing.pack(pieces, 256, group=60)
     count = lambda df: df.select("sequence_id").distinct().count()
     assert many.count() == one.count() == pieces.count() and count(many) <= count(one) + 8
+
+
+def test_bins_are_joined_where_pieces_seldom_fill_one(spark):
+    """Three pieces of 33 leave one of 100 open; each group leaves bins that go together."""
+    data = [(i % 3, 0, 0, 33 if i % 7 else 20, 0) for i in range(1000)]
+    pieces = spark.createDataFrame(data, packing.PIECES)
+    out = packing.pack(pieces, 100, group=17).collect()
+    assert len(out) == len(data)
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for found in bins.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 100
+    best = len(set(packing.sum_of_squares(np.array(sorted((r[3] for r in data), reverse=True)), 100)))
+    assert len(bins) <= 1.05 * best + 1
+
+
+def test_repeated_pieces_spread_over_groups(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 60, 7)] * 200, packing.PIECES)
+    out = packing.packed_groups(pieces.selectExpr("*", "monotonically_increasing_id() AS row"), 10, 100, 0)
+    assert out.selectExpr("shiftright(sequence_id, 21) AS g").groupBy("g").count().agg({"count": "max"}).head()[0] < 50
