@@ -206,10 +206,11 @@ def test_wrapped_notices(classifier):
         for family, lines, ends in (("gpl", gpl, "version 2 of the License, or"), ("bsd", bsd, "met:"), ("mit", narrow, "documentation files")):
             head, tail = "é😀 " + prose(8, 5) + "\n\n" + mark + "Copyright (c) 2020 Someone\n", "\n\n" + prose(9, 90)
             text = head + "\n".join(mark + x for x in lines) + tail
-            ((start, end, got, _),) = licences.notices(classifier, text, {})
+            ((start, end, got, _),) = licences.notices(classifier, text, licences.Hashes())
             assert got == family and start == len(head) and text[start:end].endswith(ends)
     apart = "\n\n".join(gpl)
-    assert licences.notices(classifier, apart, {}) == [] and licences.notices(classifier, "\n".join(licences.NEAR_MISSES), {}) == []
+    assert all("\n" not in apart[a:b] for a, b, *_ in licences.notices(classifier, apart, licences.Hashes()))
+    assert licences.notices(classifier, "\n".join(licences.NEAR_MISSES), licences.Hashes()) == []
 
 
 def test_notices_without_the_word_license(spark, classifier):
@@ -219,13 +220,53 @@ def test_notices_without_the_word_license(spark, classifier):
     assert {r.doc_id: r.families for r in out} == dict(enumerate(cases.values()))
 
 
-def test_probabilities_are_calibrated(classifier):
+def test_names_denials_and_invented_licences(classifier):
+    found = {"MIT License": "mit", "Distributed under the GPL.": "gpl", "This code is GPLv3.": "gpl", "BSD-3-Clause license": "bsd", "The parser is covered by the Mozilla Public License.": "mpl"}
+    assert {t: (classifier.family(t) or [None])[0] for t in found} == found
+    none = [
+        "This work is not licensed under the Apache License", "Nothing here is licensed under the MIT License.", "The tool is not distributed under the GPL.", "Zorbo License", "Released under the Kalumi License 2.0.", "SPDX-License-Identifier: Tuvapo-2.0",
+        "The apache tribe had no license to fish.", "Their general public was licensed to sing.",
+    ]
+    assert not [t for t in none if classifier.family(t)]
+
+
+def test_probabilities_are_calibrated_on_wordings_left_out():
+    import numpy as np
+
+    lines = [prose(i, 12) for i in range(400)]
+    z, y = licences.held_out(lines)
+    z = z / licences.trained(lines).temperature
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    sure = p[:, 1:].max(axis=1) >= licences.CERTAIN
+    right = p.argmax(axis=1) == y
+    assert abs(p.max(axis=1).mean() - right.mean()) < 0.08 and (p[sure][:, 1:].argmax(axis=1) + 1 == y[sure]).mean() > 0.85
+    assert (~sure[y == 0]).mean() > 0.95
+
+
+def test_the_classifier_judges_as_one_unit_at_a_time(classifier):
+    """Sums over overlapping units by running sums are those of each unit's own n-grams."""
     import numpy as np
 
-    data = licences._variants(np.random.default_rng(99), [prose(7, 400)])
-    p = np.array([classifier.probabilities(w) for w, _ in data])
-    right = p.argmax(axis=1) == np.array([y for _, y in data])
-    assert right.mean() > 0.97 and abs(p.max(axis=1).mean() - right.mean()) < 0.06
+    words = licences.tokens(prose(5, 30) + " Released under the MIT License " + prose(6, 30))
+    spans = [(0, 3), (0, len(words)), (28, 40), (35, 36), (30, 35)]
+    got = classifier.probabilities(words, np.array(spans), licences.Hashes())
+    for row, (a, b) in zip(got, spans, strict=True):
+        at = np.concatenate(licences.places(words[a:b], licences.Hashes()))
+        z = (classifier.weights[at].sum(axis=0) / np.sqrt(len(at)) + classifier.weights[-1]) / classifier.temperature
+        assert np.allclose(row, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+
+
+def test_long_and_hard_texts_are_scanned_whole(classifier):
+    texts = [prose(1, 50_000).replace("\n", " ") + " Released under the MIT License. " + prose(2, 50), "a" * 1_000_000 + "\nMIT License", "x\n" * 200_000 + "MIT License", ("w " * 400_000) + "\n\nThis code is GPLv3.", "." * 500_000, "A. " * 200_000]
+    assert [len(licences.notices(classifier, t, licences.Hashes())) for t in texts] == [1, 1, 1, 1, 0, 0]
+    (found,) = licences.notices(classifier, texts[0], licences.Hashes())
+    assert "MIT License" in texts[0][found[0] : found[1]]
+
+
+def test_ties_go_to_the_first(classifier):
+    text = "MIT License\nMIT License\n\nMIT License"
+    assert [n[:3] for n in licences.notices(classifier, text, licences.Hashes())] == [(0, 11, "mit"), (12, 23, "mit"), (25, 36, "mit")]
 
 
 def test_licence_scan(spark, classifier):
