@@ -1,23 +1,31 @@
 """Main text of web pages by scoring the tree of elements (operator 10).
 
-Elements that are never part of an article (by tag, role, class or id) are taken out. Each
-paragraph of what is left gives points for its length and its commas to its ancestors, less
-the higher they stand; an element's points are discounted by the share of its text that is
-in links. The container with most points is kept with those siblings that have a fair share
-of them or read like prose, and the blocks of these are the text. An article or main element
-around the container is kept whole.
+Scripts, controls, navigation and what is hidden are taken out by their tags. Each paragraph
+of what is left gives points for its length and its commas, discounted by the share of its
+text that is in links: all of them to its container and to article and main elements around
+it, less to other ancestors the higher they stand. An element's points are discounted by the
+share of links once more. Words of a class or id, roles, forms and headers only weigh: what
+they mark is left out unless it has HALF of the page's points; marked reader comments, and
+what follows a title such as "Comments", are left out if anything else has points.
+
+The element with most points is kept with those siblings that have a fair share of them or
+read like prose, with headings before these and bare text between them, and all blocks of
+these are the text. Nothing inside of what is kept is left out for its links.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by one newline.
 
-Defined results: a null page counts as empty; a page without text gives the empty text; a
-tag that is not closed ends with its parent; rows that repeat are repeated.
+Whole pages are read, however long or deep. Defined results: a null page counts as empty; a
+page without text gives the empty text; a tag that is not closed ends with its parent; of
+elements with equally many points the first in page order is the best; rows that repeat are
+repeated.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from collections import Counter
+from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, slices, table
 
 #: Taken out wherever they stand.
-NEVER = frozenset("script style noscript template iframe object embed svg canvas math form input button select textarea nav footer aside menu dialog head title audio video map datalist progress".split())
+NEVER = frozenset("script style noscript template iframe object embed svg canvas input button select textarea nav footer aside menu dialog head title audio video map datalist progress".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption pre blockquote figure figcaption hr address header hgroup details summary center fieldset".split()
@@ -45,40 +53,102 @@ APART = frozenset(
     "related recommended recommendations trending popular more teaser teasers breadcrumb breadcrumbs pagination pager pages toolbar tools comment comments commentlist respond reply replies discussion disqus feedback reviews "
     "copyright legal disclaimer skip hidden outbrain taboola byline-social jump tags taglist".split()
 )
-#: Beginnings of such words.
+#: Those of reader comments.
+COMMENTS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+#: Words that stand beside them and say nothing else.
+NEUTRAL = frozenset("area bar block bottom box button buttons container content desktop fixed form global inner item items layer left link links list main message mobile outer page post posts primary right row secondary section site slot small sticky text thread top unit user wrap wrapper".split())
+#: Beginnings of such words, where they stand alone.
 APART_PREFIXES = ("share", "social", "sponsor", "advert", "cookie", "newsletter", "sidebar", "breadcrumb", "pagin", "navig", "footer", "subscri", "recommend")
-#: Of those, the words that also take out an article or main element.
-NOT_ARTICLE = frozenset("comment comments reply replies related recommended teaser teasers promo sponsored ad ads advert advertisement sidebar widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 LIKELY = frozenset("article content entry post story main body text page".split())
+#: Titles of reader comments; fixed values.
+TITLES = re.compile(r"(?:\d+ )?(?:(?:reader|user) )?(?:comments?|responses|replies|kommentare|commentaires|comentarios|leave a (?:comment|reply)|join the discussion)(?: \(\d+\))?:?", re.I)
+#: The share of a page's points that no mark outweighs.
+HALF = 0.5
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
-_CUT = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _STOP = re.compile(r"[.!?。！？…:;\"”»](?:\s|$)")
 _COMMA = re.compile("[,،、，]")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "chars", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "total", "chars", "linked", "mark")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.total, self.chars, self.linked, self.mark = 0.0, 0.0, 0, 0, ""
 
+    def elements(self) -> list[Element]:
+        return [c for c in self.children if not isinstance(c, str)]
 
-class Tree(HTMLParser):
-    """The tree of a page, however badly it is closed."""
+
+#: Elements whose content is text up to their end tag.
+RAW = frozenset("script style textarea title iframe noframes xmp".split())
+_OPEN = re.compile(r"<([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+
+
+class Tree:
+    """The tree of a page, however badly it is closed; what takes back what was read takes no more time than reading it."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = self.at = Element("html", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        attrs = {k: v or "" for k, v in attrs}
-        if tag == "html" or tag == "body" and self.root.attrs.get("body"):
+        self.open: Counter = Counter()  # tags from the root to where it is
+        self.stuck: set[tuple[int, str]] = set()  # end tags that end nothing there
+
+    def feed(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            tag = html.find("<", at)
+            self.text(html[at : tag if tag >= 0 else n])
+            if tag < 0:
+                return
+            begin = html[tag + 1 : tag + 2]
+            if html.startswith("<!--", tag):
+                end = html.find("-->", tag + 4)
+                at = end + 3
+            elif begin in ("!", "?", "/") or begin.isascii() and begin.isalpha():
+                end = html.find(">", tag)
+                at = end + 1
+                if end > 0 and begin == "/" and (name := _NAME.match(html, tag + 2)):
+                    self.end(name[0].lower())
+                elif end > 0 and begin not in "!?/":
+                    at = self.begun(html, tag, end)
+                    end = at if at >= 0 else -1
+            else:
+                end = tag
+                self.text("<")
+                at = tag + 1
+            if end < 0:
+                return  # what does not end ends the page
+
+    def begun(self, html: str, tag: int, end: int) -> int:
+        """Takes a start tag, with the text of an element without tags inside; gives the place after it, or -1."""
+        whole = _OPEN.match(html, tag)
+        name, inside = (whole[1], whole[2]) if whole else (_NAME.match(html, tag + 1)[0], html[tag + 1 : end])
+        at = whole.end() if whole else end + 1
+        name = name.lower()
+        attrs: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(inside):
+            attrs.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
+        self.start(name, attrs)
+        if inside.endswith("/") and name in ("svg", "path", "iframe"):
+            self.end(name)
+        elif name in RAW:
+            close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
+            return close.start() if close else -1
+        return at
+
+    def text(self, data: str) -> None:
+        if data:
+            self.at.children.append(unescape(data))
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        if tag == "html" or tag == "body" and self.open["body"]:
             return
         if tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "li", "article", "section", "div", "blockquote"})
@@ -88,70 +158,140 @@ class Tree(HTMLParser):
         self.at.children.append(new)
         if tag not in VOID:
             self.at = new
+            self.open[tag] += 1
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag and self.at.parent and tag in ("svg", "path", "script", "iframe"):
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
+        if not self.open[tag] or (id(self.at), tag) in self.stuck:
+            return
         at = self.at
-        while at and at.tag != tag:
+        while at.tag != tag:
             if at.tag in BLOCKS and tag not in BLOCKS and tag not in NEVER:
+                self.stuck.add((id(self.at), tag))
                 return  # an inline end tag does not end a block
             at = at.parent
-        if at and at.parent:
-            self.at = at.parent
+        self._leave(at)
 
-    def handle_data(self, data):
-        self.at.children.append(data)
+    def _leave(self, e: Element) -> None:
+        while self.at is not e:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        if e.parent:
+            self.open[e.tag] -= 1
+            self.at = e.parent
 
     def _end(self, tags: set[str], within: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         at = self.at
         while at.parent and at.tag not in within:
+            above = at.parent
             if at.tag in tags:
-                self.at = at.parent
+                self._leave(at)
                 if "td" not in tags and "tr" not in tags:
                     return
-            at = at.parent
+            at = above
 
 
 def marks(e: Element) -> set[str]:
-    found = {w.lower() for name in ("class", "id") for w in _WORD.findall(e.attrs.get(name, ""))}
-    return found
-
-
-def is_apart(e: Element, in_article: bool) -> bool:
-    if e.tag in NEVER or "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or e.attrs.get("role", "").lower() in ROLES or _HIDDEN.search(e.attrs.get("style", "")):
-        return True
-    if e.tag == "header":
-        return not in_article
-    words = marks(e)
+    return {w.lower() for name in ("class", "id") for w in _WORD.findall(e.attrs.get(name, ""))}
+
+
+def marked(e: Element, in_article: bool) -> str:
+    """What says that an element is not of the article: "comments", "apart" or nothing."""
+    found: set[str] = set()
+    for token in f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if words and all(w in APART or w in NEUTRAL for w in words) or len(words) == 1 and words[0].startswith(APART_PREFIXES):
+            found |= {w for w in words if w in APART or w.startswith(APART_PREFIXES)}
+    if found & COMMENTS and e.tag not in ("html", "body", "main"):
+        return "comments"
+    if e.tag == "article" and in_article:
+        return "comments"  # what HTML has articles in articles for
     if e.tag in ("html", "body", "main", "article"):
-        return e.tag == "article" and bool(words & NOT_ARTICLE) and not words & {"post", "entry", "story"}
+        return ""
+    if e.tag in ("form", "header") or e.attrs.get("role", "").lower() in ROLES:
+        return "" if e.tag == "header" and in_article else "apart"
     if e.tag in HEADINGS or e.tag not in BLOCKS and e.tag not in ("span", "a", "ins", "td", "th"):
-        return bool(words & {"ad", "ads", "hidden", "comments", "share"})
-    marked = words & APART | {w for w in words if w.startswith(APART_PREFIXES)}
-    if in_article and marked == {"header"}:
-        return False  # a title's own box
-    return bool(marked) and not words & {"article", "story"}
+        return "apart" if found & {"ad", "ads", "hidden", "share"} else ""
+    return "" if not found or in_article and found == {"header"} else "apart"
 
 
-def pruned(e: Element, in_article: bool = False) -> None:
-    """Takes out what is apart, and measures text and linked text."""
-    stack = [(e, in_article, False)]
+def hidden(e: Element) -> bool:
+    return "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(e.attrs.get("style", "")))
+
+
+def cleared(root: Element) -> None:
+    """Takes out what never is text, and tells what is marked."""
+    stack = [(root, False)]
+    while stack:
+        at, inside = stack.pop()
+        at.children = [c for c in at.children if isinstance(c, str) or c.tag not in NEVER and not hidden(c)]
+        at.mark = marked(at, inside)
+        inside = inside or at.tag == "article"
+        below = 0
+        for c in at.elements():
+            stack.append((c, inside))
+            if c.tag in HEADINGS:
+                level = int(c.tag[1])
+                if below and level <= below:
+                    below = 0
+                if TITLES.fullmatch(_SPACE.sub(" ", "".join(texts(c))).strip()):
+                    below = below or level
+            if below:
+                c.attrs = {**c.attrs, "class": "comments"}
+
+
+def texts(e: Element) -> list[str]:
+    out, stack = [], [e]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            out.append(at)
+        else:
+            stack.extend(reversed(at.children))
+    return out
+
+
+def measured(root: Element) -> None:
+    """Letters and linked letters of all elements, and the points of the paragraphs in them."""
+    stack = [(root, False)]
     order: list[tuple[Element, bool]] = []
     while stack:
-        at, inside, link = stack.pop()
+        at, link = stack.pop()
+        link = link or at.tag == "a" and "href" in at.attrs
         order.append((at, link))
-        inside = inside or at.tag in ("article", "main")
-        at.children = [c for c in at.children if isinstance(c, str) or not is_apart(c, inside)]
-        stack.extend((c, inside, link or at.tag == "a" and "href" in at.attrs) for c in at.children if not isinstance(c, str))
+        at.points = at.total = 0.0
+        stack.extend((c, link) for c in at.elements())
     for at, link in reversed(order):
-        link = link or at.tag == "a" and "href" in at.attrs
         own = sum(len(_SPACE.sub(" ", c).strip()) for c in at.children if isinstance(c, str))
-        at.chars = own + sum(c.chars for c in at.children if not isinstance(c, str))
-        at.linked = at.chars if link else sum(c.linked for c in at.children if not isinstance(c, str))
+        at.chars = own + sum(c.chars for c in at.elements())
+        at.linked = at.chars if link else sum(c.linked for c in at.elements())
+    for owner, text in blocks(root):
+        owner.total += worth(owner, text)
+    for at, _ in reversed(order):
+        if at.parent and at is not root:
+            at.parent.total += at.total
+
+
+def worth(owner: Element, text: str) -> float:
+    """A paragraph's points; titles have none."""
+    if owner.tag in HEADINGS:
+        return 0.0
+    return (min(len(text) / 100, 3) + len(_COMMA.findall(text)) + (len(text) >= 25)) * (1 - (density(owner) if owner.tag in ("p", "li", "td", "dd", "dt") else 0))
+
+
+def weighed(root: Element) -> None:
+    """Takes out what is marked and has too few of the points."""
+    for kind in ("comments", "apart"):
+        measured(root)
+        whole = root.total
+        stack = [root]
+        while stack:
+            at = stack.pop()
+            least = whole if kind == "comments" else HALF * whole
+            at.children = [c for c in at.children if isinstance(c, str) or c.mark != kind or c.total >= least and c.total]
+            stack.extend(at.elements())
+    measured(root)
 
 
 def blocks(e: Element) -> list[tuple[Element, str]]:
@@ -189,60 +329,73 @@ def density(e: Element) -> float:
 
 
 def scored(found: list[tuple[Element, str]]) -> list[Element]:
-    """Elements that paragraphs gave points, in page order."""
+    """Elements that paragraphs gave points, in page order of their first paragraph."""
     got: dict[int, Element] = {}
     for owner, text in found:
-        if owner.tag in HEADINGS:
+        points = worth(owner, text)
+        if not points:
             continue
-        points = min(len(text) / 100, 3) + len(_COMMA.findall(text)) + (len(text) >= 25)
-        at, level = owner if owner.tag in ("div", "section", "article", "main", "body", "html", "td") else owner.parent, 1
+        at, level = owner if owner.tag in ("div", "section", "article", "main", "body", "html", "td", "form") else owner.parent, 1
         while at:
             got[id(at)] = at
-            at.points += points / level
+            at.points += points if at.tag in ("article", "main") else points / level
             at, level = at.parent, level + 1
     for e in got.values():
         e.points *= 1 - density(e)
-        if marks(e) & LIKELY or e.tag in ("article", "main"):
+        if e.tag == "article":
             e.points *= 1.25
+        elif marks(e) & LIKELY and e.tag not in ("main", "body", "html"):
+            e.points *= 1.1
     return list(got.values())
 
 
-def chosen(root: Element) -> list[Element]:
-    """The best container with its siblings, or the article or main element around it."""
+def chosen(root: Element) -> list[Element | str]:
+    """The best element with those of its siblings that belong to it."""
     candidates = scored(blocks(root))
     if not candidates:
         return [root]
-    best = max(candidates, key=lambda e: e.points)  # of equal ones the innermost, which comes first
-    around = best
-    while around:
-        if around.tag in ("article", "main"):
-            return [around]
-        around = around.parent
-    if any(c.tag in ("article", "main") for c in candidates if _within(c, best)):
-        inner = [c for c in candidates if c.tag in ("article", "main") and _within(c, best)]
-        return [max(inner, key=lambda e: e.points)]
+    best = max(candidates, key=lambda e: e.points)  # of equal ones the first, which is the innermost
+    articles = [e for e in candidates if e.tag == "article"]
+    if best.tag == "main" and sum(e.total for e in articles) >= HALF * best.total:
+        best = max(articles, key=lambda e: e.points)  # what stands beside them in the main element must belong to them
     if not best.parent:
         return [best]
-    keep = []
+    semantic = best.tag in ("article", "main")
+    keep: list[Element | str] = []
+    waiting: list[Element | str] = []  # headings, until something after them is kept
+    seen = False
     for e in best.parent.children:
-        if isinstance(e, str):
-            continue
-        fair = e.points >= max(1.0, best.points * 0.2) or e.points > 0 and e.attrs.get("class") and e.attrs.get("class") == best.attrs.get("class")
-        text = " ".join(t for _, t in blocks(e)) if e is not best and e.tag in ("p", "pre", "blockquote", "ul", "ol", "table") else ""
-        alike = e.tag == best.tag and e.attrs.get("class") == best.attrs.get("class") and density(e) < 0.25
-        text = text or (" ".join(t for _, t in blocks(e)) if alike else "")
-        prose = len(text) > 80 and density(e) < 0.25 or text and density(e) < 0.25 and _STOP.search(text)
-        if e is best or fair or prose or e.tag in HEADINGS and density(e) < 0.5:
-            keep.append(e)
+        if e is best:
+            keep += [*waiting, e]
+            waiting, seen = [], True
+        elif isinstance(e, str):
+            text = _SPACE.sub(" ", e).strip()
+            if len(text) > 80 or text and _STOP.search(text):
+                keep += [*waiting, e]
+                waiting = []
+        elif e.tag in HEADINGS:
+            if density(e) < 0.5:
+                waiting.append(e)
+        elif belongs(e, best, semantic):
+            keep += [*waiting, e]
+            waiting = []
+        elif seen:
+            waiting = []
     return keep
 
 
-def _within(e: Element, outer: Element) -> bool:
-    while e:
-        if e is outer:
-            return True
-        e = e.parent
-    return False
+def belongs(e: Element, best: Element, semantic: bool) -> bool:
+    """Whether a sibling has a fair share of the points, or is prose."""
+    if e.tag == best.tag == "article":
+        return e.total > 0 and density(e) < 0.5
+    alike = e.tag == best.tag and e.attrs.get("class") == best.attrs.get("class")
+    if e.points >= max(1.0, best.points * 0.2) or e.points > 0 and alike and e.attrs.get("class"):
+        return True
+    prose = {"p", "pre", "blockquote", "table", "figure"} if semantic else {"p", "pre", "blockquote", "table", "figure", "ul", "ol", "dl"}
+    if e.tag not in prose and not alike or density(e) >= 0.25:
+        return False
+    text = " ".join(t for _, t in blocks(e))
+    return len(text) > 80 or bool(_STOP.search(text))
 
 
 def main_text(html: str | None) -> str:
@@ -250,14 +403,17 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(_CUT.sub("", html))
-    tree.close()
-    pruned(tree.root)
+    tree.feed(html)
+    cleared(tree.root)
+    weighed(tree.root)
     out = []
     for part in chosen(tree.root):
+        if isinstance(part, str):
+            out.append(_SPACE.sub(" ", part).strip())
+            continue
         for owner, text in blocks(part):
-            if part.tag not in ("article", "main") and owner.tag in ("ul", "ol", "li", "div", "section") and density(owner) > 0.6:
-                continue  # lists of links, where nothing says that they belong to the article
+            if part.tag in ("body", "html") and owner.tag in ("ul", "ol", "li") and density(owner) > 0.6:
+                continue  # lists of links beside the paragraphs, where no element holds the article
             out.append(text)
     return "\n".join(out)
 

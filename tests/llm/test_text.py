@@ -30,6 +30,97 @@ def test_shapes(page, text):
     assert html_text.main_text(page) == text
 
 
+PROSE = "Lorem ipsum, dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor."
+THREE = " ".join([PROSE] * 3)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><article><p>{THREE}</article><article><p>A second one, short but there.</article></main>", f"{THREE}\nA second one, short but there."),
+        (f"<body><form id=f><div id=head>Site</div><div class=content><h1>T</h1><p>{THREE}<p>{PROSE}</div><input><button>Go</button></form>", f"T\n{THREE}\n{PROSE}"),
+        (f"<body><h1>N</h1><div class=reviews><p>{THREE}<p>{PROSE}</div>", f"N\n{THREE}\n{PROSE}"),
+        (f"<article><p>{THREE}<div class=alert-system><p>The alert system, as built, works.</div><section id=legal-history><p>Its legal history, in short.</section></article>", f"{THREE}\nThe alert system, as built, works.\nIts legal history, in short."),
+        (f"<div><p>{PROSE}</p>Bare text that follows the paragraph, and is part of it.<div class=x><p>{THREE}</div></div>", f"{PROSE}\nBare text that follows the paragraph, and is part of it.\n{THREE}"),
+        (f"<div class=c><p>{THREE}</p><ul><li><a href=1>One source</a><li><a href=2>Other source</a></ul><p>{PROSE}</div>", f"{THREE}\nOne source\nOther source\n{PROSE}"),
+        (f"<main><article><p>{THREE}</article><ul><li>Bob: nice<li>Eve: thanks a lot</ul></main>", THREE),
+        (f"<main><h1>T</h1><p>{PROSE}<h2>3 Comments</h2><ul><li>Bob: nice, really, good, great, super, wow, yes</ul></main>", f"T\n{PROSE}"),
+        (f"<article><p>{PROSE}<article><p>A reader says, this is good.</article></article>", PROSE), (f"<article><p>Short one, ok.</article><section id=comments><p>{THREE}{THREE}</section>", "Short one, ok."),
+        (f"<div class='sidebar-left wrapper'><div class=post-header><h1>T</h1></div><p>{THREE}</div><div class=sidebar>Other things, of no matter.</div>", THREE), ("<article><p>Let <math><mi>x</mi></math> be.</article>", "Let x be."),
+    ],
+)
+def test_scores_decide(page, text):
+    assert html_text.main_text(page) == text
+
+
+def planted(seed: int) -> tuple[str, str]:
+    """A page and its article, with things around and in it that are not of it."""
+    import random
+
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice(["lorem", "ipsum,", "dolor", "sit", "amet,", "elit", "sed"]) for _ in range(n)) + "."
+    junk = [
+        lambda: "<div class=ad>Buy now, all of you.</div>", lambda: "<aside><p>Side, note, here.</p></aside>", lambda: "<script>var a = '<p>no</p>';</script>", lambda: "<form><label>Your name</label><input></form>", lambda: "<!-- <p>not this</p> -->",
+        lambda: f"<div id='cookie-notice'>{words(8)}</div>", lambda: "<nav><ul><li><a href=/>Home</a></ul></nav>", lambda: f"<ul class='related-posts'><li><a href=/x>{words(4)}</a></ul>", lambda: "<style>p{}</style>", lambda: f"<div class=share-buttons>{words(3)}</div>",
+    ]
+    body, text = [], []
+    for _ in range(rng.randint(3, 9)):
+        kind, t = rng.choice(["p", "p", "p", "h2", "blockquote", "li", "table", "pre", "div"]), words(rng.randint(12, 40))
+        marked = t.replace("dolor", rng.choice(["<b>dolor</b>", "do<i>lor</i>", "<a href=/d>dolor</a>", "dolor"]), 1).replace(" sit ", rng.choice([" sit ", "\n\t sit&#32;", " sit&nbsp;"]), 1)
+        body.append({"li": f"<ul><li>{marked}</ul>", "table": f"<table><tr><td>{marked}</table>", "blockquote": f"<blockquote><p>{marked}</blockquote>"}.get(kind, f"<{kind}>{marked}</{kind}>"))
+        text.append(t)
+        if rng.random() < 0.4:
+            body.append(rng.choice(junk)())
+    holder = rng.choice(["article", "div class=content", "main", "section id=story", "div"])
+    page = "".join(["<!doctype html><html><head><title>T</title></head><body>", "<header><h1>Site</h1></header>", *(j() for j in rng.sample(junk, 3)), f"<{holder}>", *body, f"</{holder.split()[0]}>", f"<section class=comments><p>{words(30)}</p></section>", *(j() for j in rng.sample(junk, 2)), "<footer>Us, all rights.</footer></body></html>"])
+    return page, "\n".join(text)
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_planted_articles(seed):
+    page, text = planted(seed)
+    assert html_text.main_text(page) == text
+
+
+def naive_points(e, root) -> float:
+    """An element's score from its definition: every paragraph below it, by its distance."""
+    total = 0.0
+    for owner, text in html_text.blocks(root):
+        if owner.tag in html_text.HEADINGS:
+            continue
+        at = owner if owner.tag in ("div", "section", "article", "main", "body", "html", "td", "form") else owner.parent
+        level = 1
+        while at and at is not e:
+            at, level = at.parent, level + 1
+        if at is e:
+            points = min(len(text) / 100, 3) + sum(text.count(c) for c in ",،、，") + (len(text) >= 25)
+            points *= 1 - (html_text.density(owner) if owner.tag in ("p", "li", "td", "dd", "dt") else 0)
+            total += points / (1 if e.tag in ("article", "main") else level)
+    total *= 1 - html_text.density(e)
+    return total * (1.25 if e.tag == "article" else 1.1 if html_text.marks(e) & html_text.LIKELY and e.tag not in ("main", "body", "html") else 1)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_scores_are_those_of_the_definition(seed):
+    tree = html_text.Tree()
+    tree.feed(planted(seed)[0])
+    html_text.cleared(tree.root)
+    html_text.weighed(tree.root)
+    for e in html_text.scored(html_text.blocks(tree.root)):
+        assert abs(e.points - naive_points(e, tree.root)) < 1e-6
+
+
+def test_long_and_deep_pages():
+    many = "".join(f"<p>{PROSE} {i}</p>" for i in range(20_000))
+    assert html_text.main_text(f"<article>{many}</article>").count("\n") == 19_999
+    for hard in ("<div>" * 50_000 + PROSE, "<" * 200_000, "<p " * 100_000, "<!--" * 100_000, "&" * 300_000, "<a href=" * 50_000, "</p>" * 100_000, "<p>a" * 50_000, "<![CDATA[" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<a title=\"x>" + "<b>" * 50_000, "<a '>" * 50_000, "<script>" * 50_000):
+        assert isinstance(html_text.main_text(hard), str)
+
+
+def test_ties_go_to_the_first():
+    assert html_text.main_text(f"<div><div class=a><p>{PROSE}</p></div></div><div><div class=b><p>{PROSE}</p></div></div>").startswith(PROSE)
+
+
 def test_extracted(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")], "page_id bigint, url string, html string")
     out = html_text.extracted(clashing(pages)).collect()
