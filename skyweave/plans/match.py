@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sky import haversine
 from ..operators import islands as isl
 from ..operators import pairing
 from ..operators import photometry as phot
@@ -25,7 +27,8 @@ class CrossMatch:
     """Astrometric match with one-sided density priors; each stage is a lazy DataFrame, written where it is used often.
 
     ``radius`` in arcseconds, ``most`` the CDF above which pairs do not overlap, ``area`` in
-    square degrees (the bounding box, if it is not given).
+    square degrees (that in both catalogues' hulls, if it is not given). ``points`` (keys, pt,
+    lon, lat) are the middles of sky cells, which have priors of their own.
     """
 
     a: DataFrame
@@ -37,6 +40,7 @@ class CrossMatch:
     keys: tuple[str, ...] = ()
     #: Columns of chunks at whose edges islands are rejected; none are where it is empty.
     edge_keys: tuple[str, ...] = ()
+    points: DataFrame | None = None
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -71,27 +75,55 @@ class CrossMatch:
         return self.all_members.join(self.sizes.where("not keep").select(*self.keys, "island"), [*self.keys, "island"], "left_semi")
 
     @cached_property
-    def field(self) -> DataFrame:
-        """(keys, area, na, nb): the field's area, and detected sources a square degree in each band of either side; a row for each chunk."""
-        box = lambda cat, which: cat.groupBy(*self.keys).agg(*(f(c).alias(f"{which}_{n}_{c}") for c in ("lon", "lat") for n, f in (("lo", F.min), ("hi", F.max))), F.array(*(F.count(m).cast("double") for m in self.bands)).alias(f"{which}_n"))
-        both = box(self.a, "a").join(box(self.b, "b"), list(self.keys)) if self.keys else box(self.a, "a").crossJoin(box(self.b, "b"))  # one row each
-        span = lambda c: F.greatest(f"a_hi_{c}", f"b_hi_{c}") - F.least(f"a_lo_{c}", f"b_lo_{c}")
-        both = both.withColumn("area", F.lit(float(self.area)) if self.area else span("lon") * span("lat"))
-        return both.select(*self.keys, "area", *(F.transform(f"{w}_n", lambda n: n / F.col("area")).alias(f"n{w}") for w in ("a", "b")))
-
-    @cached_property
-    def field_area(self) -> float:
-        return self.field.agg(F.sum("area")).head()[0]
+    def region(self) -> DataFrame:
+        """A row for each chunk: the hulls of both sides, and the area that is in both, by cell."""
+        return written(regions.joint_region(self.a, self.b, self.keys, self.points), "region")
+
+    def celled(self, cat: DataFrame) -> DataFrame:
+        """``cat`` with the nearest of its chunk's points as ``cell``; of equally near ones the first."""
+        if self.points is None:
+            return cat.withColumn("cell", F.lit(0))
+        k = list(self.keys)
+        some = self.points.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("pt", "lon", "lat"))).alias("points"))  # the settings' own
+        at = cat.join(some, k, "left") if k else cat.crossJoin(some)
+        near = F.array_min(F.transform("points", lambda p: F.struct(haversine(F.col("lon"), p["lon"], F.col("lat"), p["lat"]).alias("d"), p["pt"].alias("pt"))))
+        return at.withColumn("cell", near["pt"]).drop("points")
+
+    def counted(self, cat: DataFrame) -> DataFrame:
+        """The sources that densities are made of: those in both catalogues' hulls."""
+        if self.area:
+            return self.celled(cat)
+        k = list(self.keys)
+        hulls = self.region.select(*k, "hull_a", "hull_b")  # a row for each chunk
+        both = self.celled(cat).join(hulls, k) if k else self.celled(cat).crossJoin(hulls)
+        return both.where(regions.in_joint(F.col("lon"), F.col("lat"))).drop("hull_a", "hull_b")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """(keys, cell, area): of the hulls' common area what is nearest to each point; a circle of the search radius at least."""
+        least = F.lit(math.pi * (self.radius / 3600) ** 2)
+        if not self.area:
+            found = self.region.select(*self.keys, F.explode("cells").alias("c")).select(*self.keys, "c.cell", "c.area")
+        elif self.points is not None:
+            raise ValueError("cells need the area of the hulls; give either points or an area")
+        else:
+            found = self.a.select(*self.keys).unionByName(self.b.select(*self.keys)).distinct() if self.keys else self.a.sparkSession.range(1)
+            found = found.select(*self.keys, F.lit(0).alias("cell"), F.lit(float(self.area)).alias("area"))
+        return found.withColumn("area", F.greatest("area", least))
 
     @cached_property
-    def densities(self) -> tuple[list[float], list[float]]:
-        r = self.field.head()
-        return r.na, r.nb
+    def field(self) -> DataFrame:
+        """(keys, cell, area, na, nb): detected sources a square degree in each band of either side, by chunk and cell."""
+        k = [*self.keys, "cell"]
+        count = lambda cat, name: self.counted(cat).groupBy(*k).agg(F.array(*(F.count(m).cast("double") for m in self.bands)).alias(name))
+        both = self.cells.join(count(self.a, "na"), k, "left").join(count(self.b, "nb"), k, "left")
+        none = F.array_repeat(F.lit(0.0), len(self.bands))
+        return both.select(*k, "area", *(F.transform(F.coalesce(n, none), lambda x: x / F.col("area")).alias(n) for n in ("na", "nb")))
 
     def sources(self) -> tuple[DataFrame, DataFrame]:
-        """Both sides with their priors and likelihoods where photometry is not used."""
-        field = F.broadcast(written(self.field, "field"))  # a row for each chunk
-        with_field = lambda cat: cat.join(field, list(self.keys)) if self.keys else cat.crossJoin(field)
+        """Both sides with their priors and likelihoods where photometry is not used; a pair's are those of the second source's cell."""
+        field = written(self.field, "field")  # a row for each chunk and cell
+        with_field = lambda cat: self.celled(cat).join(field, [*self.keys, "cell"])
         counterpart = lambda x, y: F.least(x, y) / 2
         own = lambda n: F.element_at(n, F.col("best") + 1)
         like = F.lit(1 - 1e-10 + TINY_F)
@@ -160,27 +192,30 @@ class PhotometricMatch(CrossMatch):
         self.a, self.b = self.a.where(mag.isNotNull()), self.b.where(mag.isNotNull())
 
     @cached_property
-    def likelihoods(self) -> dict[tuple[int, int], tuple]:
-        areas = {f"{side}{round(f * 100)}": written(isl.integral_area(cat, self.pairs, side, f, self.keys), "areas") for side, cat in (("a", self.a), ("b", self.b)) for f in (0.63, 0.9)}
-        return {(i, j): phot.likelihoods(self.a, self.b, x, y, self.pairs, areas, self.field_area) for i, x in enumerate(self.bands) for j, y in enumerate(self.bands)}
+    def likelihoods(self) -> DataFrame:
+        """``photometry.likelihood_table`` of all chunks, cells and pairs of bands."""
+        return written(phot.likelihood_table(self.counted(self.a), self.counted(self.b), self.bands, self.pairs, self.cells, self.keys), "likelihoods")
 
     def sources(self) -> tuple[DataFrame, DataFrame]:
-        spark, found, n = self.a.sparkSession, self.likelihoods, len(self.bands)
-        bins_a, bins_b = [found[i, 0][1]["bins_a"] for i in range(n)], [found[0, j][1]["bins_b"] for j in range(n)]
-        slots = [(i, k) for i in range(n) for k in range(len(bins_a[i]))]
-        tables = {ij: t[0].set_index(["abin", "bbin"])["c"] for ij, t in found.items()}
-        like = lambda x: (float(x) if self.use_likelihood else 1 - 1e-10) + TINY_F
-        pair = lambda x: (float(x) if self.use_likelihood else (1 - 1e-10) ** 2) + TINY_C
-        a_rows = [(i, float(r.lo), float(r.hi), found[i, 0][1]["nfa"] + TINY_F, like(found[i, 0][1]["fa"][k]), slots.index((i, k))) for i in range(n) for k, r in enumerate(bins_a[i].itertuples())]
-        b_rows = [
-            (j, float(r.lo), float(r.hi), found[0, j][1]["nfb"] + TINY_F, like(found[0, j][1]["fb"][k]), [found[i, j][1]["nc"] + TINY_C for i, _ in slots], [pair(tables[i, j][m, k]) for i, m in slots])
-            for j in range(n) for k, r in enumerate(bins_b[j].itertuples())
-        ]
+        k, found, n = [*self.keys, "cell"], self.likelihoods, len(self.bands)
+        width = found.agg(F.max(F.size("a_bins"))).head()[0] or 0  # slots of a band; a pair of bands has a slot for each of its bins at most
+        like = (lambda f: f + TINY_F) if self.use_likelihood else (lambda f: F.lit(1 - 1e-10 + TINY_F))
+        a = found.where("bb = 0").select(*k, F.col("ba").alias("band"), (F.col("nfa") + TINY_F).alias("n"), F.posexplode("a_bins").alias("bin", "x"))
+        a = a.select(*k, "band", "n", "x.lo", "x.hi", like(F.col("x.f")).alias("f"), (F.col("band") * width + F.col("bin")).alias("slot"))
+        flat = found.select(*k, "bb", "ba", "nc", "nfb", F.posexplode("b_bins").alias("bin", "x"), "c")
+        pair = F.transform("c", lambda row: (F.get(row, F.col("bin")) if self.use_likelihood else F.lit((1 - 1e-10) ** 2)) + TINY_C)
+        padded = F.slice(F.concat(pair, F.array_repeat(F.lit(TINY_C), width)), 1, width)
+        flat = flat.select(*k, F.col("bb").alias("band"), "bin", "x.lo", "x.hi", "x.f", "ba", "nfb", padded.alias("c"), F.array_repeat(F.col("nc") + TINY_C, width).alias("nc"))
+        each = flat.groupBy(*k, "band", "bin").agg(F.min(F.struct("ba", "lo", "hi", "f", "nfb")).alias("x"), F.array_sort(F.collect_list(F.struct("ba", "c", "nc"))).alias("by"))  # a row for each band
+        b = each.select(*k, "band", "x.lo", "x.hi", like(F.col("x.f")).alias("f"), (F.col("x.nfb") + TINY_F).alias("n"), F.flatten("by.c").alias("c"), F.flatten("by.nc").alias("nc"))
         mag = F.element_at(F.array(*self.bands), F.col("best") + 1)
-        inside = lambda t: (F.col("best") == t["band"]) & (mag >= t["lo"]) & (mag < t["hi"])
-        ta = spark.createDataFrame(a_rows, "band int, lo double, hi double, n double, f double, slot int")  # a row for each bin
-        tb = spark.createDataFrame(b_rows, "band int, lo double, hi double, n double, f double, nc array<double>, c array<double>")
-        return self.a.join(F.broadcast(ta), inside(ta)).drop("band", "lo", "hi"), self.b.join(F.broadcast(tb), inside(tb)).drop("band", "lo", "hi")
+        own = lambda cat, t: self.celled(cat).withColumns({"band": F.col("best"), "__mag": mag}).join(t, [*k, "band"]).where("__mag >= lo and __mag < hi").drop("band", "__mag", "lo", "hi")
+        return own(self.a, written(a, "bins")), own(self.b, written(b, "bins"))
+
+
+@dataclass
+class BlendedPhotometricMatch(PhotometricMatch, BlendedMatch):
+    """The match with simulated blends and magnitudes."""
 
 
 def core_matches(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sky
 from ..operators import islands as isl
-from ..operators import spatial
-from ..sources.fixtures import EDGE_SQL, HAV, ISLAND_SQL, cat_a, cat_b, with_sql
+from ..operators import regions, spatial
+from ..sources.fixtures import CAT_SQL, EDGE_SQL, FIELD_SQL, HAV, ISLAND_SQL, NORTH_SQL, cat_a, cat_b, north, with_sql
 from .match import CrossMatch, core_matches, core_nonmatches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,17 @@ def match_of(spark: SparkSession, sf_dir: str) -> CrossMatch:
     return _match(spark.sparkContext.applicationId, sf_dir)
 
 
+@functools.lru_cache(maxsize=4)
+def _north(app: str, sf_dir: str) -> CrossMatch:
+    spark = SparkSession.getActiveSession()
+    return CrossMatch(north(cat_a(spark, sf_dir)), north(cat_b(spark, sf_dir)), RADIUS, MOST)
+
+
+def north_of(spark: SparkSession, sf_dir: str) -> CrossMatch:
+    """The same at latitude 60, across longitude zero."""
+    return _north(spark.sparkContext.applicationId, sf_dir)
+
+
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isl.overlap_pairs(cat_a(spark, sf_dir), cat_b(spark, sf_dir), RADIUS, MOST)
 
@@ -286,19 +297,37 @@ def island_size_gate(spark, sf_dir):
     return out.select("n_a", "n_b", F.when(F.least("n_a", "n_b") == 0, F.lit(1.0)).otherwise(sky.matchings("n_a", "n_b")).alias("ways"), "keep", "islands")
 
 
-@query(with_sql("SELECT side, id, island FROM mem WHERE island NOT IN (SELECT mem.island FROM mem JOIN (SELECT 'a' AS side, id, lon FROM cat_a UNION ALL SELECT 'b', id, lon FROM cat_b) p USING (side, id) WHERE abs(lon - 131) > 0.015)", *ISLANDS))
+#: Sources of whose circle, larger by a constant of the plan, no more than 0.9 is in the hull of their own catalogue, of a hundred points of a sunflower.
+_EDGE_R = RADIUS / 3600 * regions.inflation()
+EDGE_REJECT_SQL = f"""
+flower AS (SELECT i, {_EDGE_R!r} * sqrt((i - 0.5) / 99.5) * cos(2 * pi() * i / power((1 + sqrt(5)) / 2, 2)) AS dx, {_EDGE_R!r} * sqrt((i - 0.5) / 99.5) * sin(2 * pi() * i / power((1 + sqrt(5)) / 2, 2)) AS dy FROM range(1, 101) t(i)),
+rimmed AS (SELECT p.side, p.id, p.x, p.y FROM pts p WHERE EXISTS (SELECT 1 FROM edg e WHERE e.side = p.side AND ((e.x2 - e.x1) * (p.y - e.y1) - (e.y2 - e.y1) * (p.x - e.x1)) / sqrt(power(e.x2 - e.x1, 2) + power(e.y2 - e.y1, 2)) < 0.01)),
+lost AS (SELECT side, id FROM (SELECT r.side, r.id, i, bool_and((e.x2 - e.x1) * (r.y + dy - e.y1) - (e.y2 - e.y1) * (r.x + dx / cos(radians(r.y)) - e.x1) >= -1e-12) AS inside FROM rimmed r, flower JOIN edg e ON e.side = r.side GROUP BY r.side, r.id, i) GROUP BY side, id HAVING count(*) FILTER (inside) <= 90)"""
+
+
+def _edge_reject_sql(cats: str = CAT_SQL) -> str:
+    return with_sql("SELECT side, id, island FROM mem WHERE island NOT IN (SELECT island FROM mem JOIN lost USING (side, id))", *ISLANDS, FIELD_SQL, EDGE_REJECT_SQL, cats=cats)
+
+
+def _away_from_edges(m: CrossMatch) -> DataFrame:
+    near = [regions.near_edge(cat, RADIUS, ()).select(F.lit(side).alias("side"), "id") for side, cat in (("a", m.a), ("b", m.b))]
+    return isl.edge_reject(m.all_members, near[0].unionByName(near[1]))[0].select("side", "id", "island")
+
+
+@query(_edge_reject_sql())
 def edge_reject(spark, sf_dir):
-    """Islands without a source near the east or west edge."""
-    both = cat_a(spark, sf_dir).select(F.lit("a").alias("side"), "id", "lon").unionByName(cat_b(spark, sf_dir).select(F.lit("b").alias("side"), "id", "lon"))
-    return isl.edge_reject(match_of(spark, sf_dir).all_members, both.where(F.abs(F.col("lon") - 131) > 0.015))[0].select("side", "id", "island")
+    """Islands without a source whose circle leaves its catalogue's hull."""
+    return _away_from_edges(match_of(spark, sf_dir))
+
+
+@query(_edge_reject_sql(NORTH_SQL))
+def edge_reject_north(spark, sf_dir):
+    return _away_from_edges(north_of(spark, sf_dir))
 
 
 # Matches ----------------------------------------------------------------------------------
 
 MATCH_SQL = """
-area AS (SELECT (max(lon) - min(lon)) * (max(lat) - min(lat)) AS ar FROM (SELECT lon, lat FROM cat_a UNION ALL SELECT lon, lat FROM cat_b)),
-da AS (SELECT 0 AS best, count(mag1) / max(ar) AS d FROM cat_a, area UNION ALL SELECT 1, count(mag2) / max(ar) FROM cat_a, area),
-db AS (SELECT 0 AS best, count(mag1) / max(ar) AS d FROM cat_b, area UNION ALL SELECT 1, count(mag2) / max(ar) FROM cat_b, area),
 pa AS (SELECT x.best, x.d - least(x.d, y.d) / 2 + 1e-10 AS n FROM da x JOIN db y ON y.best = 0),
 pb AS (SELECT x.best, x.d - least(x.d, y.d) / 2 + 1e-10 AS n FROM db x JOIN da y ON y.best = 0),
 pc AS (SELECT x.best AS ba, y.best AS bb, least(x.d, y.d) / 2 + 1e-100 AS nc FROM da x, db y),
@@ -317,7 +346,7 @@ openp AS (SELECT g3.* FROM g3 JOIN free fa_ ON fa_.side = 'a' AND fa_.id = a JOI
 nm AS (SELECT f.side, f.id, f.island, coalesce(won.p, 1) AS match_p, o.sep AS nnm_sep, o.eta AS nnm_eta, o.xi AS nnm_xi FROM free f LEFT JOIN won USING (island)
   LEFT JOIN (SELECT 'a' AS side, a AS id, arg_min({'sep': sep, 'eta': eta, 'xi': xi}, (sep, b)) AS o FROM openp GROUP BY a UNION ALL SELECT 'b', b, arg_min({'sep': sep, 'eta': eta, 'xi': xi}, (sep, a)) FROM openp GROUP BY b) n ON n.side = f.side AND n.id = f.id,
   LATERAL (SELECT n.o.sep AS sep, n.o.eta AS eta, n.o.xi AS xi) o)""".replace("HAV", HAV)
-MATCHES = (*ISLANDS, MATCH_SQL)
+MATCHES = (*ISLANDS, FIELD_SQL, MATCH_SQL)
 
 
 @query(with_sql("SELECT a, b, round(match_p, 6) AS match_p, round(sep, 6) AS separation, round(eta, 6) AS eta, round(xi, 6) AS xi FROM res", *MATCHES))
@@ -326,6 +355,20 @@ def match_output(spark, sf_dir):
     return match_of(spark, sf_dir).matches.select("a", "b", r6("match_p", "match_p"), r6("sep", "separation"), r6("eta", "eta"), r6("xi", "xi"))
 
 
+@query(with_sql("SELECT a, b, round(match_p, 6) AS match_p, round(sep, 6) AS separation, round(eta, 6) AS eta, round(xi, 6) AS xi FROM res", *MATCHES, cats=NORTH_SQL))
+def match_output_north(spark, sf_dir):
+    """The matches of a field at latitude 60, across longitude zero."""
+    return north_of(spark, sf_dir).matches.select("a", "b", r6("match_p", "match_p"), r6("sep", "separation"), r6("eta", "eta"), r6("xi", "xi"))
+
+
+@query(with_sql("SELECT round(ar, 9) AS area, (SELECT count(*) FROM joint WHERE side = 'a') AS n_a, (SELECT count(*) FROM joint WHERE side = 'b') AS n_b FROM area", FIELD_SQL, cats=NORTH_SQL))
+def joint_area_north(spark, sf_dir):
+    """What both catalogues' hulls have in common, in square degrees, and the sources there."""
+    m = north_of(spark, sf_dir)
+    area = m.cells.select(F.round("area", 9).alias("area"))
+    return functools.reduce(lambda x, y: x.join(F.broadcast(y)), [area, *(m.counted(c).agg(F.count("*").alias(n)) for c, n in ((m.a, "n_a"), (m.b, "n_b")))])  # one row each
+
+
 @query(with_sql("SELECT side, id, round(match_p, 6) AS match_p, round(nnm_sep, 6) AS nnm_separation, round(nnm_xi, 6) AS nnm_xi FROM nm", *MATCHES))
 def nonmatch_output(spark, sf_dir):
     return match_of(spark, sf_dir).nonmatches.select("side", "id", r6("match_p", "match_p"), r6("nnm_sep", "nnm_separation"), r6("nnm_xi", "nnm_xi"))

@@ -13,8 +13,9 @@ from ..operators import regions
 from ..operators import statistics as stats
 from ..operators.auf import Blends
 from ..sources import catalog
-from ..sources.fixtures import EDGE_SQL, cat_a, cat_b, with_sql
-from .queries import HULL, POINTS, pairs_of, query, r6
+from ..sources.fixtures import EDGE_SQL, FIELD_SQL, NORTH_SQL, cat_a, cat_b, north, with_sql
+from .match import CrossMatch
+from .queries import HULL, POINTS, match_of, north_of, pairs_of, query, r6
 
 BINS_SQL = """
 lim AS (SELECT floor(min(mag1) / 0.1 + 1e-9) * 0.1 AS low, max(mag1) AS high FROM cat_b WHERE mag1 IS NOT NULL),
@@ -66,17 +67,24 @@ def area_percentiles(spark, sf_dir):
 _NEAR_VALUES = f"(VALUES {', '.join(f'({p}, {lon}::DOUBLE, {lat}::DOUBLE)' for p, lon, lat in POINTS)}) y(pt, lon, lat)"
 
 
-@query(with_sql("SELECT fa, fb, round(least(na, nb) / 2, 3) AS nc, round(na - least(na, nb) / 2, 3) AS nfa, round(nb - least(na, nb) / 2, 3) AS nfb FROM (SELECT 'mag1' AS fa, count(mag1) / max(ar) AS na FROM cat_a, ar UNION ALL SELECT 'mag2', count(mag2) / max(ar) FROM cat_a, ar) a, (SELECT 'mag1' AS fb, count(mag1) / max(ar) AS nb FROM cat_b, ar UNION ALL SELECT 'mag2', count(mag2) / max(ar) FROM cat_b, ar) b",
-                "ar AS (SELECT (max(lon) - min(lon)) * (max(lat) - min(lat)) AS ar FROM (SELECT lon, lat FROM cat_a UNION ALL SELECT lon, lat FROM cat_b))"))
+_PRIORS = """SELECT 'mag' || CAST(x.best + 1 AS VARCHAR) AS fa, 'mag' || CAST(y.best + 1 AS VARCHAR) AS fb, round(least(x.d, y.d) / 2, 3) AS nc, round(x.d - least(x.d, y.d) / 2, 3) AS nfa, round(y.d - least(x.d, y.d) / 2, 3) AS nfb FROM da x, db y"""
+
+
+def _priors(m: CrossMatch) -> DataFrame:
+    each = m.field.select(F.posexplode("na").alias("i", "x"), "nb").select("i", "x", F.posexplode("nb").alias("j", "y")).withColumn("c", F.least("x", "y") / 2)
+    name = lambda i: F.concat(F.lit("mag"), F.col(i) + 1)
+    return each.select(name("i").alias("fa"), name("j").alias("fb"), F.round("c", 3).alias("nc"), F.round(F.col("x") - F.col("c"), 3).alias("nfa"), F.round(F.col("y") - F.col("c"), 3).alias("nfb"))
+
+
+@query(with_sql(_PRIORS, FIELD_SQL))
 def onesided_priors(spark, sf_dir):
     """Densities of counterparts and field sources where photometry is not used: half of the sparser side matches."""
-    from .queries import match_of
+    return _priors(match_of(spark, sf_dir))
 
-    m = match_of(spark, sf_dir)
-    na, nb = m.densities
-    rows = [(fa, fb, x, y) for fa, x in zip(m.bands, na, strict=True) for fb, y in zip(m.bands, nb, strict=True)]
-    out = spark.createDataFrame(rows, "fa string, fb string, na double, nb double").withColumn("c", F.least("na", "nb") / 2)
-    return out.select("fa", "fb", F.round("c", 3).alias("nc"), F.round(F.col("na") - F.col("c"), 3).alias("nfa"), F.round(F.col("nb") - F.col("c"), 3).alias("nfb"))
+
+@query(with_sql(_PRIORS, FIELD_SQL, cats=NORTH_SQL))
+def onesided_priors_north(spark, sf_dir):
+    return _priors(north_of(spark, sf_dir))
 
 
 _REC = """
@@ -110,12 +118,24 @@ def eta_xi(spark, sf_dir):
 
 # Areas ------------------------------------------------------------------------------------
 
-@query(with_sql("SELECT CASE WHEN min(lon) < 1 AND max(lon) > 359 THEN min(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) ELSE min(lon) END AS lon_min, CASE WHEN min(lon) < 1 AND max(lon) > 359 THEN max(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) ELSE max(lon) END AS lon_max FROM (SELECT round((lon - 131 + 360) % 360, 6) AS lon FROM cat_a)"))
+_LIMITS = "SELECT {k} CASE WHEN lo <= 1 AND hi >= 359 THEN CASE WHEN far THEN 0 ELSE wlo END ELSE lo END AS lon_min, CASE WHEN lo <= 1 AND hi >= 359 THEN CASE WHEN far THEN 360 ELSE whi END ELSE hi END AS lon_max FROM (SELECT {k} min(lon) AS lo, max(lon) AS hi, min(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) AS wlo, max(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) AS whi, bool_or(abs(lon - 180) < 1) AS far FROM {t} GROUP BY ALL)"
+
+
+@query(with_sql(_LIMITS.format(k="", t="(SELECT round((lon - 131 + 360) % 360, 6) AS lon FROM cat_a)")))
 def min_max_lon(spark, sf_dir):
     """Limits of longitudes that lie on both sides of zero."""
     return regions.min_max_lon(cat_a(spark, sf_dir).select(F.round(F.pmod(F.col("lon") - 131 + 360, F.lit(360.0)), 6).alias("lon")))
 
 
+@query(with_sql(_LIMITS.format(k="kind,", t="(SELECT CAST(id % 3 AS INT) AS kind, round(CASE id % 3 WHEN 0 THEN (id * 7919) % 36000 / 100.0::DOUBLE WHEN 1 THEN 359 + (id % 200) / 100.0::DOUBLE - CASE WHEN id % 200 >= 100 THEN 360 ELSE 0 END ELSE 40 + (id % 70) END, 6) AS lon FROM cat_a)")))
+def min_max_lon_kinds(spark, sf_dir):
+    """Limits by group: the whole sky, both sides of zero, and neither."""
+    i = F.col("id")
+    zero = 359 + i % 200 / 100.0 - F.when(i % 200 >= 100, 360).otherwise(0)
+    lon = F.when(i % 3 == 0, i * 7919 % 36000 / 100.0).when(i % 3 == 1, zero).otherwise(40 + i % 70)
+    return regions.limits(cat_a(spark, sf_dir).select((i % 3).cast("int").alias("kind"), F.round(lon, 6).alias("lon")), ("kind",)).drop("shift")
+
+
 _HULL_VALUES = f"(VALUES {', '.join(f'({i}, {x}::DOUBLE, {y}::DOUBLE)' for i, (x, y) in enumerate(HULL))}) t(i, x, y)"
 
 
@@ -126,10 +146,27 @@ def shoelace(spark, sf_dir):
     return regions.shoelace(rows).select(F.round("area", 8).alias("area"))
 
 
-@query()
+#: The hull of longitudes scaled by the cosine of latitude, walked around point by point.
+_HULL_SQL = """flat AS (SELECT CASE WHEN lon + shift > 360 THEN lon + shift - 360 WHEN lon + shift < 0 THEN lon + shift + 360 ELSE lon + shift END * (cos(radians(lat)) + 1e-10) AS x, lat AS y FROM cat_a, (SELECT shift FROM shf WHERE side = 'a')),
+trip(n, x, y, th, sx, sy) AS (SELECT 0, s.x, s.y, 0::DOUBLE, s.x, s.y FROM (SELECT arg_min({'x': x, 'y': y}, (y, x)) AS s FROM flat) UNION ALL
+  SELECT n, x, y, th, sx, sy FROM (SELECT w.n + 1 AS n, p.x, p.y, atan2(p.y - w.y, p.x - w.x) AS th, w.sx, w.sy FROM trip w JOIN flat p ON p.x <> w.x OR p.y <> w.y WHERE w.n < 500
+    QUALIFY row_number() OVER (ORDER BY (atan2(p.y - w.y, p.x - w.x) - w.th + 4 * pi()) % (2 * pi()), -(power(p.y - w.y, 2) + power(p.x - w.x, 2))) = 1) WHERE x <> sx OR y <> sy)"""
+_HULL_OUT = "SELECT CAST(count(*) AS BIGINT) AS corners, round(abs(sum((x - sx) * (ny - sy) - (nx - sx) * (y - sy))) / 2, 9) AS area FROM (SELECT x, y, sx, sy, coalesce(lead(x) OVER (ORDER BY n), sx) AS nx, coalesce(lead(y) OVER (ORDER BY n), sy) AS ny FROM trip)"
+
+
+def _hull(cat: DataFrame) -> DataFrame:
+    return regions.hull(cat).agg(F.count("*").alias("corners"), F.round(F.max("area"), 9).alias("area"))
+
+
+@query(with_sql(_HULL_OUT, FIELD_SQL, _HULL_SQL))
 def hull_area(spark, sf_dir):
-    """Convex hull of a catalogue: its corners and area. Each partition keeps only its own hull."""
-    return regions.hull(cat_a(spark, sf_dir))
+    """Convex hull of a catalogue: how many corners, and the area. Each partition keeps only its own hull."""
+    return _hull(cat_a(spark, sf_dir))
+
+
+@query(with_sql(_HULL_OUT, FIELD_SQL, _HULL_SQL, cats=NORTH_SQL))
+def hull_area_north(spark, sf_dir):
+    return _hull(north(cat_a(spark, sf_dir)))
 
 
 _INSIDE = " + ".join(f"atan2(({x1} - px) * ({y2} - py) - ({y1} - py) * ({x2} - px), ({x1} - px) * ({x2} - px) + ({y1} - py) * ({y2} - py))" for (x1, y1), (x2, y2) in zip(HULL, HULL[1:] + HULL[:1], strict=True))
@@ -234,28 +271,22 @@ def chunk_queue(spark, sf_dir):
     return _chunks(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "chunk_id")))
 
 
+def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = match_of(spark, sf_dir)
+    return phot.likelihood_table(m.counted(m.a), m.counted(m.b), ("mag1",), m.pairs, m.cells)
+
+
 @query()
 def phot_like(spark, sf_dir):
     """Counterpart likelihood by magnitude bins of both catalogues, from masks, densities and the recurrence."""
-    from .queries import match_of
-
-    m = match_of(spark, sf_dir)
-    areas = {f"{side}{round(f * 100)}": isl.integral_area(cat, m.pairs, side, f) for side, cat in (("a", m.a), ("b", m.b)) for f in (0.63, 0.9)}
-    rows, _ = phot.likelihoods(m.a, m.b, "mag1", "mag1", m.pairs, areas, m.field_area)
-    return spark.createDataFrame(rows)
+    rows = _fitted(spark, sf_dir).select(F.posexplode("c").alias("abin", "row"))
+    return rows.select("abin", F.posexplode("row").alias("bbin", "c"))
 
 
 @query()
 def density_fit(spark, sf_dir):
     """Densities of counterparts and of field sources of both sides, a square degree."""
-    from .queries import match_of
-
-    m = match_of(spark, sf_dir)
-    areas = {f"{side}{round(f * 100)}": isl.integral_area(cat, m.pairs, side, f) for side, cat in (("a", m.a), ("b", m.b)) for f in (0.63, 0.9)}
-    found = phot.likelihoods(m.a, m.b, "mag1", "mag1", m.pairs, areas, m.field_area)[1]
-    return spark.createDataFrame([tuple(float(found[k]) for k in ("nc", "nfa", "nfb"))], "nc double, nfa double, nfb double")
-
-
+    return _fitted(spark, sf_dir).select("nc", "nfa", "nfb")
 
 
 @query()
