@@ -19,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,17 @@ class WordIds:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: encoded as one text with spaces between, and told apart by the library's count of words."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = array("I", encoding.ids).tobytes(), np.array(encoding.word_ids)
+            cuts = (4 * np.flatnonzero(np.diff(of, prepend=-1, append=-1))).tolist()
+            out += [ids[a:b] for a, b in pairwise(cuts)] if len(cuts) == len(part) + 1 else self.whole(part)
+        return out
+
     def plain(self, text: str) -> bool:
         try:
             raw = text.encode("latin-1")
@@ -74,15 +86,11 @@ class WordIds:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         known, split = self.words, self.pattern.findall
         words = [split(t.lower()) if self.plain(t) else None for t in texts]
-        every = set().union(*(w for w in words if w))
-        if len(known) + len(new := list(every - known.keys())) > WORDS:
-            known.clear()
-            new = list(every)
-        known.update(zip(new, self.whole(new), strict=True))
+        new = list(set().union(*(w for w in words if w)) - known.keys())
+        known.update(zip(new, self.apart(new), strict=True))
         out = [self.whole([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
-        for word in new:
-            if len(word) > LONG:
-                del known[word]
+        for word in new if len(known) > WORDS else (w for w in new if len(w) > LONG):
+            del known[word]  # a full table keeps the words that came first, which are the commonest
         return out
 
 
