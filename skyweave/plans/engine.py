@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,24 +10,39 @@ from pyspark.sql import functions as F
 
 from ..functions.sky import apply_pm
 from ..operators.astrometry import corrected
-from ..sources.catalog import read_csv, write_output
+from ..operators.auf import Blends
+from ..operators.blending import simulated_cells, with_cells
+from ..sources.catalog import read_csv, region_points, write_output
 from ..sources.config import Settings, SideSettings
-from .match import CrossMatch, PhotometricMatch
+from ..sources.simulations import count_cube, read_simulation
+from .match import BlendedMatch, BlendedPhotometricMatch, CrossMatch, PhotometricMatch
+from .storage import written
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def done_chunks(spark: SparkSession, folder: str) -> set:
-    """Chunks of which all outputs are there."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/matches")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return set()
-    return {s.getPath().getName().partition("=")[2] for s in files.listStatus(path) if s.isDirectory()}
+    """Chunks that are marked as done, also those without any match."""
+    path, files = _files(spark, f"{folder}/_done")
+    return {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+
+
+def mark_done(spark: SparkSession, folder: str, chunks: tuple) -> None:
+    """An empty file for each chunk, after all of its outputs."""
+    for chunk in chunks:
+        path, files = _files(spark, f"{folder}/_done/{chunk}")
+        files.create(path, True).close()
 
 
 def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
-    """The catalogue of all chunks, with chunk_id and a column for each filter; positions are moved to the epoch asked for."""
-    parts = [read_csv(spark, side.path.format(c), side.layout).withColumn("chunk_id", F.lit(str(c))) for c in chunks]
-    cat = reduce(DataFrame.unionByName, parts)
+    """The catalogue of all chunks in one scan, with chunk_id, from the path, and a column for each filter; positions are moved to the epoch asked for."""
+    cat = read_csv(spark, [side.path.format(c) for c in chunks], side.layout, ("file_path",))
+    before, _, after = side.path.partition("{}")
+    before = before.rpartition("/")[2] if "/" not in after else before  # the name of the file says the chunk, or a folder
+    cat = cat.withColumn("chunk_id", F.regexp_extract("file_path", f"{_literal(before)}([^/]+?){_literal(after)}$", 1)).drop("file_path")
     if side.layout.halo is None:
         cat = cat.withColumn("halo", F.lit(False))
     if side.motion:
@@ -35,54 +51,87 @@ def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
     return cat.withColumns({f"mag{i + 1}": F.col("mags")[i] for i in range(len(side.filters))})
 
 
+def _literal(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9_/ ])", r"\\\1", text)
+
+
 class Engine:
-    """All chunks of a match in one plan; with photometry, whose fits are a chunk's own, a plan for each chunk.
+    """All chunks of a match in one plan, with blends, photometry and sky cells as the settings ask for.
 
     ``corrections`` are terms (lon, lat, m, n) by side, "a" or "b", for sides whose settings ask for them.
     """
 
     def __init__(self, spark: SparkSession, settings: Settings, corrections: dict[str, list[tuple[float, float, float, float]]] | None = None):
         self.spark, self.settings, self.corrections = spark, settings, corrections or {}
+        s = settings
+        self.bands = tuple(f"mag{i + 1}" for i in range(max(len(s.a.filters), len(s.b.filters))))
+        self.how = Blends(fwhm=1.0, trials=s.trials) if s.blends else None
 
-    def catalogue(self, which: str, chunks: tuple, bands: tuple[str, ...]) -> DataFrame:
+    def catalogue(self, which: str, chunks: tuple) -> DataFrame:
         side = getattr(self.settings, which)
         cat = scan(self.spark, side, chunks)
         if side.correct:
             if which not in self.corrections:
                 raise ValueError(f"the settings of side {which} ask for corrections, and none are given")
             cat = corrected(cat, self.corrections[which])
-        return cat.withColumns({m: F.lit(None).cast("double") for m in bands if m not in cat.columns})
-
-    def match(self, chunks: tuple, kind: type[CrossMatch] = CrossMatch, **more) -> CrossMatch:
+        return cat.withColumns({m: F.lit(None).cast("double") for m in self.bands if m not in cat.columns})
+
+    def points(self, chunks: tuple) -> DataFrame:
+        """(chunk_id, pt, lon, lat): the middles of each chunk's sky cells."""
+        return reduce(DataFrame.unionByName, [region_points(self.spark, *self.settings.regions[c]).withColumn("chunk_id", F.lit(str(c))) for c in chunks])
+
+    def blended(self, which: str, cat: DataFrame, chunks: tuple) -> tuple[DataFrame, DataFrame]:
+        """A catalogue with the cell of each source's blends, and the simulated cells."""
+        side = getattr(self.settings, which).blends
+        models = []
+        for chunk in chunks:
+            rows, area, _ = read_simulation(self.spark, side.path.format(chunk))
+            each = rows.select(F.lit(str(chunk)).alias("pt"), F.posexplode(F.array(*side.columns)).alias("filt", "mag")).where("mag is not null")
+            cube = count_cube(each, self.spark.createDataFrame([(str(chunk), area)], "pt string, area double"), self.settings.mag_step)
+            models.append(cube.select(F.col("pt").alias("chunk_id"), F.col("filt").alias("band"), (F.col("mag_left") + F.col("width") / 2).alias("mag"), "density", "width"))
+        model = written(reduce(DataFrame.unionByName, models), "counts")
+        marked, cells = with_cells(cat, self.bands, model, side.radius, ("chunk_id",))
+        return written(marked, "marked"), written(simulated_cells(written(cells, "cells"), self.how, side.fwhms), "aufs")
+
+    def match(self, chunks: tuple, photometry: bool) -> CrossMatch:
         s = self.settings
-        bands = tuple(f"mag{i + 1}" for i in range(max(len(s.a.filters), len(s.b.filters))))
-        return kind(self.catalogue("a", chunks, bands), self.catalogue("b", chunks, bands), s.radius, s.fractions[2], bands=bands, keys=("chunk_id",), edge_keys=("chunk_id",) if s.edges else (), **more)
+        a, b = (self.catalogue(w, chunks) for w in "ab")
+        more: dict = {"use_likelihood": s.photometry} if photometry else {}
+        if s.blends:
+            (a, aufs_a), (b, aufs_b) = self.blended("a", a, chunks), self.blended("b", b, chunks)
+            more |= {"aufs_a": aufs_a, "aufs_b": aufs_b, "how": self.how}
+        kind = {(False, False): CrossMatch, (True, False): BlendedMatch, (False, True): PhotometricMatch, (True, True): BlendedPhotometricMatch}[s.blends, photometry]
+        return kind(a, b, s.radius, s.fractions[2], bands=self.bands, keys=("chunk_id",), edge_keys=("chunk_id",) if s.edges else (), points=self.points(chunks), **more)
 
     def run(self) -> dict[str, str]:
-        """Writes matches, nonmatches and rejects by chunk; gives their folders. With photometry, matches by position alone too."""
+        """Writes matches, nonmatches and rejects by chunk, with the catalogues' columns; gives their folders. With photometry, matches by position alone too."""
         s = self.settings
-        todo = tuple(c for c in s.chunks if str(c) not in done_chunks(self.spark, s.output))
+        done = done_chunks(self.spark, s.output)
+        todo = tuple(c for c in s.chunks if str(c) not in done)
         out = {name: f"{s.output}/{name}" for name in ("matches", "nonmatches", "rejects")}
-        if s.photometry or s.priors:
+        photometry = s.photometry or s.priors
+        if photometry:
             out |= {f"{name}_without_photometry": f"{s.output}/{name}_without_photometry" for name in ("matches", "nonmatches")}
-            for chunk in todo:
-                self._write(self.match((chunk,)), out, "_without_photometry")
-                self._write(self.match((chunk,), PhotometricMatch, use_likelihood=s.photometry), out, "")
-        elif todo:
-            self._write(self.match(todo), out, "")
+        if todo:
+            if photometry:
+                self._write(self.match(todo, False), out, "_without_photometry")
+            self._write(self.match(todo, photometry), out, "")
+            mark_done(self.spark, s.output, todo)
         return out
 
     def _write(self, m: CrossMatch, out: dict[str, str], kind: str) -> None:
-        tag = lambda cat, which: cat.select("chunk_id", F.col("id").alias(which), F.col("halo").alias(f"{which}_halo"))
+        columns = ["lon", "lat", "sig", *m.bands, "best"]
+        tag = lambda cat, which: cat.select("chunk_id", F.col("id").alias(which), F.col("halo").alias(f"{which}_halo"), *(F.col(c).alias(f"{which}_{c}") for c in columns))
         matches = m.matches.join(tag(m.a, "a"), ["chunk_id", "a"]).join(tag(m.b, "b"), ["chunk_id", "b"]).where(~F.col("a_halo") | ~F.col("b_halo")).drop("a_halo", "b_halo")
-        halo = m.a.select("chunk_id", F.lit("a").alias("side"), "id", "halo").unionByName(m.b.select("chunk_id", F.lit("b").alias("side"), "id", "halo"))
-        rest = m.nonmatches.join(halo, ["chunk_id", "side", "id"])
+        own = lambda cat, which: cat.select("chunk_id", F.lit(which).alias("side"), "id", "halo", *columns)
+        rest = m.nonmatches.join(own(m.a, "a").unionByName(own(m.b, "b")), ["chunk_id", "side", "id"])
         form = "csv" if self.settings.csv else "parquet"
+        flat = lambda df: df.select(*(F.to_json(c).alias(c) if form == "csv" and t.startswith("array") else F.col(c) for c, t in df.dtypes))
         if not kind:
             why = [(rest.where("halo"), "halo"), (m.too_large, "island size")] + ([(m.at_edge, "edge")] if m.edge_keys else [])
             rejects = reduce(DataFrame.unionByName, [df.select("chunk_id", "side", "id", F.lit(reason).alias("reason")) for df, reason in why])
             if isinstance(m, PhotometricMatch):
                 rejects = rejects.unionByName(m.unbinned.select("chunk_id", "side", "id", "reason"))
             write_output(rejects, out["rejects"], form, ("chunk_id",))
-        write_output(rest.where("not halo").drop("halo"), out[f"nonmatches{kind}"], form, ("chunk_id",))
-        write_output(matches, out[f"matches{kind}"], form, ("chunk_id",))  # last: a chunk counts as done by it
+        write_output(flat(rest.where("not halo").drop("halo")), out[f"nonmatches{kind}"], form, ("chunk_id",))
+        write_output(flat(matches), out[f"matches{kind}"], form, ("chunk_id",))

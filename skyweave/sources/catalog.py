@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,7 @@ from ..functions.sky import EDGE, rect_slice
 
 @dataclass(frozen=True)
 class Layout:
-    """Places of a CSV file's columns, from 0; ``id`` None numbers the rows of a single file in its order."""
+    """Places of a CSV file's columns, from 0; ``id`` None numbers the rows of each file in its order."""
 
     astro: tuple[int, int, int]
     mags: tuple[int, ...]
@@ -25,12 +25,16 @@ class Layout:
     header: bool = False
 
 
-def read_csv(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """A catalogue with id, lon, lat, sig, mags, best and, where declared, halo, snrs and motion; NaN and blanks are null."""
+def read_csv(spark: SparkSession, path: str | list[str], layout: Layout, more: tuple[str, ...] = ()) -> DataFrame:
+    """A catalogue with id, lon, lat, sig, mags, best and, where declared, halo, snrs and motion; NaN and blanks are null.
+
+    ``more`` are fields of the file metadata, such as ``file_path``, that are kept.
+    """
     last = max([*layout.astro, *layout.mags, layout.best, *(x for x in (layout.halo, layout.id) if x is not None), *layout.snrs, *layout.motion])
     raw = spark.read.csv(path, schema=T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(last + 1)]), header=layout.header, enforceSchema=True)
+    raw = raw.select("*", *(F.col(f"_metadata.{m}").alias(m) for m in more)) if layout.id is not None else numbered(raw)
     number = lambda i: F.nanvl(F.expr(f"try_cast(_{i} AS double)"), F.lit(None).cast("double"))
-    columns = [F.monotonically_increasing_id().alias("id") if layout.id is None else F.col(f"_{layout.id}").cast("bigint").alias("id")]
+    columns = [F.col("row_number").alias("id") if layout.id is None else F.col(f"_{layout.id}").cast("bigint").alias("id")]
     columns += [number(i).alias(n) for i, n in zip(layout.astro, ("lon", "lat", "sig"), strict=True)]
     columns += [F.array(*map(number, layout.mags)).alias("mags"), number(layout.best).cast("int").alias("best")]
     if layout.halo is not None:
@@ -39,12 +43,21 @@ def read_csv(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
         columns.append(F.array(*map(number, layout.snrs)).alias("snrs"))
     if layout.motion:
         columns += [number(i).alias(n) for i, n in zip(layout.motion, ("pm_lon", "pm_lat"), strict=True)]
-    return raw.select(columns)
+    return raw.select(*columns, *more)
+
 
+def numbered(raw: DataFrame) -> DataFrame:
+    """Rows of text files with ``file_path`` and ``row_number``, from 0 in the order of each file, however it is split.
 
-def long_photometry(cat: DataFrame) -> DataFrame:
-    """(id, filt, mag) of the detections."""
-    return cat.select("id", F.posexplode("mags").alias("filt", "mag")).where("mag is not null")
+    Rows are counted by split; a row's number is its place in its split after the rows of the
+    splits before it.
+    """
+    rows = raw.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__at"))
+    by = ["file_path", "__split"]
+    splits = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("file_path").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.select(*by, "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(splits, by).withColumn("row_number", F.col("__before") + F.col("__at") - F.col("__first")).drop("__split", "__at", "__first", "__before")
 
 
 def region_points(spark: SparkSession, kind: str, points: list) -> DataFrame:

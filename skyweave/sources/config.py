@@ -11,6 +11,8 @@ from .catalog import Layout
 JOINT = ("pos_corr_dist", "int_fracs", "chunk_id_list", "output_save_folder", "include_perturb_auf", "include_phot_like", "use_phot_priors", "cf_region_type", "cf_region_frame", "cf_region_points_per_chunk", "make_output_csv")
 SIDE = ("cat_name", "cat_csv_file_path", "filt_names", "pos_and_err_indices", "mag_indices", "best_mag_index_col", "chunk_overlap_col", "csv_has_header", "chunk_id_list", "auf_region_frame", "correct_astrometry", "apply_proper_motion")
 FRAMES = ("equatorial", "galactic")
+#: What either side's settings need where blends are simulated.
+BLENDED = ("psf_fwhms", "tri_filt_names", "auf_file_path", "dens_dist")
 
 
 def loaded(path: str) -> dict:
@@ -25,6 +27,16 @@ def loaded(path: str) -> dict:
     return yaml.safe_load(text)
 
 
+@dataclass(frozen=True)
+class SideBlends:
+    """Widths of the profile by filter, columns and path of the simulated counts of each chunk, and the radius of local densities."""
+
+    fwhms: tuple[float, ...]
+    columns: tuple[str, ...]
+    path: str
+    radius: float
+
+
 @dataclass(frozen=True)
 class SideSettings:
     name: str
@@ -35,6 +47,7 @@ class SideSettings:
     correct: bool
     reference_epoch: float | None = None
     move_to_epoch: float | None = None
+    blends: SideBlends | None = None
 
 
 @dataclass(frozen=True)
@@ -50,6 +63,9 @@ class Settings:
     edges: bool
     a: SideSettings
     b: SideSettings
+    blends: bool = False
+    trials: int = 10_000
+    mag_step: float = 0.1
 
 
 def _number(config: dict, key: str, where: str, positive: bool = False) -> float:
@@ -86,7 +102,7 @@ def epoch(value) -> float:
     return float(text)
 
 
-def _side(config: dict, where: str) -> SideSettings:
+def _side(config: dict, where: str, blended: bool) -> SideSettings:
     for key in SIDE:
         if key not in config:
             raise ValueError(f"{key} is missing from the {where} settings")
@@ -107,7 +123,18 @@ def _side(config: dict, where: str) -> SideSettings:
         motion=_integers(config, "pm_indices", where) if motion else (), id=config.get("id_col"), header=bool(config["csv_has_header"]),
     )
     epochs = [epoch(config[k]) if motion else None for k in ("ref_epoch_or_index", "move_to_epoch")] if motion else [None, None]
-    return SideSettings(config["cat_name"], config["cat_csv_file_path"], tuple(config["filt_names"]), layout, motion, bool(config["correct_astrometry"]), *epochs)
+    for key, what in (("run_psf_auf", "the psf algorithm without a table of shifts"), ("fit_gal_flag", "galaxy counts beside the simulated ones"), ("download_tri", "downloads of simulations")):
+        if config.get(key):
+            raise ValueError(f"{key} asks for {what}, which the engine does not have, in the {where} settings")
+    blends = None
+    if blended:
+        for key in BLENDED:
+            if key not in config:
+                raise ValueError(f"{key} is missing from the {where} settings, and include_perturb_auf needs it")
+        if not len(config["psf_fwhms"]) == len(config["tri_filt_names"]) == len(mags):
+            raise ValueError(f"psf_fwhms and tri_filt_names need an entry for each filter in the {where} settings")
+        blends = SideBlends(tuple(map(float, config["psf_fwhms"])), tuple(config["tri_filt_names"]), config["auf_file_path"], _number(config, "dens_dist", where, True))
+    return SideSettings(config["cat_name"], config["cat_csv_file_path"], tuple(config["filt_names"]), layout, motion, bool(config["correct_astrometry"]), *epochs, blends)
 
 
 def settings(joint: dict, a: dict, b: dict) -> Settings:
@@ -115,7 +142,10 @@ def settings(joint: dict, a: dict, b: dict) -> Settings:
     for key in JOINT:
         if key not in joint:
             raise ValueError(f"{key} is missing from the joint settings")
-    sides = _side(a, "first"), _side(b, "second")
+    if joint["include_perturb_auf"] not in (True, False):
+        raise ValueError("include_perturb_auf should be true or false")
+    blended = joint["include_perturb_auf"]
+    sides = _side(a, "first", blended), _side(b, "second", blended)
     if len({joint["cf_region_frame"], a["auf_region_frame"], b["auf_region_frame"]}) > 1 or joint["cf_region_frame"] not in FRAMES:
         raise ValueError("the frames of the three settings should be the same, equatorial or galactic")
     if not list(joint["chunk_id_list"]) == list(a["chunk_id_list"]) == list(b["chunk_id_list"]):
@@ -129,7 +159,10 @@ def settings(joint: dict, a: dict, b: dict) -> Settings:
         raise ValueError("int_fracs should be three shares: bright, field and overlap")
     if joint["include_phot_like"] and not joint["use_phot_priors"] and joint.get("strict_priors"):
         raise ValueError("likelihoods without priors are not allowed where strict_priors is set")
-    if joint["include_perturb_auf"] not in (True, False):
-        raise ValueError("include_perturb_auf should be true or false")
+    for key in ("num_trials", "d_mag"):
+        if blended and key not in joint:
+            raise ValueError(f"{key} is missing from the joint settings, and include_perturb_auf needs it")
+    if joint["cf_region_frame"] == "galactic" and any(side.motion for side in sides):
+        raise ValueError("proper motions are moved in the equatorial frame only")
     regions = dict(zip(joint["chunk_id_list"], joint["cf_region_points_per_chunk"], strict=True))
-    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides)
+    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides, blended, int(_number(joint, "num_trials", "joint", True)) if blended else 0, _number(joint, "d_mag", "joint", True) if blended else 0.1)
