@@ -241,3 +241,124 @@ def test_pairs_with_blends_agree_with_the_closed_form(spark):
         assert r.cdf == pytest.approx(1 - math.exp(-(r.sep**2) / 0.68), abs=1e-3)
         assert r.g == pytest.approx(math.exp(-(r.sep**2) / 0.68) / (math.pi * 0.68) * 3600**2, rel=1e-2)
         assert r.contam_a == [0, 0] and r.contam_b == pytest.approx([0.5, 0.9] if r.nm_b == 2 else [0, 0])
+
+
+def test_ids_are_in_file_order_however_files_are_split(spark, tmp_path):
+    lines = [f"{131 + i / 1e5},{i % 90},0.1,12.5,11.0,0,0" for i in range(40_000)]
+    for name in "xy":
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        rows = catalog.read_csv(spark, [str(tmp_path / "x.csv"), str(tmp_path / "y.csv")], catalog.Layout((0, 1, 2), (3, 4), 5, 6), ("file_path",))
+        assert rows.rdd.getNumPartitions() > 5
+        got = rows.where(F.round((F.col("lon") - 131) * 1e5) == F.col("id")).groupBy("file_path").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["count"] for r in got] == [40_000, 40_000]
+
+
+def star_counts(path):
+    rng = np.random.default_rng(5)
+    mags = 18 - rng.exponential(1.4, 6000)
+    path.write_text("#area = 0.02 sq deg\n#Av at infinity = 0.1\n#x y\n" + "".join(f"{m:.3f} {m + 0.2:.3f}\n" for m in mags))
+
+
+@pytest.mark.parametrize(("blends", "photometry"), [(True, False), (True, True), (False, True)])
+def test_engine_with_all_switches(spark, tmp_path, blends, photometry):
+    """Two chunks, one of them across longitude zero, each with two sky cells; CSV in, CSV out."""
+    rng = np.random.default_rng(12)
+    for k, lon in ((1, 131), (2, 0)):
+        star_counts(tmp_path / f"counts_{k}.dat")
+        for name, rows in zip("ab", planted(lon, 700, 800, 600), strict=True):
+            (tmp_path / f"{name}_{k}.csv").write_text("".join(f"{i},{float(x)!r},{float(y)!r},0.15,{10 + i % 50 / 10 + rng.normal(0, 0.05)},{11 + i % 40 / 10},{i % 2},0\n" for i, x, y in rows))
+    joint, a, b = settings_of(tmp_path)
+    joint |= {"include_perturb_auf": blends, "include_phot_like": photometry, "use_phot_priors": photometry, "num_trials": 500, "d_mag": 0.5, "make_output_csv": True}
+    joint["cf_region_points_per_chunk"] = [[130.9, 131.1, 2, 0, 0, 1], [-0.1, 0.1, 2, 0, 0, 1]]
+    for side in (a, b):
+        side |= {"psf_fwhms": [0.5, 0.6], "tri_filt_names": ["x", "y"], "auf_file_path": f"{tmp_path}/counts_{{}}.dat", "dens_dist": 0.02}
+    out = Engine(spark, config.settings(joint, a, b)).run()
+    got = {(str(p).split("chunk_id=")[1][0], *line.split(",")) for p in (tmp_path / "out" / "matches").rglob("*.csv") for line in p.read_text().splitlines()}
+    found = {(g[0], int(g[1]), int(g[2])) for g in got}
+    true = {(k, i, i) for k in "12" for i in range(600)}
+    assert len(found & true) > 1130 and len(found - true) < 40
+    one = next(g for g in got if g[1] == g[2] == "7" and g[0] == "1")
+    line = next(x for x in (tmp_path / "a_1.csv").read_text().splitlines() if x.startswith("7,")).split(",")
+    assert line[1] in one and line[4] in one
+    stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.csv")}
+    Engine(spark, config.settings(joint, a, b)).run()
+    assert stamp == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.csv")}
+
+
+@pytest.mark.parametrize(("where", "key", "value", "message"), [(1, "psf_fwhms", None, "psf_fwhms"), (1, "fit_gal_flag", True, "galaxy"), (2, "run_psf_auf", True, "psf"), (0, "num_trials", None, "num_trials"), (2, "dens_dist", "x", "number"), (1, "psf_fwhms", [0.5], "each filter")])
+def test_settings_of_blends_are_checked(tmp_path, where, key, value, message):
+    parts = settings_of(tmp_path)
+    parts[0].update({"include_perturb_auf": True, "num_trials": 10, "d_mag": 0.1})
+    for side in parts[1:]:
+        side.update({"psf_fwhms": [0.5, 0.6], "tri_filt_names": ["x", "y"], "auf_file_path": "c_{}.dat", "dens_dist": 0.02})
+    parts[where][key] = value
+    if value is None:
+        del parts[where][key]
+    with pytest.raises(ValueError, match=message):
+        config.settings(*parts)
+
+
+def test_a_chunk_without_matches_is_done(spark, tmp_path):
+    for name, lat in (("a", 0.0), ("b", 1.0)):
+        (tmp_path / f"{name}_1.csv").write_text("".join(f"{i},{131 + i * 0.01},{lat + i % 3 * 0.01},0.3,12.0,,0,0\n" for i in range(20)))
+    found = config.settings(*settings_of(tmp_path, (1,)))
+    out = Engine(spark, found).run()
+    assert spark.read.parquet(out["nonmatches"]).count() == 40
+    stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    Engine(spark, found).run()
+    assert stamp == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+
+
+def test_cells_have_priors_of_their_own(spark):
+    """Twice as many of the second catalogue's sources on one side: its density doubles there and nowhere else."""
+    rng = np.random.default_rng(4)
+    rows = [(i, 10 + x, y) for i, (x, y) in enumerate(rng.uniform(0, 1, (3000, 2)))]
+    more = [(10_000 + i, 10 + x / 2, y) for i, (x, y) in enumerate(rng.uniform(0, 1, (1500, 2)))]
+    a, b = (cat(spark, r).withColumns({"sig": F.lit(0.1), "mag1": F.lit(12.0), "best": F.lit(0)}) for r in (rows, [*rows, *more]))
+    points = spark.createDataFrame([(0, 10.25, 0.5), (1, 10.75, 0.5)], "pt int, lon double, lat double")
+    m = CrossMatch(a, b, bands=("mag1",), points=points)
+    field = {r.cell: r for r in m.field.collect()}
+    assert field[0].area == pytest.approx(0.5, rel=0.02) == field[1].area and field[0].nb[0] / field[1].nb[0] == pytest.approx(2, rel=0.15)
+    pairs = m.matches.count()
+    assert pairs > 2900
+
+
+def test_local_densities_on_a_grid(spark):
+    from skyweave.operators.blending import celled, grid_density
+
+    rng = np.random.default_rng(6)
+    for lon, lat in ((40, 0), (0, 60)):
+        rows = [(i, (lon + x / math.cos(math.radians(lat))) % 360, lat + y) for i, (x, y) in enumerate(rng.uniform(-1, 1, (20_000, 2)))]
+        df = cat(spark, rows)
+        out = celled(df, 0.2).join(grid_density(df, 0.2, []), ["row", "col"]).agg(F.avg("density").alias("m"), F.stddev("density").alias("s")).head()
+        assert out.m == pytest.approx(5000, rel=0.05) and out.s < 600
+
+
+@pytest.mark.parametrize(("lon", "lat"), [(131, 0), (0, 60), (359.9, -70)])
+def test_areas_and_edges_everywhere(spark, lon, lat):
+    from skyweave.operators import regions
+
+    rng = np.random.default_rng(8)
+    rows = [(i, (lon + x) % 360, lat + y) for i, (x, y) in enumerate(rng.uniform(-0.5, 0.5, (4000, 2)))]
+    df = cat(spark, rows)
+    true = math.degrees(math.sin(math.radians(lat + 0.5)) - math.sin(math.radians(lat - 0.5)))
+    other = cat(spark, [(i, (x + 0.5) % 360, y) for i, x, y in rows])
+    (joint,) = regions.joint_region(df, other, ()).collect()
+    assert joint.cells[0].area == pytest.approx(true / 2, rel=0.03)
+    assert regions.hull(df).head().area == pytest.approx(true, rel=0.03)
+    near = {r.id for r in regions.near_edge(df, 0.01 * 3600, ()).collect()}
+    depth = {i: min(0.5 - abs((x - lon + 180) % 360 - 180), 0.5 - abs(y - lat)) for i, x, y in rows}
+    wide = {i: min((0.5 - abs((x - lon + 180) % 360 - 180)) * math.cos(math.radians(lat)), 0.5 - abs(y - lat)) for i, x, y in rows}
+    assert all(wide[i] < 0.025 for i in near) and all(i in near for i in wide if depth[i] < 0.0005)
+
+
+def test_the_inflation_of_a_circle():
+    from skyweave.operators.regions import inflation
+
+    x = 1 / inflation(0.1)
+    assert (math.acos(x) - x * math.sqrt(1 - x * x)) / math.pi == pytest.approx(0.1, abs=1e-3)
