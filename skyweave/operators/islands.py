@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import auf_cdf, auf_radius, matchings
-from ..plans.storage import written
+from ..plans.storage import dropped, written
 from .spatial import radius_join
 
 MAX_MEMBERS = 20
@@ -42,17 +42,20 @@ def islands(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     edges = pairs.select(*keys, (F.col("a") * 2).alias("u"), (F.col("b") * 2 + 1).alias("v"))
     k = list(keys)
     links = written(_down(edges, k), "overlaps")
-    while True:
+    before = _sums(links, k)
+    while before[0]:
         both = links.select(*k, "u", "v").unionByName(links.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*k, "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = _down(both.where("v > u").join(least, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v")), k)
         low = large.groupBy(*k, "u").agg(F.min("v").alias("m"))
         small = large.join(low, [*k, "u"]).select(*k, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(*k, "u", F.col("m").alias("v")))
         after = written(_down(small, k), "overlaps")
-        before, now = (x.agg(F.count("*"), F.sum(F.xxhash64(*k, "u", "v").cast("decimal(20,0)"))).head() for x in (links, after))
+        now = _sums(after, k)
+        dropped(links)
         links = after
         if before == now:
             break
+        before = now
     named = links.select(*k, F.col("u").alias("vertex"), F.col("v").alias("island"))
     return named.unionByName(links.select(*k, F.col("v").alias("vertex"), F.col("v").alias("island")).distinct())
 
@@ -61,6 +64,11 @@ def _down(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _sums(links: DataFrame, keys: list[str]) -> tuple:
+    """Number and checksum of links, to tell whether a round changed them."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).head())
+
+
 def membership(a: DataFrame, b: DataFrame, found: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, side, id, island): every source, also those alone in their island."""
     k = list(keys)

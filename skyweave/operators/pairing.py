@@ -1,7 +1,7 @@
 """The most probable matches of each island, with their posterior and the evidence.
 
 Islands with one source on a side have closed forms, which are aggregates. Larger ones,
-which the size gate bounds, are enumerated in a kernel for each island.
+which the size gate bounds, go to a kernel, many to a batch.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ import itertools
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import eta, haversine, pair_density, xi
+from ..plans.storage import written
 
 #: Added to the hypothesis without matches alone.
 NULL_FLOOR = 1e-10
@@ -46,27 +48,43 @@ def pair_grid(members: DataFrame, a: DataFrame, b: DataFrame, keys: tuple[str, .
     )
 
 
-def best_matching(cw: list[list[float]], fa: list[float], fb: list[float]) -> tuple[list[tuple[int, int]], float]:
-    """The matches of the best hypothesis and its share of the evidence, in logarithms.
+def best_matching(cw: np.ndarray, fa: np.ndarray, fb: np.ndarray) -> tuple[list[tuple[int, int]], float]:
+    """The matches of the best hypothesis and its share of the evidence.
 
-    Hypotheses come by number of matches, then combinations of the first side, then
-    permutations of the second; the first of equal ones wins.
+    Sources of the larger side are taken one by one; for each set of used sources of the
+    smaller side, a bit each, the sum and the greatest of all hypotheses so far are kept, as
+    logarithms over that without matches. So the work grows with the sets, not with the
+    hypotheses. Of equal ones that with an earlier source left alone wins.
     """
-    log = lambda x: math.log(x) if x > 0 else -math.inf
-    la, lb, lc = [log(x) for x in fa], [log(x) for x in fb], [[log(x) for x in row] for row in cw]
-    base = sum(la) + sum(lb)
-    null = max(base, math.log(NULL_FLOOR)) + math.log1p(math.exp(-abs(base - math.log(NULL_FLOOR))))
-    best, pick, terms = null, [], [null]
-    for k in range(1, min(len(fa), len(fb)) + 1):
-        for ia in itertools.combinations(range(len(fa)), k):
-            rest_a = sum(la[i] for i in range(len(fa)) if i not in ia)
-            for ib in itertools.permutations(range(len(fb)), k):
-                value = rest_a + sum(lb[j] for j in range(len(fb)) if j not in ib) + sum(lc[i][j] for i, j in zip(ia, ib, strict=True))
-                terms.append(value)
-                if value > best:
-                    best, pick = value, list(zip(ia, ib, strict=True))
-    top = max(terms)
-    return pick, math.exp(best - top) / sum(math.exp(t - top) for t in terms)
+    lr = np.log(np.maximum(cw, 1e-300)) - np.log(fa)[:, None] - np.log(fb)[None, :]
+    flip = lr.shape[0] < lr.shape[1]
+    lr = lr.T if flip else lr
+    n, m = lr.shape
+    sets = np.arange(1 << m)
+    total, best = np.full(len(sets), -np.inf), np.full(len(sets), -np.inf)
+    total[0] = best[0] = 0.0
+    chosen = np.full((n, len(sets)), -1, dtype=np.int8)
+    for i in range(n):
+        more, top = total.copy(), best.copy()
+        for j in range(m):
+            without = sets[(sets >> j) & 1 == 0]
+            to = without | 1 << j
+            more[to] = np.logaddexp(more[to], total[without] + lr[i, j])
+            value = best[without] + lr[i, j]
+            better = value > top[to]
+            top[to[better]], chosen[i, to[better]] = value[better], j
+        total, best = more, top
+    null = np.logaddexp(0.0, math.log(NULL_FLOOR) - np.log(fa).sum() - np.log(fb).sum())
+    evidence = np.logaddexp(np.logaddexp.reduce(total[1:]), null)
+    used = int(best[1:].argmax()) + 1
+    if best[used] <= null:
+        return [], float(np.exp(null - evidence))
+    p, pick = float(np.exp(best[used] - evidence)), []
+    for i in range(n - 1, -1, -1):
+        if (j := int(chosen[i, used])) >= 0:
+            pick.append((j, i) if flip else (i, j))
+            used ^= 1 << j
+    return sorted(pick), p
 
 
 def island_matches(grid: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -88,17 +106,32 @@ def island_matches(grid: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = ()
     large = sized.where((F.col("n_a") > 1) & (F.col("n_b") > 1))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.select(*k).schema) + ", a bigint, b bigint, p double"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["a", "b"])
-        ids_a, ids_b = sorted(set(part["a"])), sorted(set(part["b"]))
-        cell = {(r.a, r.b): r for r in part.itertuples()}
-        pick, p = best_matching([[cell[i, j].cw for j in ids_b] for i in ids_a], [cell[i, ids_b[0]].fa for i in ids_a], [cell[ids_a[0], j].fb for j in ids_b])
-        rows = [(ids_a[i], ids_b[j]) for i, j in pick] or [(None, None)]
-        return pd.DataFrame([(*part.iloc[0][k], x, y, p) for x, y in rows], columns=[*k, "a", "b", "p"]).astype({"a": "Int64", "b": "Int64"})
-
-    hard = large.groupBy(*k).applyInPandas(run, schema)
+    def solved(part: pd.DataFrame) -> list[tuple]:
+        ids_a, at_a = np.unique(part["a"], return_inverse=True)
+        ids_b, at_b = np.unique(part["b"], return_inverse=True)
+        cw, fa, fb = np.zeros((len(ids_a), len(ids_b))), np.empty(len(ids_a)), np.empty(len(ids_b))
+        cw[at_a, at_b], fa[at_a], fb[at_b] = part["cw"], part["fa"], part["fb"]
+        pick, p = best_matching(cw, fa, fb)
+        name = tuple(part[c].iloc[0] for c in k)
+        return [(*name, int(ids_a[i]), int(ids_b[j]), p) for i, j in pick] or [(*name, None, None, p)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the island that the last batch ended in
+        for part in parts:
+            part = part if held is None else pd.concat([held, part])
+            islands = [rows for _, rows in part.groupby(k, sort=False)]
+            held = islands.pop()
+            yield table([row for rows in islands for row in solved(rows)])
+        if held is not None:
+            yield table(solved(held))
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*k, "a", "b", "p"]).astype({"a": "Int64", "b": "Int64"})
+
+    hard = large.select(*k, "a", "b", "cw", "fa", "fb").repartition(*k).sortWithinPartitions(*k).mapInPandas(run, schema)  # many small islands to a batch
+    hard = written(hard, "hard")
     matches = simple.unionByName(hard.where("a is not null").select(*k, "a", "b"))
-    return matches, decided.select(*k, "p").unionByName(hard.select(*k, "p").distinct())
+    return matches, decided.select(*k, "p").unionByName(hard.groupBy(*k).agg(F.first("p").alias("p")))
 
 
 def match_table(grid: DataFrame, matches: DataFrame, evidence: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -123,10 +156,6 @@ def nonmatch_table(members: DataFrame, grid: DataFrame, matches: DataFrame, evid
     return out.select(*keys, "side", "id", "island", F.coalesce("p", F.lit(1.0)).alias("match_p"), "nnm_sep", "nnm_eta", "nnm_xi")
 
 
-def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")
-
-
 def enumerated(n_a: int, n_b: int) -> Iterator[list[tuple[int, int]]]:
     """All partial matchings of two sides, in the order in which they are tried."""
     for k in range(min(n_a, n_b) + 1):

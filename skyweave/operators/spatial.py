@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import haversine
@@ -77,7 +77,3 @@ def nearest_cell(sources: DataFrame, cells: DataFrame, by: list[str]) -> DataFra
     """Each source (id, logn, mag) with the simulation cell (nm, cell_logn, cell_mag) of its group nearest in both."""
     d = (F.col("logn") - F.col("cell_logn")) * (F.col("logn") - F.col("cell_logn")) + (F.col("mag") - F.col("cell_mag")) * (F.col("mag") - F.col("cell_mag"))
     return sources.join(cells, by).groupBy(*by, "id").agg(F.min(F.struct(d.alias("d"), "nm")).alias("best")).select(*by, "id", F.col("best.nm").alias("nm"), F.col("best.d").alias("d"))
-
-
-def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

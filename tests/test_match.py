@@ -42,7 +42,7 @@ def test_islands_and_gate(spark):
     assert {r.island: r.keep for r in isl.size_gate(sizes).collect()} == {0: False, 1: False, 2: True, 3: True}
 
 
-@pytest.mark.parametrize("shape", [(1, 1), (2, 2), (3, 2), (2, 4), (4, 4)])
+@pytest.mark.parametrize("shape", [(1, 1), (2, 2), (3, 2), (2, 4), (4, 4), (5, 3)])
 def test_best_matching_is_the_best_of_all(shape):
     rng = np.random.default_rng(shape[0] * 10 + shape[1])
     fa, fb, cw = rng.uniform(0.5, 2, shape[0]), rng.uniform(0.5, 2, shape[1]), rng.uniform(0, 4, shape)
@@ -51,11 +51,20 @@ def test_best_matching_is_the_best_of_all(shape):
         used_a, used_b = {i for i, _ in m}, {j for _, j in m}
         value = math.prod(cw[i, j] for i, j in m) * math.prod(f for i, f in enumerate(fa) if i not in used_a) * math.prod(f for j, f in enumerate(fb) if j not in used_b)
         values.append((value + (0 if m else 1e-10), m))
-    pick, p = pairing.best_matching(cw.tolist(), fa.tolist(), fb.tolist())
+    pick, p = pairing.best_matching(cw, fa, fb)
     best = max(values, key=lambda v: v[0])
     assert pick == best[1] and p == pytest.approx(best[0] / sum(v for v, _ in values))
 
 
+def test_the_largest_island_that_the_gate_allows_is_quick():
+    rng = np.random.default_rng(2)
+    for n, m in ((8, 8), (20, 5)):
+        fa, fb, cw = rng.uniform(0.5, 2, n), rng.uniform(0.5, 2, m), rng.uniform(0, 4, (n, m))
+        cw[3, 2] = 1e12
+        pick, p = pairing.best_matching(cw, fa, fb)
+        assert (3, 2) in pick and 0 < p <= 1
+
+
 def test_closed_forms_agree_with_enumeration(spark):
     rng = np.random.default_rng(3)
     rows, sizes, true = [], [], {}
@@ -63,7 +72,7 @@ def test_closed_forms_agree_with_enumeration(spark):
         fa, fb, cw = rng.uniform(0.5, 2, n), rng.uniform(0.5, 2, m), rng.uniform(0, 3, (n, m))
         rows += [(island, i, j, 1.0, 1.0, float(cw[i, j]), float(fa[i]), float(fb[j]), 0.0, 0.0) for i in range(n) for j in range(m)]
         sizes.append((island, n, m))
-        true[island] = pairing.best_matching(cw.tolist(), fa.tolist(), fb.tolist())
+        true[island] = pairing.best_matching(cw, fa, fb)
     grid = spark.createDataFrame(rows, "island bigint, a bigint, b bigint, sep double, g double, cw double, fa double, fb double, eta double, xi double")
     found, evidence = pairing.island_matches(grid, spark.createDataFrame(sizes, "island bigint, n_a bigint, n_b bigint"))
     got = {}
