@@ -44,7 +44,7 @@ LONGS = PERMS // PER_LONG
 #: Estimates of this similarity or more are confirmed.
 SURE = 0.55
 #: The least and largest sizes of the blocks in which a bucket's members are compared, and the shingles that one holds.
-LEFT, RIGHT = (128, 4096), (512, 8192)
+LEFT, RIGHT = (256, 4096), (1024, 8192)
 SHINGLES = 2_000_000
 
 _SEEDS = mixed(np.arange(1, 2 * PERMS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
