@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import sky
 from ..operators import islands as isl
 from ..operators import regions, spatial
+from ..sources import catalog
 from ..sources.fixtures import CAT_SQL, EDGE_SQL, FIELD_SQL, HAV, ISLAND_SQL, NORTH_SQL, cat_a, cat_b, north, with_sql
 from .match import CrossMatch, core_matches, core_nonmatches
+from .storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,26 +43,13 @@ def r6(x: Column | str, name: str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, SIX).alias(name)
 
 
-@functools.lru_cache(maxsize=4)
-def _match(app: str, sf_dir: str) -> CrossMatch:
-    spark = SparkSession.getActiveSession()
-    return CrossMatch(cat_a(spark, sf_dir), cat_b(spark, sf_dir), RADIUS, MOST)
-
-
 def match_of(spark: SparkSession, sf_dir: str) -> CrossMatch:
-    """One plan a session and input, so queries share its written stages."""
-    return _match(spark.sparkContext.applicationId, sf_dir)
-
-
-@functools.lru_cache(maxsize=4)
-def _north(app: str, sf_dir: str) -> CrossMatch:
-    spark = SparkSession.getActiveSession()
-    return CrossMatch(north(cat_a(spark, sf_dir)), north(cat_b(spark, sf_dir)), RADIUS, MOST)
+    return CrossMatch(cat_a(spark, sf_dir), cat_b(spark, sf_dir), RADIUS, MOST)
 
 
 def north_of(spark: SparkSession, sf_dir: str) -> CrossMatch:
     """The same at latitude 60, across longitude zero."""
-    return _north(spark.sparkContext.applicationId, sf_dir)
+    return CrossMatch(north(cat_a(spark, sf_dir)), north(cat_b(spark, sf_dir)), RADIUS, MOST)
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +61,11 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat, sig, round(CASE WHEN best = 0 THEN mag1 ELSE mag2 END, 6) AS mag, halo FROM cat_a"))
 def scan_catalogue(spark, sf_dir):
-    """Columns of a catalogue with the magnitude of its best band."""
-    return cat_a(spark, sf_dir).select("id", r6("lon", "lon"), r6("lat", "lat"), "sig", r6(F.when(F.col("best") == 0, F.col("mag1")).otherwise(F.col("mag2")), "mag"), "halo")
+    """A catalogue as text files and back, with the magnitude of its best band."""
+    path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    cat_a(spark, sf_dir).select("id", "lon", "lat", "sig", "mag1", "mag2", "best", "halo").write.csv(path)
+    back = catalog.read_csv(spark, path, catalog.Layout((1, 2, 3), (4, 5), 6, 7, id=0))
+    return back.select("id", r6("lon", "lon"), r6("lat", "lat"), "sig", r6(F.element_at("mags", F.col("best") + 1), "mag"), "halo")
 
 
 @query(with_sql(f"SELECT x.id, round({HAV}, 6) AS dist FROM cat_a x JOIN cat_b y ON x.id = y.id"))

@@ -12,10 +12,12 @@ from ..operators import photometry as phot
 from ..operators import regions
 from ..operators import statistics as stats
 from ..operators.auf import Blends
+from ..operators.blending import simulated_cells, with_cells
 from ..sources import catalog
 from ..sources.fixtures import EDGE_SQL, FIELD_SQL, NORTH_SQL, cat_a, cat_b, north, with_sql
 from .match import CrossMatch
 from .queries import HULL, POINTS, match_of, north_of, pairs_of, query, r6
+from .storage import written
 
 BINS_SQL = """
 lim AS (SELECT floor(min(mag1) / 0.1 + 1e-9) * 0.1 AS low, max(mag1) AS high FROM cat_b WHERE mag1 IS NOT NULL),
@@ -110,10 +112,17 @@ def contam_prob(spark, sf_dir):
     return pairs_of(spark, sf_dir).select("a", "b", r6(pa, "p_a"), r6(pb, "p_b"))
 
 
-@query(with_sql("SELECT a, b, round(CASE WHEN abs(fa * fb) < 1e-30 THEN 30 WHEN abs(c) < 1e-30 THEN -30 ELSE log10(c / (fa * fb)) END, 6) AS eta FROM (SELECT a, b, (a % 5) / 4.0::DOUBLE AS fa, 0.5::DOUBLE AS fb, (b % 3) / 2.0::DOUBLE AS c FROM edge)", EDGE_SQL))
+_G = "exp(-sep * sep / 0.68) / (pi() * 0.68) * 3600 * 3600"
+
+
+@query(with_sql(f"""SELECT a, b, round(CASE WHEN abs(fa * fb) < 1e-30 THEN 30 WHEN abs(c) < 1e-30 THEN -30 ELSE log10(c / (fa * fb)) END, 6) AS eta,
+  round(CASE WHEN abs(na * nb) < 1e-30 THEN 30 WHEN abs(nc * g) < 1e-30 THEN -30 ELSE log10(nc * g / (na * nb)) END, 6) AS xi
+  FROM (SELECT a, b, (a % 5) / 4.0::DOUBLE AS fa, 0.5::DOUBLE AS fb, (b % 3) / 2.0::DOUBLE AS c, (a % 7) * 1000.0::DOUBLE AS na, 2000.0::DOUBLE AS nb, (b % 4) * 300.0::DOUBLE AS nc, {_G} AS g FROM edge)""", EDGE_SQL))
 def eta_xi(spark, sf_dir):
-    """Log likelihood ratios with their guards."""
-    return pairs_of(spark, sf_dir).select("a", "b", r6(sky.eta(F.col("b") % 3 / 2.0, F.col("a") % 5 / 4.0, F.lit(0.5)), "eta"))
+    """Log likelihood ratios of magnitudes and of positions, with their guards."""
+    eta = sky.eta(F.col("b") % 3 / 2.0, F.col("a") % 5 / 4.0, F.lit(0.5))
+    xi = sky.xi(F.col("b") % 4 * 300.0, sky.pair_density("sep", "sig_a", "sig_b"), F.col("a") % 7 * 1000.0, F.lit(2000.0))
+    return pairs_of(spark, sf_dir).select("a", "b", r6(eta, "eta"), r6(xi, "xi"))
 
 
 # Areas ------------------------------------------------------------------------------------
@@ -332,22 +341,13 @@ def perturb_auf(spark, sf_dir):
     return _aufs(cat_a(spark, sf_dir))[1]
 
 
-def _cell(n_key: Column, mag: Column) -> Column:
-    return F.floor(F.log(100 + n_key % 900) / 0.2) * 1000 + F.floor(mag / 0.25)
-
-
 def _aufs(cat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A catalogue with the cell of each source, and the simulated cells."""
-    import numpy as np
-    import pandas as pd
-
-    from ..operators.auf import perturbation_aufs
-
-    mags = np.arange(10, 20, 0.1)
-    model = pd.DataFrame({"mag": mags, "density": 10 ** (0.3 * mags - 1), "width": 0.1})
-    marked = cat.withColumn("nm", _cell(F.col("id"), F.col("mag2")))
-    cells_ = marked.select("nm").distinct().select("nm", (F.exp(F.floor(F.col("nm") / 1000) * 0.2) / 300).alias("scale"), (F.col("nm") % 1000 * 0.25).alias("mag"))
-    return marked, perturbation_aufs(cells_, model, _BLENDS)
+    """A catalogue with the cell of each source by its measured local density and magnitude, and the simulated cells."""
+    spark = cat.sparkSession
+    mags = spark.range(200).select((F.col("id") * 0.1 + 0.05).alias("mag"))
+    model = mags.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("band"), "mag", F.pow(F.lit(10.0), 0.3 * F.col("mag") - 1).alias("density"), F.lit(0.1).alias("width"))
+    marked, found = with_cells(cat, ("mag1", "mag2"), model, 0.02)
+    return written(marked, "marked"), simulated_cells(written(found, "cells"), _BLENDS, (6.1, 6.5))
 
 
 _BLENDS = Blends(fwhm=6.1)
@@ -358,7 +358,6 @@ def blended_match(spark, sf_dir):
     """Matches with blends on both sides: posterior, and the chance that either source is contaminated by a tenth of its flux."""
     from .match import BlendedMatch
     from .queries import MOST, RADIUS
-    from .storage import written
 
     (a, aufs_a), (b, aufs_b) = _aufs(cat_a(spark, sf_dir)), _aufs(cat_b(spark, sf_dir))
     m = BlendedMatch(a, b, RADIUS, MOST, aufs_a=written(aufs_a, "aufs"), aufs_b=written(aufs_b, "aufs"), how=_BLENDS)
