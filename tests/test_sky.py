@@ -104,10 +104,38 @@ def test_refined_cell_areas(spark):
 
 
 def test_simulated_motions():
-    from skyweave.operators.population import proper_motions
-
-    rng = np.random.default_rng(1)
-    near = proper_motions(90, 0, 0.5, "thin", 4000, rng).mean(axis=0)
-    assert near[1] == pytest.approx(-7.25 * 0.2108e-3 / 0.5, abs=6e-4)
-    thin, halo = (proper_motions(0, 30, 2.0, c, 4000, rng) for c in ("thin", "halo"))
-    assert halo.std() > 2 * thin.std() and halo[:, 0].mean() < thin[:, 0].mean() - 0.01
+    from skyweave.operators.population import normals, proper_motions
+
+    at = lambda *x: [np.array([float(v)]) for v in x]
+    near = proper_motions(*at(90, 0, 0.5), "thin", normals(np.array([1]), "thin", 4000))[1].mean()
+    assert near == pytest.approx(-7.25 * 0.2108e-3 / 0.5, abs=6e-4)
+    thin, halo = (np.stack(proper_motions(*at(0, 30, 2.0), c, normals(np.array([1]), c, 4000))) for c in ("thin", "halo"))
+    assert halo.std() > 2 * thin.std() and halo[0].mean() < thin[0].mean() - 0.01
+
+
+def test_motions_have_the_moments_of_their_component(spark):
+    """Toward the anticentre, latitude motion is vertical and longitude motion is rotation; moments follow from the variances."""
+    from skyweave.operators import population as pop
+
+    sources = spark.createDataFrame([(i, 180.0, 0.0, 2.0) for i in range(300)] + [(1000 + i, 180.0, 60.0, 1.0) for i in range(300)], "id bigint, l double, b double, dist double")
+    rows = pop.simulated_motions(sources, 100).toPandas()
+    r = np.array([pop.R_SUN + 2.0])
+    for name in pop.COMPONENTS:
+        rr, pp, zz, _ = (float(v[0]) for v in pop.variances(r, np.zeros(1), name))
+        at = rows[(rows.component == name) & (rows.id < 1000)]
+        speed = pop.PER_KPC / 2
+        assert at.mu_b.std() == pytest.approx(math.sqrt(zz) * speed, rel=0.03) and at.mu_b.mean() == pytest.approx(-pop.SUN_MOTION[2] * speed, abs=4 * math.sqrt(zz / 3e4) * speed)
+        assert at.mu_l.std() == pytest.approx(math.sqrt(pp) * speed, rel=0.03)
+    again = pop.simulated_motions(sources.repartition(7), 100).toPandas()
+    assert np.allclose(*(x.sort_values(["id", "component", "draw"]).mu_l for x in (rows, again)))
+    rr, _, zz, rz = pop.variances(np.array([6.0, 6.0]), np.array([0.8, -0.8]), "thin")
+    assert rz[0] == -rz[1] > 0 and (np.abs(rz) < np.sqrt(rr * zz)).all()
+
+
+def test_galaxy_counts_average_over_extinctions():
+    from skyweave.operators.population import galaxy_counts
+
+    mags, edges = np.arange(14, 22, 0.5), np.linspace(0.001, 2, 31)
+    args = (mags, edges, {"blue": 0.5 * edges[1:]}, {"blue": (0.0094, -20.7, -0.7, 0.5, 0.9)})
+    none, one = galaxy_counts(*args), galaxy_counts(mags - 0.5, *args[1:])
+    assert np.allclose(galaxy_counts(*args, extinctions=(0.0, 0.5)), (none + one) / 2) and np.allclose(galaxy_counts(*args, offset=-0.5), one)
