@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.bessel import gaussian, hankel
 from ..functions.optimise import minimised
 from ..functions.sky import rescaled_sigma
-from .spatial import nearest_point
+from ..plans.storage import written
+from .blending import celled, grid_density
+from .spatial import mutual_nn, nearest_point
 
 SHARES = np.linspace(0, 1, 101)
 
@@ -52,15 +54,15 @@ def slice_likelihood(counts: np.ndarray, edges: np.ndarray, sigma: float, densit
     return float(value[best]), float(SHARES[best])
 
 
-def fitted_correction(slices: list[tuple[float, np.ndarray]], edges: np.ndarray, density: float) -> tuple[float, float]:
-    """(m, n) for slices of (quoted sigma, counts by bin)."""
+def fitted_correction(slices: list[tuple], edges: np.ndarray, density: float, rho: np.ndarray | None = None) -> tuple[float, float]:
+    """(m, n) for slices of (quoted sigma, counts by bin) or (quoted sigma, counts, transform of blends at ``rho``)."""
     if not slices:
         return 1.0, 0.0
-    typical = float(np.mean([s for s, _ in slices]))
+    typical = float(np.mean([s[0] for s in slices]))
 
     def value(p: np.ndarray) -> float:
         m, n = p[0], p[1] * typical
-        return sum(slice_likelihood(c, edges, max(1e-6, math.hypot(m * s, n)), density)[0] for s, c in slices)
+        return sum(slice_likelihood(c, edges, max(1e-6, math.hypot(m * s, n)), density, *([blend[0], rho] if blend and blend[0] is not None else []))[0] for s, c, *blend in slices)
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         here, step = value(p), 1e-4
@@ -72,15 +74,39 @@ def fitted_correction(slices: list[tuple[float, np.ndarray]], edges: np.ndarray,
     return float(m), float(n * typical)
 
 
-def corrections(matches: DataFrame, density: float, by: list[str], r_max: float = 3.0, bins: int = 60, least: int = 100) -> DataFrame:
+def cut_slices(matches: DataFrame, by: list[str], sig_half: float, density_share: float = 0.5, sigmas: float = 20.0) -> DataFrame:
+    """``matches`` (by, slice, sig, sep, density) near the medians of their slice and sightline.
+
+    Kept are quoted uncertainties within ``sig_half`` of the slice's median, local densities
+    within a share of the sightline's median, and separations up to ``sigmas`` of the former.
+    """
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    typical = matches.groupBy(*by, "slice").agg(median("sig").alias("__sig"))  # a row for each slice, and for each sightline
+    dense = matches.groupBy(*by).agg(median("density").alias("__density"))
+    near = matches.join(typical, [*by, "slice"]).join(dense, by)
+    keep = (F.abs(F.col("sig") - F.col("__sig")) <= sig_half) & (F.abs(F.col("density") - F.col("__density")) <= density_share * F.col("__density")) & (F.col("sep") <= sigmas * F.col("__sig"))
+    return near.where(keep).drop("__sig", "__density")
+
+
+def slice_statistics(matches: DataFrame, by: list[str], least: int = 100) -> DataFrame:
+    """(by, slice, n, sig and sep at percentiles 16, 50 and 84) of slices with enough matches."""
+    at = F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))
+    return matches.groupBy(*by, "slice").agg(F.count("*").alias("n"), F.percentile("sig", at).alias("sig"), F.percentile("sep", at).alias("sep")).where(F.col("n") >= least)
+
+
+def corrections(matches: DataFrame, density: float | None, by: list[str], r_max: float = 3.0, bins: int = 60, least: int = 100, blends: DataFrame | None = None, rho: np.ndarray | None = None, enough: int = 1) -> DataFrame:
     """(by, m, n, slices) from nearest matches (by, slice, sig, sep); counted by bin before they are gathered for the fit.
 
     Slices with fewer than ``least`` matches are left out, or with fewer than three quarters
-    or half of that where no slice is left.
+    or half of that where fewer than ``enough`` slices are left. Chance neighbours have
+    ``density`` a square arcsecond, or that in the column ``density``, a square degree.
+    ``blends`` (by, slice, fourier) are transforms of simulated offsets at ``rho``.
     """
     edges = np.linspace(0, r_max, bins + 1)
     k = F.floor(F.col("sep") / (r_max / bins))
-    counts = matches.where(F.col("sep") < r_max).groupBy(*by, "slice", k.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("sig").alias("s"))
+    dense = F.lit(float(density)) if density is not None else F.avg("density") / 3600**2
+    counts = matches.where(F.col("sep") < r_max).groupBy(*by, "slice", k.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum("sig").alias("s"), dense.alias("d"))
+    counts = counts.join(blends.select(*by, "slice", "fourier"), [*by, "slice"], "left") if blends is not None else counts.withColumn("fourier", F.lit(None).cast("array<double>"))
     types = dict(matches.dtypes)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -88,16 +114,34 @@ def corrections(matches: DataFrame, density: float, by: list[str], r_max: float
         for _, rows in part.groupby("slice"):
             c = np.zeros(bins)
             c[rows["bin"]] = rows["n"]
-            found.append((float(rows["s"].sum() / rows["n"].sum()), c))
+            blend = rows["fourier"].iloc[0]
+            found.append((float(rows["s"].sum() / rows["n"].sum()), c, None if blend is None else np.asarray(blend)))
         used: list = []
         for share in (1.0, 0.75, 0.5):
-            used = used or [f for f in found if f[1].sum() >= share * least]
-        m, n = fitted_correction(used, edges, density)
+            used = used if len(used) >= enough else [f for f in found if f[1].sum() >= share * least]
+        here = float((part["d"] * part["n"]).sum() / part["n"].sum())
+        m, n = fitted_correction(used if len(used) >= enough else [], edges, here, rho)
         return pd.DataFrame([{**{b: part[b].iloc[0] for b in by}, "m": m, "n": n, "slices": len(used)}])
 
     return counts.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {types[b]}" for b in by) + ", m double, n double, slices int")
 
 
+def calibrated(cat: DataFrame, reference: DataFrame, points: list[tuple[int, float, float]], radius: float, r_max: float, mag: str, step: float = 0.5, sig_half: float = 0.1, least: int = 100, blends: DataFrame | None = None, rho: np.ndarray | None = None, enough: int = 1) -> DataFrame:
+    """(pt, m, n, slices): corrections of a catalogue's uncertainties from a better one, for each of a few sightlines.
+
+    Sources within ``radius`` degrees of their nearest point are the sightline's cutout. Its
+    mutual neighbours within ``r_max`` arcseconds are cut into slices of magnitude, and by the
+    medians of uncertainty and density; chance neighbours have the reference's local density.
+    """
+    cutout = lambda df: nearest_point(df, points).where(F.col("pt_dist") <= radius)
+    own = cutout(cat.select("id", "lon", "lat", "sig", F.col(mag).alias("mag")).where("mag is not null"))
+    other = cutout(reference.select("id", "lon", "lat"))
+    pairs = mutual_nn(own, other, r_max / 3600, ("pt",))
+    local = celled(own, radius).join(grid_density(other, radius, ["pt"]), ["pt", "row", "col"]).select("pt", F.col("id").alias("a"), "sig", F.floor(F.col("mag") / step).cast("int").alias("slice"), "density")
+    matches = written(pairs.join(local, ["pt", "a"]).select("pt", "slice", "sig", "sep", "density"), "separations")
+    return corrections(cut_slices(matches, ["pt"], sig_half), None, ["pt"], r_max, least=least, blends=blends, rho=rho, enough=enough)
+
+
 def fit_table(counts: np.ndarray, edges: np.ndarray, sigma: float, density: float) -> pd.DataFrame:
     """(r, data, model): cumulative shares of separations and of the best mixture, to judge a fit by."""
     chance, match = separation_models(edges, sigma, density)

@@ -240,12 +240,20 @@ def completeness_mag(spark, sf_dir):
     return stats.modal_value(cat_a(spark, sf_dir), "mag1").select(r6(F.col("mode") - 0.5, "mag"))
 
 
-@query(with_sql("SELECT bin, count(*) AS n, round(quantile_cont(sep, 0.16), 6) AS p16, round(quantile_cont(sep, 0.5), 6) AS p50, round(quantile_cont(sep, 0.84), 6) AS p84 FROM (SELECT CAST(floor(x.mag2) AS BIGINT) AS bin, e.sep FROM edge e JOIN cat_a x ON x.id = e.a) GROUP BY bin HAVING count(*) >= 10", EDGE_SQL))
+_CUT = """m AS (SELECT CAST(floor(x.mag2) AS INT) AS bin, 0.2 + (x.id % 13) / 50.0::DOUBLE AS sig, e.sep, 1000.0::DOUBLE + (x.id % 17) * 150 AS density FROM edge e JOIN cat_a x ON x.id = e.a),
+t AS (SELECT bin, quantile_cont(sig, 0.5) AS ms FROM m GROUP BY bin), d AS (SELECT quantile_cont(density, 0.5) AS md FROM m)"""
+
+
+@query(with_sql("SELECT bin, count(*) AS n, round(quantile_cont(sig, 0.16), 6) AS s16, round(quantile_cont(sig, 0.5), 6) AS s50, round(quantile_cont(sep, 0.16), 6) AS p16, round(quantile_cont(sep, 0.5), 6) AS p50, round(quantile_cont(sep, 0.84), 6) AS p84 FROM m JOIN t USING (bin), d "
+    "WHERE abs(sig - ms) <= 0.06 AND abs(density - md) <= 0.5 * md AND sep <= 3 * ms GROUP BY bin HAVING count(*) >= 10", EDGE_SQL, _CUT))
 def sep_pdf(spark, sf_dir):
-    """Separations of overlaps by magnitude slice, where there are enough."""
-    rows = pairs_of(spark, sf_dir).join(cat_a(spark, sf_dir).select(F.col("id").alias("a"), F.floor("mag2").alias("bin")), "a")
-    out = rows.groupBy("bin").agg(F.count("*").alias("n"), F.percentile("sep", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("p")).where("n >= 10")
-    return out.select("bin", "n", *(r6(F.col("p")[i], name) for i, name in enumerate(("p16", "p50", "p84"))))
+    """Separations by magnitude slice, cut by uncertainty, density and separation, where there are enough."""
+    from ..operators.astrometry import cut_slices, slice_statistics
+
+    a = cat_a(spark, sf_dir).select(F.col("id").alias("a"), F.floor("mag2").cast("int").alias("slice"), (0.2 + F.col("id") % 13 / 50.0).alias("sig"), (1000.0 + F.col("id") % 17 * 150).alias("density"))
+    rows = pairs_of(spark, sf_dir).select("a", "sep").join(a, "a").withColumn("pt", F.lit(0))
+    out = slice_statistics(cut_slices(rows, ["pt"], 0.06, sigmas=3.0), ["pt"], 10)
+    return out.select(F.col("slice").alias("bin"), "n", r6(F.col("sig")[0], "s16"), r6(F.col("sig")[1], "s50"), *(r6(F.col("sep")[i], name) for i, name in enumerate(("p16", "p50", "p84"))))
 
 
 _COUNTS = "SELECT CAST(floor((10 + (p_partkey * 7919 % 8000) / 1000.0::DOUBLE) / 0.1 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM part GROUP BY 1"
@@ -366,13 +374,10 @@ def blended_match(spark, sf_dir):
 
 @query()
 def astro_fit(spark, sf_dir):
-    """Corrections of the quoted uncertainty from the separations of mutual neighbours."""
-    from ..operators.astrometry import corrections
-    from ..operators.spatial import mutual_nn
+    """Corrections of one catalogue's quoted uncertainties from its separations from the other, for two sightlines."""
+    from ..operators.astrometry import calibrated
 
-    a, b = cat_a(spark, sf_dir), cat_b(spark, sf_dir)
-    near = mutual_nn(a, b, 3.0 / 3600).join(b.select(F.col("id").alias("b"), F.floor("mag2").alias("slice"), "sig"), "b").withColumn("pt", F.lit(0))
-    return corrections(near, 1e-3, ["pt"])
+    return calibrated(cat_a(spark, sf_dir), cat_b(spark, sf_dir), [(0, 130.97, 0.0), (1, 131.03, 0.0)], 0.05, 2.92, "mag2", step=1.0, least=40)
 
 
 @query()

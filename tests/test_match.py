@@ -371,3 +371,19 @@ def test_the_inflation_of_a_circle():
 
     x = 1 / inflation(0.1)
     assert (math.acos(x) - x * math.sqrt(1 - x * x)) / math.pi == pytest.approx(0.1, abs=1e-3)
+
+
+def test_calibration_from_two_catalogues(spark):
+    """Two sightlines, one across longitude zero, with offsets of 1.5 times the quoted uncertainty."""
+    from skyweave.operators.astrometry import calibrated
+
+    rng = np.random.default_rng(17)
+    a, b = [], []
+    for pt, lon in enumerate((0.0, 40.0)):
+        for i in range(5000):
+            x, y, sig = lon + rng.uniform(-0.4, 0.4), rng.uniform(-0.4, 0.4), 0.1 + 0.05 * (i % 4)
+            b.append((pt * 10_000 + i, x % 360, y))
+            a.append((pt * 10_000 + i, (x + rng.normal(0, 1.5 * sig) / 3600) % 360, y + rng.normal(0, 1.5 * sig) / 3600, sig, 12.25 + 0.5 * (i % 4)))
+    cat_ = spark.createDataFrame([tuple(map(float, r[1:])) + (r[0],) for r in a], "lon double, lat double, sig double, m double, id bigint")
+    out = calibrated(cat_, cat(spark, b), [(0, 0.0, 0.0), (1, 40.0, 0.0)], 0.3, 2.0, "m").collect()
+    assert {r.pt for r in out} == {0, 1} and all(r.slices == 4 and r.m == pytest.approx(1.5, rel=0.12) and r.n < 0.08 for r in out)
