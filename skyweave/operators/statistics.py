@@ -14,15 +14,17 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return inside.groupBy(F.floor((F.col(value) - low) / ((high - low) / bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def weighted_quantiles(df: DataFrame, shares: tuple[float, ...], ranges: int = 256) -> DataFrame:
+def weighted_quantiles(df: DataFrame, shares: tuple[float, ...], ranges: int | None = None) -> DataFrame:
     """(q, v) from (v, w, id), interpolated between the middles of the weights.
 
     Rows are added up by value first, keeping the weights of each value's first and last row,
     so a value that many rows share is one row. Values are then cut into ranges of about
-    equal size, whose sums are a few rows; only within a range are values put in order.
+    equal size, one for a million values and 256 at least, whose sums are as many rows; only
+    within a range are values put in order.
     """
+    ranges = ranges or min(10_000, max(256, df.count() // 1_000_000))
     each = df.groupBy("v").agg(F.sum("w").alias("w"), F.min_by("w", "id").alias("first"), F.max_by("w", "id").alias("last"))
-    cuts = each.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10_000)).head()[0]
+    cuts = each.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).head()[0]
     if not cuts:
         return df.sparkSession.createDataFrame([], "q double, v double")
     edges = F.array(*map(F.lit, sorted(set(cuts))))

@@ -40,9 +40,9 @@ def mark_done(spark: SparkSession, folder: str, chunks: tuple) -> None:
 def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
     """The catalogue of all chunks in one scan, with chunk_id, from the path, and a column for each filter; positions are moved to the epoch asked for."""
     cat = read_csv(spark, [side.path.format(c) for c in chunks], side.layout, ("file_path",))
-    before, _, after = side.path.partition("{}")
-    before = before.rpartition("/")[2] if "/" not in after else before  # the name of the file says the chunk, or a folder
-    cat = cat.withColumn("chunk_id", F.regexp_extract("file_path", f"{_literal(before)}([^/]+?){_literal(after)}$", 1)).drop("file_path")
+    part = next(p for p in side.path.split("/") if "{}" in p)  # the folder or file whose name says the chunk
+    before, _, after = part.partition("{}")
+    cat = cat.withColumn("chunk_id", F.regexp_extract("file_path", f"/{_literal(before)}([^/]+?){_literal(after)}(?:/|$)", 1)).drop("file_path")
     if side.layout.halo is None:
         cat = cat.withColumn("halo", F.lit(False))
     if side.motion:
@@ -55,6 +55,13 @@ def _literal(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9_/ ])", r"\\\1", text)
 
 
+def with_columns(matches: DataFrame, a: DataFrame, b: DataFrame, bands: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Matches with both catalogues' columns, without those of which both sources are in the halo of their chunk."""
+    tag = lambda cat, which: cat.select(*keys, F.col("id").alias(which), F.col("halo").alias(f"{which}_halo"), *(F.col(c).alias(f"{which}_{c}") for c in ("lon", "lat", "sig", *bands, "best")))
+    both = matches.join(tag(a, "a"), [*keys, "a"]).join(tag(b, "b"), [*keys, "b"])
+    return both.where(~F.col("a_halo") | ~F.col("b_halo")).drop("a_halo", "b_halo")
+
+
 class Engine:
     """All chunks of a match in one plan, with blends, photometry and sky cells as the settings ask for.
 
@@ -121,8 +128,7 @@ class Engine:
 
     def _write(self, m: CrossMatch, out: dict[str, str], kind: str) -> None:
         columns = ["lon", "lat", "sig", *m.bands, "best"]
-        tag = lambda cat, which: cat.select("chunk_id", F.col("id").alias(which), F.col("halo").alias(f"{which}_halo"), *(F.col(c).alias(f"{which}_{c}") for c in columns))
-        matches = m.matches.join(tag(m.a, "a"), ["chunk_id", "a"]).join(tag(m.b, "b"), ["chunk_id", "b"]).where(~F.col("a_halo") | ~F.col("b_halo")).drop("a_halo", "b_halo")
+        matches = with_columns(m.matches, m.a, m.b, m.bands, ("chunk_id",))
         own = lambda cat, which: cat.select("chunk_id", F.lit(which).alias("side"), "id", "halo", *columns)
         rest = m.nonmatches.join(own(m.a, "a").unionByName(own(m.b, "b")), ["chunk_id", "side", "id"])
         form = "csv" if self.settings.csv else "parquet"

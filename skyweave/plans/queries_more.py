@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sky
 from ..operators import islands as isl
 from ..operators import photometry as phot
-from ..operators import regions
+from ..operators import regions, spatial
 from ..operators import statistics as stats
 from ..operators.auf import Blends
 from ..operators.blending import simulated_cells, with_cells
 from ..sources import catalog
-from ..sources.fixtures import EDGE_SQL, FIELD_SQL, NORTH_SQL, cat_a, cat_b, north, with_sql
+from ..sources.fixtures import EDGE_SQL, FIELD_SQL, HAV, NORTH_SQL, cat_a, cat_b, north, with_sql
 from .match import CrossMatch
-from .queries import HULL, POINTS, match_of, north_of, pairs_of, query, r6
+from .queries import HULL, MATCHES, POINTS, match_of, north_of, pairs_of, query, r6
 from .storage import written
 
 BINS_SQL = """
@@ -293,6 +296,67 @@ def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phot.likelihood_table(m.counted(m.a), m.counted(m.b), ("mag1",), m.pairs, m.cells)
 
 
+_SIMS = "SELECT CAST(p_partkey % 3 AS INT) AS pt, CAST(p_partkey % 2 AS INT) AS filt, 10 + (p_partkey * 7919 % 8000) / 1000.0::DOUBLE AS mag FROM part"
+
+
+def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select((k % 3).cast("int").alias("pt"), (k % 2).cast("int").alias("filt"), (10 + k * 7919 % 8000 / 1000.0).alias("mag"))
+
+
+@query(f"SELECT pt, filt, bin, round(n / ((pt + 1) * 0.25::DOUBLE * 0.5::DOUBLE), 6) AS density, bin * 0.5::DOUBLE AS mag_left, 0.5::DOUBLE AS width FROM (SELECT pt, filt, CAST(floor(mag / 0.5 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM ({_SIMS}) GROUP BY ALL)")
+def count_cube(spark, sf_dir):
+    """Simulated counts a magnitude and square degree by place, filter and magnitude."""
+    from ..sources.simulations import count_cube as cube
+
+    out = cube(_sims(spark, sf_dir), spark.range(3).select(F.col("id").cast("int").alias("pt"), ((F.col("id") + 1) * 0.25).alias("area")), 0.5)
+    return out.select("pt", "filt", "bin", r6("density", "density"), "mag_left", "width")
+
+
+@query(f"SELECT CAST(round(mag, 3) * 1000 AS BIGINT) AS milli, round(mag + 0.25::DOUBLE, 3) AS other, 0.5::DOUBLE AS area, 0.125::DOUBLE AS av FROM ({_SIMS})")
+def simulation_file(spark, sf_dir):
+    """Simulated sources from a text file with its area and extinction in the first lines."""
+    from ..sources.simulations import read_simulation
+    from .storage import shared_dir
+
+    path = f"{shared_dir(spark)}/simulation-{uuid.uuid4().hex}"
+    lines = _sims(spark, sf_dir).select(F.format_string("%.3f  %.3f", "mag", F.col("mag") + 0.25).alias("value"))
+    head = spark.createDataFrame([("#area = 0.5 sq deg",), ("#Av at infinity = 0.125",), ("#x y",)], "value string")
+    head.unionByName(lines).write.text(path)
+    rows, area, av = read_simulation(spark, path)
+    return rows.select(F.round(F.col("x") * 1000).cast("bigint").alias("milli"), F.round("y", 3).alias("other"), F.lit(area).alias("area"), F.lit(av).alias("av"))
+
+
+@query(with_sql("SELECT CAST(id % 3 AS VARCHAR) AS chunk_id, id, round(lon, 6) AS lon, round(mag2, 6) AS mag2, halo FROM cat_a"))
+def scan_chunks(spark, sf_dir):
+    """A catalogue in a text file for each chunk, read in one scan, with the chunk told by the path."""
+    from ..sources.config import SideSettings
+    from .engine import scan
+    from .storage import shared_dir
+
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    columns = ["id", "lon", "lat", "sig", "mag1", "mag2", "best", "halo"]
+    cat_a(spark, sf_dir).select(*columns, (F.col("id") % 3).alias("chunk")).repartition(3, "chunk").write.partitionBy("chunk").csv(path)
+    side = SideSettings("a", f"{path}/chunk={{}}/*.csv", ("x", "y"), catalog.Layout((1, 2, 3), (4, 5), 6, 7, id=0), False, False)
+    return scan(spark, side, (0, 1, 2)).select("chunk_id", "id", r6("lon", "lon"), r6("mag2", "mag2"), "halo")
+
+
+@query(with_sql("SELECT res.a, res.b, round(x.lon, 6) AS a_lon, round(x.mag2, 6) AS a_mag2, round(y.lat, 6) AS b_lat, round(y.mag1, 6) AS b_mag1, round(res.match_p, 6) AS match_p FROM res JOIN cat_a x ON x.id = res.a JOIN cat_b y ON y.id = res.b WHERE NOT x.halo OR NOT y.halo", *MATCHES))
+def match_columns(spark, sf_dir):
+    """What is written of the matches: with the columns of both catalogues, without those in both halos."""
+    from .engine import with_columns
+
+    m = match_of(spark, sf_dir)
+    out = with_columns(m.matches, m.a, m.b, ("mag1", "mag2"))
+    return out.select("a", "b", r6("a_lon", "a_lon"), r6("a_mag2", "a_mag2"), r6("b_lat", "b_lat"), r6("b_mag1", "b_mag1"), r6("match_p", "match_p"))
+
+
+@query(with_sql("SELECT x.id, count(y.id) AS n FROM cat_b x LEFT JOIN cat_b y ON y.mag2 BETWEEN 11.5 AND 13 AND y.lat BETWEEN x.lat - 0.0051 AND x.lat + 0.0051 AND abs(y.lon - x.lon) < 0.0052 AND " + HAV + " <= 0.005 GROUP BY x.id"))
+def window_density(spark, sf_dir):
+    """How many sources in a window of magnitude are around each source."""
+    return spatial.local_density(cat_b(spark, sf_dir), 0.005, "mag2", (11.5, 13.0)).select("id", "n")
+
+
 @query()
 def phot_like(spark, sf_dir):
     """Counterpart likelihood by magnitude bins of both catalogues, from masks, densities and the recurrence."""
@@ -300,10 +364,18 @@ def phot_like(spark, sf_dir):
     return rows.select("abin", F.posexplode("row").alias("bbin", "c"))
 
 
-@query()
+@query(with_sql("SELECT round(n / ar, 3) AS planted, TRUE AS near_nc, TRUE AS near_nfa, TRUE AS near_nfb FROM (SELECT count(*) AS n FROM joint x JOIN joint y ON x.side = 'a' AND y.side = 'b' AND y.id = CASE WHEN x.id % 10 = 9 THEN x.id - 1 ELSE x.id END AND x.mag1 IS NOT NULL AND y.mag1 IS NOT NULL JOIN cat_n ON x.id < m), area", FIELD_SQL))
 def density_fit(spark, sf_dir):
-    """Densities of counterparts and of field sources of both sides, a square degree."""
-    return _fitted(spark, sf_dir).select("nc", "nfa", "nfb")
+    """Fitted densities of counterparts and of field sources of both sides, beside those that were planted, twins of a pair's first source included."""
+    m = match_of(spark, sf_dir)
+    a, b = m.counted(m.a).where("mag1 is not null"), m.counted(m.b).where("mag1 is not null")
+    count = lambda df, name: df.agg(F.count("*").cast("double").alias(name))
+    planted = a.where(f"id < {int(m.a.count() * 0.8)}").select(F.when(F.col("id") % 10 == 9, F.col("id") - 1).otherwise(F.col("id")).alias("id")).join(b.select("id"), "id")
+    fitted = phot.likelihood_table(m.counted(m.a), m.counted(m.b), ("mag1",), m.pairs, m.cells).select("nc", "nfa", "nfb")
+    rows = reduce(lambda x, y: x.join(F.broadcast(y)), [fitted, m.cells.select("area"), count(planted, "n"), count(a, "na"), count(b, "nb")])  # one row each
+    near = lambda c, true: (F.abs(F.col(c) - true / F.col("area")) <= 0.15 * F.greatest("na", "nb") / F.col("area")).alias(f"near_{c}")
+    n = F.col("n")
+    return rows.select(F.round(n / F.col("area"), 3).alias("planted"), near("nc", n), near("nfa", F.col("na") - n), near("nfb", F.col("nb") - n))
 
 
 @query()
@@ -319,28 +391,38 @@ def phot_match(spark, sf_dir):
 # Simulations ------------------------------------------------------------------------------
 
 
-@query()
+@query(with_sql("SELECT id, round(avg(cos(x * sin(t))), 8) AS j0, round(avg(cos(t - x * sin(t))), 8) AS j1 FROM (SELECT id, (id % 1500) / 15.0::DOUBLE AS x FROM cat_a), (SELECT 2 * pi() * i / 400 AS t FROM range(0, 400) r(i)) GROUP BY id"))
 def bessel(spark, sf_dir):
-    """J0 and J1 on a grid."""
-    import numpy as np
-
+    """J0 and J1; their integrals, by points around the circle, are the SQL."""
     from ..functions.bessel import j0, j1
 
-    x = np.linspace(0, 100, 1001)
-    return spark.createDataFrame(list(zip(x.tolist(), j0(x).tolist(), j1(x).tolist(), strict=True)), "x double, j0 double, j1 double")
+    def run(parts):
+        for part in parts:
+            x = part["id"].to_numpy() % 1500 / 15.0
+            yield pd.DataFrame({"id": part["id"], "j0": j0(x), "j1": j1(x)})
 
+    return cat_a(spark, sf_dir).select("id").mapInPandas(run, "id bigint, j0 double, j1 double").select("id", F.round("j0", 8).alias("j0"), F.round("j1", 8).alias("j1"))
 
-@query()
+
+@query(with_sql("SELECT a, b, round(cdf, 6) AS closed, TRUE AS near FROM edge", EDGE_SQL))
 def hankel(spark, sf_dir):
-    """CDF of a normal distribution by its transform, beside the closed form."""
+    """CDF of each overlap's separation by the transform of its normal uncertainty, against the closed form."""
     import numpy as np
 
     from ..functions.bessel import cdf, gaussian
 
-    rho = (np.arange(4000) + 0.5) * 0.0025
-    r = np.linspace(0.05, 2, 40)
-    got = cdf(gaussian(rho, 0.583), rho, np.full(4000, 0.0025), r)
-    return spark.createDataFrame(list(zip(r.tolist(), got.tolist(), (1 - np.exp(-(r**2) / (2 * 0.583**2))).tolist(), strict=True)), "r double, cdf double, closed double")
+    def run(parts):
+        rho = (np.arange(4000) + 0.5) * 0.0025
+        width = np.full(4000, 0.0025)
+        for part in parts:
+            got = np.empty(len(part))
+            sigma = np.hypot(part["sig_a"], part["sig_b"]).to_numpy()
+            for one in np.unique(sigma):
+                at = sigma == one
+                got[at] = cdf(gaussian(rho, one), rho, width, part["sep"].to_numpy()[at])
+            yield pd.DataFrame({"a": part["a"], "b": part["b"], "closed": part["cdf"], "near": np.abs(got - part["cdf"]) < 1e-3})
+
+    return pairs_of(spark, sf_dir).select("a", "b", "sep", "sig_a", "sig_b", "cdf").mapInPandas(run, "a bigint, b bigint, closed double, near boolean").select("a", "b", r6("closed", "closed"), "near")
 
 
 @query()
