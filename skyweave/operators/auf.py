@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bessel import hankel, j0, j1
+from .psf import table_shift
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,8 @@ class Blends:
     #: Of the psf algorithm: fluxes between which shifts are tabulated, and the polynomials of the table.
     l_cut: tuple[float, float, float] | None = None
     shift: tuple | None = field(default=None)
+    #: Or the table of skew-normal tails instead of the polynomials: nested tuples (5, terms, 2).
+    table: tuple | None = None
 
     @property
     def radius(self) -> float:
@@ -61,8 +64,12 @@ def simulated(lam: np.ndarray, dm: np.ndarray, ddm: np.ndarray, how: Blends, rng
         light = total(flux)
         offset, contam = np.hypot(total(x * flux), total(y * flux)) / (1 + light), light
     else:
-        weight = shifts(r, flux, how)
-        cx, cy = total(x * weight), total(y * weight)
+        if how.table:
+            dx, dy = (d * how.sigma for d in table_shift(np.array(how.table), how.l_cut, x / how.sigma, y / how.sigma, flux))
+        else:
+            weight = shifts(r, flux, how)
+            dx, dy = x * weight, y * weight
+        cx, cy = total(dx), total(dy)
         offset = np.hypot(cx, cy)
         seen = total(flux * np.exp(-0.25 * ((x - cx[trial]) ** 2 + (y - cy[trial]) ** 2) / how.sigma**2))
         contam = np.maximum(0, np.exp(-0.25 * offset**2 / how.sigma**2) - 1 + seen)

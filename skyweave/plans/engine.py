@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..operators.astrometry import corrected
 from ..operators.auf import Blends
 from ..operators.blending import simulated_cells, with_cells
 from ..sources.catalog import read_csv, region_points, write_output
-from ..sources.config import Settings, SideSettings
+from ..sources.config import Settings, SideSettings, psf_parameters
 from ..sources.simulations import count_cube, read_simulation
 from .match import BlendedMatch, BlendedPhotometricMatch, CrossMatch, PhotometricMatch
 from .storage import written
@@ -73,6 +74,9 @@ class Engine:
         s = settings
         self.bands = tuple(f"mag{i + 1}" for i in range(max(len(s.a.filters), len(s.b.filters))))
         self.how = Blends(fwhm=1.0, trials=s.trials) if s.blends else None
+        if s.psf_folder:
+            table, cuts = psf_parameters(s.psf_folder)
+            self.how = replace(self.how, algorithm="psf", table=tuple(tuple(map(tuple, row)) for row in table.tolist()), l_cut=cuts)
 
     def catalogue(self, which: str, chunks: tuple) -> DataFrame:
         side = getattr(self.settings, which)

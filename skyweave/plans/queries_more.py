@@ -491,3 +491,14 @@ def psf_shifts(spark, sf_dir):
     from ..operators.psf import shift_grid, shift_polynomials
 
     return shift_polynomials(shift_grid(spark, np.linspace(0.02, 0.95, 48), np.linspace(0, 6, 241)))
+
+
+@query()
+def psf_tails(spark, sf_dir):
+    """Skew-normal tails of the shifts, for a range of fluxes."""
+    import numpy as np
+
+    from ..operators.psf import shift_grid, skew_tails
+
+    tails = skew_tails(shift_grid(spark, np.linspace(0.05, 0.9, 35), np.linspace(0, 6, 121)))
+    return tails.select("flux", *(F.col("tail")[i].alias(n) for i, n in enumerate(("width", "middle", "shape", "amplitude", "cut"))))

@@ -6,6 +6,8 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
+
 from .catalog import Layout
 
 JOINT = ("pos_corr_dist", "int_fracs", "chunk_id_list", "output_save_folder", "include_perturb_auf", "include_phot_like", "use_phot_priors", "cf_region_type", "cf_region_frame", "cf_region_points_per_chunk", "make_output_csv")
@@ -66,6 +68,8 @@ class Settings:
     blends: bool = False
     trials: int = 10_000
     mag_step: float = 0.1
+    #: The folder with the table of the psf algorithm, if the blends are to be simulated by it.
+    psf_folder: str | None = None
 
 
 def _number(config: dict, key: str, where: str, positive: bool = False) -> float:
@@ -123,7 +127,7 @@ def _side(config: dict, where: str, blended: bool) -> SideSettings:
         motion=_integers(config, "pm_indices", where) if motion else (), id=config.get("id_col"), header=bool(config["csv_has_header"]),
     )
     epochs = [epoch(config[k]) if motion else None for k in ("ref_epoch_or_index", "move_to_epoch")] if motion else [None, None]
-    for key, what in (("run_psf_auf", "the psf algorithm without a table of shifts"), ("fit_gal_flag", "galaxy counts beside the simulated ones"), ("download_tri", "downloads of simulations")):
+    for key, what in (("fit_gal_flag", "galaxy counts beside the simulated ones"), ("download_tri", "downloads of simulations")):
         if config.get(key):
             raise ValueError(f"{key} asks for {what}, which the engine does not have, in the {where} settings")
     blends = None
@@ -162,7 +166,22 @@ def settings(joint: dict, a: dict, b: dict) -> Settings:
     for key in ("num_trials", "d_mag"):
         if blended and key not in joint:
             raise ValueError(f"{key} is missing from the joint settings, and include_perturb_auf needs it")
+    psf = {bool(config.get("run_psf_auf")) for config in (a, b)}
+    if blended and len(psf) > 1:
+        raise ValueError("run_psf_auf should be the same in both sides' settings")
+    if blended and True in psf and "psf_params_path" not in joint:
+        raise ValueError("psf_params_path is missing from the joint settings, and run_psf_auf needs it")
     if joint["cf_region_frame"] == "galactic" and any(side.motion for side in sides):
         raise ValueError("proper motions are moved in the equatorial frame only")
     regions = dict(zip(joint["chunk_id_list"], joint["cf_region_points_per_chunk"], strict=True))
-    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides, blended, int(_number(joint, "num_trials", "joint", True)) if blended else 0, _number(joint, "d_mag", "joint", True) if blended else 0.1)
+    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides, blended, int(_number(joint, "num_trials", "joint", True)) if blended else 0, _number(joint, "d_mag", "joint", True) if blended else 0.1, joint["psf_params_path"] if blended and True in psf else None)
+
+
+def psf_parameters(folder: str) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """The table of skew-normal tails and the three fluxes between which it holds, from dd_params.npy and l_cut.npy."""
+    table, cuts = (np.load(Path(folder) / f"{name}.npy") for name in ("dd_params", "l_cut"))
+    if table.ndim != 3 or table.shape[0] != 5 or table.shape[2] != 2:
+        raise ValueError("dd_params should have the shape (5, X, 2)")
+    if cuts.shape != (3,):
+        raise ValueError("l_cut should have three fluxes")
+    return table, tuple(map(float, cuts))

@@ -299,7 +299,7 @@ def test_engine_with_all_switches(spark, tmp_path, blends, photometry):
     assert stamp == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.csv")}
 
 
-@pytest.mark.parametrize(("where", "key", "value", "message"), [(1, "psf_fwhms", None, "psf_fwhms"), (1, "fit_gal_flag", True, "galaxy"), (2, "run_psf_auf", True, "psf"), (0, "num_trials", None, "num_trials"), (2, "dens_dist", "x", "number"), (1, "psf_fwhms", [0.5], "each filter")])
+@pytest.mark.parametrize(("where", "key", "value", "message"), [(1, "psf_fwhms", None, "psf_fwhms"), (1, "fit_gal_flag", True, "galaxy"), (2, "run_psf_auf", True, "run_psf_auf"), (0, "num_trials", None, "num_trials"), (2, "dens_dist", "x", "number"), (1, "psf_fwhms", [0.5], "each filter")])
 def test_settings_of_blends_are_checked(tmp_path, where, key, value, message):
     parts = settings_of(tmp_path)
     parts[0].update({"include_perturb_auf": True, "num_trials": 10, "d_mag": 0.1})
@@ -387,3 +387,31 @@ def test_calibration_from_two_catalogues(spark):
     cat_ = spark.createDataFrame([tuple(map(float, r[1:])) + (r[0],) for r in a], "lon double, lat double, sig double, m double, id bigint")
     out = calibrated(cat_, cat(spark, b), [(0, 0.0, 0.0), (1, 40.0, 0.0)], 0.3, 2.0, "m").collect()
     assert {r.pt for r in out} == {0, 1} and all(r.slices == 4 and r.m == pytest.approx(1.5, rel=0.12) and r.n < 0.08 for r in out)
+
+
+def test_tails_of_shifts(spark, tmp_path):
+    """The table gives the fitted centres that it was made from."""
+    from skyweave.operators import psf
+
+    fluxes, r, cuts = np.linspace(0.05, 0.9, 35), np.linspace(0, 6, 121), (0.04, 0.5, 0.95)
+    rows = psf.skew_tails(psf.shift_grid(spark, fluxes, r)).orderBy("flux").collect()
+    tails = np.array([x.tail for x in rows])
+    for x in rows[::6]:
+        far = r > x.tail[4]
+        assert np.abs(psf.skew(np.array(x.tail[:4]), r[far], x.flux) - psf.shift(x.flux, r[far])).max() < 0.05
+    table = psf.parameter_table(fluxes, tails, cuts)
+    at = np.linspace(0.1, 5.5, 60)
+    for f in (0.1, 0.3, 0.7):
+        dx, dy = psf.table_shift(table, cuts, at, np.zeros(60), np.full(60, f))
+        assert np.abs(dx - psf.shift(f, at)).max() < 0.1 and (dy == 0).all()
+        assert np.allclose(psf.table_shift(table, cuts, -at, np.zeros(60), np.full(60, f))[0], -dx)
+    np.save(tmp_path / "dd_params.npy", table)
+    np.save(tmp_path / "l_cut.npy", np.array(cuts))
+    back, found = config.psf_parameters(str(tmp_path))
+    assert (back == table).all() and found == cuts
+    how = Blends(fwhm=3.0, trials=4000, algorithm="psf", table=tuple(tuple(map(tuple, x)) for x in table.tolist()), l_cut=cuts)
+    offset, contam, share = simulated(np.array([0.5]), np.array([1.0]), np.array([0.5]), how, np.random.default_rng(1))
+    assert share[0] == pytest.approx(1 - math.exp(-0.5), abs=0.03) and 0 < offset.max() < how.radius and (offset[contam == 0] == 0).all()
+    np.save(tmp_path / "l_cut.npy", np.zeros(2))
+    with pytest.raises(ValueError, match="three fluxes"):
+        config.psf_parameters(str(tmp_path))
