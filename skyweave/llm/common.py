@@ -10,15 +10,32 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, mark, release, written
 
-__all__ = ["dropped", "let", "map_rows", "mark", "release", "same", "sieve", "slices", "table", "written"]
+__all__ = ["dropped", "let", "map_rows", "mark", "release", "rows_of", "same", "sieve", "slices", "small_batches", "table", "written"]
 
 #: Bits of a sieve, 8 MB as a bitmap; a bucket of Spark's bitmap functions has 32,768.
 SIEVE = 1 << 26
+#: Rows of a batch that are Python objects at one time, and of a batch.
+ROWS = 500
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS rows where the session has Spark's default of 10,000: texts are long, and both sides hold whole batches."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(ROWS))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches, ROWS of them as Python objects at one time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True)
 
 
 def map_rows(df: DataFrame, columns: list, step: Callable[..., Iterator], schema: str) -> DataFrame:
     """``step(*lists)`` over Arrow batches of ``columns``; it yields dicts of lists, one list for each field of ``schema``."""
     spark = df.sparkSession
+    small_batches(spark)
     fields = spark.createDataFrame([], schema).schema
     names = fields.names
     types = [pa.binary() if t == "binary" else _ARROW[t] if t in _ARROW else pa.list_(_ARROW[t[6:-1]]) for t in (f.dataType.simpleString() for f in fields)]
@@ -26,8 +43,9 @@ def map_rows(df: DataFrame, columns: list, step: Callable[..., Iterator], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in step(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types, strict=True)], schema=kind)
+            for at in range(0, batch.num_rows, ROWS):
+                for out in step(*(c.to_pylist() for c in batch.slice(at, ROWS).columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types, strict=True)], schema=kind)
 
     return df.select(*columns).mapInArrow(run, fields)
 

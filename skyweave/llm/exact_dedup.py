@@ -11,7 +11,8 @@ blocks with such digests are named by their texts instead, so digests decide not
 Names are aggregated before they are joined, and both sides of each join are plain
 exchanges, which Spark can split where a block or a group of copies is hot.
 
-Defined results: a null text counts as empty, and empty texts are equal; a row without id
+Texts of any length are read in whole, and become as many blocks as they need. Defined
+results: a null text counts as empty, and empty texts are equal; a row without id
 comes after all others of its group; of rows that agree in length and id one stays.
 """
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, table
+from .common import map_rows, rows_of, table
 from .shingles import shingle_hashes, words
 
 K = 128
@@ -158,14 +158,13 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held = None  # the last row, with its sketch; rows of a range lie together
-        for batch in batches:
-            for part, own, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "own", "doc_id", "text")), strict=True):
-                if held and held[0] != part:
-                    held = None
-                made = sketch(text, k)
-                if held:
-                    yield held[1], held[2], held[3], text, made
-                held = (part, doc_id, text, made) if own else None
+        for part, own, doc_id, text in rows_of(b.select(["part", "own", "doc_id", "text"]) for b in batches):
+            if held and held[0] != part:
+                held = None
+            made = sketch(text, k)
+            if held:
+                yield held[1], held[2], held[3], text, made
+            held = (part, doc_id, text, made) if own else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

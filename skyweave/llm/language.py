@@ -19,14 +19,15 @@ from __future__ import annotations
 import functools
 import sys
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, table
+from .common import map_rows, slices, small_batches, table
 from .shingles import mixed
 
 SIZES = (2, 3, 4)
@@ -36,6 +37,8 @@ LANGUAGES = 1000
 GRAMS = 8000
 POSITIONS = 1 << 17
 HASHES = 3
+#: Letters of a long text that are looked at together.
+PIECE = 1 << 16
 #: The pipeline rejects texts of which the best language covers less.
 LEAST = 0.2
 UNKNOWN = "und"
@@ -47,6 +50,15 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text cut at spaces, PIECE letters or just more at a time: no n-gram crosses them, and arrays stay small."""
+    begin = 0
+    while begin < len(text):
+        end = text.find(" ", begin + PIECE) if len(text) - begin > PIECE else -1
+        yield text[begin : end if end >= 0 else len(text)]
+        begin = end if end >= 0 else len(text)
+
+
 def grams(text: str) -> np.ndarray:
     """Hashes of all n-grams of the words of a text, a space at each end; none without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
@@ -93,8 +105,8 @@ class LanguageFilters:
             wrong[i] = ((planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() ** HASHES
         return cls(languages, planes, wrong)
 
-    def coverage(self, hashes: np.ndarray) -> np.ndarray:
-        """The corrected share of the n-grams that each language contains."""
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language contains."""
         at = positions(hashes)
         hits = np.zeros(len(self.languages))
         for p, plane in enumerate(self.planes):
@@ -104,14 +116,25 @@ class LanguageFilters:
             each, count = np.unique(masks, return_counts=True)
             for i in range(p * 64, min(len(self.languages), p * 64 + 64)):
                 hits[i] = count[(each >> np.uint64(i % 64)) & np.uint64(1) == 1].sum()
-        n = len(hashes)
+        return hits
+
+    def coverage(self, hashes: np.ndarray) -> np.ndarray:
+        """The corrected share of the n-grams that each language contains."""
+        return self.corrected(self.hits(hashes), len(hashes))
+
+    def corrected(self, hits: np.ndarray, n: int) -> np.ndarray:
         return np.clip((hits - n * self.wrong) / (n * (1 - self.wrong)), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        hashes = grams(text) if text else np.empty(0, dtype=np.uint64)
-        if not len(hashes) or not self.languages:
+        total, n = np.zeros(len(self.languages)), 0
+        for piece in pieces(text or "") if self.languages else ():
+            hashes = grams(piece)
+            n += len(hashes)
+            if len(hashes):
+                total += self.hits(hashes)
+        if not n:
             return UNKNOWN, 0.0
-        cover = self.coverage(hashes)
+        cover = self.corrected(total, n)
         best = int(cover.argmax())
         return self.languages[best], float(cover[best])
 
@@ -135,7 +158,7 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     def step(langs, texts):
         seen: dict[str, Counter] = {}
         for lang, text in zip(langs, texts, strict=True):
-            seen.setdefault(lang, Counter()).update(np.unique(grams(text)).view(np.int64).tolist())
+            seen.setdefault(lang, Counter()).update(set().union(*(np.unique(grams(p)).view(np.int64).tolist() for p in pieces(text))))
         for lang, c in seen.items():
             yield {"lang": [lang] * len(c), "gram": list(c), "docs": list(c.values())}
 
@@ -172,11 +195,12 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without texts that are ``und`` or that no learned language covers by ``least``."""
     filters = fitted(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
+    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def clear(texts: pd.Series) -> pd.Series:
-        found = [shared.value.predict(t) for t in texts]
-        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype="bool")
+    @F.arrow_udf("boolean")
+    def clear(texts: pa.Array) -> pa.Array:
+        found = (shared.value.predict(t.as_py()) for t in texts)  # one text at a time is a Python object
+        return pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_())
 
     return docs.where(clear(F.col(text_col).cast("string")))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, same, sieve, slices, table, written
+from .common import map_rows, rows_of, same, sieve, slices, table, written
 from .components import components
 from .shingles import WORDS, mixed, shingle_hashes, words
 
@@ -138,13 +138,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
     """Runs of rows whose first ``key`` columns agree."""
     group, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:key] != group:
-                if rows:
-                    yield rows
-                group, rows = row[:key], []
-            rows.append(row)
+    for row in rows_of(batches):
+        if row[:key] != group:
+            if rows:
+                yield rows
+            group, rows = row[:key], []
+        rows.append(row)
     if rows:
         yield rows
 

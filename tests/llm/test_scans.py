@@ -158,6 +158,16 @@ def test_texts_that_are_hard_on_patterns(spark):
     assert len(out) == len(HARD) and sum(r.e for r in out) > 100_000
 
 
+def test_hard_texts_in_the_other_scans(spark, classifier):
+    from skyweave.llm import html_text, language
+
+    df = table(spark, [(i, t, "en" if i % 2 else None, "s", 1) for i, t in enumerate(HARD)]).repartition(8)
+    assert len(licences.licences(df, classifier).collect()) == len(HARD)
+    assert len(language.languages(df).collect()) == len(HARD)
+    pages = df.selectExpr("doc_id AS page_id", "text AS html", "'u' AS url")
+    assert {r.page_id: len(r.text) == r.n_chars for r in html_text.extracted(pages).collect()} == dict.fromkeys(range(len(HARD)), True)
+
+
 def test_many_matches_of_one_text(spark):
     text = "é " + " ".join(f"{i:016x}" for i in range(20_000))
     (row,) = secrets.secret_spans(table(spark, [(1, text, "en", "s", 1)])).collect()

@@ -170,6 +170,14 @@ def test_language_edge_cases(spark):
     assert {901, 902}.isdisjoint({r.doc_id for r in kept.collect()}) and set(range(60)) - {0, 1, 2} <= {r.doc_id for r in kept.collect()}
 
 
+def test_pieces_of_long_texts_have_the_same_grams(monkeypatch):
+    text = "Ab, cd  efg\n" * 50 + "x" * 300 + " é  ü. " * 40
+    whole = sorted(language.grams(text).tolist())
+    for size in (1, 7, 64, 10_000):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert "".join(language.pieces(text)) == text and sorted(h for p in language.pieces(text) for h in language.grams(p).tolist()) == whole
+
+
 def test_long_texts_are_read_whole():
     filters = language.LanguageFilters.of({k: language.grams(" ".join(v)) for k, v in WORDS.items()})
     assert filters.predict("kora " * 100 + "xyrr wytt zxqu vwyk " * 5000)[0] == "bb"
