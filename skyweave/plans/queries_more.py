@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import sky
 from ..operators import islands as isl
 from ..operators import photometry as phot
+from ..operators import population as pop
 from ..operators import regions, spatial
 from ..operators import statistics as stats
 from ..operators.auf import Blends
@@ -462,25 +464,74 @@ def astro_fit(spark, sf_dir):
     return calibrated(cat_a(spark, sf_dir), cat_b(spark, sf_dir), [(0, 130.97, 0.0), (1, 131.03, 0.0)], 0.05, 2.92, "mag2", step=1.0, least=40)
 
 
-@query()
+def _mixed_sql(x: str, shift: int, factor: int) -> str:
+    return f"CAST((CAST(xor({x}, {x} >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+def _motions_sql() -> str:
+    """Draws, places in the Galaxy, variances and projections, written out."""
+    lanes = ", ".join(f"('{name}', {zlib.crc32(name.encode()) << 20}::UBIGINT)" for name in pop.COMPONENTS)
+    (i1, i2, i3), (o1, o2, o3) = pop.THICK
+    thick = lambda a, b, f: f"power(CASE WHEN r < {pop.R_MEASURED} THEN {a} ELSE {b} END, 2) * {f}"
+    plane = lambda h: f"power(r / {pop.R_MEASURED}, 2) * exp(-2 * (r - {pop.R_MEASURED}) / {h})"
+    up = lambda h: f"exp(-(r - {pop.R_MEASURED}) / {h})"
+    thin, far = pop.LENGTHS["thin"], pop.LENGTHS["thick"]
+    return with_sql(f"""SELECT id, component, CAST(draw AS INT) AS draw,
+  round((-sin(l) * u + cos(l) * s) * {pop.PER_KPC} / d * 1000, 6) AS mu_l, round((-sin(b) * (cos(l) * u + sin(l) * s) + cos(b) * w) * {pop.PER_KPC} / d * 1000, 6) AS mu_b FROM mot""", f"""
+lane AS (SELECT * FROM (VALUES {lanes}) t(component, lane)),
+raw AS (SELECT id, component, p // 6 AS draw, (p % 6) // 2 AS axis, p % 2 AS j, CAST((id::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + ((p::UBIGINT + lane)::UHUGEINT * {0xD1342543DE82EF95}::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM cat_a, lane, range(0, 60) r(p)),
+one AS (SELECT * REPLACE ({_mixed_sql('x', 30, 0xBF58476D1CE4E5B9)} AS x) FROM raw),
+two AS (SELECT * REPLACE ({_mixed_sql('x', 27, 0x94D049BB133111EB)} AS x) FROM one),
+uni AS (SELECT id, component, draw, axis, j, CAST(xor(x, x >> 31) >> 11 AS DOUBLE) / power(2::DOUBLE, 53) AS u FROM two),
+nrm AS (SELECT id, component, draw, axis, sqrt(-2 * ln(1 - max(u) FILTER (j = 0))) * cos(2 * pi() * max(u) FILTER (j = 1)) AS n FROM uni GROUP BY ALL),
+vec AS (SELECT id, component, draw, max(n) FILTER (axis = 0) AS n0, max(n) FILTER (axis = 1) AS n1, max(n) FILTER (axis = 2) AS n2 FROM nrm GROUP BY ALL),
+plc AS (SELECT id, radians(lon) AS l, radians(lat * 100) AS b, 1 + id % 9 AS d FROM cat_a),
+gal AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(y, x) AS phi FROM (SELECT *, {pop.R_SUN} - d * cos(b) * cos(l) AS x, d * cos(b) * sin(l) AS y, d * sin(b) AS z FROM plc)),
+vr0 AS (SELECT *, CASE component WHEN 'thin' THEN {pop.THIN[0]} * {plane(thin)} WHEN 'thick' THEN {thick(i1, o1, plane(far))} ELSE {pop.HALO[0] ** 2} END AS rr0,
+  CASE component WHEN 'thin' THEN {pop.THIN[1]} * {up(thin)} WHEN 'thick' THEN {thick(i3, o3, up(far))} ELSE {pop.HALO[2] ** 2} END AS zz0,
+  CASE component WHEN 'thick' THEN {thick(i2, o2, plane(far))} ELSE {pop.HALO[1] ** 2} END AS pp0 FROM gal, (SELECT component FROM lane)),
+vr1 AS (SELECT *, rr0 + CASE component WHEN 'thin' THEN least(1, abs(z)) * {pop.THIN_RISE[0]} ELSE 0 END AS rr, zz0 + CASE component WHEN 'thin' THEN least(1, abs(z)) * {pop.THIN_RISE[1]} ELSE 0 END AS zz, CASE component WHEN 'thin' THEN z * {pop.TILT} * (rr0 - zz0) / r ELSE 0 END AS rz0 FROM vr0),
+vr2 AS (SELECT *, CASE component WHEN 'thin' THEN {-pop.OORT[1] / (pop.OORT[0] - pop.OORT[1])!r} * rr ELSE pp0 END AS pp, CASE WHEN abs(rz0) > sqrt(rr * zz) THEN 0.99 * sign(rz0) * sqrt(rr * zz) ELSE rz0 END AS rz,
+  CASE component WHEN 'thin' THEN {pop.LAG['thin']} WHEN 'thick' THEN {pop.LAG['thick']} ELSE {pop.LAG['halo']} END AS lag FROM vr1),
+spd AS (SELECT id, component, draw, l, b, d, phi, sqrt(rr) * n0 AS vr, rz / sqrt(rr) * n0 + sqrt(zz - rz * rz / rr) * n2 AS vz, sqrt(pp) * n1 + {pop.ROTATION} + {pop.SLOPE} * (r - {pop.R_SUN}) - lag AS vp FROM vr2 JOIN vec USING (id, component)),
+mot AS (SELECT id, component, draw, l, b, d, -vr * cos(phi) + vp * sin(phi) - {pop.SUN_MOTION[0]} AS u, vr * sin(phi) + vp * cos(phi) - {pop.ROTATION} - {pop.SUN_MOTION[1]} AS s, vz - {pop.SUN_MOTION[2]} AS w FROM spd)""")
+
+
+@query(_motions_sql())
 def sim_pm(spark, sf_dir):
-    """Simulated proper motions of each source in each component of the Galaxy."""
-    from ..operators.population import simulated_motions
-
-    return simulated_motions(cat_a(spark, sf_dir).select("id", F.col("lon").alias("l"), (F.col("lat") * 100).alias("b"), (1.0 + F.col("id") % 9).alias("dist")))
-
-
-@query()
+    """Simulated proper motions of each source in each component of the Galaxy, in thousandths of an arcsecond a year."""
+    sources = cat_a(spark, sf_dir).select("id", F.col("lon").alias("l"), (F.col("lat") * 100).alias("b"), (1.0 + F.col("id") % 9).alias("dist"))
+    return pop.simulated_motions(sources).select("id", "component", "draw", r6(F.col("mu_l") * 1000, "mu_l"), r6(F.col("mu_b") * 1000, "mu_b"))
+
+
+_KINDS = {"blue": (0.0094, -20.7, -0.7, 0.5, 0.9), "red": (0.0110, -20.3, -0.5, -1.6, 1.8)}
+_REDDEN = {"blue": 0.5, "red": 1.5}
+_GALAXIES_SQL = f"""
+WITH g AS (SELECT i, 2 * i / 1999.0::DOUBLE AS z, 299792.458 / 67.7 / sqrt(0.31 * power(1 + 2 * i / 1999.0::DOUBLE, 3) + 1 - 0.31) AS rate FROM range(0, 2000) t(i)),
+c AS (SELECT i, z, coalesce(sum(step) OVER (ORDER BY i), 0) AS d FROM (SELECT i, z, (rate + lag(rate) OVER (ORDER BY i)) / 2 * (z - lag(z) OVER (ORDER BY i)) AS step FROM g)),
+e AS (SELECT k, 0.001 + k * (2 - 0.001) / 40.0::DOUBLE AS z FROM range(0, 41) t(k)),
+s AS (SELECT lo.k, lo.z AS z1, hi.z AS z2, (lo.z + hi.z) / 2 AS z FROM e lo JOIN e hi ON hi.k = lo.k + 1),
+far AS (SELECT k, which, a.d + (b.d - a.d) * (q - a.z) / (b.z - a.z) AS d FROM (SELECT k, 'lo' AS which, z1 AS q FROM s UNION ALL SELECT k, 'hi', z2 FROM s UNION ALL SELECT k, 'at', z FROM s) JOIN c a ON a.i = least(1998, CAST(floor(q / 2 * 1999) AS BIGINT)) JOIN c b ON b.i = a.i + 1),
+sh AS (SELECT k, s.z, s.z2, (power(max(d) FILTER (which = 'hi'), 3) - power(max(d) FILTER (which = 'lo'), 3)) / 3 * power(radians(1), 2) AS volume, max(d) FILTER (which = 'at') AS d FROM far JOIN s USING (k) GROUP BY k, s.z, s.z2),
+kinds AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in v)}, {_REDDEN[k]}::DOUBLE)" for k, v in _KINDS.items())}) t(kind, phi, m0, alpha, p, q, redden)),
+lum AS (SELECT m.mag, phi, alpha, p, z, volume, power(10, -0.4 * (m.mag - a.al - (5 * log10(d * (1 + z)) + 25 + redden * z2) - (m0 - q * z))) AS x FROM sh, kinds, (SELECT DISTINCT 14 + (id % 40) * 0.25::DOUBLE AS mag FROM cat_a) m, (VALUES (0.0::DOUBLE), (0.3::DOUBLE)) a(al))
+SELECT mag, round(ln(sum(volume * 0.4 * ln(10) * phi * power(10, 0.4 * p * z) * power(x, alpha + 1) * exp(-x)) / 2), 6) AS ln_density FROM lum GROUP BY mag"""
+
+
+@query(_GALAXIES_SQL.replace("WITH g AS", with_sql("", "g AS").rstrip(), 1))
 def galaxy_counts(spark, sf_dir):
-    """Counts of two kinds of galaxies by magnitude, with given k-corrections."""
+    """Counts of two kinds of galaxies by magnitude, with given k-corrections, averaged over two extinctions."""
     import numpy as np
 
-    from ..operators import population
+    edges = np.linspace(0.001, 2, 41)
+    k = {kind: _REDDEN[kind] * edges[1:] for kind in _KINDS}
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame({"mag": part["mag"], "density": pop.galaxy_counts(part["mag"].to_numpy(), edges, k, _KINDS, extinctions=(0.0, 0.3))})
 
-    mags, edges = np.arange(14, 24, 0.25), np.linspace(0.001, 2, 41)
-    k = {"blue": 0.5 * edges[1:], "red": 1.5 * edges[1:]}
-    got = population.galaxy_counts(mags, edges, k, {"blue": (0.0094, -20.7, -0.7, 0.5, 0.9), "red": (0.0110, -20.3, -0.5, -1.6, 1.8)})
-    return spark.createDataFrame(list(zip(mags.tolist(), got.tolist(), strict=True)), "mag double, density double")
+    mags = cat_a(spark, sf_dir).select((14 + F.col("id") % 40 * 0.25).alias("mag")).distinct()
+    return mags.mapInPandas(run, "mag double, density double").select("mag", r6(F.log("density"), "ln_density"))
 
 
 @query()
