@@ -67,7 +67,6 @@ TITLES = re.compile(r"(?:\d+ )?(?:(?:reader|user) )?(?:comments?|responses|repli
 HALF = 0.5
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _STOP = re.compile(r"[.!?。！？…:;\"”»](?:\s|$)")
 _COMMA = re.compile("[,،、，]")
@@ -235,12 +234,17 @@ def cleared(root: Element) -> None:
                 level = int(c.tag[1])
                 if below and level <= below:
                     below = 0
-                if TITLES.fullmatch(_SPACE.sub(" ", "".join(texts(c))).strip()):
+                if TITLES.fullmatch(tidy("".join(texts(c)))):
                     below = below or level
             if below:
                 c.attrs = {**c.attrs, "class": "comments"}
 
 
+def tidy(text: str) -> str:
+    """``text`` with one space for white space, and none at its ends."""
+    return " ".join(text.split())
+
+
 def texts(e: Element) -> list[str]:
     out, stack = [], [e]
     while stack:
@@ -252,8 +256,8 @@ def texts(e: Element) -> list[str]:
     return out
 
 
-def measured(root: Element) -> None:
-    """Letters and linked letters of all elements, and the points of the paragraphs in them."""
+def measured(root: Element) -> list[tuple[Element, str]]:
+    """Letters and linked letters of all elements, and the points of the paragraphs in them; gives the paragraphs."""
     stack = [(root, False)]
     order: list[tuple[Element, bool]] = []
     while stack:
@@ -263,14 +267,21 @@ def measured(root: Element) -> None:
         at.points = at.total = 0.0
         stack.extend((c, link) for c in at.elements())
     for at, link in reversed(order):
-        own = sum(len(_SPACE.sub(" ", c).strip()) for c in at.children if isinstance(c, str))
-        at.chars = own + sum(c.chars for c in at.elements())
-        at.linked = at.chars if link else sum(c.linked for c in at.elements())
-    for owner, text in blocks(root):
+        chars = linked = 0
+        for c in at.children:
+            if isinstance(c, str):
+                chars += len(tidy(c))
+            else:
+                chars += c.chars
+                linked += c.linked
+        at.chars, at.linked = chars, chars if link else linked
+    found = blocks(root)
+    for owner, text in found:
         owner.total += worth(owner, text)
     for at, _ in reversed(order):
         if at.parent and at is not root:
             at.parent.total += at.total
+    return found
 
 
 def worth(owner: Element, text: str) -> float:
@@ -280,18 +291,20 @@ def worth(owner: Element, text: str) -> float:
     return (min(len(text) / 100, 3) + len(_COMMA.findall(text)) + (len(text) >= 25)) * (1 - (density(owner) if owner.tag in ("p", "li", "td", "dd", "dt") else 0))
 
 
-def weighed(root: Element) -> None:
-    """Takes out what is marked and has too few of the points."""
+def weighed(root: Element) -> list[tuple[Element, str]]:
+    """Takes out what is marked and has too few of the points; gives the paragraphs that are left."""
+    found = measured(root)
     for kind in ("comments", "apart"):
-        measured(root)
-        whole = root.total
-        stack = [root]
+        least = root.total if kind == "comments" else HALF * root.total
+        stack, gone = [root], False
         while stack:
             at = stack.pop()
-            least = whole if kind == "comments" else HALF * whole
-            at.children = [c for c in at.children if isinstance(c, str) or c.mark != kind or c.total >= least and c.total]
+            kept = [c for c in at.children if isinstance(c, str) or c.mark != kind or c.total >= least and c.total]
+            gone = gone or len(kept) < len(at.children)
+            at.children = kept
             stack.extend(at.elements())
-    measured(root)
+        found = measured(root) if gone else found
+    return found
 
 
 def blocks(e: Element) -> list[tuple[Element, str]]:
@@ -300,7 +313,7 @@ def blocks(e: Element) -> list[tuple[Element, str]]:
     owner, parts = e, []
 
     def flush():
-        if text := _SPACE.sub(" ", "".join(parts)).strip():
+        if text := tidy("".join(parts)):
             out.append((owner, text))
         parts.clear()
 
@@ -349,9 +362,9 @@ def scored(found: list[tuple[Element, str]]) -> list[Element]:
     return list(got.values())
 
 
-def chosen(root: Element) -> list[Element | str]:
+def chosen(root: Element, found: list[tuple[Element, str]]) -> list[Element | str]:
     """The best element with those of its siblings that belong to it."""
-    candidates = scored(blocks(root))
+    candidates = scored(found)
     if not candidates:
         return [root]
     best = max(candidates, key=lambda e: e.points)  # of equal ones the first, which is the innermost
@@ -369,7 +382,7 @@ def chosen(root: Element) -> list[Element | str]:
             keep += [*waiting, e]
             waiting, seen = [], True
         elif isinstance(e, str):
-            text = _SPACE.sub(" ", e).strip()
+            text = tidy(e)
             if len(text) > 80 or text and _STOP.search(text):
                 keep += [*waiting, e]
                 waiting = []
@@ -405,11 +418,11 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     cleared(tree.root)
-    weighed(tree.root)
+    found = weighed(tree.root)
     out = []
-    for part in chosen(tree.root):
+    for part in chosen(tree.root, found):
         if isinstance(part, str):
-            out.append(_SPACE.sub(" ", part).strip())
+            out.append(tidy(part))
             continue
         for owner, text in blocks(part):
             if part.tag in ("body", "html") and owner.tag in ("ul", "ol", "li") and density(owner) > 0.6:
