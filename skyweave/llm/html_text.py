@@ -5,8 +5,10 @@ of what is left gives points for its length and its commas, discounted by the sh
 text that is in links: all of them to its container and to article and main elements around
 it, less to other ancestors the higher they stand. An element's points are discounted by the
 share of links once more. Words of a class or id, roles, forms and headers only weigh: what
-they mark is left out unless it has HALF of the page's points; marked reader comments, and
-what follows a title such as "Comments", are left out if anything else has points.
+they mark is left out unless it has HALF of the page's points. Marked reader comments,
+adverts and other things that no article is named after, and what follows a title such as
+"Comments", are left out if anything else has points. Either is left out if an article or
+main element elsewhere has text.
 
 The element with most points is kept with those siblings that have a fair share of them or
 read like prose, with headings before these and bare text between them, and all blocks of
@@ -55,6 +57,10 @@ APART = frozenset(
 )
 #: Those of reader comments.
 COMMENTS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+#: And others that no article is named after.
+SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr newsletter subscribe breadcrumb breadcrumbs pagination pager share sharing shares social login signin signup search searchbox nav navbar navigation outbrain taboola".split()
+)
 #: Words that stand beside them and say nothing else.
 NEUTRAL = frozenset("area bar block bottom box button buttons container content desktop fixed form global inner item items layer left link links list main message mobile outer page post posts primary right row secondary section site slot small sticky text thread top unit user wrap wrapper".split())
 #: Beginnings of such words, where they stand alone.
@@ -73,12 +79,12 @@ _COMMA = re.compile("[,،、，]")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "total", "chars", "linked", "mark")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "total", "chars", "linked", "mark", "holders")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
-        self.points, self.total, self.chars, self.linked, self.mark = 0.0, 0.0, 0, 0, ""
+        self.points, self.total, self.chars, self.linked, self.mark, self.holders = 0.0, 0.0, 0, 0, "", 0
 
     def elements(self) -> list[Element]:
         return [c for c in self.children if not isinstance(c, str)]
@@ -196,16 +202,16 @@ def marks(e: Element) -> set[str]:
 
 
 def marked(e: Element, in_article: bool) -> str:
-    """What says that an element is not of the article: "comments", "apart" or nothing."""
+    """What says that an element is not of the article: "sure", "apart" or nothing."""
     found: set[str] = set()
     for token in f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".split():
         words = [w.lower() for w in _WORD.findall(token)]
         if words and all(w in APART or w in NEUTRAL for w in words) or len(words) == 1 and words[0].startswith(APART_PREFIXES):
             found |= {w for w in words if w in APART or w.startswith(APART_PREFIXES)}
-    if found & COMMENTS and e.tag not in ("html", "body", "main"):
-        return "comments"
+    if e.tag not in ("html", "body", "main") and (found & COMMENTS or found & SURE and e.tag in BLOCKS - HEADINGS):
+        return "sure"
     if e.tag == "article" and in_article:
-        return "comments"  # what HTML has articles in articles for
+        return "sure"  # what HTML has articles in articles for: comments
     if e.tag in ("html", "body", "main", "article"):
         return ""
     if e.tag in ("form", "header") or e.attrs.get("role", "").lower() in ROLES:
@@ -275,6 +281,7 @@ def measured(root: Element) -> list[tuple[Element, str]]:
                 chars += c.chars
                 linked += c.linked
         at.chars, at.linked = chars, chars if link else linked
+        at.holders = sum(c.holders for c in at.elements()) + (at.tag in ("article", "main") and not at.mark and chars > 0)  # articles with text
     found = blocks(root)
     for owner, text in found:
         owner.total += worth(owner, text)
@@ -294,15 +301,17 @@ def worth(owner: Element, text: str) -> float:
 def weighed(root: Element) -> list[tuple[Element, str]]:
     """Takes out what is marked and has too few of the points; gives the paragraphs that are left."""
     found = measured(root)
-    for kind in ("comments", "apart"):
-        least = root.total if kind == "comments" else HALF * root.total
-        stack, gone = [root], False
+    for kind in ("sure", "apart"):
+        least = root.total if kind == "sure" else HALF * root.total
+        stack, gone = [(root, 0)], False
         while stack:
-            at = stack.pop()
-            kept = [c for c in at.children if isinstance(c, str) or c.mark != kind or c.total >= least and c.total]
+            at, around = stack.pop()  # with the number of articles that it is in
+            around += at.tag in ("article", "main") and not at.mark
+            elsewhere = root.holders - around
+            kept = [c for c in at.children if isinstance(c, str) or c.mark != kind or c.holders == elsewhere and c.total >= least and c.total]
             gone = gone or len(kept) < len(at.children)
             at.children = kept
-            stack.extend(at.elements())
+            stack.extend((c, around) for c in at.elements())
         found = measured(root) if gone else found
     return found
 

@@ -46,6 +46,8 @@ THREE = " ".join([PROSE] * 3)
         (f"<main><article><p>{THREE}</article><ul><li>Bob: nice<li>Eve: thanks a lot</ul></main>", THREE),
         (f"<main><h1>T</h1><p>{PROSE}<h2>3 Comments</h2><ul><li>Bob: nice, really, good, great, super, wow, yes</ul></main>", f"T\n{PROSE}"),
         (f"<article><p>{PROSE}<article><p>A reader says, this is good.</article></article>", PROSE), (f"<article><p>Short one, ok.</article><section id=comments><p>{THREE}{THREE}</section>", "Short one, ok."),
+        ("<div class=ad>Buy this, all of you, now, today, or never, we say.</div><article><h1>T</h1><p>Short.</article>", "T\nShort."), ("<div class=ad>Buy this, all, now.</div><article><h1>Only a title</h1></article>", "Only a title"),
+        (f"<article><h1>T</h1><div class=reviews><p>{THREE}</div></article>", f"T\n{THREE}"),
         (f"<div class='sidebar-left wrapper'><div class=post-header><h1>T</h1></div><p>{THREE}</div><div class=sidebar>Other things, of no matter.</div>", THREE), ("<article><p>Let <math><mi>x</mi></math> be.</article>", "Let x be."),
     ],
 )
