@@ -13,7 +13,7 @@ from ..functions.sky import apply_pm
 from ..operators.astrometry import corrected
 from ..operators.auf import Blends
 from ..operators.blending import simulated_cells, with_cells
-from ..sources.catalog import read_csv, region_points, write_output
+from ..sources.catalog import read_csv, region_rows, write_output
 from ..sources.config import Settings, SideSettings, psf_parameters
 from ..sources.simulations import count_cube, read_simulation
 from .match import BlendedMatch, BlendedPhotometricMatch, CrossMatch, PhotometricMatch
@@ -89,7 +89,7 @@ class Engine:
 
     def points(self, chunks: tuple) -> DataFrame:
         """(chunk_id, pt, lon, lat): the middles of each chunk's sky cells."""
-        return reduce(DataFrame.unionByName, [region_points(self.spark, *self.settings.regions[c]).withColumn("chunk_id", F.lit(str(c))) for c in chunks])
+        return self.spark.createDataFrame([(str(c), *row) for c in chunks for row in region_rows(*self.settings.regions[c])], "chunk_id string, pt int, lon double, lat double")
 
     def blended(self, which: str, cat: DataFrame, chunks: tuple) -> tuple[DataFrame, DataFrame]:
         """A catalogue with the cell of each source's blends, and the simulated cells."""

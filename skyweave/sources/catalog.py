@@ -69,6 +69,15 @@ def region_points(spark: SparkSession, kind: str, points: list) -> DataFrame:
     return spark.range(int(n) * int(m)).select(F.col("id").cast("int").alias("pt"), step(lon1, lon2, n, F.floor(F.col("id") / int(m))).alias("lon"), step(lat1, lat2, m, F.col("id") % int(m)).alias("lat"))
 
 
+def region_rows(kind: str, points: list) -> list[tuple[int, float, float]]:
+    """The same as rows, of settings that name a few points."""
+    if kind == "points":
+        return [(i, float(x), float(y)) for i, (x, y) in enumerate(points)]
+    lon1, lon2, n, lat1, lat2, m = points
+    at = lambda a, b, k, i: float(a) + i * (float(b) - float(a)) / max(1, int(k) - 1)
+    return [(i * int(m) + j, at(lon1, lon2, n, i), at(lat1, lat2, m, j)) for i in range(int(n)) for j in range(int(m))]
+
+
 def write_output(df: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = ()) -> None:
     """Parquet, or CSV without header; partitions that are written again replace what was there."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

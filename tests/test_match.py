@@ -415,3 +415,9 @@ def test_tails_of_shifts(spark, tmp_path):
     np.save(tmp_path / "l_cut.npy", np.zeros(2))
     with pytest.raises(ValueError, match="three fluxes"):
         config.psf_parameters(str(tmp_path))
+
+
+def test_region_points_as_rows(spark):
+    for kind, points in (("rectangle", [131, 134, 4, -1, 1, 3]), ("rectangle", [5, 5, 1, 2, 3, 2]), ("points", [[1, 2], [3, 4]])):
+        rows = [(r.pt, round(r.lon, 9), round(r.lat, 9)) for r in catalog.region_points(spark, kind, points).collect()]
+        assert sorted(rows) == [(i, round(x, 9), round(y, 9)) for i, x, y in catalog.region_rows(kind, points)]
