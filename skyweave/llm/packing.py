@@ -34,7 +34,7 @@ from .common import map_rows, slices, table, written
 CAPACITY = 4096
 END = 1
 GROUP = 20_000
-WORDS = 300_000
+WORDS = 450_000
 #: Longer words are not remembered.
 LONG = 64
 #: A turn goes on with the same kind of items while it leaves no more than this share of them.
@@ -108,7 +108,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
 
     def step(keys, texts):
         coder, end = word_ids(path), np.array([END], dtype="<u4").tobytes()
-        for a, b in slices(len(keys), [len(t or "") for t in texts], 1 << 20):
+        for a, b in slices(len(keys), [len(t or "") for t in texts], 4 << 20):
             out: list[tuple] = []
             for key, ids in zip(keys[a:b], coder.ids([t or "" for t in texts[a:b]]), strict=True):
                 ids += end
