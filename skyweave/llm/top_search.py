@@ -189,7 +189,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, scale: int = 1024, id_col
     def meet(some: DataFrame, ask: DataFrame, tasks: int) -> DataFrame:
         """(part, at, vec_id, score): queries against the block of their slot, which comes before them in its partition."""
         both = some.unionByName(ask.select("slot", F.lit(1).alias("kind"), "part", "raw", "least", F.lit(None).cast("binary").alias("flat"), F.lit(None).cast("binary").alias("sizes")))
-        return both.repartition(tasks, "slot").sortWithinPartitions("slot", "kind").select("kind", "part", "raw", "least", "flat", "sizes").mapInArrow(run, "part int, at int, vec_id bigint, score bigint")
+        return both.repartition(4 * tasks, "slot").sortWithinPartitions("slot", "kind").select("kind", "part", "raw", "least", "flat", "sizes").mapInArrow(run, "part int, at int, vec_id bigint, score bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = counts = None
