@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, mark, release, written
 
-__all__ = ["dropped", "let", "map_rows", "mark", "release", "rows_of", "same", "sieve", "slices", "small_batches", "table", "written"]
+__all__ = ["chosen", "dropped", "let", "map_rows", "mark", "release", "rows_of", "same", "sieve", "slices", "small_batches", "table", "threshold", "written"]
 
 #: Bits of a sieve, 8 MB as a bitmap; a bucket of Spark's bitmap functions has 32,768.
 SIEVE = 1 << 26
@@ -76,6 +76,16 @@ def same(a: str, b: str):
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def threshold(most: int, n: int) -> int:
+    """Of 63-bit hashes, so many are below this that about ``most`` of ``n`` rows are chosen; above zero whatever ``n`` is."""
+    return (1 << 63) - 1 if n <= most else max(1, (most << 63) // n)
+
+
+def chosen(key: Column, below: Column) -> Column:
+    """Whether the hash of a row's key is below a ``threshold``."""
+    return F.shiftrightunsigned(F.xxhash64(key), 1) <= below
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.transform(F.array(value), body)[0]

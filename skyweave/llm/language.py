@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, small_batches, table
+from .common import chosen, map_rows, slices, small_batches, table, threshold
 from .shingles import mixed
 
 SIZES = (2, 3, 4)
 PER_LANGUAGE = 4000
-#: The values of ``lang`` that are learned, those of most documents, however many a table holds.
+#: The values of ``lang`` that are learned, those of most documents: a bound on what is fitted, as PER_LANGUAGE is; ``fitted`` takes another.
 LANGUAGES = 1000
 GRAMS = 8000
 POSITIONS = 1 << 17
@@ -144,16 +144,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageFilters:
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = LANGUAGES) -> LanguageFilters:
     """Filters from rows with an id, a text and a language that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    counts = {r["lang"]: r["count"] for r in most}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return LanguageFilters.of({})
-    shares = docs.sparkSession.createDataFrame([(lang, int(min(1, per_language / n) * 1_000_000)) for lang, n in counts.items()], "lang string, share int")
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share"))  # LANGUAGES rows at most
+    shares = docs.sparkSession.createDataFrame([(lang, threshold(per_language, n)) for lang, n in counts.items()], "lang string, share bigint")
+    sample = rows.join(F.broadcast(shares), "lang").where(chosen(F.col("id"), F.col("share")))  # ``most`` rows at most
 
     def step(langs, texts):
         seen: dict[str, Counter] = {}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, table
+from .common import chosen, map_rows, slices, table, threshold
 from .shingles import mixed
 
 #: Wordings of licence notices, by family; fixed values.
@@ -359,11 +359,11 @@ def trained(negatives: list[str], seed: int = 7) -> Classifier:
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> Classifier:
     """A classifier with one line each of about ``negatives`` documents, chosen by the hash of their id, as examples of all else."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    share = int(min(1.0, negatives / max(1, rows.count())) * 1_000_000)
+    below = threshold(negatives, rows.count())
     lines = F.split(F.col(text_col).cast("string"), "\n")
     line = F.element_at(lines, (F.pmod(F.xxhash64(id_col, F.lit(1)), F.size(lines)) + 1).cast("int"))
     words = F.array_join(F.slice(F.split(line, " +"), 1, LONG), " ")  # what a unit has at most
-    sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share).select(F.xxhash64(id_col).alias("place"), words.alias("line"))
+    sample = rows.where(chosen(F.col(id_col), F.lit(below))).select(F.xxhash64(id_col).alias("place"), words.alias("line"))
     return trained([r.line for r in sample.orderBy("place", "line").limit(2 * negatives).collect()])
 
 

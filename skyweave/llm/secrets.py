@@ -11,8 +11,8 @@ never fewer. Rows that cannot be candidates, by a sieve of the candidates' ids,
 moved to be joined to them.
 
 Groups in rules are repeated a bounded number of times, so texts of any length and make-up
-can be matched: a key's label has up to four words of 20 letters before PRIVATE, a web
-token's header up to 1000 characters.
+can be matched: a key's label has up to four words of 20 letters before PRIVATE. Characters
+are repeated without a bound.
 
 Defined results: a null text counts as empty; texts without secrets have empty span lists;
 rows without id are not looked up in the index but scanned by all rules; rows that share an
@@ -41,18 +41,22 @@ class Rule:
     #: A group of the pattern and the least length of what it matched.
     group: int = 0
     least: int = 0
+    #: What a span begins with, if the pattern takes in more before it.
+    lead: str = ""
 
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Base rules come first; a run of enough characters is the same match as a run that is measured afterwards.
 BASE = (Rule("assign", ASSIGN, 2, 12), Rule("access", r"AKIA[A-Z0-9]{14,}"), Rule("hex", r"[0-9a-f]{16,}"))
+WEB_TAIL = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 MORE = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]{1,20} ){0,4}PRIVATE KEY-----"),
     Rule("code_host", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # of a run of characters only the first eyJ can begin a token, so each run is read once
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]{8,}+\." + WEB_TAIL, lead="eyJ"),
 )
 RULES = BASE + MORE
 ALTERNATIVES = 64
@@ -133,6 +137,8 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         each = matches(F.col("text"), rule.pattern)
         if rule.least:
             each = F.filter(each, _long_enough(rule))
+        if rule.lead:
+            each = F.transform(each, _led(rule.lead))
         if trigram_query(rule.pattern):
             each = F.when(ask.bitwiseAND(F.lit(1 << r)) != 0, each).otherwise(none)
         columns.append(each.alias(rule.kind))
@@ -143,6 +149,14 @@ def _long_enough(rule: Rule) -> Callable[[Column], Column]:
     return lambda m: F.char_length(F.regexp_extract(m["value"], rule.pattern, rule.group)) >= rule.least
 
 
+def _led(lead: str) -> Callable[[Column], Column]:
+    def cut(m: Column) -> Column:
+        at = F.instr(m["value"], lead)
+        return F.struct((m["start"] + at - 1).cast("bigint").alias("start"), m["end"].alias("end"), F.substr(m["value"], at).alias("value"))
+
+    return cut
+
+
 def _said(kind: str, place: int) -> Callable[[Column], Column]:
     return lambda m: F.struct(m["start"].alias("start"), F.lit(place).alias("place"), F.concat_ws(":", F.lit(kind), m["start"], m["end"]).alias("said"))
 
@@ -166,7 +180,8 @@ def _sql() -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     either = "".join(c for c in ASSIGN)
     either = either.replace("(?i:password|passwd|secret|token|api_?key)", "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
-    patterns = {r.kind: either if r.kind == "assign" else r.pattern for r in RULES}
+    own = {"assign": either, "web_token": r"eyJ[A-Za-z0-9_-]{8,}\." + WEB_TAIL}
+    patterns = {r.kind: own.get(r.kind, r.pattern) for r in RULES}
     parts = []
     for i, (kind, p) in enumerate(patterns.items()):
         keep = f"WHERE length(regexp_extract(value, {quoted(p)}, 2)) >= 12" if kind == "assign" else ""

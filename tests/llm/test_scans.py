@@ -289,3 +289,26 @@ def test_licence_scan(spark, classifier):
         assert "License" in data[-1][1][int(start) : int(end)] or "Licensed" in data[-1][1][int(start) : int(end)]
     assert sum(r.n_licences for r in out) == 2
     assert licences.licences(table(spark, []), licences.fitted(table(spark, []))).collect() == []
+
+
+def test_web_tokens_of_any_length(spark):
+    token = lambda n: f"eyJ{'h' * n}.eyJ{'p' * 30}.{'s' * 20}"
+    texts = [token(1500), f"key_{token(3000)} and é {token(9)}", token(7), "eyJ.eyJ" + "a" * 50, f"eyJx{token(20)}", "eyJ" + token(100_000)]
+    out = {r.doc_id: [(m.start, m.end, m.value) for m in r.web_token] for r in secrets.secret_spans(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\." + secrets.WEB_TAIL)
+    assert out == {i: [(m.start(), m.end(), m.group()) for m in plain.finditer(t)] for i, t in enumerate(texts)}
+    assert [len(out[i]) for i in range(6)] == [1, 2, 0, 0, 1, 1]
+
+
+def test_samples_never_vanish(spark):
+    from pyspark.sql import functions as F
+
+    from skyweave.llm.common import chosen, threshold
+
+    for n in (4001, 2_100_000_000, 3_000_000_000, 5 * 10**10, 10**11, 10**15):
+        assert abs(threshold(4000, n) * n / 2**63 - 4000) < 1  # documents of a language that are learned from
+    assert threshold(4000, 10**30) == 1 and threshold(4000, 3) == threshold(4000, 4000) == 2**63 - 1
+    ids = spark.range(200_000)
+    for most in (100, 1000, 50_000):
+        assert abs(ids.where(chosen(F.col("id"), F.lit(threshold(most, 200_000)))).count() - most) < 5 * most**0.5
+    assert ids.where(chosen(F.col("id"), F.lit(threshold(200_000, 200_000)))).count() == 200_000
