@@ -22,7 +22,6 @@ value 0 and no terms; a language with one source has no pairs; repeated rows cou
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +41,8 @@ NARROW, WIDE = 16, 25
 ROWS = 2
 #: Counters that are sent together.
 CHUNK = 1 << 16
-#: Words that a task remembers, and pairs of group and term that it adds up before it sends them.
-WORDS = 300_000
-ENTRIES = 300_000
+#: Pairs of document and term that a task holds, as numbers, before it adds them up.
+ENTRIES = 1_000_000
 #: Bytes of terms: letters (capitals become small) and all that is not ASCII; the rest parts terms.
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -60,14 +58,15 @@ def cells(hashes: list[int], lang: str, width: int) -> np.ndarray:
     return np.stack([((h >> np.uint64(32 * row)) & np.uint64(width - 1)).astype(np.int64) + row * width for row in range(ROWS)])
 
 
-class Hashes(dict):
-    """Hashes of terms, of which as many are remembered as WORDS says."""
+class Vocabulary(dict):
+    """Numbers of terms, in the order in which they are first asked for."""
 
     def __missing__(self, term: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        self[term] = out = xxhash.xxh3_64_intdigest(term)
-        return out
+        self[term] = number = len(self)
+        return number
+
+    def cells(self, lang: str, width: int) -> np.ndarray:
+        return cells(list(map(xxhash.xxh3_64_intdigest, self)), lang, width)
 
 
 def possible(rows: DataFrame, least: int, width: int) -> np.ndarray:
@@ -77,22 +76,26 @@ def possible(rows: DataFrame, least: int, width: int) -> np.ndarray:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ROWS * width, dtype=kind)
-        known = Hashes()
+        seen: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
 
-        def add(found: list[np.ndarray]) -> None:
-            if found:
-                at, n = np.unique(np.concatenate(found), return_counts=True)
-                counts[at] = np.minimum(counts[at] + n, most)
+        def add() -> None:
+            for lang, (known, found) in seen.items():
+                docs = np.bincount(np.concatenate(found), minlength=len(known))
+                at, place = np.unique(known.cells(lang, width).ravel(), return_inverse=True)
+                more = np.bincount(place, weights=np.tile(docs, ROWS))
+                counts[at] = np.minimum(counts[at] + more, most)
+            seen.clear()
 
-        found, size = [], 0
+        size = 0
         for lang, text in rows_of(batches):
             if distinct := set(terms(text)):
-                found.append(cells([known[t] for t in distinct], lang, width).ravel())
-                size += len(found[-1])
-            if size > 1 << 20:
-                add(found)
-                found, size = [], 0
-        add(found)
+                known, found = seen.setdefault(lang, (Vocabulary(), []))
+                found.append(np.fromiter(map(known.__getitem__, distinct), dtype=np.int32, count=len(distinct)))
+                size += len(distinct)
+                if size > ENTRIES:
+                    add()
+                    size = 0
+        add()
         for chunk in range(0, len(counts), CHUNK):
             part = counts[chunk : chunk + CHUNK]
             if len(at := np.flatnonzero(part)):
@@ -116,6 +119,11 @@ def possible(rows: DataFrame, least: int, width: int) -> np.ndarray:
     return out
 
 
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether all counters of each term are set."""
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
 def term_counts(rows: DataFrame, least: int) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, of all terms that may be in ``least`` documents of the language."""
     spark = rows.sparkSession
@@ -123,48 +131,37 @@ def term_counts(rows: DataFrame, least: int) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     width = 1 << min(WIDE, max(NARROW, (size // 16).bit_length()))
     sieve = spark.sparkContext.broadcast(possible(rows, least, width))
+    names = ["lang", "source", "term", "n", "docs"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = sieve.value, Hashes()
-        alive: dict[str, dict[bytes, bool]] = {}
-        sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-        def judge(lang: str, new: list[bytes]) -> None:
-            if sum(map(len, alive.values())) > WORDS:
-                alive.clear()
-            at = cells([known[t] for t in new], lang, width)
-            fine = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-            alive.setdefault(lang, {}).update(zip(new, fine.tolist(), strict=True))
+        known: dict[str, Vocabulary] = {}
+        groups: dict[tuple[str, str], tuple[list[np.ndarray], list[np.ndarray]]] = {}
 
         def send() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, docs) in sums.items():
-                keys = list(n)
-                for a in range(0, len(keys), 10_000):
-                    some = keys[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array([t.decode("utf-8") for t in some], pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())],
-                        names=["lang", "source", "term", "n", "docs"],
-                    )
-            sums.clear()
-
-        entries = 0
+            alive = {lang: marked(sieve.value, v.cells(lang, width)) for lang, v in known.items()}
+            text = {lang: pa.array([t.decode("utf-8") if fine else None for t, fine in zip(v, alive[lang].tolist(), strict=True)], pa.string()) for lang, v in known.items()}
+            for (lang, source), (ids, n) in groups.items():
+                each, place, docs = np.unique(np.concatenate(ids), return_inverse=True, return_counts=True)
+                total = np.bincount(place, weights=np.concatenate(n)).astype(np.int64)
+                keep = alive[lang][each]
+                same = [pa.repeat(pa.scalar(x, pa.string()), int(keep.sum())) for x in (lang, source)]
+                whole = pa.RecordBatch.from_arrays([*same, text[lang].take(pa.array(each[keep])), pa.array(total[keep], pa.int64()), pa.array(docs[keep], pa.int64())], names=names)
+                yield from (whole.slice(at, 10_000) for at in range(0, whole.num_rows, 10_000))
+            groups.clear()
+            known.clear()
+
+        pending = 0
         for lang, source, text in rows_of(batches):
-            each = Counter(terms(text))
-            if new := [t for t in each if t not in alive.get(lang, ())]:
-                judge(lang, new)
-                if any(t not in alive[lang] for t in each):  # all were forgotten
-                    judge(lang, list(each))
-            keep = alive.get(lang, {})
-            n, docs = sums.setdefault((lang, source), (Counter(), Counter()))
-            some = {t: c for t, c in each.items() if keep[t]}
-            n.update(some)
-            docs.update(some.keys())
-            entries += len(some)
-            if entries > 4 * ENTRIES:  # what was seen; how much of it is distinct is looked up seldom
-                entries = sum(len(x) for x, _ in sums.values())
-                if entries > ENTRIES:
+            if found := terms(text):
+                number = known.setdefault(lang, Vocabulary()).__getitem__
+                each, n = np.unique(np.fromiter(map(number, found), dtype=np.int32, count=len(found)), return_counts=True)
+                ids, counts = groups.setdefault((lang, source), ([], []))
+                ids.append(each)
+                counts.append(n.astype(np.int32))
+                pending += len(each)
+                if pending > ENTRIES:
                     yield from send()
-                    entries = 0
+                    pending = 0
         yield from send()
 
     each = rows.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
