@@ -19,7 +19,8 @@ from ..functions.bessel import gaussian, hankel
 from ..functions.optimise import minimised
 from ..functions.sky import rescaled_sigma
 from ..plans.storage import written
-from .blending import celled, grid_density
+from .density import local_densities
+from .regions import hulls
 from .spatial import mutual_nn, nearest_point
 
 SHARES = np.linspace(0, 1, 101)
@@ -137,7 +138,8 @@ def calibrated(cat: DataFrame, reference: DataFrame, points: list[tuple[int, flo
     own = cutout(cat.select("id", "lon", "lat", "sig", F.col(mag).alias("mag")).where("mag is not null"))
     other = cutout(reference.select("id", "lon", "lat"))
     pairs = mutual_nn(own, other, r_max / 3600, ("pt",))
-    local = celled(own, radius).join(grid_density(other, radius, ["pt"]), ["pt", "row", "col"]).select("pt", F.col("id").alias("a"), "sig", F.floor(F.col("mag") / step).cast("int").alias("slice"), "density")
+    density = local_densities(own, other, radius, ("pt",), hulls(other, ("pt",)), ("pt",)).select("pt", "id", "density")
+    local = own.join(density, ["pt", "id"]).select("pt", F.col("id").alias("a"), "sig", F.floor(F.col("mag") / step).cast("int").alias("slice"), "density")
     matches = written(pairs.join(local, ["pt", "a"]).select("pt", "slice", "sig", "sep", "density"), "separations")
     return corrections(cut_slices(matches, ["pt"], sig_half), None, ["pt"], r_max, least=least, blends=blends, rho=rho, enough=enough)
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .auf import AUF_SCHEMA, Blends, cell_auf
+from .density import local_densities
+from .regions import hulls
 
 #: Steps of the cells in the logarithm of density and in magnitude.
 LOG_STEP, MAG_STEP = 0.2, 0.25
@@ -21,40 +23,6 @@ def complete_to(detections: DataFrame, by: list[str], step: float = 0.1) -> Data
     return bins.groupBy(*by).agg(((F.max(F.struct("n", "i"))["i"] + 1) * step).alias("limit"))
 
 
-def grid_density(sources: DataFrame, radius: float, by: list[str]) -> DataFrame:
-    """(by, row, col, density): sources a square degree around each occupied cell of half the radius (in degrees).
-
-    Cells are counted first and then joined to those near them, so the work follows the
-    occupied cells and not the pairs of sources. Only occupied cells count as area.
-    """
-    cells = celled(sources, radius).groupBy(*by, "row", "col").agg(F.count("*").alias("n"))
-    size = radius / 2
-    lat = lambda row: (row + 0.5) * size - 90
-    around = cells.withColumn("d", F.explode(F.array(*map(F.lit, range(-2, 3))))).withColumn("near_row", F.col("row") + F.col("d"))
-    chord = F.sqrt(F.greatest(F.lit(radius**2) - F.pow(F.col("d") * size, 2), F.lit(0.0)))
-    wide = chord / F.greatest(F.cos(F.radians(lat(F.col("near_row")))), F.lit(1e-3))
-    middle = (F.col("col") + 0.5) * _width(F.col("row"), size)
-    step = _width(F.col("near_row"), size)
-    many = F.round(360 / step).cast("bigint")
-    first, last = F.floor((middle - wide) / step), F.floor((middle + wide) / step)
-    around = around.where((lat(F.col("near_row")) > -90) & (lat(F.col("near_row")) < 90)).withColumn("near_col", F.explode(F.sequence(first, F.least(last, first + many - 1)))).withColumn("near_col", F.pmod("near_col", many))
-    near = cells.select(*by, F.col("row").alias("near_row"), F.col("col").alias("near_col"), F.col("n").alias("near_n"))
-    area = step * size * F.cos(F.radians(lat(F.col("near_row"))))
-    return around.join(near, [*by, "near_row", "near_col"]).groupBy(*by, "row", "col").agg((F.sum("near_n") / F.sum(area)).alias("density"))
-
-
-def celled(sources: DataFrame, radius: float) -> DataFrame:
-    """``sources`` (lon, lat) with the row and col of their cell."""
-    size = radius / 2
-    row = F.floor((F.col("lat") + 90) / size)
-    return sources.withColumn("row", row).withColumn("col", F.floor(F.pmod("lon", F.lit(360.0)) / _width(F.col("row"), size)))
-
-
-def _width(row, size: float):
-    """A cell's width in longitude: a whole number of cells go around."""
-    return 360 / F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians((row + 0.5) * size - 90)) / size))
-
-
 def with_cells(cat: DataFrame, bands: tuple[str, ...], model: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``cat`` with ``nm``, the cell of each source's best band, and the occupied cells (nm, band, scale, mag, mags, densities, widths).
 
@@ -66,17 +34,18 @@ def with_cells(cat: DataFrame, bands: tuple[str, ...], model: DataFrame, radius:
     long = cat.select(*k, "id", "lon", "lat", F.posexplode(F.array(*bands)).alias("band", "mag")).where("mag is not null")
     limits = complete_to(long, [*k, "band"])  # a row for each chunk and band
     seen = long.join(limits, [*k, "band"]).where("mag <= limit")
-    local = grid_density(seen, radius, [*k, "band"])
     counts = model.join(limits, [*k, "band"]).groupBy(*k, "band").agg(
         F.sum(F.when(F.col("mag") <= F.col("limit"), F.col("density") * F.col("width"))).alias("to_limit"), F.array_sort(F.collect_list(F.struct("mag", "density", "width"))).alias("model")
     )  # the model's own bins
-    own = celled(cat, radius).withColumns({"band": F.col("best"), "mag": F.element_at(F.array(*bands), F.col("best") + 1)}).join(local, [*k, "band", "row", "col"], "left")
+    own = cat.withColumns({"band": F.col("best"), "mag": F.element_at(F.array(*bands), F.col("best") + 1)})
+    local = local_densities(own.where("mag is not null"), seen, radius, (*k, "band"), hulls(cat, keys), keys)
+    own = own.join(local.select(*k, "band", "id", "density"), [*k, "band", "id"], "left")
     own = own.withColumns({"__n": F.floor(F.log("density") / LOG_STEP), "__m": F.floor(F.col("mag") / MAG_STEP)})
     own = own.withColumn("nm", F.when(F.col("__n").isNull() | F.col("__m").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*k, "band", "__n", "__m")))
     cells = own.where("nm <> 0").select(*k, "nm", "band", "__n", "__m").distinct().join(counts, [*k, "band"])
     scale = F.exp((F.col("__n") + 0.5) * LOG_STEP) / F.greatest("to_limit", F.lit(1e-9))
     cells = cells.select("nm", "band", scale.alias("scale"), ((F.col("__m") + 0.5) * MAG_STEP).alias("mag"), F.col("model.mag").alias("mags"), F.col("model.density").alias("densities"), F.col("model.width").alias("widths"))
-    return own.drop("row", "col", "band", "mag", "density", "__n", "__m"), cells
+    return own.drop("band", "mag", "density", "__n", "__m"), cells
 
 
 def simulated_cells(cells: DataFrame, how: Blends, fwhms: tuple[float, ...]) -> DataFrame:

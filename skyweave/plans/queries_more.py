@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sky
+from ..operators import density, regions, spatial
 from ..operators import islands as isl
 from ..operators import photometry as phot
 from ..operators import population as pop
-from ..operators import regions, spatial
 from ..operators import statistics as stats
 from ..operators.auf import Blends
 from ..operators.blending import simulated_cells, with_cells
@@ -353,6 +353,37 @@ def match_columns(spark, sf_dir):
     return out.select("a", "b", r6("a_lon", "a_lon"), r6("a_mag2", "a_mag2"), r6("b_lat", "b_lat"), r6("b_mag1", "b_mag1"), r6("match_p", "match_p"))
 
 
+_SHARE_SQL = """
+rim_e AS (SELECT p.id, (x1 - p.x) * cos(radians(p.y)) / 0.01::DOUBLE AS px, (y1 - p.y) / 0.01::DOUBLE AS py, (x2 - p.x) * cos(radians(p.y)) / 0.01::DOUBLE AS qx, (y2 - p.y) / 0.01::DOUBLE AS qy FROM pts p JOIN edg USING (side) WHERE side = 'b'),
+rim_d AS (SELECT *, qx - px AS dx, qy - py AS dy FROM rim_e),
+rim_r AS (SELECT *, dx * dx + dy * dy AS a, px * dx + py * dy AS b, power(px * dx + py * dy, 2) - (dx * dx + dy * dy) * (px * px + py * py - 1) AS r FROM rim_d),
+rim_t AS (SELECT *, greatest(0, (-b - sqrt(greatest(r, 0))) / a) AS f, least(1, (-b + sqrt(greatest(r, 0))) / a) AS l FROM rim_r),
+rim_u AS (SELECT *, px + f * dx AS ux, py + f * dy AS uy, px + l * dx AS vx, py + l * dy AS vy FROM rim_t),
+shr AS (SELECT id, abs(sum(CASE WHEN r > 0 AND f < l THEN atan2(px * uy - py * ux, px * ux + py * uy) / 2 + (ux * vy - uy * vx) / 2 + atan2(vx * qy - vy * qx, vx * qx + vy * qy) / 2 ELSE atan2(px * qy - py * qx, px * qx + py * qy) / 2 END)) / pi() AS share FROM rim_u GROUP BY id),
+cnt AS (SELECT x.id, count(*) AS n FROM cat_b x JOIN cat_b y ON y.lat BETWEEN x.lat - 0.0101 AND x.lat + 0.0101 AND abs(y.lon - x.lon) < 0.0102 AND """ + HAV + """ <= 0.01 GROUP BY x.id),
+dns AS (SELECT id, n, n / (2 * pi() * (1 - cos(radians(0.01::DOUBLE))) * power(180 / pi(), 2) * share) AS density FROM cnt JOIN shr USING (id))"""
+
+
+def _densities(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    cat = cat_b(spark, sf_dir)
+    return density.local_densities(cat, cat, 0.01, hulls=regions.hulls(cat, ()), **how)
+
+
+@query(with_sql("SELECT id, n, round(density, 1) AS density FROM dns", FIELD_SQL, _SHARE_SQL))
+def grid_density(spark, sf_dir):
+    """Sources around each source over the part of its circle that is in the catalogue's hull, edges and corners too."""
+    return _densities(spark, sf_dir).select("id", "n", F.round("density", 1).alias("density"))
+
+
+@query(with_sql("SELECT count(*) AS n, round(avg(density), 1) AS density, TRUE AS near FROM dns", FIELD_SQL, _SHARE_SQL))
+def grid_density_cells(spark, sf_dir):
+    """The mean of the same, and whether densities from small cells have the same mean within 5 %."""
+    mean = F.avg("density").alias("density")
+    by_cell = _densities(spark, sf_dir, dense=0).agg(mean).withColumnRenamed("density", "cells")
+    both = _densities(spark, sf_dir).agg(F.count("*").alias("n"), mean).crossJoin(by_cell)  # one row each
+    return both.select("n", F.round("density", 1).alias("density"), (F.abs(F.col("cells") / F.col("density") - 1) < 0.05).alias("near"))
+
+
 @query(with_sql("SELECT x.id, count(y.id) AS n FROM cat_b x LEFT JOIN cat_b y ON y.mag2 BETWEEN 11.5 AND 13 AND y.lat BETWEEN x.lat - 0.0051 AND x.lat + 0.0051 AND abs(y.lon - x.lon) < 0.0052 AND " + HAV + " <= 0.005 GROUP BY x.id"))
 def window_density(spark, sf_dir):
     """How many sources in a window of magnitude are around each source."""

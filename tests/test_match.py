@@ -337,15 +337,33 @@ def test_cells_have_priors_of_their_own(spark):
     assert pairs > 2900
 
 
-def test_local_densities_on_a_grid(spark):
-    from skyweave.operators.blending import celled, grid_density
+@pytest.mark.parametrize(("n", "radius", "lon", "lat"), [(100, 0.3, 40, 0), (1000, 0.1, 0, 60), (20_000, 0.1, 359.9, -30)])
+def test_local_densities_have_their_true_area(spark, n, radius, lon, lat):
+    """Against circles measured by points: edges and corners of the hull, empty sky inside of it, and counts by cell."""
+    from skyweave.operators import density, regions
 
     rng = np.random.default_rng(6)
-    for lon, lat in ((40, 0), (0, 60)):
-        rows = [(i, (lon + x / math.cos(math.radians(lat))) % 360, lat + y) for i, (x, y) in enumerate(rng.uniform(-1, 1, (20_000, 2)))]
-        df = cat(spark, rows)
-        out = celled(df, 0.2).join(grid_density(df, 0.2, []), ["row", "col"]).agg(F.avg("density").alias("m"), F.stddev("density").alias("s")).head()
-        assert out.m == pytest.approx(5000, rel=0.05) and out.s < 600
+    flat = math.cos(math.radians(lat))
+    xy = rng.uniform(-1, 1, (n, 2))
+    df = cat(spark, [(i, (lon + x / flat) % 360, lat + y) for i, (x, y) in enumerate(xy)])
+    ring = regions.hulls(df, ()).collect()
+    hull = spark.createDataFrame(ring, "shift double, corners array<struct<x:double,y:double>>")
+    out = {how: density.local_densities(df, df, radius, hulls=hull, dense=how).toPandas().set_index("id").sort_index() for how in (10**9, 0)}
+    corners = np.array([(c.x, c.y) for c in ring[0].corners])
+    some = np.concatenate([np.argsort(-np.abs(xy).max(axis=1))[:15], np.argsort(-np.abs(xy).min(axis=1))[:15], np.arange(15)])  # edges, corners, all
+    r, t = radius * np.sqrt((np.arange(4000) + 0.5) / 4000), np.arange(4000) * 2.399963
+    for i in some.tolist():
+        x0, y0 = (lon + xy[i, 0] / flat + ring[0].shift) % 360, lat + xy[i, 1]
+        px, py = x0 + r * np.cos(t) / math.cos(math.radians(y0)), y0 + r * np.sin(t)
+        turn = np.array([(qx - ax) * (py - ay) - (qy - ay) * (px - ax) for (ax, ay), (qx, qy) in zip(corners, np.roll(corners, -1, axis=0), strict=True)])
+        area = (turn >= 0).all(axis=0).mean() * density.circle_area(radius)
+        assert out[10**9].density[i] == pytest.approx(out[10**9].n[i] / area, rel=0.02)
+    deep = (np.abs(xy) < 1 - 1.5 * radius).all(axis=1)
+    assert out[0].density[deep].mean() == pytest.approx(out[10**9].density[deep].mean(), rel=0.05)
+    rim = (np.abs(xy) > 1 - radius).any(axis=1)
+    assert out[0].density[rim].mean() == pytest.approx(out[10**9].density[rim].mean(), rel=0.05)
+    mixed = density.local_densities(df, df, radius, hulls=hull, dense=int(np.median(out[10**9].n) * 2.6)).toPandas()
+    assert mixed.density.mean() == pytest.approx(out[10**9].density.mean(), rel=0.05) and len(mixed) == n
 
 
 @pytest.mark.parametrize(("lon", "lat"), [(131, 0), (0, 60), (359.9, -70)])
