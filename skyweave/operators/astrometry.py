@@ -21,6 +21,7 @@ from ..functions.sky import rescaled_sigma
 from ..plans.storage import written
 from .density import local_densities
 from .regions import hulls
+from .statistics import quantiles
 from .spatial import mutual_nn, nearest_point
 
 SHARES = np.linspace(0, 1, 101)
@@ -81,9 +82,8 @@ def cut_slices(matches: DataFrame, by: list[str], sig_half: float, density_share
     Kept are quoted uncertainties within ``sig_half`` of the slice's median, local densities
     within a share of the sightline's median, and separations up to ``sigmas`` of the former.
     """
-    median = lambda c: F.percentile(c, F.lit(0.5))
-    typical = matches.groupBy(*by, "slice").agg(median("sig").alias("__sig"))  # a row for each slice, and for each sightline
-    dense = matches.groupBy(*by).agg(median("density").alias("__density"))
+    median = lambda of, c: quantiles(matches, of, c, (0.5,)).select(*of, F.col("q")[0].alias(f"__{c}"))
+    typical, dense = median([*by, "slice"], "sig"), median(list(by), "density")  # a row for each slice, and for each sightline
     near = matches.join(typical, [*by, "slice"]).join(dense, by)
     keep = (F.abs(F.col("sig") - F.col("__sig")) <= sig_half) & (F.abs(F.col("density") - F.col("__density")) <= density_share * F.col("__density")) & (F.col("sep") <= sigmas * F.col("__sig"))
     return near.where(keep).drop("__sig", "__density")
@@ -91,8 +91,10 @@ def cut_slices(matches: DataFrame, by: list[str], sig_half: float, density_share
 
 def slice_statistics(matches: DataFrame, by: list[str], least: int = 100) -> DataFrame:
     """(by, slice, n, sig and sep at percentiles 16, 50 and 84) of slices with enough matches."""
-    at = F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))
-    return matches.groupBy(*by, "slice").agg(F.count("*").alias("n"), F.percentile("sig", at).alias("sig"), F.percentile("sep", at).alias("sep")).where(F.col("n") >= least)
+    k = [*by, "slice"]
+    counts = matches.groupBy(*k).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    at = lambda c: quantiles(matches, k, c, (0.16, 0.5, 0.84)).select(*k, F.col("q").alias(c))
+    return counts.join(at("sig"), k).join(at("sep"), k)
 
 
 def corrections(matches: DataFrame, density: float | None, by: list[str], r_max: float = 3.0, bins: int = 60, least: int = 100, blends: DataFrame | None = None, rho: np.ndarray | None = None, enough: int = 1) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, n) of regular bins; values outside are dropped."""
@@ -47,6 +49,33 @@ def weighted_quantiles(df: DataFrame, shares: tuple[float, ...], ranges: int | N
     return hit.groupBy("q").agg(F.min(value).alias("v"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, n, q): exact quantiles of each group, an array with an entry for each share, interpolated between neighbours.
+
+    Equal values of a group are added up first, so a value that many rows share is one row.
+    Then all groups are put in order together, by ranges of (group, value): a group of any
+    size lies in as many ranges as it fills. Sums of ranges give each range's first rank, and
+    ranks within a range are running sums, so no task holds a group's values.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    each = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(each.repartitionByRange(parts, *by, "__v").withColumn("__range", F.spark_partition_id()), "ordered")
+    one = list(by) or [F.lit(0)]
+    sums = placed.groupBy(*by, "__range").agg(F.sum("__c").alias("__s"))  # a row for each range of each group
+    earlier = Window.partitionBy(*one).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "__range", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"), F.sum("__s").over(Window.partitionBy(*one)).alias("n"))
+    inner = Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(sums, [*by, "__range"]).withColumn("__end", F.col("__before") + F.sum("__c").over(inner))
+    at = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
+    target = lambda i, k: F.struct(F.lit(i).alias("i"), k(at[i // 2]).cast("bigint").alias("k"))
+    wanted = F.array(*(target(2 * i + up, F.ceil if up else F.floor) for i in range(len(shares)) for up in (0, 1)))
+    hit = F.filter(wanted, lambda t: (t["k"] < F.col("__end")) & (t["k"] >= F.col("__end") - F.col("__c")))
+    found = ranked.withColumn("__t", F.explode(hit)).groupBy(*by, "n").agg(*(F.max(F.when(F.col("__t.i") == i, F.col("__v"))).alias(f"__{i}") for i in range(2 * len(shares))))
+    between = lambda i: F.col(f"__{2 * i}") + (F.col(f"__{2 * i + 1}") - F.col(f"__{2 * i}")) * (at[i] - F.floor(at[i]))
+    return found.select(*by, "n", F.array(*(F.when(F.col(f"__{2 * i}") == F.col(f"__{2 * i + 1}"), F.col(f"__{2 * i}")).otherwise(between(i)) for i in range(len(shares)))).alias("q"))
+
+
 def cells(df: DataFrame, log_density: Column, mag: Column, dx: float = 0.2, dy: float = 0.25) -> DataFrame:
     """(x, y, n): occupied cells."""
     return df.groupBy(F.floor(log_density / dx).alias("x"), F.floor(mag / dy).alias("y")).agg(F.count("*").alias("n"))
@@ -55,7 +84,8 @@ def cells(df: DataFrame, log_density: Column, mag: Column, dx: float = 0.2, dy:
 def binned_median(df: DataFrame, x: str, value: str, width: float) -> DataFrame:
     """(bin, value): medians of finite positive values."""
     good = df.where((F.col(value) > 0) & (F.col(value) < F.lit(float("inf"))))
-    return good.groupBy(F.floor(F.col(x) / width).alias("bin")).agg(F.percentile(value, F.lit(0.5)).alias("value"))
+    binned = good.where(F.col(x).isNotNull()).withColumn("bin", F.floor(F.col(x) / width)).select("bin", F.col(value).alias("value"))
+    return quantiles(binned, ["bin"], "value", (0.5,)).select("bin", F.col("q")[0].alias("value"))
 
 
 def first_certain(df: DataFrame, order: str, rate: str, doubt: float) -> DataFrame:
@@ -68,7 +98,7 @@ def modal_value(df: DataFrame, value: str) -> DataFrame:
     """(mode): the middle of the fullest bin; bins as fine as range and quartiles, or the number of values, ask for."""
     v = F.col(value)
     span = F.col("hi") - F.col("lo")
-    facts = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    facts = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).crossJoin(quantiles(df, [], value, (0.25, 0.75)))  # one row each
     sturges = span / (F.log2("n") + 1)
     spread = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow("n", F.lit(1 / 3))
     facts = facts.withColumn("bins", F.ceil(span / F.when(spread > 0, F.least(spread, sturges)).otherwise(sturges)))

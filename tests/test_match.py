@@ -337,6 +337,23 @@ def test_cells_have_priors_of_their_own(spark):
     assert pairs > 2900
 
 
+def test_grouped_quantiles_are_exact(spark):
+    from skyweave.operators.statistics import quantiles
+
+    rng = np.random.default_rng(5)
+    values = {"hot": rng.normal(size=4000), "same": np.full(500, 3.25), "one": np.array([7.0]), "two": np.array([-1.0, 4.0]), "wide": 10.0 ** rng.uniform(-300, 300, 301), "ties": rng.integers(0, 4, 777).astype(float)}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = (0.0, 0.05, 0.16, 0.5, 0.84, 0.999, 1.0)
+    out = {r.g: r for r in quantiles(df, ["g"], "x", shares).collect()}
+    assert out.keys() == values.keys()
+    for g, vs in values.items():
+        assert out[g].n == len(vs) and out[g].q == pytest.approx(np.quantile(vs, shares).tolist(), rel=1e-12)
+    (whole,) = quantiles(df.where("g <> 'wide'"), [], "x", (0.25, 0.5)).collect()
+    assert whole.q == pytest.approx(np.quantile(np.concatenate([v for g, v in values.items() if g != "wide"]), (0.25, 0.5)).tolist())
+    assert quantiles(df.limit(0), ["g"], "x", shares).collect() == []
+
+
 @pytest.mark.parametrize(("n", "radius", "lon", "lat"), [(100, 0.3, 40, 0), (1000, 0.1, 0, 60), (20_000, 0.1, 359.9, -30)])
 def test_local_densities_have_their_true_area(spark, n, radius, lon, lat):
     """Against circles measured by points: edges and corners of the hull, empty sky inside of it, and counts by cell."""
