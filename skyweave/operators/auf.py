@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,7 @@ class Blends:
     r_bins: int = 200
     rho_max: float = 4.0
     rho_bins: int = 100
+    #: ``fw`` (flux-weighted), ``psf`` (fitted profile) or ``both``, mixed by signal-to-noise.
     algorithm: str = "fw"
     #: Of the psf algorithm: fluxes between which shifts are tabulated, and the polynomials of the table.
     l_cut: tuple[float, float, float] | None = None
@@ -51,10 +52,12 @@ def expected(density: np.ndarray, width: np.ndarray, scale: float, radius: float
 def simulated(lam: np.ndarray, dm: np.ndarray, ddm: np.ndarray, how: Blends, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets and contaminating fluxes of all trials, and the share of trials with a blend brighter than each cut.
 
-    All trials are drawn at once: Poisson numbers by bin, then one row for each blend.
+    All trials are drawn at once: the number of blends of each, which is Poisson of the bins'
+    sum, then a bin for each blend, by the bins' shares.
     """
-    n = rng.poisson(lam, size=(how.trials, len(lam)))
-    trial, bin_ = np.repeat(np.arange(how.trials), n.sum(axis=1)), np.repeat(np.tile(np.arange(len(lam)), how.trials), n.ravel())
+    total_lam = float(lam.sum())
+    trial = np.repeat(np.arange(how.trials), rng.poisson(total_lam, size=how.trials))
+    bin_ = np.minimum(np.searchsorted(np.cumsum(lam), rng.random(len(trial)) * total_lam, side="right"), max(0, len(lam) - 1))
     bright, faint = 10 ** (-(dm - ddm / 2) / 2.5), 10 ** (-(dm + ddm / 2) / 2.5)
     flux = faint[bin_] + rng.random(len(bin_)) * (bright - faint)[bin_]
     turn, r = 2 * math.pi * rng.random(len(bin_)), how.radius * np.sqrt(rng.random(len(bin_)))
@@ -73,7 +76,7 @@ def simulated(lam: np.ndarray, dm: np.ndarray, ddm: np.ndarray, how: Blends, rng
         offset = np.hypot(cx, cy)
         seen = total(flux * np.exp(-0.25 * ((x - cx[trial]) ** 2 + (y - cy[trial]) ** 2) / how.sigma**2))
         contam = np.maximum(0, np.exp(-0.25 * offset**2 / how.sigma**2) - 1 + seen)
-    share = np.array([(n[:, dm < cut].sum(axis=1) > 0).mean() for cut in how.cuts])
+    share = np.array([(np.bincount(trial[dm[bin_] < cut], minlength=how.trials) > 0).mean() for cut in how.cuts])
     return offset, contam, share
 
 
@@ -86,10 +89,19 @@ def shifts(r: np.ndarray, flux: np.ndarray, how: Blends) -> np.ndarray:
     return np.where(flux >= bright, flux / (1 + flux), np.where(flux < low, faint, between))
 
 
-def cell_auf(scale: float, mag: float, model: pd.DataFrame, how: Blends, key: str) -> dict:
-    """One cell: the transform of the offsets, the share of contaminated trials and the mean flux. The seed follows from the key."""
+def cell_auf(scale: float, mag: float, model: pd.DataFrame, how: Blends, key: str, depth: float | None = None, weight: float = 1.0) -> dict:
+    """One cell: the transform of the offsets, the share of contaminated trials and the mean flux. The seed follows from the key.
+
+    Blends are down to ``depth`` magnitudes fainter than the source, or as faint as the model.
+    With the algorithm ``both`` the flux-weighted simulation counts with ``weight`` and the
+    profile's with the rest.
+    """
+    if how.algorithm == "both":
+        one, two = (cell_auf(scale, mag, model, replace(how, algorithm=kind), f"{key}:{kind}", depth) for kind in ("fw", "psf"))
+        return {k: (weight * np.asarray(one[k]) + (1 - weight) * np.asarray(two[k])).tolist() for k in one}
     rng = np.random.Generator(np.random.Philox(zlib.crc32(key.encode())))
-    bins = model[model["mag"] >= mag].sort_values("mag")
+    far = np.inf if depth is None or np.isnan(depth) else mag + depth
+    bins = model[(model["mag"] >= mag) & (model["mag"] <= far)].sort_values("mag")
     lam = expected(bins["density"].to_numpy(), bins["width"].to_numpy(), scale, how.radius)
     offset, contam, share = simulated(lam, bins["mag"].to_numpy() - mag, bins["width"].to_numpy(), how, rng)
     edges = np.linspace(0, how.r_max, how.r_bins + 1)
@@ -104,20 +116,6 @@ def cell_auf(scale: float, mag: float, model: pd.DataFrame, how: Blends, key: st
 AUF_SCHEMA = "fourier array<double>, frac array<double>, flux double, cumulative array<double>"
 
 
-def perturbation_aufs(cells: DataFrame, model: pd.DataFrame, how: Blends, by: tuple[str, ...] = ("nm",)) -> DataFrame:
-    """For cells (by, scale, mag), each simulated in its own group; the model has a row for each magnitude bin.
-
-    ``scale`` is the local density of sources over the model's.
-    """
-    types = dict(cells.dtypes)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = [{**{k: r[k] for k in by}, **cell_auf(r["scale"], r["mag"], model, how, ":".join(str(r[k]) for k in by))} for r in part.to_dict("records")]
-        return pd.DataFrame(out)
-
-    return cells.groupBy(*by).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in by) + ", " + AUF_SCHEMA)
-
-
 PAIR_SCHEMA = "cdf double, g double, contam_a array<double>, contam_b array<double>, flux_a double, flux_b double"
 
 
@@ -136,7 +134,7 @@ def pair_terms(sep: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray, blends_a:
 def with_blends(pairs: DataFrame, aufs_a: DataFrame, aufs_b: DataFrame, how: Blends) -> DataFrame:
     """``pairs`` (sep, sig_a, sig_b, nm_a, nm_b and others) with the columns of PAIR_SCHEMA.
 
-    ``aufs`` are what ``perturbation_aufs`` gives; they are joined by cell, and the integrals
+    ``aufs`` are what ``blending.simulated_cells`` gives; they are joined by cell, and the integrals
     are sums over a batch of pairs. A density below zero is numeric noise and becomes 1e-30.
     """
     named = lambda aufs, side: aufs.select(F.col("nm").alias(f"nm_{side}"), F.col("fourier").alias(f"__f{side}"), F.col("frac").alias(f"__p{side}"), F.col("flux").alias(f"flux_{side}"))

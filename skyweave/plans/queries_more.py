@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
@@ -19,6 +20,7 @@ from ..operators import statistics as stats
 from ..operators.auf import Blends
 from ..operators.blending import simulated_cells, with_cells
 from ..sources import catalog
+from ..sources import simulations as sims
 from ..sources.fixtures import EDGE_SQL, FIELD_SQL, HAV, NORTH_SQL, cat_a, cat_b, north, with_sql
 from .match import CrossMatch
 from .queries import HULL, MATCHES, POINTS, match_of, north_of, pairs_of, query, r6
@@ -460,17 +462,49 @@ def hankel(spark, sf_dir):
 
 @query()
 def perturb_auf(spark, sf_dir):
-    """Offsets by blends for the cells of density and magnitude that the catalogue occupies."""
-    return _aufs(cat_a(spark, sf_dir))[1]
+    """Offsets by blends for the cells of density and magnitude that the catalogue occupies, both simulations mixed by signal-to-noise."""
+    return _aufs(cat_a(spark, sf_dir), _model(spark, sf_dir), replace(_BLENDS, algorithm="both"))[1]
 
 
-def _aufs(cat: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _model(spark: SparkSession, sf_dir: str, by_band: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """Simulated counts of both bands from a count cube of the simulated sources, in half a magnitude."""
+    areas = spark.createDataFrame([(0, 1e-4)], "pt int, area double")
+    cube = sims.count_cube(_sims(spark, sf_dir).where("pt = 0").select("pt", F.lit(0).alias("filt"), "mag"), areas, 0.5)
+    return cube.select(F.explode(F.array(*map(F.lit, by_band))).alias("band"), (F.col("mag_left") + F.col("width") / 2).alias("mag"), "density", "width")
+
+
+#: Signal-to-noise ratios of the fixture: fainter sources have less.
+_SNRS = F.array(F.when(F.col("mag1").isNotNull(), F.exp((20 - F.col("mag1")) / 2) + F.col("id") % 7), F.exp((21 - F.col("mag2")) / 2) + F.col("id") % 5)
+
+
+def _aufs(cat: DataFrame, model: DataFrame, how: Blends | None = None) -> tuple[DataFrame, DataFrame]:
     """A catalogue with the cell of each source by its measured local density and magnitude, and the simulated cells."""
-    spark = cat.sparkSession
-    mags = spark.range(200).select((F.col("id") * 0.1 + 0.05).alias("mag"))
-    model = mags.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("band"), "mag", F.pow(F.lit(10.0), 0.3 * F.col("mag") - 1).alias("density"), F.lit(0.1).alias("width"))
-    marked, found = with_cells(cat, ("mag1", "mag2"), model, 0.02)
-    return written(marked, "marked"), simulated_cells(written(found, "cells"), _BLENDS, (6.1, 6.5))
+    marked, found = with_cells(cat.withColumn("snrs", _SNRS), ("mag1", "mag2"), model, 0.02, snrs="snrs", fwhms=_FWHMS)
+    return written(marked, "marked"), simulated_cells(written(found, "cells"), how or _BLENDS, _FWHMS)
+
+
+_FWHMS = (6.1, 6.5)
+_CELLS_SQL = """
+bnd AS (SELECT id, 0 AS band, mag1 AS mag, exp((20 - mag1) / 2) + id % 7 AS snr FROM cat_b WHERE mag1 IS NOT NULL UNION ALL SELECT id, 1, mag2, exp((21 - mag2) / 2) + id % 5 FROM cat_b),
+lmt AS (SELECT band, (max_by(i, (n, i)) + 1) * 0.1::DOUBLE AS lim FROM (SELECT band, CAST(floor(mag / 0.1::DOUBLE + 1e-9) AS BIGINT) AS i, count(*) AS n FROM bnd GROUP BY ALL) GROUP BY band),
+see AS (SELECT id, band, lon, lat FROM bnd JOIN lmt USING (band) JOIN cat_b USING (id) WHERE mag <= lim),
+own AS (SELECT b.id, b.band, b.mag, c.lon, c.lat FROM bnd b JOIN cat_b c ON c.id = b.id AND c.best = b.band),
+lcl AS (SELECT x.id, x.band, x.mag, count(*) AS n FROM own x JOIN see y ON y.band = x.band AND y.lat BETWEEN x.lat - 0.0101 AND x.lat + 0.0101 AND abs(y.lon - x.lon) < 0.0102 AND """ + HAV + """ <= 0.01 GROUP BY ALL),
+cel AS (SELECT band, CAST(floor(ln(n / (2 * pi() * (1 - cos(radians(0.01::DOUBLE))) * power(180 / pi(), 2) * share)) / 0.2::DOUBLE) AS BIGINT) AS ln_n, CAST(floor(mag / 0.25::DOUBLE) AS BIGINT) AS mag_bin FROM lcl JOIN shr USING (id) GROUP BY ALL),
+mdl AS (SELECT (bin + 0.5::DOUBLE) * 0.5::DOUBLE AS mag, n / (1e-4::DOUBLE * 0.5::DOUBLE) AS density FROM (SELECT CAST(floor(mag / 0.5 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM (SIMS) WHERE pt = 0 GROUP BY ALL)),
+lev AS (SELECT band, sum(density * 0.5::DOUBLE) AS to_limit FROM mdl, lmt WHERE mag <= lim GROUP BY band),
+crv AS (SELECT band, CAST(floor(mag / 0.25::DOUBLE) AS BIGINT) AS mag_bin, quantile_cont(snr, 0.5) AS snr FROM bnd GROUP BY ALL),
+wks AS (SELECT band, median(snr) AS weakest FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY snr) AS r FROM bnd) WHERE r <= 1000 GROUP BY band),
+all_ AS (SELECT band, ln_n, mag_bin, (mag_bin + 0.5::DOUBLE) * 0.25::DOUBLE AS mag, exp((ln_n + 0.5::DOUBLE) * 0.2::DOUBLE) / to_limit AS scale, snr, weakest, CASE WHEN band = 0 THEN 6.1::DOUBLE ELSE 6.5::DOUBLE END AS fwhm FROM cel JOIN lev USING (band) JOIN crv USING (band, mag_bin) JOIN wks USING (band)),
+sums AS (SELECT a.band, ln_n, mag_bin, a.mag, m.mag AS far, sum(m.density * 0.5::DOUBLE * scale * pi() * power(1.185::DOUBLE * fwhm / 3600, 2)) OVER (PARTITION BY a.band, ln_n, mag_bin ORDER BY m.mag) AS lam FROM all_ a JOIN mdl m ON m.mag >= a.mag),
+dep AS (SELECT band, ln_n, mag_bin, coalesce(min(far) FILTER (lam >= -ln(0.01)), max(far)) - max(mag) AS crowded FROM sums GROUP BY ALL)""".replace("SIMS", _SIMS)
+
+
+@query(with_sql("SELECT band, ln_n, mag_bin, round(scale, 6) AS scale, round(snr, 6) AS snr, round(1 - sqrt(1 - power(least(1, snr / weakest), 2)), 6) AS weight, round(greatest(-2.5 * log10(0.05 / snr), coalesce(crowded, 0)), 6) AS depth FROM all_ LEFT JOIN dep USING (band, ln_n, mag_bin)", FIELD_SQL, _SHARE_SQL, _CELLS_SQL))
+def perturb_cells(spark, sf_dir):
+    """The cells that blends are simulated for: scale of the counts, signal-to-noise, weight of the two simulations, and how faint blends are."""
+    _, found = with_cells(cat_b(spark, sf_dir).withColumn("snrs", _SNRS), ("mag1", "mag2"), _model(spark, sf_dir), 0.01, snrs="snrs", fwhms=_FWHMS)
+    return found.select("band", F.col("ln_n"), F.col("mag_bin"), r6("scale", "scale"), r6("snr", "snr"), r6("weight", "weight"), r6("depth", "depth"))
 
 
 _BLENDS = Blends(fwhm=6.1)
@@ -482,7 +516,8 @@ def blended_match(spark, sf_dir):
     from .match import BlendedMatch
     from .queries import MOST, RADIUS
 
-    (a, aufs_a), (b, aufs_b) = _aufs(cat_a(spark, sf_dir)), _aufs(cat_b(spark, sf_dir))
+    model = _model(spark, sf_dir)
+    (a, aufs_a), (b, aufs_b) = _aufs(cat_a(spark, sf_dir), model), _aufs(cat_b(spark, sf_dir), model)
     m = BlendedMatch(a, b, RADIUS, MOST, aufs_a=written(aufs_a, "aufs"), aufs_b=written(aufs_b, "aufs"), how=_BLENDS)
     return m.matches.select("a", "b", "match_p", "sep", "xi", "flux_a", "flux_b", F.col("contam_a")[0].alias("p_contam_a"), F.col("contam_b")[0].alias("p_contam_b"))
 
