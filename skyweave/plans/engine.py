@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import json
+import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.sky import apply_pm
 from ..operators.astrometry import corrected
 from ..operators.auf import Blends
-from ..operators.blending import simulated_cells, with_cells
-from ..sources.catalog import read_csv, region_rows, write_output
+from ..operators.blending import by_band, complete_to, simulated_cells, with_cells
+from ..operators.counts import observed, rescaled, with_galaxies
+from ..operators.regions import hull_areas, hulls
+from ..sources.catalog import chunk_of, read_csv, region_rows, write_output
 from ..sources.config import Settings, SideSettings, psf_parameters
-from ..sources.simulations import count_cube, read_simulation
+from ..sources.simulations import merged_cube, read_simulations
 from .match import BlendedMatch, BlendedPhotometricMatch, CrossMatch, PhotometricMatch
 from .storage import written
 
@@ -38,12 +41,19 @@ def mark_done(spark: SparkSession, folder: str, chunks: tuple) -> None:
         files.create(path, True).close()
 
 
+def write_manifest(spark: SparkSession, folder: str, batch: tuple, failed: dict[str, str]) -> None:
+    """A JSON file for a batch of chunks: those that are done, and why the others are not."""
+    said = {"done": [str(c) for c in batch if str(c) not in failed], "failed": failed}
+    path, files = _files(spark, f"{folder}/_manifest/{uuid.uuid4().hex}.json")
+    stream = files.create(path, True)
+    stream.write(bytearray(json.dumps(said).encode()))
+    stream.close()
+
+
 def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
     """The catalogue of all chunks in one scan, with chunk_id, from the path, and a column for each filter; positions are moved to the epoch asked for."""
     cat = read_csv(spark, [side.path.format(c) for c in chunks], side.layout, ("file_path",))
-    part = next(p for p in side.path.split("/") if "{}" in p)  # the folder or file whose name says the chunk
-    before, _, after = part.partition("{}")
-    cat = cat.withColumn("chunk_id", F.regexp_extract("file_path", f"/{_literal(before)}([^/]+?){_literal(after)}(?:/|$)", 1)).drop("file_path")
+    cat = cat.withColumn("chunk_id", chunk_of(side.path, "file_path")).drop("file_path")
     if side.layout.halo is None:
         cat = cat.withColumn("halo", F.lit(False))
     if side.motion:
@@ -52,10 +62,6 @@ def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
     return cat.withColumns({f"mag{i + 1}": F.col("mags")[i] for i in range(len(side.filters))})
 
 
-def _literal(text: str) -> str:
-    return re.sub(r"([^A-Za-z0-9_/ ])", r"\\\1", text)
-
-
 def with_columns(matches: DataFrame, a: DataFrame, b: DataFrame, bands: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """Matches with both catalogues' columns, without those of which both sources are in the halo of their chunk."""
     tag = lambda cat, which: cat.select(*keys, F.col("id").alias(which), F.col("halo").alias(f"{which}_halo"), *(F.col(c).alias(f"{which}_{c}") for c in ("lon", "lat", "sig", *bands, "best")))
@@ -76,7 +82,7 @@ class Engine:
         self.how = Blends(fwhm=1.0, trials=s.trials) if s.blends else None
         if s.psf_folder:
             table, cuts = psf_parameters(s.psf_folder)
-            self.how = replace(self.how, algorithm="psf", table=tuple(tuple(map(tuple, row)) for row in table.tolist()), l_cut=cuts)
+            self.how = replace(self.how, algorithm="both" if s.both else "psf", table=tuple(tuple(map(tuple, row)) for row in table.tolist()), l_cut=cuts)
 
     def catalogue(self, which: str, chunks: tuple) -> DataFrame:
         side = getattr(self.settings, which)
@@ -94,14 +100,15 @@ class Engine:
     def blended(self, which: str, cat: DataFrame, chunks: tuple) -> tuple[DataFrame, DataFrame]:
         """A catalogue with the cell of each source's blends, and the simulated cells."""
         side = getattr(self.settings, which).blends
-        models = []
-        for chunk in chunks:
-            rows, area, _ = read_simulation(self.spark, side.path.format(chunk))
-            each = rows.select(F.lit(str(chunk)).alias("pt"), F.posexplode(F.array(*side.columns)).alias("filt", "mag")).where("mag is not null")
-            cube = count_cube(each, self.spark.createDataFrame([(str(chunk), area)], "pt string, area double"), self.settings.mag_step)
-            models.append(cube.select(F.col("pt").alias("chunk_id"), F.col("filt").alias("band"), (F.col("mag_left") + F.col("width") / 2).alias("mag"), "density", "width"))
-        model = written(reduce(DataFrame.unionByName, models), "counts")
-        marked, cells = with_cells(cat, self.bands, model, side.radius, ("chunk_id",))
+        read = lambda path: read_simulations(self.spark, path, chunks, side.columns) if path else None
+        model = merged_cube(read(side.path), read(side.bright), self.settings.mag_step)
+        snrs = "snrs" if "snrs" in cat.columns else None
+        if side.galaxies:
+            key = ("chunk_id",)
+            seen = by_band(cat, self.bands, key, None)
+            data = observed(seen, hull_areas(hulls(cat, key), key), key, complete_to(seen, ["chunk_id", "band"]), self.settings.mag_step, side.saturation)
+            model = rescaled(written(with_galaxies(model, side.galaxies), "galaxies"), data, key)
+        marked, cells = with_cells(cat, self.bands, written(model, "counts"), side.radius, ("chunk_id",), snrs, side.fwhms)
         return written(marked, "marked"), written(simulated_cells(written(cells, "cells"), self.how, side.fwhms), "aufs")
 
     def match(self, chunks: tuple, photometry: bool) -> CrossMatch:
@@ -115,22 +122,52 @@ class Engine:
         return kind(a, b, s.radius, s.fractions[2], bands=self.bands, keys=("chunk_id",), edge_keys=("chunk_id",) if s.edges else (), points=self.points(chunks), **more)
 
     def run(self) -> dict[str, str]:
-        """Writes matches, nonmatches and rejects by chunk, with the catalogues' columns; gives their folders. With photometry, matches by position alone too."""
+        """Writes matches, nonmatches and rejects by chunk, with the catalogues' columns; gives their folders. With photometry, matches by position alone too.
+
+        Batches of chunks (``settings.batch``, or all at once) are written and marked one
+        after another, and each leaves a manifest of what was done and what failed, and why. A
+        chunk whose densities contradict each other fails alone: its sources are rejects, and
+        the next run tries it again. A batch that breaks off is tried again by the next run,
+        the others are done first.
+        """
         s = self.settings
         done = done_chunks(self.spark, s.output)
         todo = tuple(c for c in s.chunks if str(c) not in done)
         out = {name: f"{s.output}/{name}" for name in ("matches", "nonmatches", "rejects")}
-        photometry = s.photometry or s.priors
-        if photometry:
+        if s.photometry or s.priors:
             out |= {f"{name}_without_photometry": f"{s.output}/{name}_without_photometry" for name in ("matches", "nonmatches")}
-        if todo:
-            if photometry:
-                self._write(self.match(todo, False), out, "_without_photometry")
-            self._write(self.match(todo, photometry), out, "")
-            mark_done(self.spark, s.output, todo)
+        size = s.batch or max(1, len(todo))
+        broken: list[Exception] = []
+        for begin in range(0, len(todo), size):
+            batch = todo[begin : begin + size]
+            try:
+                failed = self._run(batch, out)
+                mark_done(self.spark, s.output, tuple(c for c in batch if str(c) not in failed))
+            except Exception as error:  # the other batches first
+                broken.append(error)
+                failed = {str(c): f"{type(error).__name__}: {error}"[:1000] for c in batch}
+            write_manifest(self.spark, s.output, batch, failed)
+        if broken:
+            raise broken[0]
         return out
 
-    def _write(self, m: CrossMatch, out: dict[str, str], kind: str) -> None:
+    def _run(self, batch: tuple, out: dict[str, str]) -> dict[str, str]:
+        """Writes a batch of chunks; gives those that failed, with the reason."""
+        s = self.settings
+        for folder in out.values():  # what a run that broke off has left
+            for chunk in batch:
+                path, files = _files(self.spark, f"{folder}/chunk_id={chunk}")
+                files.delete(path, True)
+        photometry = s.photometry or s.priors
+        m = self.match(batch, photometry)
+        failed = {r.chunk_id: r.reason for r in m.failed.collect()} if photometry else {}  # a row for each such chunk
+        if photometry:
+            self._write(self.match(batch, False), out, "_without_photometry", failed)
+        self._write(m, out, "", failed)
+        return failed
+
+    def _write(self, m: CrossMatch, out: dict[str, str], kind: str, failed: dict[str, str]) -> None:
+        fine = lambda df: df.where(~F.col("chunk_id").isin(*failed)) if failed else df
         columns = ["lon", "lat", "sig", *m.bands, "best"]
         matches = with_columns(m.matches, m.a, m.b, m.bands, ("chunk_id",))
         own = lambda cat, which: cat.select("chunk_id", F.lit(which).alias("side"), "id", "halo", *columns)
@@ -142,6 +179,11 @@ class Engine:
             rejects = reduce(DataFrame.unionByName, [df.select("chunk_id", "side", "id", F.lit(reason).alias("reason")) for df, reason in why])
             if isinstance(m, PhotometricMatch):
                 rejects = rejects.unionByName(m.unbinned.select("chunk_id", "side", "id", "reason"))
+            rejects = fine(rejects)
+            if failed:
+                why = self.spark.createDataFrame(list(failed.items()), "chunk_id string, reason string")
+                every = own(m.a, "a").unionByName(own(m.b, "b")).select("chunk_id", "side", "id")
+                rejects = rejects.unionByName(every.join(F.broadcast(why), "chunk_id").select("chunk_id", "side", "id", "reason"))  # chunks of a batch
             write_output(rejects, out["rejects"], form, ("chunk_id",))
-        write_output(flat(rest.where("not halo").drop("halo")), out[f"nonmatches{kind}"], form, ("chunk_id",))
-        write_output(flat(matches), out[f"matches{kind}"], form, ("chunk_id",))
+        write_output(flat(fine(rest.where("not halo").drop("halo"))), out[f"nonmatches{kind}"], form, ("chunk_id",))
+        write_output(flat(fine(matches)), out[f"matches{kind}"], form, ("chunk_id",))

@@ -196,8 +196,19 @@ class PhotometricMatch(CrossMatch):
         """``photometry.likelihood_table`` of all chunks, cells and pairs of bands."""
         return written(phot.likelihood_table(self.counted(self.a), self.counted(self.b), self.bands, self.pairs, self.cells, self.keys), "likelihoods")
 
+    @cached_property
+    def failed(self) -> DataFrame:
+        """(keys, reason) of chunks of which some densities contradict each other; the others are matched without them."""
+        bad = self.likelihoods.where("error is not null")
+        reason = F.format_string("cell %d, bands %d and %d: %s", "cell", "ba", "bb", "error")
+        return bad.groupBy(*self.keys).agg(F.min(reason).alias("reason")).where("reason is not null")
+
     def sources(self) -> tuple[DataFrame, DataFrame]:
-        k, found, n = [*self.keys, "cell"], self.likelihoods, len(self.bands)
+        k, found = [*self.keys, "cell"], self.likelihoods
+        if self.keys:
+            found = found.join(self.failed, list(self.keys), "left_anti")
+        elif bad := self.failed.head():
+            raise ValueError(bad.reason)
         width = found.agg(F.max(F.size("a_bins"))).head()[0] or 0  # slots of a band; a pair of bands has a slot for each of its bins at most
         like = (lambda f: f + TINY_F) if self.use_likelihood else (lambda f: F.lit(1 - 1e-10 + TINY_F))
         a = found.where("bb = 0").select(*k, F.col("ba").alias("band"), (F.col("nfa") + TINY_F).alias("n"), F.posexplode("a_bins").alias("bin", "x"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sky
-from ..operators import density, regions, spatial
+from ..operators import counts, density, regions, spatial
 from ..operators import islands as isl
 from ..operators import photometry as phot
 from ..operators import population as pop
@@ -473,13 +473,14 @@ def _model(spark: SparkSession, sf_dir: str, by_band: tuple[int, ...] = (0, 1))
     return cube.select(F.explode(F.array(*map(F.lit, by_band))).alias("band"), (F.col("mag_left") + F.col("width") / 2).alias("mag"), "density", "width")
 
 
-#: Signal-to-noise ratios of the fixture: fainter sources have less.
-_SNRS = F.array(F.when(F.col("mag1").isNotNull(), F.exp((20 - F.col("mag1")) / 2) + F.col("id") % 7), F.exp((21 - F.col("mag2")) / 2) + F.col("id") % 5)
+def _with_snrs(cat: DataFrame) -> DataFrame:
+    """Signal-to-noise ratios of the fixture: fainter sources have less."""
+    return cat.withColumn("snrs", F.array(F.when(F.col("mag1").isNotNull(), F.exp((20 - F.col("mag1")) / 2) + F.col("id") % 7), F.exp((21 - F.col("mag2")) / 2) + F.col("id") % 5))
 
 
 def _aufs(cat: DataFrame, model: DataFrame, how: Blends | None = None) -> tuple[DataFrame, DataFrame]:
     """A catalogue with the cell of each source by its measured local density and magnitude, and the simulated cells."""
-    marked, found = with_cells(cat.withColumn("snrs", _SNRS), ("mag1", "mag2"), model, 0.02, snrs="snrs", fwhms=_FWHMS)
+    marked, found = with_cells(_with_snrs(cat), ("mag1", "mag2"), model, 0.02, snrs="snrs", fwhms=_FWHMS)
     return written(marked, "marked"), simulated_cells(written(found, "cells"), how or _BLENDS, _FWHMS)
 
 
@@ -503,13 +504,32 @@ dep AS (SELECT band, ln_n, mag_bin, coalesce(min(far) FILTER (lam >= -ln(0.01)),
 @query(with_sql("SELECT band, ln_n, mag_bin, round(scale, 6) AS scale, round(snr, 6) AS snr, round(1 - sqrt(1 - power(least(1, snr / weakest), 2)), 6) AS weight, round(greatest(-2.5 * log10(0.05 / snr), coalesce(crowded, 0)), 6) AS depth FROM all_ LEFT JOIN dep USING (band, ln_n, mag_bin)", FIELD_SQL, _SHARE_SQL, _CELLS_SQL))
 def perturb_cells(spark, sf_dir):
     """The cells that blends are simulated for: scale of the counts, signal-to-noise, weight of the two simulations, and how faint blends are."""
-    _, found = with_cells(cat_b(spark, sf_dir).withColumn("snrs", _SNRS), ("mag1", "mag2"), _model(spark, sf_dir), 0.01, snrs="snrs", fwhms=_FWHMS)
+    _, found = with_cells(_with_snrs(cat_b(spark, sf_dir)), ("mag1", "mag2"), _model(spark, sf_dir), 0.01, snrs="snrs", fwhms=_FWHMS)
     return found.select("band", F.col("ln_n"), F.col("mag_bin"), r6("scale", "scale"), r6("snr", "snr"), r6("weight", "weight"), r6("depth", "depth"))
 
 
 _BLENDS = Blends(fwhm=6.1)
 
 
+_CUBE_SQL = "SELECT filt, CAST(floor(mag / 0.5 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM (SIMS) WHERE pt < 2 GROUP BY ALL".replace("filt,", "pt AS filt,").replace("SIMS", _SIMS)
+
+
+@query(f"SELECT s.bin, round(2 * s.n + 0.5::DOUBLE * g.n, 6) AS counts, TRUE AS near_stars, TRUE AS near_galaxies, TRUE AS fits FROM ({_CUBE_SQL}) s JOIN ({_CUBE_SQL}) g ON g.bin = s.bin AND s.filt = 0 AND g.filt = 1")
+def count_rescale(spark, sf_dir):
+    """Counts planted as twice the stars and half of the galaxies: factors within 1 %, and the rescaled model within 1 % in each bin."""
+    areas = spark.createDataFrame([(0, 1.0), (1, 1.0)], "pt int, area double")
+    cube = sims.count_cube(_sims(spark, sf_dir).where("pt < 2").select("pt", F.lit(0).alias("filt"), "mag"), areas, 0.5).withColumn("n", F.col("density") * 0.5)
+    of = lambda pt, name: cube.where(F.col("pt") == pt).select("bin", (F.col("mag_left") + 0.25).alias("mag"), F.col("n").alias(name))
+    both = of(0, "density").join(of(1, "galaxies").drop("mag"), "bin").withColumn("band", F.lit(0)).withColumn("width", F.lit(0.5))
+    model = written(both, "model")
+    data = model.select("band", "mag", (2 * F.col("density") + 0.5 * F.col("galaxies")).alias("density"))
+    factors = counts.fitted_factors(data, model, ()).select("band", "stars", F.col("galaxies").alias("more"))
+    fitted = counts.rescaled(model, data, ()).select("bin", "band", F.col("density").alias("fit"), "mag")
+    near = lambda x, y: F.abs(x / y - 1) < 0.01
+    out = fitted.join(factors, "band").join(data.select("mag", "density"), "mag")
+    return out.select("bin", r6("density", "counts"), near(F.col("stars"), F.lit(2.0)).alias("near_stars"), near(F.col("more"), F.lit(0.5)).alias("near_galaxies"), near(F.col("fit"), F.col("density")).alias("fits"))
+
+
 @query()
 def blended_match(spark, sf_dir):
     """Matches with blends on both sides: posterior, and the chance that either source is contaminated by a tenth of its flux."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,13 @@ def read_csv(spark: SparkSession, path: str | list[str], layout: Layout, more: t
     return raw.select(*columns, *more)
 
 
+def chunk_of(pattern: str, path: str) -> Column:
+    """The chunk of a file, from the folder or file of ``pattern`` whose name says it with braces."""
+    before, _, after = next(p for p in pattern.split("/") if "{}" in p).partition("{}")
+    literal = lambda text: re.sub(r"([^A-Za-z0-9_/ ])", r"\\\1", text)
+    return F.regexp_extract(path, f"/{literal(before)}([^/]+?){literal(after)}(?:/|$)", 1)
+
+
 def numbered(raw: DataFrame) -> DataFrame:
     """Rows of text files with ``file_path`` and ``row_number``, from 0 in the order of each file, however it is split.
 

@@ -31,12 +31,19 @@ def loaded(path: str) -> dict:
 
 @dataclass(frozen=True)
 class SideBlends:
-    """Widths of the profile by filter, columns and path of the simulated counts of each chunk, and the radius of local densities."""
+    """Widths of the profile by filter, columns and path of the simulated counts of each chunk, and the radius of local densities.
+
+    ``bright`` is the path of simulations of bright sources over more sky, ``galaxies`` has what
+    their counts are made of for each filter, ``saturation`` the magnitudes above which counts are fitted.
+    """
 
     fwhms: tuple[float, ...]
     columns: tuple[str, ...]
     path: str
     radius: float
+    bright: str | None = None
+    galaxies: tuple[dict, ...] = ()
+    saturation: tuple[float, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -70,6 +77,10 @@ class Settings:
     mag_step: float = 0.1
     #: The folder with the table of the psf algorithm, if the blends are to be simulated by it.
     psf_folder: str | None = None
+    #: Whether they are to be simulated in both ways, mixed by signal-to-noise.
+    both: bool = False
+    #: Chunks that are run and committed together; all where it is 0.
+    batch: int = 0
 
 
 def _number(config: dict, key: str, where: str, positive: bool = False) -> float:
@@ -127,9 +138,8 @@ def _side(config: dict, where: str, blended: bool) -> SideSettings:
         motion=_integers(config, "pm_indices", where) if motion else (), id=config.get("id_col"), header=bool(config["csv_has_header"]),
     )
     epochs = [epoch(config[k]) if motion else None for k in ("ref_epoch_or_index", "move_to_epoch")] if motion else [None, None]
-    for key, what in (("fit_gal_flag", "galaxy counts beside the simulated ones"), ("download_tri", "downloads of simulations")):
-        if config.get(key):
-            raise ValueError(f"{key} asks for {what}, which the engine does not have, in the {where} settings")
+    if config.get("download_tri"):
+        raise ValueError(f"download_tri asks for downloads of simulations, which the engine does not have, in the {where} settings")
     blends = None
     if blended:
         for key in BLENDED:
@@ -137,10 +147,25 @@ def _side(config: dict, where: str, blended: bool) -> SideSettings:
                 raise ValueError(f"{key} is missing from the {where} settings, and include_perturb_auf needs it")
         if not len(config["psf_fwhms"]) == len(config["tri_filt_names"]) == len(mags):
             raise ValueError(f"psf_fwhms and tri_filt_names need an entry for each filter in the {where} settings")
-        blends = SideBlends(tuple(map(float, config["psf_fwhms"])), tuple(config["tri_filt_names"]), config["auf_file_path"], _number(config, "dens_dist", where, True))
+        blends = SideBlends(tuple(map(float, config["psf_fwhms"])), tuple(config["tri_filt_names"]), config["auf_file_path"], _number(config, "dens_dist", where, True), config.get("auf_bright_file_path"), *_galaxies(config, where, len(mags)))
     return SideSettings(config["cat_name"], config["cat_csv_file_path"], tuple(config["filt_names"]), layout, motion, bool(config["correct_astrometry"]), *epochs, blends)
 
 
+def _galaxies(config: dict, where: str, filters: int) -> tuple[tuple[dict, ...], tuple[float, ...]]:
+    """What galaxy counts are made of and the saturation of each filter, if the counts are to be fitted."""
+    if not config.get("fit_gal_flag"):
+        return (), ()
+    for key in ("gal_parameters", "saturation_magnitudes"):
+        if len(config.get(key) or ()) != filters:
+            raise ValueError(f"{key} needs an entry for each filter in the {where} settings, as fit_gal_flag is set")
+    given = tuple(loaded(g) if isinstance(g, str) else dict(g) for g in config["gal_parameters"])
+    for one in given:
+        for key in ("z", "kcorr", "schechter"):
+            if key not in one:
+                raise ValueError(f"gal_parameters lacks {key} in the {where} settings")
+    return given, tuple(map(float, config["saturation_magnitudes"]))
+
+
 def settings(joint: dict, a: dict, b: dict) -> Settings:
     """Checked settings of the three mappings."""
     for key in JOINT:
@@ -171,10 +196,13 @@ def settings(joint: dict, a: dict, b: dict) -> Settings:
         raise ValueError("run_psf_auf should be the same in both sides' settings")
     if blended and True in psf and "psf_params_path" not in joint:
         raise ValueError("psf_params_path is missing from the joint settings, and run_psf_auf needs it")
+    both = blended and True in psf and all(config.get("run_fw_auf") for config in (a, b))
+    if both and not all(side.layout.snrs for side in sides):
+        raise ValueError("run_fw_auf and run_psf_auf together need snr_indices on both sides")
     if joint["cf_region_frame"] == "galactic" and any(side.motion for side in sides):
         raise ValueError("proper motions are moved in the equatorial frame only")
     regions = dict(zip(joint["chunk_id_list"], joint["cf_region_points_per_chunk"], strict=True))
-    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides, blended, int(_number(joint, "num_trials", "joint", True)) if blended else 0, _number(joint, "d_mag", "joint", True) if blended else 0.1, joint["psf_params_path"] if blended and True in psf else None)
+    return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides, blended, int(_number(joint, "num_trials", "joint", True)) if blended else 0, _number(joint, "d_mag", "joint", True) if blended else 0.1, joint["psf_params_path"] if blended and True in psf else None, both, int(joint.get("chunks_per_batch", 0)))
 
 
 def psf_parameters(folder: str) -> tuple[np.ndarray, tuple[float, float, float]]:

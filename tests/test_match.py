@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -172,8 +173,77 @@ def test_simulation_file(spark, tmp_path):
     (tmp_path / "s.dat").write_text("#area = 0.5 sq deg\n#Av at infinity = 0.25\n#mag Av\n" + "".join(f"{10 + i % 20 / 10} 0.1\n" for i in range(400)))
     rows, area, av = simulations.read_simulation(spark, str(tmp_path / "s.dat"))
     assert (area, av) == (0.5, 0.25) and rows.count() == 400 and rows.columns == ["mag", "Av"]
-    out = simulations.merged_counts(rows, area, rows, area, 0.1).collect()
-    assert all(r.density == pytest.approx(20 / (0.5 * 0.1)) for r in out)
+
+
+def test_simulations_of_all_chunks_in_one_scan(spark, tmp_path):
+    """Columns in different places; a bright simulation over more sky, which ends at its fullest bin."""
+    faint = [10.05 + k / 10 for k in range(40) for _ in range(5 + 5 * k)]
+    (tmp_path / "c_1.dat").write_text("#area = 0.5 sq deg\n#Av at infinity = 0.25\n#x Av y\n" + "".join(f"{m:.2f} 0.1 {m + 1:.2f}\n" for m in faint))
+    (tmp_path / "c_2.dat").write_text("#area = 2 sq deg\n#Av at infinity = 0.5\n# y x\n" + "".join(f" {m + 2:.2f} {m:.2f}\n" for m in faint))
+    bright = [10.05 + k / 10 for k in range(10) for _ in range(100 + 100 * k)] + [11.15] * 50
+    for c in "12":
+        (tmp_path / f"b_{c}.dat").write_text("#area = 10 sq deg\n#x y\n" + "".join(f"{m:.2f} {m + 1:.2f}\n" for m in bright))
+    read = lambda name: simulations.read_simulations(spark, f"{tmp_path}/{name}_{{}}.dat", (1, 2), ("x", "y"))
+    rows, areas = read("c")
+    assert {(r.chunk_id, r.area, r.av) for r in areas.collect()} == {("1", 0.5, 0.25), ("2", 2.0, 0.5)}
+    assert {(r.chunk_id, r.filt): r.m for r in rows.groupBy("chunk_id", "filt").agg(F.min("mag").alias("m")).collect()} == {("1", 0): 10.05, ("1", 1): 11.05, ("2", 0): 10.05, ("2", 1): 12.05}
+    alone = {(r.chunk_id, r.band, round(r.mag, 2)): r.density for r in simulations.merged_cube((rows, areas), None, 0.1).collect()}
+    assert len(alone) == 160 and alone["1", 0, 10.05] == pytest.approx(5 / 0.05) and alone["2", 1, 15.95] == pytest.approx(200 / 0.2)
+    both = {(r.chunk_id, r.band, round(r.mag, 2)): r.density for r in simulations.merged_cube((rows, areas), read("b"), 0.1).collect()}
+    for k in range(12):
+        n, m = 5 + 5 * k, 100 + 100 * k
+        weights = (0.05**2 / n, 1.0 / m) if k < 10 else (1, 0)
+        assert both["1", 0, round(10.05 + k / 10, 2)] == pytest.approx((n / 0.05 * weights[0] + m * weights[1]) / sum(weights))
+
+
+def test_stars_and_galaxies_are_scaled_to_the_data(spark):
+    from skyweave.operators import counts
+
+    mags = (np.arange(12, 22, 0.5) + 0.25).tolist()
+    rows = [(c, b, float(m), float(10 ** (0.2 * m - 1)), 0.5, float(10 ** (0.55 * m - 9 + b))) for c in ("1", "2") for b in (0, 1) for m in mags]
+    model = spark.createDataFrame(rows, "chunk_id string, band int, mag double, density double, width double, galaxies double")
+    true = {("1", 0): (0.5, 3.0), ("1", 1): (1.7, 0.6), ("2", 0): (4.0, 0.05), ("2", 1): (1.0, 1.0)}
+    data = spark.createDataFrame([(c, b, m, true[c, b][0] * s + true[c, b][1] * g) for c, b, m, s, _, g in rows if m > 13 or c == "1"], "chunk_id string, band int, mag double, density double")
+    for r in counts.fitted_factors(data, model, ("chunk_id",)).collect():
+        assert (r.stars, r.galaxies) == pytest.approx(true[r.chunk_id, r.band], rel=0.01) and r.residual < 1e-3 and r.n >= 18
+    none = counts.fitted_factors(data.limit(0), model, ("chunk_id",)).collect()
+    assert {(r.stars, r.galaxies, r.residual) for r in none} == {(1.0, 1.0, None)}
+    seen = spark.createDataFrame([("1", 0, 12.0 + i % 40 / 10) for i in range(4000)], "chunk_id string, band int, mag double")
+    areas, limits = spark.createDataFrame([("1", 2.0)], "chunk_id string, area double"), spark.createDataFrame([("1", 0, 15.0)], "chunk_id string, band int, limit double")
+    out = counts.observed(seen, areas, ("chunk_id",), limits, 0.5, (12.9,)).orderBy("mag").collect()
+    assert [(r.mag, r.density) for r in out] == [(12.75, pytest.approx(0.0)), *((m, pytest.approx(500.0)) for m in (13.25, 13.75, 14.25, 14.75)), (15.25, pytest.approx(100.0))][1 if out[0].mag > 13 else 0 :]
+
+
+def test_blends_are_as_faint_and_mixed_as_signal_to_noise_asks(spark):
+    """Depths against their definition, the planted mix of both simulations, and the model's weights."""
+    import pandas as pd
+
+    from skyweave.operators import blending
+
+    model = [(m, 10 ** (0.3 * m - 2), 0.5) for m in (np.arange(10, 22, 0.5) + 0.25).tolist()]
+    cases = [(12.0, 1.0, 400.0), (12.0, 30.0, 5.0), (18.0, 5.0, 60.0), (21.9, 1.0, 10.0), (11.0, 1e-6, 2.0)]
+    df = spark.createDataFrame([(*c, [dict(zip(("mag", "density", "width"), m, strict=True)) for m in model]) for c in cases], "mag double, scale double, snr double, model array<struct<mag:double,density:double,width:double>>")
+    got = df.select("mag", "scale", "snr", blending.faintest_blend(F.col("mag"), F.col("scale"), F.col("snr"), F.col("model"), F.lit(6.1)).alias("d")).collect()
+    for r in got:
+        lam, at = 0.0, None
+        for m, density, width in model:
+            if m >= r.mag:
+                lam += density * width * r.scale * math.pi * (1.185 * 6.1 / 3600) ** 2
+                at = m if at is None and lam >= -math.log(0.01) else at
+        crowded = (at if at is not None else max(m for m, *_ in model)) - r.mag if any(m >= r.mag for m, *_ in model) else 0
+        assert r.d == pytest.approx(max(-2.5 * math.log10(0.05 / r.snr), crowded))
+    frame = pd.DataFrame(model, columns=["mag", "density", "width"])
+    how = Blends(fwhm=6.1, trials=4000)
+    one, two = (cell_auf(5.0, 12.0, frame, replace(how, algorithm=a), f"k:{a}", 4.0) for a in ("fw", "psf"))
+    mixed = cell_auf(5.0, 12.0, frame, replace(how, algorithm="both"), "k", 4.0, 0.3)
+    for c in ("fourier", "frac", "flux", "cumulative"):
+        assert np.allclose(mixed[c], 0.3 * np.asarray(one[c]) + 0.7 * np.asarray(two[c]))
+    assert cell_auf(5.0, 12.0, frame, how, "k", 1.0)["flux"] < cell_auf(5.0, 12.0, frame, how, "k")["flux"] and cell_auf(5.0, 12.0, frame, how, "k", 0.1)["flux"] == 0
+    sources = spark.createDataFrame([(i, 0, 12.0 + i % 8 / 10, float(5 + i % 300)) for i in range(3000)], "id long, band int, mag double, snr double")
+    curve = {r["__m"]: (r.snr, r.weakest) for r in blending.snr_curves(sources, ["band"]).collect()}
+    rows = sources.toPandas()
+    want = rows.groupby((rows.mag / 0.25 + 1e-12).astype(int)).snr.median()
+    assert curve == {m: (v, float(np.median(np.sort(rows.snr)[:1000]))) for m, v in want.items()}
 
 
 def test_stream_gives_the_same_pairs(spark, tmp_path):
@@ -299,7 +369,68 @@ def test_engine_with_all_switches(spark, tmp_path, blends, photometry):
     assert stamp == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.csv")}
 
 
-@pytest.mark.parametrize(("where", "key", "value", "message"), [(1, "psf_fwhms", None, "psf_fwhms"), (1, "fit_gal_flag", True, "galaxy"), (2, "run_psf_auf", True, "run_psf_auf"), (0, "num_trials", None, "num_trials"), (2, "dens_dist", "x", "number"), (1, "psf_fwhms", [0.5], "each filter")])
+GALAXIES = {"z": [0.0, 0.2, 0.5, 1.0], "kcorr": {"blue": [0.1, 0.3, 0.8]}, "schechter": {"blue": [0.005, -20.5, -1.2, 0.2, 1.0]}, "extinctions": [0.0, 0.2]}
+
+
+def test_engine_with_galaxies_bright_counts_and_both_simulations(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    star_counts(tmp_path / "counts_1.dat")
+    star_counts(tmp_path / "bright_1.dat")
+    np.save(tmp_path / "dd_params.npy", np.full((5, 3, 2), 0.1))
+    np.save(tmp_path / "l_cut.npy", np.array([0.01, 0.1, 0.9]))
+    for name, rows in zip("ab", planted(131, 700, 800, 600), strict=True):
+        (tmp_path / f"{name}_1.csv").write_text("".join(f"{i},{float(x)!r},{float(y)!r},0.15,{10 + i % 50 / 10 + rng.normal(0, 0.05)},{11 + i % 40 / 10},{i % 2},0,{5 + i % 90},{8 + i % 50}\n" for i, x, y in rows))
+    joint, a, b = settings_of(tmp_path, (1,))
+    joint |= {"include_perturb_auf": True, "num_trials": 300, "d_mag": 0.5, "psf_params_path": str(tmp_path)}
+    for side in (a, b):
+        side |= {"psf_fwhms": [0.5, 0.6], "tri_filt_names": ["x", "y"], "auf_file_path": f"{tmp_path}/counts_{{}}.dat", "auf_bright_file_path": f"{tmp_path}/bright_{{}}.dat", "dens_dist": 0.02, "snr_indices": [8, 9]}
+        side |= {"fit_gal_flag": True, "gal_parameters": [GALAXIES, GALAXIES], "saturation_magnitudes": [10.5, 10.5], "run_fw_auf": True, "run_psf_auf": True}
+    out = Engine(spark, config.settings(joint, a, b)).run()
+    pairs = {(r.a, r.b) for r in spark.read.parquet(out["matches"]).collect()}
+    assert len(pairs & {(i, i) for i in range(600)}) > 560 and len(pairs) < 625
+    del b["snr_indices"]
+    with pytest.raises(ValueError, match="snr_indices"):
+        config.settings(joint, a, b)
+
+
+def test_a_chunk_that_fails_does_so_alone(spark, tmp_path):
+    """Of three chunks the second has counterparts that are all of one side and next to none of the other."""
+    rng = np.random.default_rng(12)
+    few, many = 25, 6000
+    for k in (1, 2, 3):
+        a, b = planted(131, 400, 400, 350)
+        if k == 2:
+            b = [(i, 131 + x, y) for i, (x, y) in enumerate(rng.uniform(-0.2, 0.2, (many, 2)))]
+            a = [(i, x + 1e-6, y) for i, x, y in b[:few]]
+            a += [(few + i, 131 + x, y) for i, (x, y) in enumerate([(-0.2, -0.2), (0.2, -0.2), (0.2, 0.2), (-0.2, 0.2)])]
+            b += [(many + i, x, y) for i, (_, x, y) in enumerate(a[few:])]
+        for name, rows in (("a", a), ("b", b)):
+            (tmp_path / f"{name}_{k}.csv").write_text("".join(f"{i},{float(x)!r},{float(y)!r},{0.02 if k == 2 else 0.15},{10 + i % 50 / 10},,0,0\n" for i, x, y in rows))
+    joint, a, b = settings_of(tmp_path, (1, 2, 3))
+    joint |= {"include_phot_like": True, "use_phot_priors": True, "int_fracs": [0.63, 0.9, 0.999], "chunks_per_batch": 2}
+    out = Engine(spark, config.settings(joint, a, b)).run()
+    done = {p.name for p in (tmp_path / "out" / "_done").iterdir() if not p.name.startswith(".")}
+    assert done == {"1", "3"}
+    got = {r.chunk_id: r.n for r in spark.read.parquet(out["matches"]).groupBy("chunk_id").agg(F.count("*").alias("n")).collect()}
+    assert got.keys() == {1, 3} and min(got.values()) > 300
+    bad = spark.read.parquet(out["rejects"]).where("chunk_id = 2")
+    assert bad.where("reason LIKE 'cell %: counterparts are all of one side%'").count() == bad.count() == few + 4 + many + 4
+    said = [json.loads(p.read_text()) for p in (tmp_path / "out" / "_manifest").glob("*.json")]
+    assert sorted(c for x in said for c in x["done"]) == ["1", "3"] and [list(x["failed"]) for x in said if x["failed"]] == [["2"]]
+    stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet") if "chunk_id=2" not in str(p)}
+    Engine(spark, config.settings(joint, a, b)).run()
+    assert stamp == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet") if "chunk_id=2" not in str(p)}
+
+
+def test_contradictions_and_floors():
+    from skyweave.operators.photometry import contradiction, floored
+
+    assert contradiction(1.0, (1.0, float("nan"))) and contradiction(0.0, (0.0, 1.0)) and contradiction(1.0, (0.001, 1000.0)) and contradiction(1.0, (1000.0, 0.0))
+    assert contradiction(1.0, (0.001, 50.0)) is None and contradiction(0.0, (1.0, 1.0)) is None and contradiction(1.0, (0.0, 0.0)) is None
+    assert floored(0.0, (1.0, 2.0)) == (0.01, 1.0, 2.0) and floored(1.0, (0.0, 0.5)) == (1.0, 0.01, 0.5) and floored(0.0, (0.0, 2.0))[0] == 0.0
+
+
+@pytest.mark.parametrize(("where", "key", "value", "message"), [(1, "psf_fwhms", None, "psf_fwhms"), (1, "fit_gal_flag", True, "gal_parameters"), (2, "run_psf_auf", True, "run_psf_auf"), (0, "num_trials", None, "num_trials"), (2, "dens_dist", "x", "number"), (1, "psf_fwhms", [0.5], "each filter")])
 def test_settings_of_blends_are_checked(tmp_path, where, key, value, message):
     parts = settings_of(tmp_path)
     parts[0].update({"include_perturb_auf": True, "num_trials": 10, "d_mag": 0.1})
