@@ -169,21 +169,6 @@ def blend_weight(spark, sf_dir):
     return cat_a(spark, sf_dir).select("id", r6(sky.blend_weight((5 + F.col("id") % 300).cast("double"), 250.0), "h"))
 
 
-@query("SELECT n, k, CAST(product(n - i) AS BIGINT) AS ways FROM (SELECT n, k, unnest(range(0, k)) AS i FROM range(1, 13) t(n), range(1, 13) u(k) WHERE k <= n) GROUP BY n, k")
-def falling_factorial(spark, sf_dir):
-    n = spark.range(1, 13).select(F.col("id").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    return n.withColumn("ways", sky.falling_factorial("n", "k"))
-
-
-@query("""WITH i AS (SELECT i FROM range(0, 6) t(i)) SELECT x.i AS first, y.i AS second, z.i AS third FROM i x JOIN i y ON x.i < y.i JOIN i z ON y.i < z.i""")
-def combinations(spark, sf_dir):
-    """Three of six, in lexicographic order."""
-    first = spark.range(6).select(F.col("id").alias("first"))
-    upto = F.lit(5).cast("bigint")
-    two = first.where("first < 5").withColumn("second", F.explode(F.sequence(F.col("first") + 1, upto)))
-    return two.where("second < 5").withColumn("third", F.explode(F.sequence(F.col("second") + 1, upto)))
-
-
 @query(with_sql("SELECT id, pt, round(sqrt(power(m * sig, 2) + n * n), 6) AS sig FROM (SELECT id, sig, pt, 1 + 0.1 * pt AS m, 0.01 * pt AS n FROM (SELECT x.id, x.sig, y.pt, row_number() OVER (PARTITION BY x.id ORDER BY "
     + f"{HAV}, y.pt) AS r FROM cat_a x, (VALUES {', '.join(f'({p}, {lon}::DOUBLE, {lat}::DOUBLE)' for p, lon, lat in POINTS)}) y(pt, lon, lat)) WHERE r = 1)"))
 def rescale_sigma(spark, sf_dir):
@@ -192,11 +177,13 @@ def rescale_sigma(spark, sf_dir):
     return near.select("id", F.col("pt").cast("int").alias("pt"), r6(sky.rescaled_sigma("sig", 1 + 0.1 * F.col("pt"), 0.01 * F.col("pt")), "sig"))
 
 
-@query("SELECT x AS lon, y AS lat FROM (SELECT 131 + (i * 0.75) AS x FROM range(0, 5) t(i)) a, (SELECT -1 + (j * 0.5) AS y FROM range(0, 5) u(j)) b".replace("i * 0.75", "i * 0.75::DOUBLE").replace("j * 0.5", "j * 0.5::DOUBLE"))
+@query(with_sql("SELECT round(lo + i * ((hi - lo) / 4), 6) AS lon, round(la + j * ((lb - la) / 4), 6) AS lat FROM (SELECT min(lon) AS lo, max(lon) AS hi, min(lat) AS la, max(lat) AS lb FROM cat_a), range(0, 5) t(i), range(0, 5) u(j)"))
 def region_grid(spark, sf_dir):
+    """Points of a regular grid over the rectangle that a catalogue covers."""
     from ..sources.catalog import region_points
 
-    return region_points(spark, "rectangle", [131, 134, 5, -1, 1, 5]).select("lon", "lat")
+    lon1, lon2, lat1, lat2 = cat_a(spark, sf_dir).agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).head()
+    return region_points(spark, "rectangle", [lon1, lon2, 5, lat1, lat2, 5]).select(r6("lon", "lon"), r6("lat", "lat"))
 
 
 # Joins ------------------------------------------------------------------------------------

@@ -23,7 +23,7 @@ from ..sources import catalog
 from ..sources import simulations as sims
 from ..sources.fixtures import EDGE_SQL, FIELD_SQL, HAV, NORTH_SQL, cat_a, cat_b, north, with_sql
 from .match import CrossMatch
-from .queries import HULL, MATCHES, POINTS, match_of, north_of, pairs_of, query, r6
+from .queries import HULL, ISLANDS, MATCHES, POINTS, match_of, north_of, pairs_of, query, r6
 from .storage import written
 
 BINS_SQL = """
@@ -97,21 +97,48 @@ def onesided_priors_north(spark, sf_dir):
 
 
 _REC = """
-rec_in AS (SELECT g, j, 0.1 + (g % 5) * 0.2 AS z, 0.05 * (g + 1) AS an, 0.4 + 0.1 * ((g + j) % 4) AS d, ((g * 7 + j * 3) % 10) / 10.0::DOUBLE AS bm, ((g * 3 + j * 5) % 10) / 20.0::DOUBLE AS fm, 0.1 * j AS cum FROM (SELECT unnest(range(0, 40)) AS g), (SELECT unnest(range(0, 8)) AS j)),
-rec(g, j, c, done) AS (SELECT g, -1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM rec_in WHERE j = 0 UNION ALL
-  SELECT r.g, i.j, greatest(0, i.z * i.bm * exp(i.an * i.cum) - (1 - r.done) * i.an * i.fm)::DOUBLE, r.done + greatest(0, i.z * i.bm * exp(i.an * i.cum) - (1 - r.done) * i.an * i.fm)::DOUBLE * i.d FROM rec r JOIN rec_in i ON i.g = r.g AND i.j = r.j + 1)"""
+grp AS (SELECT CAST(floor(mag2) AS BIGINT) AS g, count(*) AS na FROM cat_a GROUP BY 1),
+bnn AS (SELECT bin, lo, hi, hi - lo AS d, n / (sum(n) OVER () * (hi - lo)) AS fm, coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS cum FROM bns),
+hit AS (SELECT CAST(floor(x.mag2) AS BIGINT) AS g, bin, count(*) AS k FROM edge e JOIN cat_a x ON x.id = e.a JOIN cat_b y ON y.id = e.b JOIN bnn ON y.mag1 >= lo AND y.mag1 < hi GROUP BY ALL),
+tot AS (SELECT g, sum(k) AS q FROM hit GROUP BY g),
+rec_in AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY bin) - 1 AS j, bin, least(1, q / na) AS z, q / na * 0.2::DOUBLE AS an, d, coalesce(k, 0) / (d * q) AS bm, fm, cum FROM grp JOIN tot USING (g) CROSS JOIN bnn LEFT JOIN hit USING (g, bin)),
+rec(g, j, bin, c, done) AS (SELECT g, CAST(-1 AS BIGINT), -1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM rec_in WHERE j = 0 UNION ALL
+  SELECT r.g, i.j, i.bin, greatest(0, i.z * i.bm * exp(i.an * i.cum) - (1 - r.done) * i.an * i.fm)::DOUBLE, r.done + greatest(0, i.z * i.bm * exp(i.an * i.cum) - (1 - r.done) * i.an * i.fm)::DOUBLE * i.d FROM rec r JOIN rec_in i ON i.g = r.g AND i.j = r.j + 1)"""
 
 
-@query("WITH RECURSIVE " + _REC.replace("0.1 +", "0.1::DOUBLE +").replace("0.2 AS z", "0.2::DOUBLE AS z").replace("0.05 *", "0.05::DOUBLE *").replace("0.4 +", "0.4::DOUBLE +").replace("0.1 * (", "0.1::DOUBLE * (").replace("0.1 * j", "0.1::DOUBLE * j")
-       + " SELECT g, CAST(j AS BIGINT) AS bin, round(CASE WHEN total > 0 THEN c / total ELSE c END, 6) AS c FROM rec JOIN (SELECT g AS gg, max(done) AS total FROM rec GROUP BY g) t ON gg = g WHERE j >= 0")
+@query(with_sql("SELECT g, bin, round(CASE WHEN total > 0 THEN c / total ELSE c END, 6) AS c FROM rec JOIN (SELECT g AS gg, max(done) AS total FROM rec GROUP BY g) t ON gg = g WHERE j >= 0", BINS_SQL, EDGE_SQL, _REC))
 def c_recurrence(spark, sf_dir):
-    """Counterpart density by magnitude bin, each term from those before it; over constants."""
-    g, j = F.col("g"), F.col("bin")
-    rows = spark.range(320).select(F.floor(F.col("id") / 8).alias("g"), (F.col("id") % 8).alias("bin"))
-    rows = rows.select("g", "bin", (0.1 + g % 5 * 0.2).alias("z"), (0.05 * (g + 1)).alias("a_nfb"), (0.4 + 0.1 * ((g + j) % 4)).alias("d"), ((g * 7 + j * 3) % 10 / 10.0).alias("bm"), ((g * 3 + j * 5) % 10 / 20.0).alias("fm"), (0.1 * j).alias("cum"))
+    """Counterpart density by magnitude bin, each term from those before it, for each magnitude of the first catalogue."""
+    a, b = cat_a(spark, sf_dir), cat_b(spark, sf_dir)
+    bins = written(phot.cumulative(bins_of(spark, sf_dir)).withColumn("d", F.col("hi") - F.col("lo")), "bins")  # a row for each bin
+    g = F.floor("mag2").alias("g")
+    per = a.groupBy(g).agg(F.count("*").alias("na"))
+    near = pairs_of(spark, sf_dir).select("a", "b").join(a.select(F.col("id").alias("a"), g), "a").join(b.select(F.col("id").alias("b"), F.col("mag1").alias("m")), "b")
+    hits = near.join(bins, (F.col("m") >= F.col("lo")) & (F.col("m") < F.col("hi"))).groupBy("g", "bin").agg(F.count("*").alias("k"))
+    total = near.join(bins, (F.col("m") >= F.col("lo")) & (F.col("m") < F.col("hi"))).groupBy("g").agg(F.count("*").alias("q"))
+    rows = per.join(total, "g").crossJoin(bins).join(hits, ["g", "bin"], "left").na.fill(0, ["k"])  # a row for each magnitude and bin
+    rate = F.col("q") / F.col("na")
+    rows = rows.select("g", "bin", F.least(F.lit(1.0), rate).alias("z"), (rate * 0.2).alias("a_nfb"), "d", (F.col("k") / (F.col("d") * F.col("q"))).alias("bm"), F.col("pdf").alias("fm"), "cum")
     return phot.recurrence(rows, ["g"]).select("g", "bin", r6("c", "c"))
 
 
+@query(with_sql("SELECT island, k, CAST(product(n_b - i) AS BIGINT) AS ways FROM (SELECT island, n_b, k, unnest(range(0, k)) AS i FROM (SELECT island, n_b, unnest(range(1, least(n_a, n_b) + 1)) AS k FROM sz)) GROUP BY island, k", *ISLANDS))
+def falling_factorial(spark, sf_dir):
+    """In how many ways k sources of one side get k of the other, in order, for each island and k."""
+    sizes = isl.island_sizes(match_of(spark, sf_dir).all_members).where("n_a > 0 AND n_b > 0")
+    each = sizes.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("n_a", "n_b"))))
+    return each.select("island", "k", sky.falling_factorial("n_b", "k").alias("ways"))
+
+
+@query(with_sql("SELECT x.v // 2 AS first, y.v // 2 AS second FROM comp x JOIN comp y ON x.island = y.island AND x.v < y.v AND x.v % 2 = 0 AND y.v % 2 = 0", *ISLANDS))
+def combinations(spark, sf_dir):
+    """Two of each island's sources of the first side, the lesser id first."""
+    m = match_of(spark, sf_dir)
+    mine = m.members.where("side = 'a'").groupBy("island").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # 20 at most
+    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("first"), y.alias("second")))))
+    return mine.select(F.explode(pairs).alias("p")).select("p.first", "p.second")
+
+
 @query(with_sql("SELECT a, b, round(least(1, greatest(0, (fa * fb * gcc + fa * (1 - fb) * gcn) / pr)), 6) AS p_a, round(least(1, greatest(0, (fa * fb * gcc + (1 - fa) * fb * gnc) / pr)), 6) AS p_b FROM (SELECT *, fa * fb * gcc + fa * (1 - fb) * gcn + (1 - fa) * fb * gnc + (1 - fa) * (1 - fb) * gnn AS pr FROM (SELECT a, b, (a % 10) / 10.0::DOUBLE AS fa, (b % 8) / 8.0::DOUBLE AS fb, exp(-sep * sep / 1.2) / 1.2 AS gcc, exp(-sep * sep / 0.9) / 0.9 AS gcn, exp(-sep * sep / 0.8) / 0.8 AS gnc, exp(-sep * sep / 0.68) / 0.68 AS gnn FROM edge))", EDGE_SQL))
 def contam_prob(spark, sf_dir):
     g = lambda w: F.exp(-F.col("sep") * F.col("sep") / w) / w
@@ -152,16 +179,6 @@ def min_max_lon_kinds(spark, sf_dir):
     return regions.limits(cat_a(spark, sf_dir).select((i % 3).cast("int").alias("kind"), F.round(lon, 6).alias("lon")), ("kind",)).drop("shift")
 
 
-_HULL_VALUES = f"(VALUES {', '.join(f'({i}, {x}::DOUBLE, {y}::DOUBLE)' for i, (x, y) in enumerate(HULL))}) t(i, x, y)"
-
-
-@query(f"SELECT round(abs(sum(x * ny - nx * y)) / 2, 8) AS area FROM (SELECT x, y, coalesce(lead(x) OVER (ORDER BY i), first_value(x) OVER (ORDER BY i)) AS nx, coalesce(lead(y) OVER (ORDER BY i), first_value(y) OVER (ORDER BY i)) AS ny FROM {_HULL_VALUES})")
-def shoelace(spark, sf_dir):
-    """Area of a polygon."""
-    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(HULL)], "i int, x double, y double")
-    return regions.shoelace(rows).select(F.round("area", 8).alias("area"))
-
-
 #: The hull of longitudes scaled by the cosine of latitude, walked around point by point.
 _HULL_SQL = """flat AS (SELECT CASE WHEN lon + shift > 360 THEN lon + shift - 360 WHEN lon + shift < 0 THEN lon + shift + 360 ELSE lon + shift END * (cos(radians(lat)) + 1e-10) AS x, lat AS y FROM cat_a, (SELECT shift FROM shf WHERE side = 'a')),
 trip(n, x, y, th, sx, sy) AS (SELECT 0, s.x, s.y, 0::DOUBLE, s.x, s.y FROM (SELECT arg_min({'x': x, 'y': y}, (y, x)) AS s FROM flat) UNION ALL
@@ -180,6 +197,12 @@ def hull_area(spark, sf_dir):
     return _hull(cat_a(spark, sf_dir))
 
 
+@query(with_sql(f"SELECT area FROM ({_HULL_OUT})", FIELD_SQL, _HULL_SQL))
+def shoelace(spark, sf_dir):
+    """Area of the polygon of a hull's corners."""
+    return regions.shoelace(regions.hull(cat_a(spark, sf_dir)).select("i", "x", "y")).select(F.round("area", 9).alias("area"))
+
+
 @query(with_sql(_HULL_OUT, FIELD_SQL, _HULL_SQL, cats=NORTH_SQL))
 def hull_area_north(spark, sf_dir):
     return _hull(north(cat_a(spark, sf_dir)))
@@ -194,11 +217,14 @@ def circle_overlap(spark, sf_dir):
     return cat_b(spark, sf_dir).select("id", r6(regions.circle_share("lon", "lat", 0.01, HULL), "share"))
 
 
-@query("WITH g AS (SELECT 130.9 + 0.01 * (i + 0.5::DOUBLE) AS px, -0.1 + 0.01 * (j + 0.5::DOUBLE) AS py FROM (SELECT unnest(range(0, 20)) AS i), (SELECT unnest(range(0, 20)) AS j))".replace("130.9 +", "130.9::DOUBLE +").replace("-0.1 +", "-0.1::DOUBLE +").replace("0.01 *", "0.01::DOUBLE *")
-       + f" SELECT pt, round(sum(cos(radians(py)) * 0.0001), 8) AS area FROM (SELECT pt, px, py, row_number() OVER (PARTITION BY px, py ORDER BY degrees(2 * asin(sqrt(power(sin(radians((y.lat - py) / 2)), 2) + cos(radians(py)) * cos(radians(y.lat)) * power(sin(radians((y.lon - px) / 2)), 2)))), pt) AS r FROM g, {_NEAR_VALUES} WHERE abs({_INSIDE}) >= pi()) WHERE r = 1 GROUP BY pt")
+@query(with_sql(f"""SELECT pt, round(sum(cos(radians(py)) * step * step), 8) AS area FROM (SELECT pt, py, step, row_number() OVER (PARTITION BY i, j ORDER BY degrees(2 * asin(sqrt(power(sin(radians((y.lat - py) / 2)), 2) + cos(radians(py)) * cos(radians(y.lat)) * power(sin(radians((y.lon - px) / 2)), 2)))), pt) AS r FROM grd, {_NEAR_VALUES} WHERE py < lb) WHERE r = 1 GROUP BY pt""",
+    """box AS (SELECT min(lon) AS lo, max(lon) AS hi, min(lat) AS la, max(lat) AS lb, (max(lon) - min(lon)) / 40 AS step FROM cat_a)""",
+    """grd AS (SELECT i, j, step, lb, lo + step * (i + 0.5::DOUBLE) AS px, la + step * (j + 0.5::DOUBLE) AS py FROM box, range(0, 40) t(i), range(0, 60) u(j) WHERE j < round((lb - la) / step))"""))
 def cell_area(spark, sf_dir):
-    """Area of a hull that is nearest to each reference point, on a fine grid."""
-    out = regions.cell_areas(spark, (130.9, 131.1), (-0.1, 0.1), 0.01, HULL, POINTS)
+    """How much of the rectangle that a catalogue covers is nearest to each reference point, on a grid."""
+    lon1, lon2, lat1, lat2 = cat_a(spark, sf_dir).agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).head()
+    corners = [(lon1, lat1), (lon2, lat1), (lon2, lat2), (lon1, lat2)]
+    out = regions.cell_areas(spark, (lon1, lon2), (lat1, lat2), (lon2 - lon1) / 40, corners, POINTS)
     return out.select(F.col("pt").cast("int").alias("pt"), F.round("area", 8).alias("area"))
 
 
@@ -234,11 +260,11 @@ def faintest_snr(spark, sf_dir):
     return lowest.agg(r6(F.percentile("s", F.lit(0.5)), "snr"))
 
 
-@query("SELECT min(k) AS k FROM (SELECT k, sum(lam) OVER (ORDER BY k) AS total FROM (SELECT k, 0.002::DOUBLE * power(1.5::DOUBLE, k) AS lam FROM (SELECT unnest(range(0, 40)) AS k))) WHERE total >= -ln(0.01)")
+@query(with_sql("SELECT min(k) AS k FROM (SELECT k, sum(n * 0.01::DOUBLE) OVER (ORDER BY k) AS total FROM (SELECT CAST(floor(mag2 / 0.25::DOUBLE) AS BIGINT) AS k, count(*) AS n FROM cat_b GROUP BY 1)) WHERE total >= -ln(0.01)"))
 def max_dm(spark, sf_dir):
-    """The first bin by which an unseen source is all but certain, over constants."""
-    rows = spark.range(40).select(F.col("id").alias("k"), (0.002 * F.pow(F.lit(1.5), F.col("id"))).alias("lam"))
-    return stats.first_certain(rows, "k", "lam", 0.01)
+    """The first bin of magnitude by which a source as seen by a hundredth of the field is all but certain."""
+    bins = cat_b(spark, sf_dir).groupBy(F.floor(F.col("mag2") / 0.25).alias("k")).agg((F.count("*") * 0.01).alias("lam"))
+    return stats.first_certain(bins, "k", "lam", 0.01)
 
 
 @query(with_sql("SELECT round(lo + (b + 0.5::DOUBLE) * width - 0.5::DOUBLE, 6) AS mag FROM (SELECT b, n, lo, width FROM (SELECT CAST(least(bins - 1, floor((m - lo) / width)) AS BIGINT) AS b, count(*) AS n, any_value(lo) AS lo, any_value(width) AS width FROM (SELECT m, lo, bins, (hi - lo) / bins AS width FROM (SELECT mag1 AS m FROM cat_a WHERE mag1 IS NOT NULL), (SELECT lo, hi, ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, st) ELSE st END) AS bins FROM (SELECT min(mag1) AS lo, max(mag1) AS hi, (max(mag1) - min(mag1)) / (log2(count(mag1)) + 1) AS st, 2 * (quantile_cont(mag1, 0.75) - quantile_cont(mag1, 0.25)) / power(count(mag1), 1.0 / 3) AS fd FROM cat_a))) GROUP BY 1) ORDER BY n DESC, b LIMIT 1)"))
@@ -620,22 +646,32 @@ def galaxy_counts(spark, sf_dir):
     return mags.mapInPandas(run, "mag double, density double").select("mag", r6(F.log("density"), "ln_density"))
 
 
+def _fluxes(spark: SparkSession, sf_dir: str):
+    """Relative fluxes, in hundredths, of the sources that share a circle with a brighter one."""
+    import numpy as np
+
+    mag = lambda cat, name: cat.select(F.col("id").alias(name), F.col("mag2").alias(f"m{name}"))
+    both = pairs_of(spark, sf_dir).join(mag(cat_a(spark, sf_dir), "a"), "a").join(mag(cat_b(spark, sf_dir), "b"), "b")
+    flux = F.round(F.pow(F.lit(10.0), -0.4 * F.abs(F.col("ma") - F.col("mb"))), 2).alias("flux")
+    return np.array(sorted(r.flux for r in both.select(flux).distinct().where("flux BETWEEN 0.02 AND 0.95").collect()))  # a hundred at most
+
+
 @query()
 def psf_shifts(spark, sf_dir):
-    """Polynomials of the shift of fitted centres by blends, for a range of fluxes."""
+    """Polynomials of the shift of fitted centres by blends, for the relative fluxes that occur."""
     import numpy as np
 
     from ..operators.psf import shift_grid, shift_polynomials
 
-    return shift_polynomials(shift_grid(spark, np.linspace(0.02, 0.95, 48), np.linspace(0, 6, 241)))
+    return shift_polynomials(shift_grid(spark, _fluxes(spark, sf_dir), np.linspace(0, 6, 241)))
 
 
 @query()
 def psf_tails(spark, sf_dir):
-    """Skew-normal tails of the shifts, for a range of fluxes."""
+    """Skew-normal tails of the shifts, for the relative fluxes that occur."""
     import numpy as np
 
     from ..operators.psf import shift_grid, skew_tails
 
-    tails = skew_tails(shift_grid(spark, np.linspace(0.05, 0.9, 35), np.linspace(0, 6, 121)))
+    tails = skew_tails(shift_grid(spark, _fluxes(spark, sf_dir), np.linspace(0, 6, 121)))
     return tails.select("flux", *(F.col("tail")[i].alias(n) for i, n in enumerate(("width", "middle", "shape", "amplitude", "cut"))))
