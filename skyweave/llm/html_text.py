@@ -5,10 +5,12 @@ of what is left gives points for its length and its commas, discounted by the sh
 text that is in links: all of them to its container and to article and main elements around
 it, less to other ancestors the higher they stand. An element's points are discounted by the
 share of links once more. Words of a class or id, roles, forms and headers only weigh: what
-they mark is left out unless it has HALF of the page's points. Marked reader comments,
-adverts and other things that no article is named after, and what follows a title such as
-"Comments", are left out if anything else has points. Either is left out if an article or
-main element elsewhere has text.
+they mark is left out unless it has HALF of the page's points. What is marked as reader
+comments, follows a title such as "Comments" or is an article in an article is left out, if
+anything else has points, where it also looks like comments: by authors, dates or replies
+inside, as a list or blocks after a title, or as inner articles that have less text than
+their outer one has itself. Either is left out if an article or main element elsewhere has
+text. A page whose text is all in noscript elements has that text.
 
 The element with most points is kept with those siblings that have a fair share of them or
 read like prose, with headings before these and bare text between them, and all blocks of
@@ -57,10 +59,8 @@ APART = frozenset(
 )
 #: Those of reader comments.
 COMMENTS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
-#: And others that no article is named after.
-SURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr newsletter subscribe breadcrumb breadcrumbs pagination pager share sharing shares social login signin signup search searchbox nav navbar navigation outbrain taboola".split()
-)
+#: Those of a comment's author, date and tools.
+VOICES = COMMENTS | frozenset("author authors byline commenter date avatar posted timestamp username vcard".split())
 #: Words that stand beside them and say nothing else.
 NEUTRAL = frozenset("area bar block bottom box button buttons container content desktop fixed form global inner item items layer left link links list main message mobile outer page post posts primary right row secondary section site slot small sticky text thread top unit user wrap wrapper".split())
 #: Beginnings of such words, where they stand alone.
@@ -73,18 +73,20 @@ TITLES = re.compile(r"(?:\d+ )?(?:(?:reader|user) )?(?:comments?|responses|repli
 HALF = 0.5
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NOSCRIPT = re.compile("<noscript", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _STOP = re.compile(r"[.!?。！？…:;\"”»](?:\s|$)")
 _COMMA = re.compile("[,،、，]")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "total", "chars", "linked", "mark", "holders")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "total", "chars", "linked", "mark", "holders", "inner", "voice")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
         self.points, self.total, self.chars, self.linked, self.mark, self.holders = 0.0, 0.0, 0, 0, "", 0
+        self.inner, self.voice = 0, False  # letters of the articles inside; whether something inside tells an author, a date or a reply
 
     def elements(self) -> list[Element]:
         return [c for c in self.children if not isinstance(c, str)]
@@ -201,17 +203,18 @@ def marks(e: Element) -> set[str]:
     return {w.lower() for name in ("class", "id") for w in _WORD.findall(e.attrs.get(name, ""))}
 
 
-def marked(e: Element, in_article: bool) -> str:
-    """What says that an element is not of the article: "sure", "apart" or nothing."""
+def marked(e: Element, outer: Element | None) -> str:
+    """What says that an element is not of the article: "sure", "apart" or nothing. ``outer`` is the article around it."""
+    in_article = outer is not None
     found: set[str] = set()
     for token in f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".split():
         words = [w.lower() for w in _WORD.findall(token)]
         if words and all(w in APART or w in NEUTRAL for w in words) or len(words) == 1 and words[0].startswith(APART_PREFIXES):
             found |= {w for w in words if w in APART or w.startswith(APART_PREFIXES)}
-    if e.tag not in ("html", "body", "main") and (found & COMMENTS or found & SURE and e.tag in BLOCKS - HEADINGS):
-        return "sure"
+    if e.tag not in ("html", "body", "main") and found & COMMENTS:
+        return "sure" if e.voice or e.tag in ("ul", "ol", "dl", "li", "article") else "apart"
     if e.tag == "article" and in_article:
-        return "sure"  # what HTML has articles in articles for: comments
+        return "sure" if e.voice or 2 * outer.inner <= outer.chars else ""
     if e.tag in ("html", "body", "main", "article"):
         return ""
     if e.tag in ("form", "header") or e.attrs.get("role", "").lower() in ROLES:
@@ -225,25 +228,37 @@ def hidden(e: Element) -> bool:
     return "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(e.attrs.get("style", "")))
 
 
-def cleared(root: Element) -> None:
+def cleared(root: Element, never: frozenset[str] = NEVER) -> None:
     """Takes out what never is text, and tells what is marked."""
-    stack = [(root, False)]
+    order, stack = [], [root]
     while stack:
-        at, inside = stack.pop()
-        at.children = [c for c in at.children if isinstance(c, str) or c.tag not in NEVER and not hidden(c)]
-        at.mark = marked(at, inside)
-        inside = inside or at.tag == "article"
-        below = 0
-        for c in at.elements():
-            stack.append((c, inside))
-            if c.tag in HEADINGS:
-                level = int(c.tag[1])
-                if below and level <= below:
-                    below = 0
-                if TITLES.fullmatch(tidy("".join(texts(c)))):
-                    below = below or level
-            if below:
-                c.attrs = {**c.attrs, "class": "comments"}
+        at = stack.pop()
+        order.append(at)
+        at.children = [c for c in at.children if isinstance(c, str) or c.tag not in never and not hidden(c)]
+        stack.extend(at.elements())
+    for at in reversed(order):
+        at.chars = sum(len(c.strip()) if isinstance(c, str) else c.chars for c in at.children)
+        at.inner = sum(c.chars if c.tag == "article" else c.inner for c in at.elements())
+        at.voice = any(c.voice or c.tag in ("time", "cite") or marks(c) & VOICES for c in at.elements())
+    around: list[tuple[Element, Element | None]] = [(root, None)]
+    while around:
+        at, outer = around.pop()
+        at.mark = marked(at, outer)
+        outer = at if at.tag == "article" else outer
+        around.extend((c, outer) for c in at.elements())
+        tail(at.elements())
+
+
+def tail(siblings: list[Element]) -> None:
+    """Marks what follows a title of comments, up to the next heading of its level, if it looks like comments."""
+    for i, title in enumerate(siblings):
+        if title.tag in HEADINGS and TITLES.fullmatch(tidy("".join(texts(title)))):
+            end = next((k for k in range(i + 1, len(siblings)) if siblings[k].tag in HEADINGS and siblings[k].tag <= title.tag), len(siblings))
+            after = siblings[i + 1 : end]
+            if any(e.voice or e.tag in ("ul", "ol", "dl", "div", "section", "article", "form", "time", "cite") or marks(e) & VOICES for e in after):
+                for e in siblings[i:end]:
+                    e.attrs = {**e.attrs, "class": "comment"}
+                    e.voice = True
 
 
 def tidy(text: str) -> str:
@@ -424,9 +439,14 @@ def main_text(html: str | None) -> str:
     """The article of a page."""
     if not html:
         return ""
+    text = extracted_text(html, NEVER)
+    return text or (extracted_text(html, NEVER - {"noscript"}) if _NOSCRIPT.search(html) else "")
+
+
+def extracted_text(html: str, never: frozenset[str]) -> str:
     tree = Tree()
     tree.feed(html)
-    cleared(tree.root)
+    cleared(tree.root, never)
     found = weighed(tree.root)
     out = []
     for part in chosen(tree.root, found):

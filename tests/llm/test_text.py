@@ -183,3 +183,27 @@ def test_pieces_of_long_texts_have_the_same_grams(monkeypatch):
 def test_long_texts_are_read_whole():
     filters = language.LanguageFilters.of({k: language.grams(" ".join(v)) for k, v in WORDS.items()})
     assert filters.predict("kora " * 100 + "xyrr wytt zxqu vwyk " * 5000)[0] == "bb"
+
+
+SIX = "".join(f"<p>Paragraph number {i} of the article, with a comma, goes on for a while and ends here.</p>" for i in range(6))
+SIX_TEXT = "\n".join(f"Paragraph number {i} of the article, with a comma, goes on for a while and ends here." for i in range(6))
+ONE = "<p>About this site, a short note, stands beside it.</p>"
+COMMENT = "<div class='comment'><span class='author'>Bob</span> <time>May 2</time><p>I like this, really, very much indeed.</p></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='discussion'>{SIX}</div><div class='info'>{ONE}</div>", SIX_TEXT),
+        (f"<div class='newsletter'>{SIX}</div><div class='info'>{ONE}</div>", SIX_TEXT),
+        (f"<article>{SIX}<h2>Responses</h2>{ONE}<h2>Methods</h2>{ONE}</article>", f"{SIX_TEXT}\nResponses\nAbout this site, a short note, stands beside it.\nMethods\nAbout this site, a short note, stands beside it."),
+        (f"<article>{SIX}<h2>Responses</h2>{COMMENT}<h2>Methods</h2>{ONE}</article>", f"{SIX_TEXT}\nMethods\nAbout this site, a short note, stands beside it."),
+        (f"<article><h1>Book</h1><article><h2>One</h2>{SIX}</article><article><h2>Two</h2>{SIX}</article></article>", f"Book\nOne\n{SIX_TEXT}\nTwo\n{SIX_TEXT}"),
+        (f"<article>{SIX}{SIX}<article><time>May 2</time>{ONE}</article></article>", f"{SIX_TEXT}\n{SIX_TEXT}"),
+        (f"<body><script>x()</script><noscript><article>{SIX}</article></noscript></body>", SIX_TEXT),
+        (f"<div class='post'>{ONE}</div><div class='comments'>{COMMENT * 9}</div>", "About this site, a short note, stands beside it."),
+        (f"<main>{SIX}<section class='discussion'>{COMMENT}{COMMENT}</section></main>", SIX_TEXT),
+    ],
+)
+def test_names_decide_less_than_points(page, text):
+    assert html_text.main_text(page) == text
