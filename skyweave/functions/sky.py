@@ -82,8 +82,17 @@ def gal_to_eq(lon, lat) -> tuple[Column, Column]:
     return rotated(lon, lat, tuple(zip(*TO_GALACTIC, strict=True)))
 
 
+def epoch_years(text) -> Column:
+    """The year of a number, a Julian epoch such as J2015.5, or a date such as 2016-07-02; null for anything else."""
+    text = F.trim(col(text).cast("string"))
+    date = F.try_to_date(text, "yyyy-MM-dd")
+    days = F.dayofyear(F.make_date(F.year(date), F.lit(12), F.lit(31)))
+    number = F.when(text.startswith("J"), F.substr(text, F.lit(2))).otherwise(text).try_cast("double")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.year(date) + (F.dayofyear(date) - 1) / days).otherwise(number)
+
+
 def apply_pm(lon, lat, pm_lon, pm_lat, years) -> tuple[Column, Column]:
-    """Position after ``years`` of straight motion (arcseconds a year); rows without motion stay."""
+    """Position after ``years`` of straight motion (arcseconds a year along great circles, in any frame); rows without motion or time stay."""
     lon, lat, pm_lon, pm_lat, years = map(col, (lon, lat, pm_lon, pm_lat, years))
     p = unit_vector(lon, lat)
     sl, cl, sb, cb = F.sin(F.radians(lon)), F.cos(F.radians(lon)), F.sin(F.radians(lat)), F.cos(F.radians(lat))
@@ -92,7 +101,7 @@ def apply_pm(lon, lat, pm_lon, pm_lat, years) -> tuple[Column, Column]:
     moved = tuple(a + along[0] * e + along[1] * n for a, e, n in zip(p, east, north, strict=True))
     size = F.sqrt(moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2])
     new_lon, new_lat = _angles(tuple(m / size for m in moved))
-    none = pm_lon.isNull() | pm_lat.isNull() | F.isnan(pm_lon) | F.isnan(pm_lat)
+    none = pm_lon.isNull() | pm_lat.isNull() | F.isnan(pm_lon) | F.isnan(pm_lat) | years.isNull()
     return F.when(none, lon).otherwise(new_lon), F.when(none, lat).otherwise(new_lat)
 
 

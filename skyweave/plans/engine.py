@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sky import apply_pm
+from ..functions.sky import apply_pm, epoch_years
 from ..operators.astrometry import corrected
 from ..operators.auf import Blends
 from ..operators.blending import by_band, complete_to, simulated_cells, with_cells
@@ -20,6 +20,7 @@ from ..sources.catalog import chunk_of, read_csv, region_rows, write_output
 from ..sources.config import Settings, SideSettings, psf_parameters
 from ..sources.simulations import merged_cube, read_simulations
 from .match import BlendedMatch, BlendedPhotometricMatch, CrossMatch, PhotometricMatch
+from .outputs import Side, matched, unmatched
 from .storage import written
 
 
@@ -57,7 +58,8 @@ def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
     if side.layout.halo is None:
         cat = cat.withColumn("halo", F.lit(False))
     if side.motion:
-        lon, lat = apply_pm("lon", "lat", "pm_lon", "pm_lat", side.move_to_epoch - side.reference_epoch)
+        begin = epoch_years("epoch") if side.layout.epoch is not None else F.lit(side.reference_epoch)
+        lon, lat = apply_pm("lon", "lat", "pm_lon", "pm_lat", side.move_to_epoch - begin)
         cat = cat.withColumns({"lon": lon, "lat": lat})
     return cat.withColumns({f"mag{i + 1}": F.col("mags")[i] for i in range(len(side.filters))})
 
@@ -86,7 +88,7 @@ class Engine:
 
     def catalogue(self, which: str, chunks: tuple) -> DataFrame:
         side = getattr(self.settings, which)
-        cat = scan(self.spark, side, chunks)
+        cat = scan(self.spark, side, chunks).withColumn("quoted", F.col("sig"))
         if side.correct:
             if which not in self.corrections:
                 raise ValueError(f"the settings of side {which} ask for corrections, and none are given")
@@ -111,18 +113,22 @@ class Engine:
         marked, cells = with_cells(cat, self.bands, written(model, "counts"), side.radius, ("chunk_id",), snrs, side.fwhms)
         return written(marked, "marked"), written(simulated_cells(written(cells, "cells"), self.how, side.fwhms), "aufs")
 
-    def match(self, chunks: tuple, photometry: bool) -> CrossMatch:
-        s = self.settings
+    def sides(self, chunks: tuple) -> dict:
+        """Both catalogues and, with blends, their simulated cells."""
         a, b = (self.catalogue(w, chunks) for w in "ab")
-        more: dict = {"use_likelihood": s.photometry} if photometry else {}
-        if s.blends:
-            (a, aufs_a), (b, aufs_b) = self.blended("a", a, chunks), self.blended("b", b, chunks)
-            more |= {"aufs_a": aufs_a, "aufs_b": aufs_b, "how": self.how}
+        if not self.settings.blends:
+            return {"a": a, "b": b}
+        (a, aufs_a), (b, aufs_b) = self.blended("a", a, chunks), self.blended("b", b, chunks)
+        return {"a": a, "b": b, "aufs_a": aufs_a, "aufs_b": aufs_b, "how": self.how}
+
+    def match(self, sides: dict, chunks: tuple, photometry: bool) -> CrossMatch:
+        s = self.settings
+        more = {"use_likelihood": s.photometry} if photometry else {}
         kind = {(False, False): CrossMatch, (True, False): BlendedMatch, (False, True): PhotometricMatch, (True, True): BlendedPhotometricMatch}[s.blends, photometry]
-        return kind(a, b, s.radius, s.fractions[2], bands=self.bands, keys=("chunk_id",), edge_keys=("chunk_id",) if s.edges else (), points=self.points(chunks), **more)
+        return kind(**sides, radius=s.radius, most=s.fractions[2], bands=self.bands, keys=("chunk_id",), edge_keys=("chunk_id",) if s.edges else (), points=self.points(chunks), **more)
 
     def run(self) -> dict[str, str]:
-        """Writes matches, nonmatches and rejects by chunk, with the catalogues' columns; gives their folders. With photometry, matches by position alone too.
+        """Writes matches, nonmatches of either side and rejects by chunk, with the columns of ``outputs``; gives their folders. With photometry, matches by position alone too.
 
         Batches of chunks (``settings.batch``, or all at once) are written and marked one
         after another, and each leaves a manifest of what was done and what failed, and why. A
@@ -133,9 +139,9 @@ class Engine:
         s = self.settings
         done = done_chunks(self.spark, s.output)
         todo = tuple(c for c in s.chunks if str(c) not in done)
-        out = {name: f"{s.output}/{name}" for name in ("matches", "nonmatches", "rejects")}
-        if s.photometry or s.priors:
-            out |= {f"{name}_without_photometry": f"{s.output}/{name}_without_photometry" for name in ("matches", "nonmatches")}
+        kinds = ("", "_without_photometry") if s.photometry or s.priors else ("",)
+        names = ["rejects", *(f"{name}{kind}{side}" for kind in kinds for name, side in (("matches", ""), ("nonmatches", "_a"), ("nonmatches", "_b")))]
+        out = {name: f"{s.output}/{name}" for name in names}
         size = s.batch or max(1, len(todo))
         broken: list[Exception] = []
         for begin in range(0, len(todo), size):
@@ -159,21 +165,21 @@ class Engine:
                 path, files = _files(self.spark, f"{folder}/chunk_id={chunk}")
                 files.delete(path, True)
         photometry = s.photometry or s.priors
-        m = self.match(batch, photometry)
+        sides = self.sides(batch)
+        m = self.match(sides, batch, photometry)
         failed = {r.chunk_id: r.reason for r in m.failed.collect()} if photometry else {}  # a row for each such chunk
         if photometry:
-            self._write(self.match(batch, False), out, "_without_photometry", failed)
+            self._write(self.match(sides, batch, False), out, "_without_photometry", failed)
         self._write(m, out, "", failed)
         return failed
 
     def _write(self, m: CrossMatch, out: dict[str, str], kind: str, failed: dict[str, str]) -> None:
         fine = lambda df: df.where(~F.col("chunk_id").isin(*failed)) if failed else df
-        columns = ["lon", "lat", "sig", *m.bands, "best"]
-        matches = with_columns(m.matches, m.a, m.b, m.bands, ("chunk_id",))
-        own = lambda cat, which: cat.select("chunk_id", F.lit(which).alias("side"), "id", "halo", *columns)
+        key = ("chunk_id",)
+        both = tuple(Side(w, x.name, tuple(f"mag{i + 1}" for i in range(len(x.filters))), x.layout.extra_names, x.correct) for w, x in (("a", self.settings.a), ("b", self.settings.b)))
+        own = lambda cat, which: cat.select("chunk_id", F.lit(which).alias("side"), "id", "halo")
         rest = m.nonmatches.join(own(m.a, "a").unionByName(own(m.b, "b")), ["chunk_id", "side", "id"])
         form = "csv" if self.settings.csv else "parquet"
-        flat = lambda df: df.select(*(F.to_json(c).alias(c) if form == "csv" and t.startswith("array") else F.col(c) for c, t in df.dtypes))
         if not kind:
             why = [(rest.where("halo"), "halo"), (m.too_large, "island size")] + ([(m.at_edge, "edge")] if m.edge_keys else [])
             rejects = reduce(DataFrame.unionByName, [df.select("chunk_id", "side", "id", F.lit(reason).alias("reason")) for df, reason in why])
@@ -185,5 +191,7 @@ class Engine:
                 every = own(m.a, "a").unionByName(own(m.b, "b")).select("chunk_id", "side", "id")
                 rejects = rejects.unionByName(every.join(F.broadcast(why), "chunk_id").select("chunk_id", "side", "id", "reason"))  # chunks of a batch
             write_output(rejects, out["rejects"], form, ("chunk_id",))
-        write_output(flat(fine(rest.where("not halo").drop("halo"))), out[f"nonmatches{kind}"], form, ("chunk_id",))
-        write_output(flat(fine(matches)), out[f"matches{kind}"], form, ("chunk_id",))
+        for side, cat in zip(both, (m.a, m.b), strict=True):
+            left = unmatched(rest.drop("halo"), cat, side, getattr(m, f"aufs_{side.which}", None), key)
+            write_output(fine(left), out[f"nonmatches{kind}_{side.which}"], form, key)
+        write_output(fine(matched(m.matches, m.a, m.b, both, key)), out[f"matches{kind}"], form, key)

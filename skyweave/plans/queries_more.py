@@ -412,6 +412,48 @@ def grid_density_cells(spark, sf_dir):
     return both.select("n", F.round("density", 1).alias("density"), (F.abs(F.col("cells") / F.col("density") - 1) < 0.05).alias("near"))
 
 
+@query(with_sql("""SELECT res.a, res.b, round(x.lon, 6) AS a_lon, round(x.mag1, 6) AS a_mag1, round(y.lat, 6) AS b_lat, CAST(y.best AS INT) AS b_best, round(res.match_p, 6) AS match_p, round(res.sep, 6) AS separation, round(res.eta, 6) AS eta, round(res.xi, 6) AS xi,
+  0::DOUBLE AS one_avg_cont, 0::DOUBLE AS two_cont_f10, 'k' || res.a AS one_tag, CAST(res.b % 7 AS VARCHAR) AS two_kind FROM res JOIN cat_a x ON x.id = res.a JOIN cat_b y ON y.id = res.b WHERE NOT x.halo OR NOT y.halo""", *MATCHES))
+def match_file(spark, sf_dir):
+    """From two text files to one: the whole engine, with columns taken along and those that the match adds."""
+    from ..sources import config
+    from .engine import Engine
+    from .storage import shared_dir
+
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    columns = ["id", "lon", "lat", "sig", "mag1", "mag2", "best", "halo"]
+    cat_a(spark, sf_dir).select(*columns, F.concat(F.lit("k"), "id")).write.csv(f"{path}/one_0.csv")
+    cat_b(spark, sf_dir).select(*columns, F.col("id") % 7).write.csv(f"{path}/two_0.csv")
+    side = lambda name, extra: {
+        "cat_name": name, "cat_csv_file_path": f"{path}/{name}_{{}}.csv", "filt_names": ["x", "y"], "pos_and_err_indices": [1, 2, 3], "mag_indices": [4, 5], "best_mag_index_col": 6, "chunk_overlap_col": 7, "csv_has_header": False, "id_col": 0,
+        "chunk_id_list": [0], "auf_region_frame": "equatorial", "correct_astrometry": False, "apply_proper_motion": False, "extra_col_nums": [8], "extra_col_names": [extra],
+    }
+    joint = {
+        "pos_corr_dist": 2.92, "int_fracs": [0.63, 0.9, 0.999], "chunk_id_list": [0], "output_save_folder": f"{path}/out", "include_perturb_auf": False, "include_phot_like": False, "use_phot_priors": False,
+        "cf_region_type": "points", "cf_region_frame": "equatorial", "cf_region_points_per_chunk": [[[131, 0]]], "make_output_csv": True,
+    }
+    out = Engine(spark, config.settings(joint, side("one", "tag"), side("two", "kind"))).run()
+    own = lambda w: [f"{w}_lon DOUBLE", f"{w}_lat DOUBLE", f"{w}_sig DOUBLE", f"{w}_mag1 DOUBLE", f"{w}_mag2 DOUBLE", f"{w}_best INT"]
+    ours = [f"{c} DOUBLE" for c in ("match_p", "separation", "eta", "xi", "one_avg_cont", "two_avg_cont", "one_cont_f1", "one_cont_f10", "two_cont_f1", "two_cont_f10")]
+    rows = spark.read.csv(f"{out['matches']}/chunk_id=0", schema=", ".join(["a BIGINT", "b BIGINT", *own("a"), *own("b"), *ours, "one_tag STRING", "two_kind STRING"]))
+    return rows.select("a", "b", r6("a_lon", "a_lon"), r6("a_mag1", "a_mag1"), r6("b_lat", "b_lat"), "b_best", *(r6(c, c) for c in ("match_p", "separation", "eta", "xi")), "one_avg_cont", "two_cont_f10", "one_tag", "two_kind")
+
+
+_YEARS = "CASE id % 4 WHEN 0 THEN 2015.5::DOUBLE WHEN 1 THEN 2016 + 183 / 366.0::DOUBLE WHEN 2 THEN 2000 + (id % 9) / 4.0::DOUBLE END"
+
+
+@query(with_sql(f"""SELECT id, round((degrees(atan2(my, mx)) + 360) % 360, 6) AS lon, round(degrees(asin(mz / sqrt(mx * mx + my * my + mz * mz))), 6) AS lat, round(y, 6) AS year FROM (
+  SELECT id, y, cos(b) * cos(l) + e * -sin(l) + n * -sin(b) * cos(l) AS mx, cos(b) * sin(l) + e * cos(l) + n * -sin(b) * sin(l) AS my, sin(b) + n * cos(b) AS mz FROM (
+    SELECT id, y, radians(lon) AS l, radians(lat) AS b, radians(coalesce((id % 11 - 5) * (2020 - y) / 3600, 0)) AS e, radians(coalesce((id % 7 - 3) * (2020 - y) / 3600, 0)) AS n FROM (SELECT *, {_YEARS} AS y FROM cat_a)))"""))
+def row_epochs(spark, sf_dir):
+    """Positions moved to one epoch from each row's own, which is a Julian epoch, a date, a number or missing."""
+    i = F.col("id")
+    said = F.when(i % 4 == 0, F.lit("J2015.5")).when(i % 4 == 1, F.lit("2016-07-02")).when(i % 4 == 2, (2000 + i % 9 / 4.0).cast("string"))
+    cat = cat_a(spark, sf_dir).withColumn("year", sky.epoch_years(said))
+    lon, lat = sky.apply_pm("lon", "lat", i % 11 - 5, i % 7 - 3, 2020 - F.col("year"))
+    return cat.select("id", r6(lon, "lon"), r6(lat, "lat"), r6("year", "year"))
+
+
 @query(with_sql("SELECT x.id, count(y.id) AS n FROM cat_b x LEFT JOIN cat_b y ON y.mag2 BETWEEN 11.5 AND 13 AND y.lat BETWEEN x.lat - 0.0051 AND x.lat + 0.0051 AND abs(y.lon - x.lon) < 0.0052 AND " + HAV + " <= 0.005 GROUP BY x.id"))
 def window_density(spark, sf_dir):
     """How many sources in a window of magnitude are around each source."""

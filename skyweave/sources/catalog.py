@@ -24,6 +24,10 @@ class Layout:
     motion: tuple[int, ...] = ()
     id: int | None = None
     header: bool = False
+    #: Where each row says its own epoch, if it does, and columns that are taken along to the outputs with their names.
+    epoch: int | None = None
+    extras: tuple[int, ...] = ()
+    extra_names: tuple[str, ...] = ()
 
 
 def read_csv(spark: SparkSession, path: str | list[str], layout: Layout, more: tuple[str, ...] = ()) -> DataFrame:
@@ -31,7 +35,7 @@ def read_csv(spark: SparkSession, path: str | list[str], layout: Layout, more: t
 
     ``more`` are fields of the file metadata, such as ``file_path``, that are kept.
     """
-    last = max([*layout.astro, *layout.mags, layout.best, *(x for x in (layout.halo, layout.id) if x is not None), *layout.snrs, *layout.motion])
+    last = max([*layout.astro, *layout.mags, layout.best, *(x for x in (layout.halo, layout.id, layout.epoch) if x is not None), *layout.snrs, *layout.motion, *layout.extras])
     raw = spark.read.csv(path, schema=T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(last + 1)]), header=layout.header, enforceSchema=True)
     raw = raw.select("*", *(F.col(f"_metadata.{m}").alias(m) for m in more)) if layout.id is not None else numbered(raw)
     number = lambda i: F.nanvl(F.expr(f"try_cast(_{i} AS double)"), F.lit(None).cast("double"))
@@ -44,6 +48,9 @@ def read_csv(spark: SparkSession, path: str | list[str], layout: Layout, more: t
         columns.append(F.array(*map(number, layout.snrs)).alias("snrs"))
     if layout.motion:
         columns += [number(i).alias(n) for i, n in zip(layout.motion, ("pm_lon", "pm_lat"), strict=True)]
+    if layout.epoch is not None:
+        columns.append(F.trim(f"_{layout.epoch}").alias("epoch"))
+    columns += [F.col(f"_{i}").alias(f"extra_{n}") for i, n in zip(layout.extras, layout.extra_names, strict=True)]
     return raw.select(*columns, *more)
 
 

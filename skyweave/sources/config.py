@@ -136,8 +136,11 @@ def _side(config: dict, where: str, blended: bool) -> SideSettings:
     layout = Layout(
         astro=astro[:3], mags=mags, best=_integers(config, "best_mag_index_col", where)[0], halo=None if halo in (None, "None", -1) else int(halo), snrs=snrs,
         motion=_integers(config, "pm_indices", where) if motion else (), id=config.get("id_col"), header=bool(config["csv_has_header"]),
+        epoch=_place(config["ref_epoch_or_index"]) if motion else None, extras=_integers(config, "extra_col_nums", where) if config.get("extra_col_nums") is not None else (), extra_names=tuple(config.get("extra_col_names") or ()),
     )
-    epochs = [epoch(config[k]) if motion else None for k in ("ref_epoch_or_index", "move_to_epoch")] if motion else [None, None]
+    if len(layout.extras) != len(layout.extra_names):
+        raise ValueError(f"extra_col_names and extra_col_nums differ in length in the {where} settings")
+    epochs = [None if not motion or k[0] == "r" and layout.epoch is not None else epoch(config[k]) for k in ("ref_epoch_or_index", "move_to_epoch")]
     if config.get("download_tri"):
         raise ValueError(f"download_tri asks for downloads of simulations, which the engine does not have, in the {where} settings")
     blends = None
@@ -151,6 +154,11 @@ def _side(config: dict, where: str, blended: bool) -> SideSettings:
     return SideSettings(config["cat_name"], config["cat_csv_file_path"], tuple(config["filt_names"]), layout, motion, bool(config["correct_astrometry"]), *epochs, blends)
 
 
+def _place(value) -> int | None:
+    """The column of an integer that is too small to be a year."""
+    return value if isinstance(value, int) and not isinstance(value, bool) and 0 <= value < 1000 else None
+
+
 def _galaxies(config: dict, where: str, filters: int) -> tuple[tuple[dict, ...], tuple[float, ...]]:
     """What galaxy counts are made of and the saturation of each filter, if the counts are to be fitted."""
     if not config.get("fit_gal_flag"):
@@ -175,6 +183,8 @@ def settings(joint: dict, a: dict, b: dict) -> Settings:
         raise ValueError("include_perturb_auf should be true or false")
     blended = joint["include_perturb_auf"]
     sides = _side(a, "first", blended), _side(b, "second", blended)
+    if sides[0].name == sides[1].name:
+        raise ValueError("cat_name should differ between the two sides")
     if len({joint["cf_region_frame"], a["auf_region_frame"], b["auf_region_frame"]}) > 1 or joint["cf_region_frame"] not in FRAMES:
         raise ValueError("the frames of the three settings should be the same, equatorial or galactic")
     if not list(joint["chunk_id_list"]) == list(a["chunk_id_list"]) == list(b["chunk_id_list"]):
@@ -199,8 +209,6 @@ def settings(joint: dict, a: dict, b: dict) -> Settings:
     both = blended and True in psf and all(config.get("run_fw_auf") for config in (a, b))
     if both and not all(side.layout.snrs for side in sides):
         raise ValueError("run_fw_auf and run_psf_auf together need snr_indices on both sides")
-    if joint["cf_region_frame"] == "galactic" and any(side.motion for side in sides):
-        raise ValueError("proper motions are moved in the equatorial frame only")
     regions = dict(zip(joint["chunk_id_list"], joint["cf_region_points_per_chunk"], strict=True))
     return Settings(_number(joint, "pos_corr_dist", "joint", True), tuple(float(f) for f in fractions), tuple(joint["chunk_id_list"]), joint["output_save_folder"], bool(joint["make_output_csv"]), bool(joint["include_phot_like"]), bool(joint["use_phot_priors"]), {k: (joint["cf_region_type"], v) for k, v in regions.items()}, bool(joint.get("reject_edges", False)), *sides, blended, int(_number(joint, "num_trials", "joint", True)) if blended else 0, _number(joint, "d_mag", "joint", True) if blended else 0.1, joint["psf_params_path"] if blended and True in psf else None, both, int(joint.get("chunks_per_batch", 0)))
 

@@ -448,7 +448,7 @@ def test_a_chunk_without_matches_is_done(spark, tmp_path):
         (tmp_path / f"{name}_1.csv").write_text("".join(f"{i},{131 + i * 0.01},{lat + i % 3 * 0.01},0.3,12.0,,0,0\n" for i in range(20)))
     found = config.settings(*settings_of(tmp_path, (1,)))
     out = Engine(spark, found).run()
-    assert spark.read.parquet(out["nonmatches"]).count() == 40
+    assert spark.read.parquet(out["nonmatches_a"]).count() == spark.read.parquet(out["nonmatches_b"]).count() == 20
     stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
     Engine(spark, found).run()
     assert stamp == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
@@ -587,3 +587,28 @@ def test_region_points_as_rows(spark):
     for kind, points in (("rectangle", [131, 134, 4, -1, 1, 3]), ("rectangle", [5, 5, 1, 2, 3, 2]), ("points", [[1, 2], [3, 4]])):
         rows = [(r.pt, round(r.lon, 9), round(r.lat, 9)) for r in catalog.region_points(spark, kind, points).collect()]
         assert sorted(rows) == [(i, round(x, 9), round(y, 9)) for i, x, y in catalog.region_rows(kind, points)]
+
+
+def test_outputs_have_contamination_fitted_uncertainties_and_extras(spark, tmp_path):
+    """Of a match with blends, corrections, epochs of rows and columns taken along; one side in galactic coordinates like the other."""
+    rng = np.random.default_rng(12)
+    star_counts(tmp_path / "counts_1.dat")
+    a, b = planted(131, 300, 350, 250)
+    years = ["J2015.5", "2010-01-01", "2000"]
+    moved = lambda i: (2020 - (2015.5, 2010, 2000)[i % 3]) * 0.3 / 3600  # noqa: E731  each row stands where it was at its epoch
+    (tmp_path / "a_1.csv").write_text("".join(f"{i},{float(x)!r},{float(y - moved(i))!r},0.15,{12 + i % 30 / 10},{13.5},{i % 2},0,0.0,0.3,{years[i % 3]},tag{i}\n" for i, x, y in a))
+    (tmp_path / "b_1.csv").write_text("".join(f"{i},{float(x)!r},{float(y)!r},0.15,{12 + i % 30 / 10 + rng.normal(0, 0.05)},{13.5},{i % 2},0\n" for i, x, y in b))
+    joint, one, two = settings_of(tmp_path, (1,))
+    for part, key in ((joint, "cf_region_frame"), (one, "auf_region_frame"), (two, "auf_region_frame")):
+        part[key] = "galactic"
+    joint |= {"include_perturb_auf": True, "num_trials": 300, "d_mag": 0.5}
+    for side in (one, two):
+        side |= {"psf_fwhms": [2.0, 2.0], "tri_filt_names": ["x", "y"], "auf_file_path": f"{tmp_path}/counts_{{}}.dat", "dens_dist": 0.02}
+    one |= {"apply_proper_motion": True, "pm_indices": [8, 9], "ref_epoch_or_index": 10, "move_to_epoch": "J2020", "extra_col_nums": [11], "extra_col_names": ["name"], "correct_astrometry": True}
+    out = Engine(spark, config.settings(joint, one, two), {"a": [(131.0, 0.0, 1.2, 0.1)]}).run()
+    rows = spark.read.parquet(out["matches"]).collect()
+    assert len({(r.a, r.b) for r in rows} & {(i, i) for i in range(250)}) > 230 and len(rows) < 260
+    assert all(r.a_name == f"tag{r.a}" and r.a_sig == 0.15 and r.a_FIT_SIG == pytest.approx(math.hypot(0.18, 0.1)) for r in rows) and "b_FIT_SIG" not in rows[0]
+    assert all(0 <= r.a_CONT_F10 <= r.a_CONT_F1 + 1e-9 <= 1 + 2e-9 and r.b_AVG_CONT >= 0 for r in rows) and sum(r.a_AVG_CONT for r in rows) > 0
+    left = spark.read.parquet(out["nonmatches_a"]).collect()
+    assert all(r.a_name == f"tag{r.id}" and r.a_AVG_CONT is not None and r.a_FIT_SIG > 0.2 for r in left) and {r.id for r in left} >= set(range(255, 300))
