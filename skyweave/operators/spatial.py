@@ -74,6 +74,17 @@ def mutual_nn(a: DataFrame, b: DataFrame, radius: float, keys: tuple[str, ...] =
 
 
 def nearest_cell(sources: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
-    """Each source (id, logn, mag) with the simulation cell (nm, cell_logn, cell_mag) of its group nearest in both."""
-    d = (F.col("logn") - F.col("cell_logn")) * (F.col("logn") - F.col("cell_logn")) + (F.col("mag") - F.col("cell_mag")) * (F.col("mag") - F.col("cell_mag"))
-    return sources.join(cells, by).groupBy(*by, "id").agg(F.min(F.struct(d.alias("d"), "nm")).alias("best")).select(*by, "id", F.col("best.nm").alias("nm"), F.col("best.d").alias("d"))
+    """Each source (id, logn, mag) with the simulation cell (nm, cell_logn, cell_mag) of its group nearest in both; ties go to the least nm.
+
+    A group's cells are one array in order of density, and a source looks at those whose density
+    alone is not farther than the nearest that a first look, at the cells around its place, has found.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("cell_logn", "cell_mag", "nm")))
+    arrays = cells.groupBy(*by).agg(rows.alias("__cells"), F.array_sort(F.collect_list("cell_logn")).alias("__logs"))  # the few cells of a group
+    far = lambda c: (F.col("logn") - c["cell_logn"]) * (F.col("logn") - c["cell_logn"]) + (F.col("mag") - c["cell_mag"]) * (F.col("mag") - c["cell_mag"])
+    least = lambda some: F.array_min(F.transform(some, lambda c: F.struct(far(c).alias("d"), c["nm"].alias("nm"))))
+    at = sources.join(arrays, by).withColumn("__at", F.size(F.filter("__logs", lambda x: x < F.col("logn"))))
+    first = at.withColumn("__d", least(F.slice("__cells", F.greatest(F.lit(1), F.col("__at") - 2), F.lit(6)))["d"])
+    near = F.filter("__cells", lambda c: (F.col("logn") - c["cell_logn"]) * (F.col("logn") - c["cell_logn"]) <= F.col("__d"))
+    best = first.withColumn("__best", least(near))
+    return best.select(*by, "id", F.col("__best.nm").alias("nm"), F.col("__best.d").alias("d"))

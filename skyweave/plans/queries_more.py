@@ -613,9 +613,32 @@ def blended_match(spark, sf_dir):
 @query()
 def astro_fit(spark, sf_dir):
     """Corrections of one catalogue's quoted uncertainties from its separations from the other, for two sightlines."""
-    from ..operators.astrometry import calibrated
+    from ..operators import calibration as cal
 
-    return calibrated(cat_a(spark, sf_dir), cat_b(spark, sf_dir), [(0, 130.97, 0.0), (1, 131.03, 0.0)], 0.05, 2.92, "mag2", step=1.0, least=40)
+    some = cal.boxes([(0, 130.97, 0.0), (1, 131.03, 0.0)], 0.004, 0.1)
+    return cal.calibrate(cat_a(spark, sf_dir), cat_b(spark, sf_dir), some, 0.02, 2.92, "mag2", step=1.0, least=40)[0]
+
+
+_BOXES_SQL = """
+bxs AS (SELECT pt, lon, lat, 0.001::DOUBLE / 2 / degrees(sin(radians(lat + 0.01)) - sin(radians(lat - 0.01))) AS half FROM (VALUES (0, 130.97::DOUBLE, -0.01::DOUBLE), (1, 131.02::DOUBLE, 0.02::DOUBLE)) t(pt, lon, lat)),
+ina AS (SELECT c.*, pt FROM cat_a c JOIN bxs b ON c.lat BETWEEN b.lat - 0.01 AND b.lat + 0.01 AND abs(c.lon - b.lon) <= half),
+inb AS (SELECT c.*, pt FROM cat_b c JOIN bxs b ON c.lat BETWEEN b.lat - 0.01 AND b.lat + 0.01 AND abs(c.lon - b.lon) <= half),
+nbr AS (SELECT x.pt, x.id % 2 AS visit, x.id AS a, y.id AS b, x.mag2, """ + HAV + """ * 3600 AS sep FROM ina x JOIN inb y ON y.pt = x.pt AND y.lat BETWEEN x.lat - 0.0009 AND x.lat + 0.0009 AND abs(y.lon - x.lon) < 0.0009),
+nba AS (SELECT pt, visit, a, arg_min(b, (sep, b)) AS b, min(sep) AS sep, any_value(mag2) AS mag FROM nbr WHERE sep <= 2.92 GROUP BY ALL),
+nbb AS (SELECT pt, visit, b, arg_min(a, (sep, a)) AS a FROM nbr WHERE sep <= 2.92 GROUP BY ALL)"""
+
+
+@query(with_sql("SELECT pt, CAST(floor(mag) AS INT) AS slice, count(*) AS n, round(quantile_cont(sep, 0.5), 6) AS sep, (SELECT count(*) FROM ina WHERE ina.pt = nba.pt) AS n_a, (SELECT count(*) FROM inb WHERE inb.pt = nba.pt) AS n_b FROM nba JOIN nbb USING (pt, visit, a, b) GROUP BY ALL", _BOXES_SQL))
+def astro_cutouts(spark, sf_dir):
+    """Cutouts of equal area, their sources, and mutual neighbours of two visits by slice of magnitude."""
+    from ..operators import calibration as cal
+
+    some = cal.boxes([(0, 130.97, -0.01), (1, 131.02, 0.02)], 0.001, 0.02)
+    a, b = cat_a(spark, sf_dir).withColumn("visit", F.col("id") % 2), cat_b(spark, sf_dir)
+    matches = written(cal.separations(a, b, some, 0.005, 2.92, "mag2", 1.0, "visit"), "separations")
+    count = lambda cat, name: cal.cutouts(cat, some).groupBy("pt").agg(F.count("*").alias(name))
+    out = stats.quantiles(matches, ["pt", "slice"], "sep", (0.5,)).join(count(a, "n_a"), "pt").join(count(b, "n_b"), "pt")
+    return out.select("pt", "slice", "n", F.round(F.col("q")[0], 6).alias("sep"), "n_a", "n_b")
 
 
 def _mixed_sql(x: str, shift: int, factor: int) -> str:

@@ -297,16 +297,11 @@ def test_shift_of_blended_profiles():
     assert len(fitted_polynomial(r, 1 + 2 * r**3, 1e-3)) == 5
 
 
-def test_interior_points_and_fit_table():
-    from skyweave.operators.astrometry import fit_table
+def test_interior_points():
     from skyweave.operators.regions import interior_points
 
     points = interior_points([(0, 0), (2, 0), (1, 3)])
     assert len(points) >= 30 and all(0 < y < 3 * min(x, 2 - x) for x, y in points)
-    edges = np.linspace(0, 2, 61)
-    counts = np.histogram(np.random.default_rng(1).rayleigh(0.3, 5000), edges)[0]
-    table = fit_table(counts, edges, 0.3, 1e-4)
-    assert (table["data"] - table["model"]).abs().max() < 0.03
 
 
 def test_pairs_with_blends_agree_with_the_closed_form(spark):
@@ -539,20 +534,37 @@ def test_the_inflation_of_a_circle():
     assert (math.acos(x) - x * math.sqrt(1 - x * x)) / math.pi == pytest.approx(0.1, abs=1e-3)
 
 
-def test_calibration_from_two_catalogues(spark):
-    """Two sightlines, one across longitude zero, with offsets of 1.5 times the quoted uncertainty."""
-    from skyweave.operators.astrometry import calibrated
+def test_planted_corrections_by_sightline(spark):
+    """Two sightlines, one across longitude zero, two visits, offsets at twice the quoted uncertainty, and simulated blends on top."""
+    from skyweave.operators import auf
+    from skyweave.operators import calibration as cal
 
     rng = np.random.default_rng(17)
+    some = cal.boxes([(0, 0.0, 0.0), (1, 40.0, 60.0)], 0.64, 0.8)
+    assert [b.area for b in some] == pytest.approx([0.64, 0.64]) and some[1].half > 1.9 * some[0].half
+    n, how = 4000, Blends(fwhm=1.0, trials=5000, rho_max=4.0, rho_bins=200)
+    model = [(11.0, n / 0.64 / 0.5, 0.5), *((13.25 + k, 2e5 * 2.0**k, 0.5) for k in range(5))]
     a, b = [], []
-    for pt, lon in enumerate((0.0, 40.0)):
-        for i in range(5000):
-            x, y, sig = lon + rng.uniform(-0.4, 0.4), rng.uniform(-0.4, 0.4), 0.1 + 0.05 * (i % 4)
-            b.append((pt * 10_000 + i, x % 360, y))
-            a.append((pt * 10_000 + i, (x + rng.normal(0, 1.5 * sig) / 3600) % 360, y + rng.normal(0, 1.5 * sig) / 3600, sig, 12.25 + 0.5 * (i % 4)))
-    cat_ = spark.createDataFrame([tuple(map(float, r[1:])) + (r[0],) for r in a], "lon double, lat double, sig double, m double, id bigint")
-    out = calibrated(cat_, cat(spark, b), [(0, 0.0, 0.0), (1, 40.0, 0.0)], 0.3, 2.0, "m").collect()
-    assert {r.pt for r in out} == {0, 1} and all(r.slices == 4 and r.m == pytest.approx(1.5, rel=0.12) and r.n < 0.08 for r in out)
+    for box in some:
+        flat = math.cos(math.radians((box.low + box.high) / 2))
+        x, y = box.lon + rng.uniform(-box.half, box.half, n), rng.uniform(box.low, box.high, n)
+        b += [(box.pt * 10_000 + i, float(x[i] % 360), float(y[i])) for i in range(n)]
+        for visit, k in itertools.product((0, 1), range(4)):
+            sig, middle, ids = 0.08 + 0.04 * k, 12.5 + k, np.arange(k, n, 4)
+            fainter = np.array([m for m in model if m[0] >= middle])
+            off = auf.simulated(auf.expected(fainter[:, 1], fainter[:, 2], 1.0, how.radius), fainter[:, 0] - middle, fainter[:, 2], replace(how, trials=len(ids)), rng)[0]
+            turn = rng.uniform(0, 2 * math.pi, len(ids))
+            dx, dy = rng.normal(0, 2 * sig, (2, len(ids))) + off * np.array([np.cos(turn), np.sin(turn)])
+            a += [(int(box.pt * 10_000 + i), float((x[i] + u / 3600 / flat) % 360), float(y[i] + v / 3600), sig, middle, visit) for i, u, v in zip(ids, dx, dy, strict=True)]
+    cat_ = spark.createDataFrame(a, "id bigint, lon double, lat double, sig double, m double, visit int")
+    counts = spark.createDataFrame([(pt, *m) for pt in (0, 1) for m in model], "pt int, mag double, density double, width double")
+    fits, slices, quality = cal.calibrate(cat_, cat(spark, b), some, 0.2, 2.0, "m", step=1.0, visit="visit", model=counts, limit=12.0, how=how, fwhm=1.0)
+    found = fits.collect()
+    assert {r.pt for r in found} == {0, 1} and all(r.slices == 4 and r.m == pytest.approx(2, rel=0.05) and r.n < 0.08 for r in found)
+    each = slices.collect()
+    assert len(each) == 8 and all(r.fit_sig == pytest.approx(2 * r.sig, rel=0.08) and 1800 < r.n <= 2000 for r in each)
+    shown = quality.toPandas()
+    assert len(shown) == 8 * 60 and shown.distance.max() < 0.05 and (shown.share < 0.1).all()
 
 
 def test_tails_of_shifts(spark, tmp_path):
