@@ -28,26 +28,46 @@ def _own_cell(lon: Column, lat: Column, radius: float) -> tuple[Column, Column]:
     return band, F.least(n - 1, F.floor(F.pmod(lon, F.lit(360.0)) * n / 360))
 
 
-def radius_join(a: DataFrame, b: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """All pairs within ``radius`` degrees of tables with id, lon, lat: columns a_*, b_*, ``keys`` and sep (arcseconds)."""
-    slack = radius * (1 + 1e-9) + 1e-12
-    left = a.select(*keys, *(F.col(c).alias(f"a_{c}") for c in a.columns if c not in keys))
-    band, cell = _own_cell(F.col("a_lon"), F.col("a_lat"), slack)
-    left = left.withColumn("__band", band).withColumn("__cell", cell)
-    right = b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys))
-    own = F.floor((F.col("b_lat") + 90) / slack)
-    right = right.withColumn("__band", F.explode(F.sequence(own - 1, own + 1)))
+def own_cells(df: DataFrame, radius: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``df`` with the band and cell of each position, for ranges up to ``radius`` degrees."""
+    band, cell = _own_cell(F.col(lon), F.col(lat), _slack(radius))
+    return df.withColumn("__band", band).withColumn("__cell", cell)
+
+
+def reach_cells(df: DataFrame, radius: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``df`` once for each band and cell that a circle of ``radius`` degrees around a position can touch."""
+    slack = _slack(radius)
+    own = F.floor((F.col(lat) + 90) / slack)
+    df = df.withColumn("__band", F.explode(F.sequence(own - 1, own + 1)))
     n = _cells(F.col("__band"), slack)
-    ratio = F.sin(F.radians(F.lit(slack))) / F.cos(F.radians(F.col("b_lat")))
-    reach = F.when((F.abs(F.col("b_lat")) + slack >= 90) | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), ratio))))
-    low = F.floor((F.pmod(F.col("b_lon"), F.lit(360.0)) - reach) * n / 360)
-    high = F.floor((F.pmod(F.col("b_lon"), F.lit(360.0)) + reach) * n / 360)
-    right = right.withColumn("__cell", F.explode(F.transform(F.sequence(low, F.least(high, low + n - 1)), lambda c: F.pmod(c, n))))
+    ratio = F.sin(F.radians(F.lit(slack))) / F.cos(F.radians(F.col(lat)))
+    reach = F.when((F.abs(F.col(lat)) + slack >= 90) | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), ratio))))
+    low = F.floor((F.pmod(F.col(lon), F.lit(360.0)) - reach) * n / 360)
+    high = F.floor((F.pmod(F.col(lon), F.lit(360.0)) + reach) * n / 360)
+    return df.withColumn("__cell", F.explode(F.transform(F.sequence(low, F.least(high, low + n - 1)), lambda c: F.pmod(c, n))))
+
+
+def _slack(radius: float) -> float:
+    return radius * (1 + 1e-9) + 1e-12
+
+
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within ``radius`` degrees of what ``own_cells`` and ``reach_cells`` give for tables with columns a_* and b_*."""
     pairs = left.join(right, [*keys, "__band", "__cell"]).drop("__band", "__cell")
     sep = haversine("a_lon", "b_lon", "a_lat", "b_lat")
     return pairs.withColumn("sep", sep * 3600).where(F.col("sep") <= radius * 3600)
 
 
+def sided(df: DataFrame, side: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``side`` before the names of all columns but ``keys``."""
+    return df.select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys))
+
+
+def radius_join(a: DataFrame, b: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs within ``radius`` degrees of tables with id, lon, lat: columns a_*, b_*, ``keys`` and sep (arcseconds)."""
+    return near_pairs(own_cells(sided(a, "a", keys), radius, "a_lon", "a_lat"), reach_cells(sided(b, "b", keys), radius, "b_lon", "b_lat"), radius, keys)
+
+
 def local_density(cat: DataFrame, radius: float, mag: str | None = None, between: tuple[float, float] = (-math.inf, math.inf), keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, id, n, density): sources of the same catalogue, itself too, within a circle, a square degree."""
     others = cat if mag is None else cat.where((F.col(mag) >= between[0]) & (F.col(mag) <= between[1]))

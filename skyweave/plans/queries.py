@@ -188,6 +188,23 @@ def region_grid(spark, sf_dir):
 
 # Joins ------------------------------------------------------------------------------------
 
+@query(with_sql(f"SELECT a, b, round(sep, 6) AS sep FROM pair WHERE sep <= {RADIUS}", EDGE_SQL))
+def stored_join(spark, sf_dir):
+    """The radius join of catalogues that are stored in the order of the sky."""
+    from ..sources.skystore import stored
+
+    a, b = (stored(cat.select("id", "lon", "lat"), RADIUS / 3600, buckets=8) for cat in (cat_a(spark, sf_dir), cat_b(spark, sf_dir)))
+    return a.join(b).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), r6("sep", "sep"))
+
+
+@query(with_sql("SELECT id FROM cat_b WHERE lon BETWEEN 130.96 AND 131.02 AND lat BETWEEN -0.02 AND 0.04"))
+def stored_slice(spark, sf_dir):
+    """A rectangle of a catalogue that is stored in the order of the sky."""
+    from ..sources.skystore import stored
+
+    return stored(cat_b(spark, sf_dir), RADIUS / 3600, buckets=8).slice(130.96, 131.02, -0.02, 0.04).select("id")
+
+
 @query(with_sql(f"SELECT a, b, round(sep, 6) AS sep FROM pair WHERE sep <= {RADIUS}", EDGE_SQL))
 def radius_join(spark, sf_dir):
     pairs = spatial.radius_join(cat_a(spark, sf_dir).select("id", "lon", "lat"), cat_b(spark, sf_dir).select("id", "lon", "lat"), RADIUS / 3600)

@@ -624,3 +624,48 @@ def test_outputs_have_contamination_fitted_uncertainties_and_extras(spark, tmp_p
     assert all(0 <= r.a_CONT_F10 <= r.a_CONT_F1 + 1e-9 <= 1 + 2e-9 and r.b_AVG_CONT >= 0 for r in rows) and sum(r.a_AVG_CONT for r in rows) > 0
     left = spark.read.parquet(out["nonmatches_a"]).collect()
     assert all(r.a_name == f"tag{r.id}" and r.a_AVG_CONT is not None and r.a_FIT_SIG > 0.2 for r in left) and {r.id for r in left} >= set(range(255, 300))
+
+
+def test_stored_catalogues_meet_without_a_shuffle(spark):
+    from skyweave.operators.spatial import radius_join
+    from skyweave.sources import skystore
+
+    rng = np.random.default_rng(3)
+    a, b = (cat(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(zip((rng.uniform(-1, 1, 3000) + 0.5) % 360, rng.uniform(-3, 3, 3000), strict=True))]) for _ in range(2))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        one, two = (skystore.stored(x, 0.02, buckets=4) for x in (a, b))
+        joined = one.join(two)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        keys = lambda df: {(r.a_id, r.b_id, round(r.sep, 6)) for r in df.collect()}
+        assert keys(joined) == keys(radius_join(a, b, 0.02)) != set()
+        part = one.slice(-0.2, 0.3, 0.2, 0.7)
+        files = lambda df: {r[0] for r in df.selectExpr("_metadata.file_path").distinct().collect()}
+        seen = {r.id for r in part.select("id").collect()}
+        assert seen == {r.id for r in a.where("(lon >= 359.8 OR lon <= 0.3) AND lat BETWEEN 0.2 AND 0.7").collect()} != set()
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(__stripe" in plan
+        assert len(files(one.own.where("__stripe BETWEEN 90 AND 90"))) < len(files(one.own)) / 4
+        with pytest.raises(ValueError, match="same radius"):
+            one.join(skystore.stored(b, 0.03, buckets=4))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for t in (one, two):
+            t.drop()
+
+
+def test_shares_of_cells_by_a_quadtree():
+    from skyweave.operators.regions import cell_shares
+
+    ring = np.array([(10.0, -1.0), (12.0, -1.0), (12.0, 1.0), (10.0, 1.0)])
+    assert cell_shares(ring, np.array([(10.5, 0.0), (11.5, 0.0)])) == pytest.approx([0.5, 0.5], abs=1e-3)
+    assert cell_shares(ring, np.array([(10.5, 0.0), (12.5, 0.0)])) == pytest.approx([0.75, 0.25], abs=1e-3)
+    assert cell_shares(ring, np.array([(11.0, 0.0), (40.0, 0.0)])) == pytest.approx([1.0, 0.0])
+    triangle, points = np.array([(0.0, 0.0), (3.0, 0.2), (0.7, 2.0)]), np.array([(0.5, 0.4), (1.5, 0.5), (1.0, 1.4)])
+    rng = np.random.default_rng(2)
+    xy = rng.uniform(0, 3, (400_000, 2))
+    turn = [(q[0] - p[0]) * (xy[:, 1] - p[1]) - (q[1] - p[1]) * (xy[:, 0] - p[0]) for p, q in zip(triangle, np.roll(triangle, -1, axis=0), strict=True)]
+    inside = xy[(np.array(turn) >= 0).all(axis=0)]
+    nearest = ((inside[:, None, :] - points) ** 2).sum(axis=2).argmin(axis=1)
+    assert cell_shares(triangle, points) == pytest.approx((np.bincount(nearest) / len(nearest)).tolist(), abs=0.005)
