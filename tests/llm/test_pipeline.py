@@ -55,5 +55,5 @@ def test_near_copies_go_by_id_and_text(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES} == set(range(1, 14))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
