@@ -740,3 +740,29 @@ def psf_tails(spark, sf_dir):
 
     tails = skew_tails(shift_grid(spark, _fluxes(spark, sf_dir), np.linspace(0, 6, 121)))
     return tails.select("flux", *(F.col("tail")[i].alias(n) for i, n in enumerate(("width", "middle", "shape", "amplitude", "cut"))))
+
+
+_TRUTH_SQL = "SELECT count(*) AS planted, TRUE AS found, TRUE AS few_others FROM cat_a x JOIN cat_b y ON y.id = x.id, cat_n WHERE x.id < m AND x.id % 10 <> 9 AND CASE WHEN x.best = 0 THEN x.mag1 ELSE x.mag2 END IS NOT NULL AND CASE WHEN y.best = 0 THEN y.mag1 ELSE y.mag2 END IS NOT NULL"
+
+
+def _truth(spark: SparkSession, sf_dir: str, matches: DataFrame) -> DataFrame:
+    """How many pairs were planted, whether nine in ten of them are matched, and whether at most a fifth as many others are."""
+    mag = F.when(F.col("best") == 0, F.col("mag1")).otherwise(F.col("mag2"))
+    seen = lambda cat, name: cat.where(mag.isNotNull()).select(F.col("id").alias(name))
+    most = cat_a(spark, sf_dir).count() * 8 // 10
+    planted = seen(cat_a(spark, sf_dir), "a").where((F.col("a") < most) & (F.col("a") % 10 != 9)).join(seen(cat_b(spark, sf_dir), "b"), F.col("a") == F.col("b"))
+    both = planted.withColumn("p", F.lit(True)).join(matches.select("a", "b", F.lit(True).alias("m")), ["a", "b"], "full")
+    n, hit, other = F.count("p"), F.count_if(F.col("p") & F.col("m")), F.count_if(F.col("p").isNull() & (F.col("a") % 10 != 9) & (F.col("a") != F.col("b")))
+    return both.agg(n.alias("planted"), (hit >= 0.9 * n).alias("found"), (other <= 0.2 * n).alias("few_others"))
+
+
+@query(with_sql(_TRUTH_SQL))
+def phot_match_truth(spark, sf_dir):
+    """The photometric match against what was planted."""
+    return _truth(spark, sf_dir, phot_match(spark, sf_dir))
+
+
+@query(with_sql(_TRUTH_SQL))
+def blended_match_truth(spark, sf_dir):
+    """The match with simulated blends against what was planted."""
+    return _truth(spark, sf_dir, blended_match(spark, sf_dir))
