@@ -14,6 +14,7 @@ from ..functions.sky import apply_pm, epoch_years
 from ..operators.astrometry import corrected
 from ..operators.auf import Blends
 from ..operators.blending import by_band, complete_to, simulated_cells, with_cells
+from ..operators.calibration import boxes, calibrate
 from ..operators.counts import observed, rescaled, with_galaxies
 from ..operators.regions import hull_areas, hulls
 from ..sources.catalog import chunk_of, read_csv, region_rows, write_output
@@ -74,11 +75,12 @@ def with_columns(matches: DataFrame, a: DataFrame, b: DataFrame, bands: tuple[st
 class Engine:
     """All chunks of a match in one plan, with blends, photometry and sky cells as the settings ask for.
 
-    ``corrections`` are terms (lon, lat, m, n) by side, "a" or "b", for sides whose settings ask for them.
+    ``corrections`` are terms (lon, lat, m, n) by side, "a" or "b", for sides whose settings ask for
+    them and do not say what they are computed from.
     """
 
     def __init__(self, spark: SparkSession, settings: Settings, corrections: dict[str, list[tuple[float, float, float, float]]] | None = None):
-        self.spark, self.settings, self.corrections = spark, settings, corrections or {}
+        self.spark, self.settings, self.corrections = spark, settings, dict(corrections or {})
         s = settings
         self.bands = tuple(f"mag{i + 1}" for i in range(max(len(s.a.filters), len(s.b.filters))))
         self.how = Blends(fwhm=1.0, trials=s.trials) if s.blends else None
@@ -90,11 +92,25 @@ class Engine:
         side = getattr(self.settings, which)
         cat = scan(self.spark, side, chunks).withColumn("quoted", F.col("sig"))
         if side.correct:
-            if which not in self.corrections:
-                raise ValueError(f"the settings of side {which} ask for corrections, and none are given")
-            cat = corrected(cat, self.corrections[which])
+            cat = corrected(cat, self.corrections[which] if which in self.corrections else self.calibrated(which))
         return cat.withColumns({m: F.lit(None).cast("double") for m in self.bands if m not in cat.columns})
 
+    def calibrated(self, which: str) -> list[tuple[float, float, float, float]]:
+        """Terms (lon, lat, m, n) of the settings' sightlines, from all chunks of the side's catalogue; computed once."""
+        side = getattr(self.settings, which)
+        if (how := side.calibration) is None:
+            raise ValueError(f"the settings of side {which} ask for corrections, and none are given")
+        place = lambda i: F.expr(f"try_cast(_c{i} AS double)")
+        better = self.spark.read.csv(how.path).select(F.monotonically_increasing_id().alias("id"), place(how.columns[0]).alias("lon"), place(how.columns[1]).alias("lat")).where("lon is not null and lat is not null")
+        cat = scan(self.spark, side, self.settings.chunks).where("not halo").withColumn("id", F.xxhash64("chunk_id", "id"))
+        points = [(i, lon, lat) for i, (lon, lat) in enumerate(how.sightlines)]
+        fits, _, _ = calibrate(cat, written(better, "better"), boxes(points, how.area, how.height), how.radius, how.reach, f"mag{how.filter + 1}", step=how.step, least=how.least)
+        terms = {r.pt: (r.m, r.n) for r in fits.collect()}  # a row for each sightline
+        self.corrections[which] = [(lon, lat, *terms[pt]) for pt, lon, lat in points if pt in terms]
+        if not self.corrections[which]:
+            raise ValueError(f"no sightline of side {which} has matches to compute corrections from")
+        return self.corrections[which]
+
     def points(self, chunks: tuple) -> DataFrame:
         """(chunk_id, pt, lon, lat): the middles of each chunk's sky cells."""
         return self.spark.createDataFrame([(str(c), *row) for c in chunks for row in region_rows(*self.settings.regions[c])], "chunk_id string, pt int, lon double, lat double")

@@ -46,6 +46,25 @@ class SideBlends:
     saturation: tuple[float, ...] = ()
 
 
+@dataclass(frozen=True)
+class SideCalibration:
+    """How quoted uncertainties are corrected: a better catalogue's text file, its columns of longitude and latitude, and the sightlines' cutouts.
+
+    ``area`` and ``height`` are in square degrees and degrees, ``radius`` (of local densities) in degrees and ``reach`` (of matches) in arcseconds.
+    """
+
+    path: str
+    columns: tuple[int, int]
+    sightlines: tuple[tuple[float, float], ...]
+    area: float
+    height: float
+    radius: float
+    reach: float
+    step: float = 0.5
+    least: int = 100
+    filter: int = 0
+
+
 @dataclass(frozen=True)
 class SideSettings:
     name: str
@@ -57,6 +76,7 @@ class SideSettings:
     reference_epoch: float | None = None
     move_to_epoch: float | None = None
     blends: SideBlends | None = None
+    calibration: SideCalibration | None = None
 
 
 @dataclass(frozen=True)
@@ -151,7 +171,22 @@ def _side(config: dict, where: str, blended: bool) -> SideSettings:
         if not len(config["psf_fwhms"]) == len(config["tri_filt_names"]) == len(mags):
             raise ValueError(f"psf_fwhms and tri_filt_names need an entry for each filter in the {where} settings")
         blends = SideBlends(tuple(map(float, config["psf_fwhms"])), tuple(config["tri_filt_names"]), config["auf_file_path"], _number(config, "dens_dist", where, True), config.get("auf_bright_file_path"), *_galaxies(config, where, len(mags)))
-    return SideSettings(config["cat_name"], config["cat_csv_file_path"], tuple(config["filt_names"]), layout, motion, bool(config["correct_astrometry"]), *epochs, blends)
+    return SideSettings(config["cat_name"], config["cat_csv_file_path"], tuple(config["filt_names"]), layout, motion, bool(config["correct_astrometry"]), *epochs, blends, _calibration(config, where) if config["correct_astrometry"] else None)
+
+
+def _calibration(config: dict, where: str) -> SideCalibration | None:
+    """What corrections are computed from, if the settings say so; otherwise the caller gives them."""
+    if not config.get("correct_astro_csv_file_path"):
+        return None
+    for key in ("correct_astro_pos_indices", "correct_astro_sightlines", "correct_astro_area", "correct_astro_height", "correct_astro_dens_dist", "correct_astro_nn_radius"):
+        if key not in config:
+            raise ValueError(f"{key} is missing from the {where} settings, and correct_astro_csv_file_path needs it")
+    numbers = (_number(config, f"correct_astro_{k}", where, True) for k in ("area", "height", "dens_dist", "nn_radius"))
+    columns = _integers(config, "correct_astro_pos_indices", where)
+    if len(columns) != 2:
+        raise ValueError(f"correct_astro_pos_indices needs two places in the {where} settings")
+    sightlines = tuple((float(x), float(y)) for x, y in config["correct_astro_sightlines"])
+    return SideCalibration(config["correct_astro_csv_file_path"], columns, sightlines, *numbers, float(config.get("correct_astro_mag_step", 0.5)), int(config.get("correct_astro_least", 100)), int(config.get("correct_astro_mag_index", 0)))
 
 
 def _place(value) -> int | None:

@@ -626,6 +626,29 @@ def test_outputs_have_contamination_fitted_uncertainties_and_extras(spark, tmp_p
     assert all(r.a_name == f"tag{r.id}" and r.a_AVG_CONT is not None and r.a_FIT_SIG > 0.2 for r in left) and {r.id for r in left} >= set(range(255, 300))
 
 
+def test_engine_computes_corrections_from_its_settings(spark, tmp_path):
+    """Quoted uncertainties are half of the true ones; a better catalogue says so."""
+    rng = np.random.default_rng(21)
+    n = 3000
+    x, y = 131 + rng.uniform(-0.3, 0.3, n), rng.uniform(-0.3, 0.3, n)
+    sig = 0.08 + 0.04 * (np.arange(n) % 3)
+    off = lambda s: rng.normal(0, s / 3600, n)
+    lines = lambda lon, lat, s: "".join(f"{i},{float(lon[i])!r},{float(lat[i])!r},{s[i]:.3f},{12 + i % 3 + 0.2},,0,0\n" for i in range(n))
+    (tmp_path / "a_1.csv").write_text(lines(x + off(2 * sig), y + off(2 * sig), sig))
+    (tmp_path / "b_1.csv").write_text(lines(x + off(0.05), y + off(0.05), np.full(n, 0.05)))
+    (tmp_path / "best.csv").write_text("".join(f"{float(u)!r},x,{float(v)!r}\n" for u, v in zip(x, y, strict=True)))
+    joint, a, b = settings_of(tmp_path, (1,))
+    a |= {"correct_astrometry": True, "correct_astro_csv_file_path": str(tmp_path / "best.csv"), "correct_astro_pos_indices": [0, 2], "correct_astro_sightlines": [[131.0, 0.0]], "correct_astro_area": 0.25, "correct_astro_height": 0.5, "correct_astro_dens_dist": 0.1, "correct_astro_nn_radius": 2.0, "correct_astro_mag_step": 1.0}
+    engine = Engine(spark, config.settings(joint, a, b))
+    rows = spark.read.parquet(engine.run()["matches"]).select("a_sig", "a_FIT_SIG").collect()
+    ((lon, lat, m, n_),) = engine.corrections["a"]
+    assert (lon, lat) == (131.0, 0.0) and m == pytest.approx(2, rel=0.08) and n_ < 0.08
+    assert len(rows) > 2700 and all(r.a_FIT_SIG == pytest.approx(2 * r.a_sig, rel=0.1) for r in rows)
+    del a["correct_astro_area"]
+    with pytest.raises(ValueError, match="correct_astro_area"):
+        config.settings(joint, a, b)
+
+
 def test_stored_catalogues_meet_without_a_shuffle(spark):
     from skyweave.operators.spatial import radius_join
     from skyweave.sources import skystore
