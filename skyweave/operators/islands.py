@@ -27,10 +27,16 @@ def overlap_counts(cat: DataFrame, pairs: DataFrame, side: str, keys: tuple[str,
     return cat.select(*keys, "id").join(counts, [*keys, "id"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
+def integral_areas(cat: DataFrame, pairs: DataFrame, side: str, fractions: tuple[float, ...], keys: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, more, area0, area1...): circles of the mean radii that hold each fraction, in square degrees; 0 without overlaps. One aggregate for all."""
+    r = pairs.groupBy(*keys, F.col(side).alias("id")).agg(*(F.avg(auf_radius(f, "sig_a", "sig_b") / 3600).alias(f"__r{i}") for i, f in enumerate(fractions)))
+    joined = cat.select(*keys, "id", *more).join(r, [*keys, "id"], "left")
+    return joined.select(*keys, "id", *more, *(F.coalesce(F.pi() * F.col(f"__r{i}") * F.col(f"__r{i}"), F.lit(0.0)).alias(f"area{i}") for i in range(len(fractions))))
+
+
 def integral_area(cat: DataFrame, pairs: DataFrame, side: str, fraction: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, id, area): circle of the mean radius that holds ``fraction``, in square degrees; 0 without overlaps."""
-    r = pairs.groupBy(*keys, F.col(side).alias("id")).agg(F.avg(auf_radius(fraction, "sig_a", "sig_b") / 3600).alias("r"))
-    return cat.select(*keys, "id").join(r, [*keys, "id"], "left").select(*keys, "id", F.coalesce(F.pi() * F.col("r") * F.col("r"), F.lit(0.0)).alias("area"))
+    """(keys, id, area) of one fraction."""
+    return integral_areas(cat, pairs, side, (fraction,), keys).withColumnRenamed("area0", "area")
 
 
 def islands(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
