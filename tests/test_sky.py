@@ -74,9 +74,8 @@ def test_planted_densities_are_recovered():
     true = np.array([3000.0, 5000.0, 8000.0])
     pa, _, pb, _ = phot.density_model(true, fractions, areas, areas * 1.3)
     assert np.allclose(phot.fitted_densities(pa, pb, np.sqrt(pa + 1), np.sqrt(pb + 1), fractions, areas, areas * 1.3), true, rtol=1e-3)
-    with pytest.raises(ValueError, match="contradict"):
-        phot.floored(0, 0, 5)
-    assert phot.floored(0.001, 100, 200) == (1.0, 100, 200)
+    assert "no counterparts" in phot.contradiction(0, (0, 5))
+    assert phot.contradiction(0.001, (100, 200)) is None and phot.floored(0.001, (100, 200)) == (1.0, 100, 200)
 
 
 @pytest.mark.parametrize(("step", "width"), [(0.1 / 251, 0.1), (0.1 / 2500, 0.1), (0.1 / 249, 0.2), (0.1 / 124, 0.3)])
