@@ -14,6 +14,7 @@ from ..functions.sky import blend_weight
 from .auf import AUF_SCHEMA, Blends, cell_auf
 from .density import local_densities
 from .regions import hulls
+from .spatial import large_join
 from .statistics import quantiles
 
 #: Steps of the cells in the logarithm of density and in magnitude.
@@ -82,7 +83,7 @@ def with_cells(cat: DataFrame, bands: tuple[str, ...], model: DataFrame, radius:
     )  # the model's own bins
     own = cat.withColumns({"band": F.col("best"), "mag": F.element_at(F.array(*bands), F.col("best") + 1)})
     local = local_densities(own.where("mag is not null"), seen, radius, (*k, "band"), hulls(cat, keys), keys)
-    own = own.join(local.select(*k, "band", "id", "density"), [*k, "band", "id"], "left")
+    own = large_join(own, local.select(*k, "band", "id", "density"), [*k, "band", "id"], "left")
     own = own.withColumns({"__n": F.floor(F.log("density") / LOG_STEP), "__m": F.floor(F.col("mag") / MAG_STEP)})
     own = own.withColumn("nm", F.when(F.col("__n").isNull() | F.col("__m").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*k, "band", "__n", "__m")))
     cells = own.where("nm <> 0").select(*k, "nm", "band", "__n", "__m").distinct().join(counts, [*k, "band"])

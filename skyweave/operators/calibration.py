@@ -17,7 +17,7 @@ from .astrometry import corrections, cut_slices, separation_models, slice_likeli
 from .auf import Blends, cell_auf
 from .density import local_densities
 from .regions import hulls, interior_points
-from .spatial import mutual_nn
+from .spatial import large_join, mutual_nn
 from .statistics import quantiles
 
 
@@ -75,8 +75,8 @@ def separations(cat: DataFrame, reference: DataFrame, some: list[Box], radius: f
     density = density.select("pt", "id.__id", "id.visit", "density").toDF("pt", "id", "visit", "density")
     visits = own.select("pt", "visit").distinct()  # a row for each sightline's visit
     pairs = mutual_nn(own, other.join(visits, "pt"), r_max / 3600, ("pt", "visit")).withColumnRenamed("a", "id")
-    rows = own.withColumn("slice", F.floor(F.col("mag") / step).cast("int")).join(density, ["pt", "id", "visit"])
-    return pairs.join(rows, ["pt", "id", "visit"]).select("pt", "slice", "id", "visit", "sig", "sep", "density")
+    rows = large_join(own.withColumn("slice", F.floor(F.col("mag") / step).cast("int")), density, ["pt", "id", "visit"])
+    return large_join(pairs, rows, ["pt", "id", "visit"]).select("pt", "slice", "id", "visit", "sig", "sep", "density")
 
 
 def slice_blends(matches: DataFrame, model: DataFrame, limit: float, step: float, how: Blends, fwhm: float) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import written
 from .regions import inside, shifted
-from .spatial import radius_join
+from .spatial import large_join, radius_join
 
 #: Cells of a radius, and sources in the nine cells of a radius around a source from which on they are counted by cell.
 GRID = 8
@@ -119,14 +119,14 @@ def local_densities(points: DataFrame, others: DataFrame, radius: float, by: tup
     mine = celled(points.select(*k, "id", "lon", "lat"), radius)
     beside = neighbours(mine.select(*k, "row", "col").distinct(), radius, 1.6 * radius).drop("x", "y", "width")
     near = coarse.select(*k, F.col("row").alias("near_row"), F.col("col").alias("near_col"), "n")
-    counts = beside.join(near, [*k, "near_row", "near_col"]).groupBy(*k, "row", "col").agg(F.sum("n").alias("__around"))
-    marked = mine.join(counts, [*k, "row", "col"], "left").withColumn("__dense", F.coalesce(F.col("__around") > dense, F.lit(False))).drop("row", "col", "__around")
+    counts = large_join(beside, near, [*k, "near_row", "near_col"]).groupBy(*k, "row", "col").agg(F.sum("n").alias("__around"))
+    marked = large_join(mine, counts, [*k, "row", "col"], "left").withColumn("__dense", F.coalesce(F.col("__around") > dense, F.lit(False))).drop("row", "col", "__around")
     marked = written(marked, "surroundings")
 
     with_hull = lambda df: (df.join(hulls.select(*hull_by, "shift", "corners"), list(hull_by), "left") if hull_by else df.crossJoin(hulls.select("shift", "corners"))) if hulls is not None else df.withColumns({"shift": F.lit(0.0), "corners": F.lit(None).cast("array<struct<x:double,y:double>>")})
     sparse = marked.where("not __dense").drop("__dense")
     pairs = radius_join(sparse, others, radius, by).groupBy(*k, F.col("a_id").alias("id")).agg(F.count("*").alias("n"))
-    exact = with_hull(sparse).join(pairs, [*k, "id"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    exact = large_join(with_hull(sparse), pairs, [*k, "id"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     exact = exact.withColumn("__area", circle_area(radius) * share_inside(F.col("lon"), F.col("lat"), radius, F.col("shift"), F.col("corners"))).select(*k, "id", "n", "__area")
 
     size = radius / grid
@@ -138,6 +138,6 @@ def local_densities(points: DataFrame, others: DataFrame, radius: float, by: tup
     quarter = [inside(shifted(F.pmod(F.col("x") + sx * F.col("width") / 4, F.lit(360.0)), F.col("shift")), F.col("y") + sy * size / 4, F.col("corners")).cast("double") for sx in (-1, 1) for sy in (-1, 1)]
     spread = spread.withColumn("__share", F.when(F.col("__rim") == 1, F.lit(1.0)).otherwise((quarter[0] + quarter[1] + quarter[2] + quarter[3]) / 4))
     spread = spread.withColumn("__area", F.col("__share") * F.col("width") * size * F.cos(F.radians("y")))
-    summed = spread.join(small, [*k, "near_row", "near_col"], "left").groupBy(*k, "row", "col").agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n"), F.sum("__area").alias("__area"))
-    by_cell = fine.join(summed, [*k, "row", "col"]).select(*k, "id", "n", "__area")
+    summed = large_join(spread, small, [*k, "near_row", "near_col"], "left").groupBy(*k, "row", "col").agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n"), F.sum("__area").alias("__area"))
+    by_cell = large_join(fine, summed, [*k, "row", "col"]).select(*k, "id", "n", "__area")
     return exact.unionByName(by_cell).withColumn("density", F.when(F.col("__area") > 0, F.col("n") / F.col("__area"))).drop("__area")

@@ -17,6 +17,7 @@ from ..operators.blending import by_band, complete_to, simulated_cells, with_cel
 from ..operators.calibration import boxes, calibrate
 from ..operators.counts import observed, rescaled, with_galaxies
 from ..operators.regions import hull_areas, hulls
+from ..operators.spatial import large_join
 from ..sources.catalog import chunk_of, read_csv, region_rows, write_output
 from ..sources.config import Settings, SideSettings, psf_parameters
 from ..sources.simulations import merged_cube, read_simulations
@@ -68,7 +69,7 @@ def scan(spark: SparkSession, side: SideSettings, chunks: tuple) -> DataFrame:
 def with_columns(matches: DataFrame, a: DataFrame, b: DataFrame, bands: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """Matches with both catalogues' columns, without those of which both sources are in the halo of their chunk."""
     tag = lambda cat, which: cat.select(*keys, F.col("id").alias(which), F.col("halo").alias(f"{which}_halo"), *(F.col(c).alias(f"{which}_{c}") for c in ("lon", "lat", "sig", *bands, "best")))
-    both = matches.join(tag(a, "a"), [*keys, "a"]).join(tag(b, "b"), [*keys, "b"])
+    both = large_join(large_join(matches, tag(a, "a"), [*keys, "a"]), tag(b, "b"), [*keys, "b"])
     return both.where(~F.col("a_halo") | ~F.col("b_halo")).drop("a_halo", "b_halo")
 
 
@@ -194,7 +195,7 @@ class Engine:
         key = ("chunk_id",)
         both = tuple(Side(w, x.name, tuple(f"mag{i + 1}" for i in range(len(x.filters))), x.layout.extra_names, x.correct) for w, x in (("a", self.settings.a), ("b", self.settings.b)))
         own = lambda cat, which: cat.select("chunk_id", F.lit(which).alias("side"), "id", "halo")
-        rest = m.nonmatches.join(own(m.a, "a").unionByName(own(m.b, "b")), ["chunk_id", "side", "id"])
+        rest = large_join(m.nonmatches, own(m.a, "a").unionByName(own(m.b, "b")), ["chunk_id", "side", "id"])
         form = "csv" if self.settings.csv else "parquet"
         if not kind:
             why = [(rest.where("halo"), "halo"), (m.too_large, "island size")] + ([(m.at_edge, "edge")] if m.edge_keys else [])

@@ -7,6 +7,7 @@ import pytest
 from skyweave.operators import islands as isl
 from skyweave.operators import photometry as phot
 from skyweave.operators import spatial
+from skyweave.plans import match
 from skyweave.sources import catalog
 
 
@@ -47,3 +48,17 @@ def test_no_python_in_the_match_up_to_its_kernel(stored):
     pairs = isl.overlap_pairs(a, b, 2.92, 0.999)
     for df in (pairs, isl.integral_area(a, pairs, "a", 0.9), phot.field_mask(a, "mag1", pairs, "a", b, "mag1", (0.63, 0.9)), phot.adaptive_bins(a, "mag1")):
         assert not re.search("Python|Arrow|Pandas", plan(df))
+
+
+def test_joins_of_catalogues_gather_neither_side(stored):
+    """Tables of a few rows, which Spark would broadcast: what it takes for small is what is read, not what is repeated by cell."""
+    a, b = stored
+    pairs = isl.overlap_pairs(a, b, 2.92, 0.999)
+    members = isl.membership(a, b, pairs.selectExpr("2 * a as vertex", "2 * a as island"))
+    plans = [
+        pairs, spatial.mutual_nn(a, b, 0.001), spatial.local_density(b, 0.01), isl.overlap_counts(a, pairs, "a"), isl.integral_area(a, pairs, "a", 0.9), members,
+        isl.edge_reject(members, a.selectExpr("'a' as side", "id"))[0], phot.field_mask(a, "mag1", pairs, "a", b, "mag1", (0.63, 0.9)), phot.brightest(a, "mag1", pairs, b, "mag1", 0.9),
+        match.core_matches(pairs, a, b), match.core_nonmatches(members, a, b)[0],
+    ]
+    for df in plans:
+        assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
