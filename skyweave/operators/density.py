@@ -65,11 +65,11 @@ def circle_inside(lon: Column, lat: Column, radius: float, corners: Column) -> C
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def share_inside(lon: Column, lat: Column, radius: float, shift: Column, corners: Column) -> Column:
+def share_inside(lon: Column, lat: Column, radius: float, shift: Column, corners: Column, core: Column) -> Column:
     """The same for a hull of ``regions.hulls``: whole circles, whose square is inside, are not measured; without a hull all are whole."""
     x = shifted(lon, shift)
     dx = radius / F.greatest(F.cos(F.radians(lat)), F.lit(POLE))
-    whole = [inside(x + sx * dx, lat + sy * radius, corners) for sx, sy in ((-1, -1), (-1, 1), (1, -1), (1, 1))]
+    whole = [inside(x + sx * dx, lat + sy * radius, corners, core) for sx, sy in ((-1, -1), (-1, 1), (1, -1), (1, 1))]
     return F.when(corners.isNull() | (whole[0] & whole[1] & whole[2] & whole[3]), F.lit(1.0)).otherwise(circle_inside(x, lat, radius, corners))
 
 
@@ -123,19 +123,20 @@ def local_densities(points: DataFrame, others: DataFrame, radius: float, by: tup
     marked = large_join(mine, counts, [*k, "row", "col"], "left").withColumn("__dense", F.coalesce(F.col("__around") > dense, F.lit(False))).drop("row", "col", "__around")
     marked = written(marked, "surroundings")
 
-    with_hull = lambda df: (df.join(hulls.select(*hull_by, "shift", "corners"), list(hull_by), "left") if hull_by else df.crossJoin(hulls.select("shift", "corners"))) if hulls is not None else df.withColumns({"shift": F.lit(0.0), "corners": F.lit(None).cast("array<struct<x:double,y:double>>")})
+    with_hull = lambda df: (df.join(hulls.select(*hull_by, "shift", "corners", "core"), list(hull_by), "left") if hull_by else df.crossJoin(hulls.select("shift", "corners", "core"))) if hulls is not None else df.withColumns({"shift": F.lit(0.0), "corners": F.lit(None).cast("array<struct<x:double,y:double>>"), "core": F.lit(None).cast("struct<low:double,step:double,lo:array<double>,hi:array<double>>")})
     sparse = marked.where("not __dense").drop("__dense")
     pairs = radius_join(sparse, others, radius, by).groupBy(*k, F.col("a_id").alias("id")).agg(F.count("*").alias("n"))
-    exact = large_join(with_hull(sparse), pairs, [*k, "id"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    exact = exact.withColumn("__area", circle_area(radius) * share_inside(F.col("lon"), F.col("lat"), radius, F.col("shift"), F.col("corners"))).select(*k, "id", "n", "__area")
+    exact = with_hull(large_join(sparse, pairs, [*k, "id"], "left")).withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    exact = exact.withColumn("__area", circle_area(radius) * share_inside(F.col("lon"), F.col("lat"), radius, F.col("shift"), F.col("corners"), F.col("core"))).select(*k, "id", "n", "__area")
 
     size = radius / grid
     fine = celled(marked.where("__dense").drop("__dense"), size)
     small = celled(others, size).groupBy(*k, F.col("row").alias("near_row"), F.col("col").alias("near_col")).agg(F.count("*").alias("__n"))
     middle = (F.col("col") + 0.5) * 360 / _around(F.col("row"), size)
-    rim = share_inside(middle, _middle(F.col("row"), size), radius + size, F.col("shift"), F.col("corners"))
-    spread = neighbours(with_hull(fine.select(*k, "row", "col").distinct()).withColumn("__rim", rim), size, radius)
-    quarter = [inside(shifted(F.pmod(F.col("x") + sx * F.col("width") / 4, F.lit(360.0)), F.col("shift")), F.col("y") + sy * size / 4, F.col("corners")).cast("double") for sx in (-1, 1) for sy in (-1, 1)]
+    rim = share_inside(middle, _middle(F.col("row"), size), radius + size, F.col("shift"), F.col("corners"), F.col("core"))
+    at_rim = lambda c: F.when(F.col("__rim") != 1, F.col(c)).alias(c)  # noqa: E731  other cells do not take the hull along
+    spread = neighbours(with_hull(fine.select(*k, "row", "col").distinct()).withColumn("__rim", rim).select(*k, "row", "col", "__rim", "shift", at_rim("corners"), at_rim("core")), size, radius)
+    quarter = [inside(shifted(F.pmod(F.col("x") + sx * F.col("width") / 4, F.lit(360.0)), F.col("shift")), F.col("y") + sy * size / 4, F.col("corners"), F.col("core")).cast("double") for sx in (-1, 1) for sy in (-1, 1)]
     spread = spread.withColumn("__share", F.when(F.col("__rim") == 1, F.lit(1.0)).otherwise((quarter[0] + quarter[1] + quarter[2] + quarter[3]) / 4))
     spread = spread.withColumn("__area", F.col("__share") * F.col("width") * size * F.cos(F.radians("y")))
     summed = large_join(spread, small, [*k, "near_row", "near_col"], "left").groupBy(*k, "row", "col").agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n"), F.sum("__area").alias("__area"))

@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyweave.operators import islands as isl
 from skyweave.operators import photometry as phot
-from skyweave.operators import spatial
+from skyweave.operators import regions, spatial
 from skyweave.plans import match
 from skyweave.sources import catalog
 
@@ -62,3 +64,25 @@ def test_joins_of_catalogues_gather_neither_side(stored):
     ]
     for df in plans:
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
+
+
+def test_points_in_the_core_of_a_hull_are_not_tested_against_its_edges(spark):
+    rng = np.random.default_rng(5)
+    turn, far = rng.random(3000) * 2 * np.pi, np.sqrt(rng.random(3000))
+    cat = spark.createDataFrame([(float(20 + 2 * r * np.cos(t)), float(r * np.sin(t))) for t, r in zip(turn, far, strict=True)], "lon double, lat double")
+    hull = regions.hulls(cat, ())
+    points = spark.createDataFrame([(float(x), float(y)) for x, y in rng.uniform(-1.2, 1.2, (4000, 2)) * [2, 1] + [180, 0]], "x double, y double").crossJoin(hull)
+    at = F.col("x"), F.col("y")
+    rows = points.select(regions.inside(*at, F.col("corners"), F.col("core")).alias("fast"), regions.inside(*at, F.col("corners")).alias("edges"), regions.inside(*at, F.transform("corners", lambda c: F.struct((c["x"] + 90).alias("x"), c["y"].alias("y"))), F.col("core")).alias("core")).collect()
+    assert all(r.fast == r.edges for r in rows)
+    assert sum(r.core for r in rows) > 0.9 * sum(r.edges for r in rows) > 1000  # with wrong edges
+    assert not any(r.core and not r.edges for r in rows)
+
+
+def test_hulls_of_many_points_are_those_of_all():
+    rng = np.random.default_rng(6)
+    for points in (rng.random((5000, 2)), np.round(rng.random((5000, 2)), 1), np.column_stack([rng.random(500), np.full(500, 2.0)])):
+        outer = regions.outermost(points)
+        assert {tuple(c) for c in regions.convex_hull(points)} <= {tuple(p) for p in outer}
+        assert (regions.convex_hull(points) == regions.convex_hull(outer)).all()
+    assert len(regions.outermost(rng.random((5000, 2)))) < 1000
