@@ -66,6 +66,18 @@ def test_joins_of_catalogues_gather_neither_side(stored):
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
 
 
+def test_first_look_at_cells_is_evaluated_once_a_source(spark):
+    """It was repeated for each cell that was compared with it."""
+    sources = spark.range(50).selectExpr("id", "0 as filt", "id / 7.0D as logn", "id % 9 / 2.0D as mag")
+    cells = spark.range(80).selectExpr("id as nm", "0 as filt", "id % 10 / 1.1D as cell_logn", "id / 20.0D as cell_mag")
+    out = spatial.nearest_cell(sources, cells, ["filt"])
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(slice(" in text and not re.search(r"<= array_min\(transform\(slice\(", text)
+    every = [(r.nm, r.cell_logn, r.cell_mag) for r in cells.collect()]
+    for r in out.join(sources.drop("filt"), "id").collect():
+        assert r.nm == min(((r.logn - x) ** 2 + (r.mag - y) ** 2, nm) for nm, x, y in every)[1]
+
+
 def test_points_in_the_core_of_a_hull_are_not_tested_against_its_edges(spark):
     rng = np.random.default_rng(5)
     turn, far = rng.random(3000) * 2 * np.pi, np.sqrt(rng.random(3000))
