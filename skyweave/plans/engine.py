@@ -195,7 +195,7 @@ class Engine:
         key = ("chunk_id",)
         both = tuple(Side(w, x.name, tuple(f"mag{i + 1}" for i in range(len(x.filters))), x.layout.extra_names, x.correct) for w, x in (("a", self.settings.a), ("b", self.settings.b)))
         own = lambda cat, which: cat.select("chunk_id", F.lit(which).alias("side"), "id", "halo")
-        rest = large_join(m.nonmatches, own(m.a, "a").unionByName(own(m.b, "b")), ["chunk_id", "side", "id"])
+        rest = written(large_join(m.nonmatches, own(m.a, "a").unionByName(own(m.b, "b")), ["chunk_id", "side", "id"]), "rest")  # read for rejects and for either side
         form = "csv" if self.settings.csv else "parquet"
         if not kind:
             why = [(rest.where("halo"), "halo"), (m.too_large, "island size")] + ([(m.at_edge, "edge")] if m.edge_keys else [])

@@ -98,3 +98,15 @@ def test_hulls_of_many_points_are_those_of_all():
         assert {tuple(c) for c in regions.convex_hull(points)} <= {tuple(p) for p in outer}
         assert (regions.convex_hull(points) == regions.convex_hull(outer)).all()
     assert len(regions.outermost(rng.random((5000, 2)))) < 1000
+
+
+def test_leftovers_of_the_engine_are_computed_once(spark, monkeypatch):
+    """They are read for rejects and for either side."""
+    import __spark_entry__
+    from skyweave.plans import engine
+
+    seen = []
+    unmatched = engine.unmatched
+    monkeypatch.setattr(engine, "unmatched", lambda rest, *a: (seen.append(plan(rest)), unmatched(rest, *a))[1])
+    __spark_entry__.queries()["match_file"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and not any("Join" in text or "Exchange" in text for text in seen)
