@@ -14,7 +14,7 @@ from ..functions.sky import blend_weight
 from .auf import AUF_SCHEMA, Blends, cell_auf
 from .density import local_densities
 from .regions import hulls
-from .spatial import large_join
+from .spatial import large_join, small_join
 from .statistics import quantiles
 
 #: Steps of the cells in the logarithm of density and in magnitude.
@@ -77,7 +77,7 @@ def with_cells(cat: DataFrame, bands: tuple[str, ...], model: DataFrame, radius:
     k = list(keys)
     long = by_band(cat, bands, keys, snrs)
     limits = complete_to(long, [*k, "band"])  # a row for each chunk and band
-    seen = long.join(limits, [*k, "band"]).where("mag <= limit")
+    seen = small_join(long, limits, [*k, "band"]).where("mag <= limit")
     counts = model.join(limits, [*k, "band"]).groupBy(*k, "band").agg(
         F.sum(F.when(F.col("mag") <= F.col("limit"), F.col("density") * F.col("width"))).alias("to_limit"), F.array_sort(F.collect_list(F.struct("mag", "density", "width"))).alias("model")
     )  # the model's own bins

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
+from .spatial import large_join
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -66,7 +67,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...
     earlier = Window.partitionBy(*one).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "__range", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"), F.sum("__s").over(Window.partitionBy(*one)).alias("n"))
     inner = Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(sums, [*by, "__range"]).withColumn("__end", F.col("__before") + F.sum("__c").over(inner))
+    ranked = large_join(placed, sums, [*by, "__range"]).withColumn("__end", F.col("__before") + F.sum("__c").over(inner))
     at = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
     target = lambda i, k: F.struct(F.lit(i).alias("i"), k(at[i // 2]).cast("bigint").alias("k"))
     wanted = F.array(*(target(2 * i + up, F.ceil if up else F.floor) for i in range(len(shares)) for up in (0, 1)))
