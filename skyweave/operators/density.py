@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import written
 from .regions import inside, shifted
-from .spatial import large_join, radius_join
+from .spatial import large_join, radius_join, small_join
 
 #: Cells of a radius, and sources in the nine cells of a radius around a source from which on they are counted by cell.
 GRID = 8
@@ -123,7 +123,7 @@ def local_densities(points: DataFrame, others: DataFrame, radius: float, by: tup
     marked = large_join(mine, counts, [*k, "row", "col"], "left").withColumn("__dense", F.coalesce(F.col("__around") > dense, F.lit(False))).drop("row", "col", "__around")
     marked = written(marked, "surroundings")
 
-    with_hull = lambda df: (df.join(hulls.select(*hull_by, "shift", "corners", "core"), list(hull_by), "left") if hull_by else df.crossJoin(hulls.select("shift", "corners", "core"))) if hulls is not None else df.withColumns({"shift": F.lit(0.0), "corners": F.lit(None).cast("array<struct<x:double,y:double>>"), "core": F.lit(None).cast("struct<low:double,step:double,lo:array<double>,hi:array<double>>")})
+    with_hull = lambda df: small_join(df, hulls.select(*hull_by, "shift", "corners", "core"), list(hull_by), "left") if hulls is not None else df.withColumns({"shift": F.lit(0.0), "corners": F.lit(None).cast("array<struct<x:double,y:double>>"), "core": F.lit(None).cast("struct<low:double,step:double,lo:array<double>,hi:array<double>>")})
     sparse = marked.where("not __dense").drop("__dense")
     pairs = radius_join(sparse, others, radius, by).groupBy(*k, F.col("a_id").alias("id")).agg(F.count("*").alias("n"))
     exact = with_hull(large_join(sparse, pairs, [*k, "id"], "left")).withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
