@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyweave.operators import density
 from skyweave.operators import islands as isl
 from skyweave.operators import photometry as phot
 from skyweave.operators import regions, spatial
@@ -66,6 +67,25 @@ def test_joins_of_catalogues_gather_neither_side(stored):
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
 
 
+def bins_by_cell(cat):
+    return phot.adaptive_bins(cat.selectExpr("0 as cell", "best as band", "mag1 as mag"), "mag", ("cell", "band"))
+
+
+def densities_by_cell(cat):
+    return density.local_densities(cat, cat, 0.01, hulls=regions.hulls(cat, ()), dense=0)
+
+
+def at_edges(cat):
+    return regions.near_edge(cat, 2.92, ())
+
+
+@pytest.mark.parametrize("found", [bins_by_cell, densities_by_cell, at_edges])
+def test_of_a_catalogue_and_a_few_rows_the_few_rows_are_broadcast(stored, found):
+    """Spark takes an aggregate to be as large as what it is made of, and broadcast the catalogue where it was narrower."""
+    text = plan(found(stored[0]))
+    assert "BuildRight" in text and "BuildLeft" not in text
+
+
 def test_first_look_at_cells_is_evaluated_once_a_source(spark):
     """It was repeated for each cell that was compared with it."""
     sources = spark.range(50).selectExpr("id", "0 as filt", "id / 7.0D as logn", "id % 9 / 2.0D as mag")
