@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sky import blend_weight
+from ..plans.storage import written
 from .auf import AUF_SCHEMA, Blends, cell_auf
 from .density import local_densities
 from .regions import hulls
@@ -86,6 +87,7 @@ def with_cells(cat: DataFrame, bands: tuple[str, ...], model: DataFrame, radius:
     own = large_join(own, local.select(*k, "band", "id", "density"), [*k, "band", "id"], "left")
     own = own.withColumns({"__n": F.floor(F.log("density") / LOG_STEP), "__m": F.floor(F.col("mag") / MAG_STEP)})
     own = own.withColumn("nm", F.when(F.col("__n").isNull() | F.col("__m").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*k, "band", "__n", "__m")))
+    own = written(own.drop("mag", "density"), "marked")  # for the sources and for their cells
     cells = own.where("nm <> 0").select(*k, "nm", "band", "__n", "__m").distinct().join(counts, [*k, "band"])
     if snrs:
         cells = cells.join(snr_curves(long, [*k, "band"]), [*k, "band", "__m"], "left")
@@ -97,7 +99,7 @@ def with_cells(cat: DataFrame, bands: tuple[str, ...], model: DataFrame, radius:
     weight = F.coalesce(blend_weight("snr", "weakest"), F.lit(1.0))
     arrays = [F.col(f"model.{c}").alias(name) for c, name in (("mag", "mags"), ("density", "densities"), ("width", "widths"))]
     names = [F.col("__n").alias("ln_n"), F.col("__m").alias("mag_bin")]
-    return own.drop("band", "mag", "density", "__n", "__m"), cells.select("nm", "band", *names, "scale", "mag", *arrays, "snr", weight.alias("weight"), depth.alias("depth"))
+    return own.drop("band", "__n", "__m"), cells.select("nm", "band", *names, "scale", "mag", *arrays, "snr", weight.alias("weight"), depth.alias("depth"))
 
 
 def simulated_cells(cells: DataFrame, how: Blends, fwhms: tuple[float, ...]) -> DataFrame:

@@ -128,7 +128,7 @@ class Engine:
             data = observed(seen, hull_areas(hulls(cat, key), key), key, complete_to(seen, ["chunk_id", "band"]), self.settings.mag_step, side.saturation)
             model = rescaled(written(with_galaxies(model, side.galaxies), "galaxies"), data, key)
         marked, cells = with_cells(cat, self.bands, written(model, "counts"), side.radius, ("chunk_id",), snrs, side.fwhms)
-        return written(marked, "marked"), written(simulated_cells(written(cells, "cells"), self.how, side.fwhms), "aufs")
+        return marked, written(simulated_cells(written(cells, "cells"), self.how, side.fwhms), "aufs")
 
     def sides(self, chunks: tuple) -> dict:
         """Both catalogues and, with blends, their simulated cells."""

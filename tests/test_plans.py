@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.operators import density
+from skyweave.operators import blending, density
 from skyweave.operators import islands as isl
 from skyweave.operators import photometry as phot
 from skyweave.operators import regions, spatial
@@ -86,6 +86,14 @@ def test_of_a_catalogue_and_a_few_rows_the_few_rows_are_broadcast(stored, found)
     assert "BuildRight" in text and "BuildLeft" not in text
 
 
+def test_local_densities_are_joined_once_for_sources_and_their_cells(spark, stored):
+    """Sources and cells each went through the range joins of the densities again."""
+    model = spark.range(20).selectExpr("0 as band", "id + 0.5D as mag", "10.0D as density", "1.0D as width")
+    marked, cells = blending.with_cells(stored[0], ("mag1",), model, 0.01)
+    assert "Join" not in plan(marked) and "near_row" not in plan(cells)
+    assert marked.count() == 200 and marked.where("nm <> 0").select("nm").distinct().count() == cells.count() > 0
+
+
 def test_first_look_at_cells_is_evaluated_once_a_source(spark):
     """It was repeated for each cell that was compared with it."""
     sources = spark.range(50).selectExpr("id", "0 as filt", "id / 7.0D as logn", "id % 9 / 2.0D as mag")
