@@ -9,6 +9,8 @@ import numpy as np
 #: Below, the power series; above, the asymptotic expansion.
 TURN = 12.0
 TERMS = 40
+#: Radii whose integrals are summed at a time, so that what is in use stays in a core's cache.
+BLOCK = 64
 
 
 def _series(x: np.ndarray, order: int) -> np.ndarray:
@@ -63,9 +65,16 @@ def gaussian(rho: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def cdf(transform: np.ndarray, rho: np.ndarray, width: np.ndarray, r) -> np.ndarray:
-    """Share inside radius r: 2 pi r sum of F(rho) J1(2 pi r rho) d rho."""
+    """Share inside radius r: 2 pi r sum of F(rho) J1(2 pi r rho) d rho.
+
+    Where F d rho is below 1e-20 of its largest, its terms are lost in the rounding of the sum and are not computed.
+    """
     r = np.atleast_1d(np.asarray(r, dtype=float))
-    return 2 * np.pi * r * (j1(2 * np.pi * np.outer(r, rho)) @ (transform * width))
+    weight = transform * width
+    felt = ~(np.abs(weight) < 1e-20 * np.abs(weight).max())
+    weight, at = weight[felt], 2 * np.pi * rho[felt]
+    sums = [j1(np.outer(r[i : i + BLOCK], at)) @ weight for i in range(0, len(r), BLOCK)]
+    return 2 * np.pi * r * np.concatenate([np.empty(0), *sums])
 
 
 def radius(transform: np.ndarray, rho: np.ndarray, width: np.ndarray, share: float, most: float, steps: int = 40) -> float:

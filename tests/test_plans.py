@@ -102,6 +102,16 @@ def test_the_recurrence_joins_the_catalogues_once(spark, tmp_path):
     assert "__band" not in plan(more.c_recurrence(spark, str(tmp_path)))
 
 
+def test_integrals_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    """Pairs are few bytes: they went to as few tasks as there are cores, whatever the work for each."""
+    spark.range(300).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(more, "INTEGRALS", 20)
+    out = more.hankel(spark, str(tmp_path))
+    assert "Join" not in plan(out) and "Broadcast" not in plan(out)
+    assert out.rdd.getNumPartitions() == 1 + out.count() // 20 > 8
+
+
 def test_first_look_at_cells_is_evaluated_once_a_source(spark):
     """It was repeated for each cell that was compared with it."""
     sources = spark.range(50).selectExpr("id", "0 as filt", "id / 7.0D as logn", "id % 9 / 2.0D as mag")

@@ -61,6 +61,19 @@ def test_bessel_and_hankel():
     assert density == pytest.approx(math.exp(-0.09 / 0.5) / (2 * math.pi * 0.25), rel=1e-3)
 
 
+def test_shares_of_many_radii_are_summed_in_blocks_of_what_counts(monkeypatch):
+    """All radii at once were a matrix for each step of the series, most of it of points where the transform is nothing."""
+    rho, width = (np.arange(4000) + 0.5) * 0.0025, np.full(4000, 0.0025)
+    r, transform = np.linspace(0, 2.9, 1000), bessel.gaussian(rho, 0.58)
+    plain = 2 * np.pi * r * (bessel.j1(2 * np.pi * np.outer(r, rho)) @ (transform * width))
+    sizes = []
+    monkeypatch.setattr(bessel, "j1", lambda x, j1=bessel.j1: (sizes.append(x.size), j1(x))[1])
+    assert np.allclose(bessel.cdf(transform, rho, width, r), plain, rtol=0, atol=1e-13)
+    assert max(sizes) < 100_000 and sum(sizes) < 1_500_000
+    assert len(bessel.cdf(transform, rho, width, [])) == 0
+    assert np.isnan(bessel.cdf(bessel.gaussian(rho, np.nan), rho, width, 1.0)).all()
+
+
 def test_minimised_respects_bounds():
     def loss(x):
         return (x[0] - 3) ** 2 + 10 * (x[1] + 2) ** 2 + x[0] * x[1], np.array([2 * (x[0] - 3) + x[1], 20 * (x[1] + 2) + x[0]])
