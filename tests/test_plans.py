@@ -1,6 +1,7 @@
 """What the plans must not do, and what must reach the scans."""
 
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from skyweave.operators import islands as isl
 from skyweave.operators import photometry as phot
 from skyweave.operators import regions, spatial
 from skyweave.plans import match
+from skyweave.plans import queries as core
 from skyweave.plans import queries_more as more
 from skyweave.sources import catalog
 
@@ -102,6 +104,16 @@ def test_the_recurrence_joins_the_catalogues_once(spark, tmp_path):
     assert "__band" not in plan(more.c_recurrence(spark, str(tmp_path)))
 
 
+def test_accounting_goes_through_what_is_left_over_once(spark, monkeypatch):
+    """Each side's count had a plan of its own for the sources without a match."""
+    left = spark.range(9).selectExpr("if(id < 4, 'a', 'b') as side", "id as left_over")
+    m = SimpleNamespace(a=spark.range(7), b=spark.range(8), matches=spark.range(3), nonmatches=left, too_large=spark.range(0))
+    monkeypatch.setattr(core, "match_of", lambda spark, sf_dir: m)
+    out = core.accounting(spark, "")
+    assert out._jdf.queryExecution().analyzed().toString().count("left_over") == 1
+    assert out.columns == ["n_a", "n_b", "matches", "field_a", "field_b", "rejected"] and tuple(out.head()) == (7, 8, 3, 4, 5, 0)
+
+
 def test_integrals_are_spread_by_their_number(spark, tmp_path, monkeypatch):
     """Pairs are few bytes: they went to as few tasks as there are cores, whatever the work for each."""
     spark.range(300).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
