@@ -70,6 +70,15 @@ def test_joins_of_catalogues_gather_neither_side(stored):
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
 
 
+@pytest.mark.parametrize("name", ["integral_area"])
+def test_queries_of_pairs_gather_no_catalogue(spark, tmp_path, name):
+    """Tables of a few rows, which Spark would broadcast."""
+    spark.range(300).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    text = plan(core.QUERIES[name](spark, str(tmp_path)))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def bins_by_cell(cat):
     return phot.adaptive_bins(cat.selectExpr("0 as cell", "best as band", "mag1 as mag"), "mag", ("cell", "band"))
 
