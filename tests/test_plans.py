@@ -70,7 +70,7 @@ def test_joins_of_catalogues_gather_neither_side(stored):
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
 
 
-@pytest.mark.parametrize("name", ["integral_area", "local_density", "contam_prob", "eta_xi", "brightest_mag"])
+@pytest.mark.parametrize("name", ["integral_area", "local_density", "contam_prob", "eta_xi", "brightest_mag", "field_mask"])
 def test_queries_of_pairs_gather_no_catalogue(spark, tmp_path, name):
     """Tables of a few rows, which Spark would broadcast."""
     spark.range(300).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
