@@ -43,12 +43,13 @@ def with_galaxies(model: DataFrame, galaxies: tuple[dict, ...]) -> DataFrame:
 
 
 def fitted_factors(data: DataFrame, model: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, band, stars, galaxies, residual, n): the factors by which the logarithm of the data's counts is fitted best.
+    """(keys, band, stars, galaxies, residual, n, determined): the factors by which the logarithm of the data's counts is fitted best.
 
     ``data`` (keys, band, mag, density) and ``model`` (keys, band, mag, density, galaxies) have
     a row for each bin of magnitude, so a chunk and band is a small group; the model's
     logarithms are interpolated to the data's bins. Residuals are root mean squares in dex.
     Groups in which fewer than two bins have data and both counts keep factors of 1 and have no residual.
+    Where stars and galaxies have the same shape, other factors fit as well: only their sum is ``determined``.
     """
     k = [*keys, "band"]
     kind = dict(model.dtypes)
@@ -63,14 +64,14 @@ def fitted_factors(data: DataFrame, model: DataFrame, keys: tuple[str, ...]) ->
             some = sim[sim[column] > 0]
             logs.append(np.interp(at, some["mag"], np.log10(some[column]), left=np.nan, right=np.nan) if len(some) else np.full(len(at), np.nan))
         fine = np.isfinite(logs[0]) & np.isfinite(logs[1])
-        stars, more, residual = 1.0, 1.0, None
+        stars, more, residual, determined = 1.0, 1.0, None, False
         if fine.sum() > 1:
             y, s, g = np.log10(seen["density"].to_numpy()[fine]), 10 ** logs[0][fine], 10 ** logs[1][fine]
-            stars, more = rescaled_counts(y, s, g)
+            stars, more, determined = rescaled_counts(y, s, g)
             residual = float(np.sqrt(np.mean((np.log10(stars * s + more * g) - y) ** 2)))
-        return pd.DataFrame([{**{c: part[c].iloc[0] for c in k}, "stars": stars, "galaxies": more, "residual": residual, "n": int(fine.sum())}])
+        return pd.DataFrame([{**{c: part[c].iloc[0] for c in k}, "stars": stars, "galaxies": more, "residual": residual, "n": int(fine.sum()), "determined": determined}])
 
-    return rows.groupBy(*k).applyInPandas(fit, ", ".join(f"{c} {kind[c]}" for c in k) + ", stars double, galaxies double, residual double, n int")
+    return rows.groupBy(*k).applyInPandas(fit, ", ".join(f"{c} {kind[c]}" for c in k) + ", stars double, galaxies double, residual double, n int, determined boolean")
 
 
 def rescaled(model: DataFrame, data: DataFrame, keys: tuple[str, ...]) -> DataFrame:

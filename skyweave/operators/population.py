@@ -27,6 +27,8 @@ THICK = ((60.2, 44.7, 37.2), (55.8, 45.2, 36.3))
 HALO = (140.0, 105.0, 95.0)
 LAG = {"thin": 0.0, "thick": 39.0, "halo": 230.0}
 COMPONENTS = tuple(LAG)
+#: Counts that differ in shape by less, which is near their rounding, do not tell their factors apart.
+SAME_SHAPE = 1e-11
 
 
 def variances(r: np.ndarray, z: np.ndarray, component: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,14 +116,35 @@ def galaxy_counts(mags: np.ndarray, z_edges: np.ndarray, kcorr: dict[str, np.nda
     return total
 
 
-def rescaled_counts(log_data: np.ndarray, stars: np.ndarray, galaxies: np.ndarray) -> tuple[float, float]:
-    """Factors of star and galaxy counts that fit the logarithm of the data's counts best; at least a hundredth."""
+def rescaled_counts(log_data: np.ndarray, stars: np.ndarray, galaxies: np.ndarray) -> tuple[float, float, bool]:
+    """Factors of star and galaxy counts that fit the logarithm of the data's counts best, at least a hundredth, and whether no others do.
 
-    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+    Counts of the same shape leave only the factors' sum determined. Of shapes that are nearly the
+    same the descent knows the sum alone; steps of least squares, which do not square the small
+    difference, then find the factors.
+    """
+    least = 0.01
+
+    def residuals(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         model = p[0] * stars + p[1] * galaxies
-        off = np.log10(model) - log_data
-        slope = 2 * off / (model * math.log(10))
-        return float((off * off).sum()), np.array([(slope * stars).sum(), (slope * galaxies).sum()])
+        return np.log10(model) - log_data, np.stack([stars, galaxies], axis=1) / (model * math.log(10))[:, None]
 
-    a, b = minimised(loss, np.array([1.0, 1.0]), lower=np.array([0.01, 0.01]))
-    return float(a), float(b)
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        off, slopes = residuals(p)
+        return float(off @ off), 2 * off @ slopes
+
+    def step(free: list[int], off: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+        size, out = np.linalg.norm(slopes[:, free], axis=0), np.zeros(2)
+        out[free] = np.linalg.lstsq(slopes[:, free] / size, -off, rcond=SAME_SHAPE)[0] / size
+        return out
+
+    p = minimised(loss, np.array([1.0, 1.0]), lower=np.array([least, least]))
+    for _ in range(100):
+        off, slopes = residuals(p)
+        steps = [step(free, off, slopes) for free in ([0, 1], [0], [1])]  # one alone where the other is at its least
+        tries = (np.maximum(p + one / 2**i, least) for one in steps for i in range(40))
+        if (better := next((t for t in tries if loss(t)[0] < off @ off), None)) is None:
+            break
+        p = better
+    slopes = residuals(p)[1]
+    return float(p[0]), float(p[1]), bool(np.linalg.matrix_rank(slopes / np.linalg.norm(slopes, axis=0), tol=SAME_SHAPE) == 2)

@@ -692,3 +692,21 @@ def test_shares_of_cells_by_a_quadtree():
     inside = xy[(np.array(turn) >= 0).all(axis=0)]
     nearest = ((inside[:, None, :] - points) ** 2).sum(axis=2).argmin(axis=1)
     assert cell_shares(triangle, points) == pytest.approx((np.bincount(nearest) / len(nearest)).tolist(), abs=0.005)
+
+
+@pytest.mark.parametrize("keys", [24_000, 400_000])
+def test_counts_of_the_same_or_nearly_the_same_shape_are_rescaled(spark, tmp_path, keys):
+    """Whole periods of the keys, where only the sum of both factors is determined; and bins that differ by one part in 2800, where each is."""
+    from skyweave.operators import counts
+    from skyweave.plans import queries_more
+
+    spark.range(keys).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    out = queries_more.count_rescale(spark, str(tmp_path)).collect()
+    assert len({r.bin for r in out}) == len(out) == 16 and all(r.near_stars and r.near_galaxies and r.fits for r in out)
+    k = np.arange(keys)
+    of = lambda pt: np.bincount((k[k % 3 == pt] * 7919 % 8000) // 500).tolist()
+    rows = [(0, 0.5 * i, float(s), float(g)) for i, (s, g) in enumerate(zip(of(0), of(1), strict=True))]
+    model = spark.createDataFrame(rows, "band int, mag double, density double, galaxies double")
+    fit = counts.fitted_factors(model.selectExpr("band", "mag", "2 * density + 0.5 * galaxies as density"), model, ()).head()
+    assert fit.determined == (keys == 400_000) and fit.stars + fit.galaxies == pytest.approx(2.5) and fit.residual < 1e-9
+    assert not fit.determined or (fit.stars, fit.galaxies) == (pytest.approx(2), pytest.approx(0.5))
